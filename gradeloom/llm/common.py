@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +94,15 @@ def class_counts(labels: DataFrame, label: str, modulus: int, held: int) -> dict
 def held_out(modulus: int, held: int):
     """True for rows never learned from; null ids count as held out by their missing remainder."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(True))
+
+
+def with_locator(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``_locator``: the row's file and place in it, the same in every read.
+
+    Rows of a plain file scan have it already; anything else is written to the scratch folder first.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn("_locator", place)
+    except AnalysisException:
+        return written(docs, name).withColumn("_locator", place)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import ann, exact_dedup, quality, toxicity
+from gradeloom.llm import ann, chosen_path, exact_dedup, mixing, pii, quality, sentence_piece, sharding, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": quality.op2_quality,
         "op3_ann": ann.op3_ann,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_sentence_piece": sentence_piece.op5_sentence_piece,
+        "op6_near_duplicates": chosen_path.op6_near_duplicates,
+        "op7_token_file": token_file.op7_token_file,
+        "op8_pii": pii.op8_pii,
+        "op9_sharding": sharding.op9_sharding,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
