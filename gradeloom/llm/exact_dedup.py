@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import ascii_lower, read_table, scratch
+from gradeloom.llm.common import ascii_lower, read_table, scratch, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # At most so many rows of a group are compared with the kept text in one task.
@@ -46,6 +46,7 @@ def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else every partition takes some MB ahead
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "400")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
@@ -74,13 +75,7 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     states = group_states(spark, path, digest, id_col, text_col, files_per_batch)
     docs = _located(spark.read.parquet(path), digest, id_col, text_col)
     rows = docs.drop("t").join(states, "digest")  # split by AQE where one digest is frequent
-    rows_path = scratch(spark, "dedup-rows")
-    rows.write.parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
-    bad = _mismatched(docs, states)
-    bad_path = scratch(spark, "dedup-collisions")
-    bad.write.parquet(bad_path)
-    bad = spark.read.schema(bad.schema).parquet(bad_path)
+    bad = written(_mismatched(docs, states), "dedup-collisions")
     result = rows.select("id", "digest", "locator", "keep", "group_size")
     if not bad.isEmpty():
         again = docs.join(bad, "digest", "left_semi")
@@ -92,7 +87,8 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
 def _mismatched(docs: DataFrame, states: DataFrame) -> DataFrame:
     """Digests of groups in which some text differs from the kept one, compared in full."""
     groups = states.filter(F.col("group_size") > 1).select("digest", "keep", "group_size")
-    members = docs.join(groups, "digest")
+    # written once, as it is read from both sides; only members of groups are in it
+    members = written(docs.join(groups, "digest"), "dedup-members")
     # a frequent digest is dealt to several tasks; its kept text is copied to each of them
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     hits = members.select("digest", "t", F.pmod(F.xxhash64("locator"), salts).cast("int").alias("salt"))
