@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from gradeloom.plans import cohort_queries
+
+_PARTS = (cohort_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for part in _PARTS for name, run in part.queries().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.oracle_sql().items()}
