@@ -243,10 +243,19 @@ def plain_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(text(c)), r"\s+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, although ``body`` names it several times or in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(tokens: Column, n: int) -> Column:
     """The set of windows of ``n`` tokens."""
-    made = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    def windows(t: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, windows)
 
 
 def jaccard(a: Column, b: Column) -> Column:

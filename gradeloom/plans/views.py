@@ -78,7 +78,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("tg_id"), F.col("event_type").alias("kind"), F.col("props").alias("payload"), F.col("ts").alias("at"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("tg_id"), F.col("event_type").alias("kind"), F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("at"))
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
