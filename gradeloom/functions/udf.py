@@ -10,10 +10,14 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.functions.expr import KEEP_TOKENS
 
 _KEEP = frozenset(KEEP_TOKENS)
+# Types as objects: a type as text would need a session when the module is imported.
+WORDS = T.ArrayType(T.StringType())
+NAMES = T.StructType([T.StructField("defined", WORDS), T.StructField("used", WORDS), T.StructField("bail", T.BooleanType())])
 
 
 def _code_tokens(code: str) -> list[str]:
@@ -27,13 +31,13 @@ def _code_tokens(code: str) -> list[str]:
     return [t.string if t.type == pytok.NAME and t.string in _KEEP else "V" if t.type == pytok.NAME else kinds.get(t.type, t.string) for t in toks]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(WORDS)
 def py_tokens(code: pd.Series) -> pd.Series:
     """X01."""
     return code.fillna("").map(_code_tokens)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -54,7 +58,7 @@ def _call_args(code: str, name: str) -> list[str]:
 def call_args(code, name: str):
     """Argument texts of all calls of ``name``, at any depth of brackets."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(WORDS)
     def run(codes: pd.Series) -> pd.Series:
         return codes.fillna("").map(lambda c: _call_args(c, name))
 
@@ -96,7 +100,7 @@ def _names(code: str) -> dict:
     return {"defined": sorted(defined), "used": sorted(used), "bail": False}
 
 
-@F.pandas_udf("struct<defined:array<string>,used:array<string>,bail:boolean>")
+@F.pandas_udf(NAMES)
 def py_names(code: pd.Series) -> pd.DataFrame:
     """The set logic stays in Spark."""
     return pd.DataFrame([_names(c or "") for c in code], columns=["defined", "used", "bail"])
@@ -114,7 +118,7 @@ def indel(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """X05."""
     return pd.Series([indel(x or "", y or "") for x, y in zip(a, b)])
