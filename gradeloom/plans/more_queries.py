@@ -60,7 +60,7 @@ def _owners(s, d):
 
 def queries() -> dict:
     return {
-        "search_articles": lambda s, d: K.search_articles(_articles(s, d), "Gre"),
+        "search_articles": lambda s, d: K.search_articles(_articles(s, d), "Gea"),
         "catalog_coverage": lambda s, d: V_.catalog_coverage(V.findings(s, d).select("code").filter("code < 'Brand#3'"), _catalog(s, d)),
         "review_progress": lambda s, d: V_.review_progress(V.hw(s, d).filter("status <> 'missing'"), _results(s, d), _catalog(s, d)),
         "username_index": lambda s, d: L.username_index(_contacts(s, d), CQ.C.active(V.students(s, d))),
@@ -79,7 +79,7 @@ def oracle_sql() -> dict[str, str]:
     contacts = "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'User' || c_custkey END AS username, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE 'exact' END AS match, CASE WHEN c_custkey % 7 = 0 THEN 'no' ELSE 'yes' END AS exists_ FROM customer"
     owners = "SELECT p_partkey AS ord, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS owner, CASE WHEN p_size % 3 = 0 THEN NULL ELSE string_split(p_name, ' ')[1] END AS repo, p_name AS fio FROM part"
     return {
-        "search_articles": "SELECT p_partkey AS code, p_name AS title, p_type AS body FROM part WHERE contains(lower(p_name), 'gre') OR contains(lower(p_type), 'gre') ORDER BY title, code LIMIT 30",
+        "search_articles": "SELECT p_partkey AS code, p_name AS title, p_type AS body FROM part WHERE contains(lower(p_name), 'gea') OR contains(lower(p_type), 'gea') ORDER BY title, code LIMIT 30",
         "catalog_coverage": with_sql("findings catalog", """SELECT code, 'no_article' AS side FROM (SELECT DISTINCT code FROM e EXCEPT SELECT code FROM c) UNION ALL SELECT code, 'unexpected' FROM (SELECT code FROM c EXCEPT SELECT code FROM e)""",
                                      e="SELECT DISTINCT code FROM findings WHERE code < 'Brand#3'", c="SELECT code FROM catalog WHERE code <> 'Brand#11'"),
         "review_progress": with_sql("hw findings", """SELECT (SELECT count(*) FROM e) AS expected, count(*) FILTER (NOT broken) AS done, count(*) FILTER (broken) AS broken,
