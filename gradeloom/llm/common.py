@@ -19,15 +19,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) a temporary folder is made and remembered in the session.
+    Where the setting is absent (local tests) one temporary folder is made for the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        base = _OWN[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
