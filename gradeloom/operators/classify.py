@@ -77,3 +77,8 @@ def search_articles(catalog: DataFrame, query: str, n: int = 30) -> DataFrame:
     q = query.strip().lower()
     hit = F.lower("title").contains(q) | F.lower(X.text(F.col("body"))).contains(q)
     return catalog.filter(hit & F.lit(len(q) >= 3)).orderBy("title", "code").limit(n)
+
+
+def sample_article(catalog: DataFrame, seed: int) -> DataFrame:
+    """One article drawn at random."""
+    return catalog.orderBy(F.rand(seed), "code").limit(1)

@@ -194,3 +194,42 @@ def diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:
         F.count_if(F.col("certified") & ~F.col("c0")).alias("gained"), F.count_if(~F.col("certified") & F.col("c0")).alias("lost"),
         F.count_if(F.col("passed") > F.col("p0")).alias("more"), F.count_if(F.col("passed") < F.col("p0")).alias("fewer"),
     )
+
+
+def strengths_list(hw: DataFrame) -> DataFrame:
+    """Non-empty strengths (key, hw, strengths) of each student in topic order."""
+    rows = hw.filter(F.trim(X.text(F.col("strengths"))) != "")
+    return rows.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("hw", "strengths"))), lambda s: s["strengths"]).alias("strengths"))
+
+
+def best_links(findings: DataFrame, article_links: DataFrame, topic_links: DataFrame, handbook: str = "handbook") -> DataFrame:
+    """The best link of each finding (key, hw, code): its article's, else its topic's; the handbook first, then by title.
+
+    ``article_links``: code, title, url. ``topic_links``: hw, title, url.
+    """
+    order = lambda: F.struct((~F.col("url").contains(handbook)).alias("o"), "title", "url")
+    own = article_links.groupBy("code").agg(F.min(order()).alias("a"))
+    topic = topic_links.groupBy("hw").agg(F.min(order()).alias("t"))
+    rows = findings.join(own, "code", "left").join(topic, "hw", "left")
+    return rows.select("key", "hw", "code", F.coalesce("a.title", "t.title").alias("title"), F.coalesce("a.url", "t.url").alias("url"))
+
+
+AUDIENCES: dict = {}
+
+
+def register_audience(name: str, pick) -> None:
+    """An audience of the user's own: a function from the tables passed to ``targets`` to a DataFrame with ``key``."""
+    AUDIENCES[name] = pick
+
+
+def targets(name: str, passed: DataFrame, bindings: DataFrame, **tables: DataFrame) -> DataFrame:
+    """(key, tg_id, reachable) of a registered audience or of one of ``audience``'s own."""
+    if name not in AUDIENCES:
+        return audience(passed, bindings, name)
+    keys = AUDIENCES[name](passed=passed, bindings=bindings, **tables).select("key").distinct()
+    return keys.join(bindings, "key", "left").select("key", "tg_id", F.col("tg_id").isNotNull().alias("reachable"))
+
+
+def fetch_counts(results: DataFrame) -> DataFrame:
+    """Cloned, cached, empty and failed works."""
+    return results.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -122,3 +122,19 @@ def test_tables_round_trip(spark, tmp_path):
     (tmp_path / "r/k__hw2.json").write_text("{oops")
     good, bad = readers.read_reviews(spark, str(tmp_path / "r"))
     assert [(r["key"], r["hw"]) for r in good.collect()] == [("k", "hw1")] and [(r["key"], r["hw"]) for r in bad.collect()] == [("k", "hw2")]
+
+
+def test_links_strengths_and_audiences(spark):
+    from gradeloom.operators import cohort as C
+
+    f = spark.createDataFrame([("k", "h1", "c1"), ("k", "h1", "c2")], "key string, hw string, code string")
+    own = spark.createDataFrame([("c1", "B", "http://x"), ("c1", "Z", "http://handbook/z")], "code string, title string, url string")
+    topic = spark.createDataFrame([("h1", "T", "http://t")], "hw string, title string, url string")
+    assert {r["code"]: r["url"] for r in C.best_links(f, own, topic).collect()} == {"c1": "http://handbook/z", "c2": "http://t"}
+    hw = spark.createDataFrame([("k", "2", "b"), ("k", "1", "a"), ("k", "3", " ")], "key string, hw string, strengths string")
+    assert C.strengths_list(hw).first()["strengths"] == ["a", "b"]
+    passed = spark.createDataFrame([("k", 3, True), ("j", 0, False)], "key string, passed int, certified boolean")
+    bind = spark.createDataFrame([("k", 1)], "key string, tg_id int")
+    C.register_audience("idle", lambda passed, **_: passed.filter("passed = 0"))
+    assert [tuple(r) for r in C.targets("idle", passed, bind).collect()] == [("j", None, False)]
+    assert C.targets("cert", passed, bind).count() == 1 and K.sample_article(f, 1).count() == 1
