@@ -103,21 +103,40 @@ def plan_fetch(roster: DataFrame, stamps: DataFrame, force: bool = False) -> Dat
 
 
 def qgrams(c, q: int = 2):
-    """Distinct q-grams of a string; a shorter string is its own."""
+    """Distinct q-grams of a string; a shorter string has none."""
     made = F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda i: F.substring(c, i, F.lit(q)))
-    return F.when(F.length(c) >= q, F.array_distinct(made)).otherwise(F.array(c))
+    return F.when(F.length(c) >= q, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+def _grams(df: DataFrame, key: str, value: str, cutoff: float) -> DataFrame:
+    """(key, value, g, n, need) of the grams a string may be joined by; need is how many of the rarest are enough.
+
+    A ratio of c percent lets a string of length n lose at most n (200 - 2c) / (200 - c) characters, each of which is in
+    q grams. Strings that could lose all their pairs are joined by single characters as well.
+    """
+    lost = F.floor(F.length(value) * ((200 - 2 * cutoff) / (200 - cutoff)) + 1e-9)
+    rows = df.select(key, value, lost.alias("_lost"), qgrams(F.col(value), 2).alias("_two"), qgrams(F.col(value), 1).alias("_one"))
+    two = rows.select(key, value, F.explode("_two").alias("g"), F.size("_two").alias("n"), (2 * F.col("_lost") + 1).alias("need"))
+    one = rows.filter(F.size("_two") <= 2 * F.col("_lost")).select(key, value, F.explode("_one").alias("g"), F.size("_one").alias("n"), F.when(F.size("_one") <= F.col("_lost"), F.size("_one")).otherwise(F.col("_lost") + 1).alias("need"))
+    return two.unionByName(one)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs (l, r, score) of (l, a) and (r, b) with an Indel ratio of at least ``cutoff`` (percent).
+    """Pairs (l, r, score) of (l, a) and (r, b) with an Indel ratio of at least ``cutoff`` (percent), without loss.
 
-    Rows are blocked by shared q-grams and by lengths: a ratio of c percent bounds the length ratio by c / (200 - c).
-    Grams are ordered by frequency and only the rarest half is joined, so frequent ones do not square.
+    Grams are ordered by frequency, rare first, and each string is joined by as few of them as its length allows; the
+    lengths are filtered by c / (200 - c), the bound of the length ratio. Candidates are verified.
     """
     bound = cutoff / (200 - cutoff)
-    lg, rg = left.select("l", "a", F.explode(qgrams(F.col("a"))).alias("g")), right.select("r", "b", F.explode(qgrams(F.col("b"))).alias("g"))
-    close = (F.length("a") >= F.length("b") * bound) & (F.length("b") >= F.length("a") * bound)
-    cand = lg.join(rg, "g").filter(close).select("l", "a", "r", "b").distinct()
+    lg, rg = _grams(left, "l", "a", cutoff), _grams(right, "r", "b", cutoff)
+    freq = lg.select("g").unionByName(rg.select("g")).groupBy("g").agg(F.count("*").alias("f"))
+
+    def rarest(df: DataFrame, key: str, value: str) -> DataFrame:
+        w = Window.partitionBy(key, F.length("g")).orderBy("f", "g")
+        return df.join(freq, "g").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col("need")).select(key, value, "g")
+
+    close = (F.length("a") >= F.length("b") * bound - 1e-9) & (F.length("b") >= F.length("a") * bound - 1e-9)
+    cand = rarest(lg, "l", "a").join(rarest(rg, "r", "b"), "g").filter(close).select("l", "a", "r", "b").distinct()
     return cand.withColumn("score", indel_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= cutoff).select("l", "r", "score")
 
 

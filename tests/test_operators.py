@@ -138,3 +138,16 @@ def test_links_strengths_and_audiences(spark):
     C.register_audience("idle", lambda passed, **_: passed.filter("passed = 0"))
     assert [tuple(r) for r in C.targets("idle", passed, bind).collect()] == [("j", None, False)]
     assert C.targets("cert", passed, bind).count() == 1 and K.sample_article(f, 1).count() == 1
+
+
+def test_fuzzy_join_loses_nothing(spark):
+    import random
+
+    from gradeloom.functions.udf import indel
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["aaaa", "aaaaa", "axbxcxd", "abcd"]
+    left, right = spark.createDataFrame(list(enumerate(words[::2])), "l int, a string"), spark.createDataFrame(list(enumerate(words[1::2])), "r int, b string")
+    for cutoff in (60.0, 88.0):
+        want = {(i, j) for i, a in enumerate(words[::2]) for j, b in enumerate(words[1::2]) if indel(a, b) >= cutoff}
+        assert {(r["l"], r["r"]) for r in L.fuzzy_join(left, right, cutoff).collect()} == want
