@@ -39,7 +39,7 @@ from gradeloom.llm.common import chunks, read_table, scratch, written
 
 FRAME_BYTES = 1 << 18
 END_ID = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 # Fixed values of the seekable layout.
 SKIPPABLE_MAGIC, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -148,8 +148,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class WordEncoder:
-    """Ids of texts from a tokenizers file whose pre-tokeniser drops white space; keeps a bounded table of words."""
+class WordEncoder(dict):
+    """Ids of texts from a tokenizers file whose pre-tokeniser drops white space.
+
+    A bounded table from words to their ids, as little-endian integers of ``width`` bytes, filled as words occur.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -157,52 +160,58 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.normalize = self.tokenizer.normalizer.normalize_str
-        self.split = self._splitter(path)
         self.lowers = self.normalize("ABCxyz!09") == "abcxyz!09"
         self.tokenize = self.tokenizer.model.tokenize
-        self.special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = os.path.commonprefix(special) if special else "\n"  # words hold no newline
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.find, self.letters = self._pattern(path)
 
-    def _splitter(self, path: str):
-        """Pre-tokens of a normalised word. The usual pair of a pattern and byte letters is done by the regex module,
-        which is several times faster on single words; anything else by the library."""
+    def _pattern(self, path: str):
+        """The pattern of pre-tokens, if the file has the usual pair of a pattern and byte letters; the regex module
+        is several times faster on single words than the library. None leaves it to the library."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)["pre_tokenizer"]
         steps = spec.get("pretokenizers", [spec])
         if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
-            return lambda word: [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
-        find = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        letters = byte_letters()
-        return lambda word: [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters) for p in find(word)]
-
-    def _word(self, word: str) -> bytes:
-        """One word by the library's own steps; a word that holds a special token goes through all of it."""
-        ids: list[int] = []
-        if any(t in word for t in self.special):
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        else:
-            for piece in self.split(word.lower() if self.lowers and word.isascii() else self.normalize(word)):
-                got = self.pieces.get(piece)
-                if got is None:
-                    got = self.pieces[piece] = [t.id for t in self.tokenize(piece)]
-                ids += got
+            return None, {}
+        return regex.compile(steps[0]["pattern"]["Regex"]).findall, byte_letters()
+
+    def _split(self, word: str) -> list[str]:
+        plain = word.isascii() and word.isprintable() and self.lowers
+        text = word.lower() if plain else self.normalize(word)
+        if self.find is None:
+            return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        found = self.find(text)
+        return found if plain else [p.encode().decode("latin-1").translate(self.letters) for p in found]
+
+    def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, f"<u{self.width}").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) > CACHE_WORDS:
+                self.pieces.clear()
+            got = self.pieces[piece] = self._bytes([t.id for t in self.tokenize(piece)])
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        """One word by the library's own steps; a word that may hold a special token goes through all of it."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if self.special in word:
+            got = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        else:
+            got = b"".join(map(self._piece, self._split(word)))
+        self[word] = got
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian integers of ``width`` bytes, without an end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        used = set().union(*split)
-        missing = used - self.words.keys()
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words = {w: v for w, v in self.words.items() if w in used}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        for w in missing:
-            self.words[w] = self._word(w)
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        """For each text its ids, without an end id."""
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
