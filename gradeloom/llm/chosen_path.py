@@ -2,16 +2,18 @@
 
 A document's set holds its distinct word shingles; a signature of ``COORDS`` minwise values stands for it. Documents
 with equal sets are one class, and only classes are compared. Each of ``TREES`` independent trees branches the classes
-by chosen minwise values: the root by one coordinate, a large node by ``CHILDREN`` coordinates drawn from the node's own
-hash. Nodes of at most ``NODE_ROWS`` classes are compared exhaustively: pairs whose signatures agree often enough form
-candidate groups, equal groups of different trees are compared once, and the links are confirmed on the full sets.
+by chosen minwise values: the root by one coordinate and then by ``CHILDREN`` coordinates drawn from the node's own
+hash, and so on below for large nodes. Nodes of at most ``NODE_ROWS`` classes are compared exhaustively: pairs whose
+signatures agree often enough form candidate groups, equal groups of different trees are compared once, and the links
+are confirmed on the full sets.
 
-A pair of similarity 0.8 shares the root of one tree with probability 0.8 and a deeper node with 0.96 for each level, so
-ten trees miss it with a probability of about 1e-5 (small nodes: 1e-7).
+A pair of similarity 0.8 shares the root of one tree with probability 0.8 and a child with 0.96 for each level, so nine
+trees miss it with a probability of about 2e-6, if its nodes are small after the first level.
 
 A node that hardly shrinks holds copies of one another, which no token separates. It is cut into blocks that share a few
 pivots; blocks and pivots are compared like small nodes, which joins nearly all its members. Members that stay apart
-from the node's largest component are then compared with all blocks of the node, so that no link is lost there.
+from the node's largest component are then compared with all blocks of the node, so that no link is lost there. This
+last step costs the number of such members times the node's size, in blocks of ``DENSE_ROWS``.
 Components come from repeated minima over the links, in tables; links inside a block are emitted as stars.
 
 Null and empty texts have an empty set, which is linked with nothing. A text with fewer words than a shingle has one
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import chunks, read_table, with_locator, written
 
 COORDS = 64
-TREES = 10
+TREES = 9
 CHILDREN = 2
 NODE_ROWS = 128
+DENSE_ROWS = 512
 PIVOTS = 4
 MAX_DEPTH = 8
 BROADCAST_ROWS = 200_000
@@ -98,7 +101,10 @@ def _coefficients_cached() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, loc, n, digest, sig): size, identity and signature of each document's set; empty sets have no digest."""
+    """(id, loc, n, digest, sig, low): size, identity and signature of each document's set; empty sets have no digest.
+
+    ``low`` holds the last byte of each minwise value: enough to compare two signatures, a quarter of the size.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("_locator").alias("loc"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +113,13 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             sets = [shingle_set(t, width, words) for t in texts]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [signature(s) if len(s) else None for s in sets]
+            low = [None if x is None else x.astype(np.uint8).tobytes() for x in sigs]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                names=["id", "loc", "n", "digest", "sig"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(low, pa.binary())],
+                names=["id", "loc", "n", "digest", "sig", "low"],
             )
 
-    return rows.mapInArrow(run, "id long, loc struct<file:string,row:long>, n long, digest binary, sig array<int>")
+    return rows.mapInArrow(run, "id long, loc struct<file:string,row:long>, n long, digest binary, sig array<int>, low binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, pa.Table]]:
@@ -168,7 +175,7 @@ def _candidates(least: int):
                 digest = table.column("digest").to_pylist()
             if len(digest) < 2:
                 continue
-            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(digest), COORDS)
+            sig = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(digest), COORDS)
             sets = _Sets(len(digest))
             for i in range(len(digest) - 1):
                 for j in np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) >= least):
@@ -185,6 +192,36 @@ def _candidates(least: int):
     return run
 
 
+def _similar(shingles: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions whose sets are similar enough. Larger groups count all intersections by matrix products."""
+    n = len(shingles)
+    size = np.array([len(s) for s in shingles])
+    if n <= 16:
+        for i in range(n):
+            for j in range(i):
+                if 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
+                    both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        yield i, j
+        return
+    _, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = times[column] > 1  # a shingle of one set alone is in no intersection
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):  # a bounded number of shingles at a time
+        a, b = np.searchsorted(column, (lo, lo + 8192))
+        if a < b:
+            part, at = np.unique(column[a:b], return_inverse=True)
+            bits = np.zeros((n, len(part)), np.float32)
+            bits[row[a:b], at] = 1
+            both += bits @ bits.T
+    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    yield from zip(*(x.tolist() for x in np.nonzero(np.tril(near, -1))))
+
+
 def _confirm(width: int, percent: int):
     """Links inside candidate groups, checked on full sets until the group's components are known; as stars."""
 
@@ -193,16 +230,9 @@ def _confirm(width: int, percent: int):
         for _, table in _runs(batches):
             digest = table.column("digest").to_pylist()
             shingles = [shingle_set(t or "", width, words) for t in table.column("text").to_pylist()]
-            order = sorted(range(len(digest)), key=lambda i: len(shingles[i]))
             sets = _Sets(len(digest))
-            for x, i in enumerate(order):
-                for j in order[x + 1 :]:
-                    if len(shingles[i]) * 100 < percent * len(shingles[j]):
-                        break
-                    if sets.find(i) != sets.find(j):
-                        both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-                        if 100 * both >= percent * (len(shingles[i]) + len(shingles[j]) - both):
-                            sets.join(i, j)
+            for i, j in _similar(shingles, percent):
+                sets.join(i, j)
             pairs = [(digest[g[0]], digest[i]) for g in sets.groups() for i in g[1:]]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
@@ -212,17 +242,23 @@ def _confirm(width: int, percent: int):
 
 def _small_or_big(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of nodes to compare, once for each content, and rows of larger nodes with their size."""
-    h = F.xxhash64("digest")
-    sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x1"), F.bit_xor(F.xxhash64("digest", F.lit(3))).alias("x2"))
-    sizes = written(sizes.filter("size > 1"), "nodes")
-    small = sizes.filter(F.col("size") <= NODE_ROWS).groupBy("size", "x1", "x2").agg(F.min("node").alias("node")).select("node")
-    big = sizes.filter(F.col("size") > NODE_ROWS).select("node", "size")
-    return frontier.join(written(small, "small-nodes"), "node", "left_semi").select(F.col("node").alias("cluster"), "digest"), frontier.join(big, "node")
+    sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    met = written(frontier.join(sizes, "node"), "met")  # classes alone in a node are done with it
+    small = met.filter(F.col("size") <= NODE_ROWS)
+    content = small.groupBy("node", "size").agg(F.bit_xor(F.xxhash64("digest")).alias("x1"), F.bit_xor(F.xxhash64("digest", F.lit(3))).alias("x2"))
+    once = content.groupBy("size", "x1", "x2").agg(F.min("node").alias("node")).select("node")
+    return small.join(once, "node", "left_semi").select(F.col("node").alias("cluster"), "digest"), met.filter(F.col("size") > NODE_ROWS)
+
+
+def _children(node, sig: str):
+    """Keys of a node's children for a class: its values at CHILDREN coordinates drawn from the node's hash."""
+    coord = lambda j: F.pmod(F.xxhash64(node, F.lit(j)), F.lit(COORDS - TREES)).cast("int") + TREES + 1
+    return F.array(*[F.xxhash64(node, coord(j), F.element_at(sig, coord(j))) for j in range(CHILDREN)])
 
 
 def _blocks(dense: DataFrame) -> DataFrame:
     """Blocks of dense nodes with the node's pivots in each: (cluster, digest)."""
-    n = F.ceil(F.col("size") / NODE_ROWS).cast("int")
+    n = F.ceil(F.col("size") / DENSE_ROWS).cast("int")
     own = dense.select(F.xxhash64("node", F.pmod(F.xxhash64("digest"), n)).alias("cluster"), "digest")
     pivots = dense.groupBy("node", "size").agg(*[F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest")).alias(f"p{k}") for k in range(PIVOTS)])
     every = F.array_distinct(F.array(*[F.col(f"p{k}.digest") for k in range(PIVOTS)]))
@@ -231,17 +267,32 @@ def _blocks(dense: DataFrame) -> DataFrame:
     return own.unionByName(pivots.select(F.xxhash64("node", "block").alias("cluster"), "digest"))
 
 
+def _if_few(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows of a fixed size."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _merged(dense: DataFrame) -> DataFrame:
+    """Dense nodes that share their least member as one node: a group of copies is a node of most trees.
+
+    A union of nodes holds every pair of each of them.
+    """
+    key = dense.groupBy("node").agg(F.min(F.xxhash64("digest", F.lit(17))).alias("group"))
+    rows = written(dense.join(key, "node").select(F.col("group").alias("node"), "digest").distinct(), "dense")
+    size = rows.groupBy("node").agg(F.count("*").alias("size"))
+    return written(rows.join(size, "node").select("node", "size", "digest"), "dense")
+
+
 def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between classes that meet in a cluster."""
     least = int(percent / 100 * COORDS - DEVIATIONS * (percent / 100 * (1 - percent / 100) * COORDS) ** 0.5)
-    rows = clusters.join(classes.select("digest", "sig"), "digest").select("cluster", "digest", "sig")
+    rows = clusters.join(classes.select("digest", "low"), "digest").select("cluster", "digest", "low")
     found = rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_candidates(least), "cluster long, digest binary")
-    groups = written(found.dropDuplicates(["cluster", "digest"]), "candidates")
-    wanted = written(groups.select("digest").distinct().join(classes.select("digest", "loc"), "digest"), "wanted")
+    groups = found.dropDuplicates(["cluster", "digest"]).groupBy("digest").agg(F.collect_set("cluster").alias("clusters"))  # a few for each class
+    wanted = written(groups.join(classes.select("digest", "loc"), "digest"), "wanted")
     # only the texts of candidates are moved: their places are broadcast if they are few, else both sides are shuffled
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("_locator").alias("loc"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "loc").select("digest", "text")
-    pairs = groups.join(written(texts, "candidate-texts"), "digest").select("cluster", "digest", "text")
+    texts = docs.select(F.col("_locator").alias("loc"), F.col(text_col).alias("text")).join(_if_few(wanted), "loc")
+    pairs = texts.select(F.explode("clusters").alias("cluster"), "digest", "text")
     return pairs.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirm(width, percent), "a binary, b binary")
 
 
@@ -268,7 +319,7 @@ def _rest_of_dense(dense: DataFrame, labels: DataFrame) -> DataFrame | None:
         return None
     main = member.groupBy("node", "label").count().groupBy("node").agg(F.max(F.struct("count", "label")).alias("m")).select("node", F.col("m.label").alias("main"))
     member = member.join(main, "node")
-    half = NODE_ROWS // 2
+    half = DENSE_ROWS // 2
     others = member.filter("label != main")
     counts = others.groupBy("node").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
     n = F.ceil(F.col("size") / half).cast("int")
@@ -285,10 +336,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     docs = docs if "_locator" in docs.columns else with_locator(docs, "near-landed")
     rows = written(sketches(docs, width, id_col, text_col), "sketches")
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "loc")).alias("first"), F.first("sig").alias("sig"))
-    classes = written(classes.select("digest", "first", "sig", F.col("first.loc").alias("loc")), "classes")
-    root = F.explode(F.transform(F.slice("sig", 1, TREES), lambda v, i: F.xxhash64(i, v))).alias("node")
-    frontier = written(classes.select("digest", root, F.lit(None).cast("long").alias("above")), "frontier")
+    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "loc")).alias("first"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    classes = written(classes.select("digest", "first", "sig", "low", F.col("first.loc").alias("loc")), "classes")
+    roots = F.transform(F.slice("sig", 1, TREES), lambda v, i: _children(F.xxhash64(i, v), "sig"))
+    frontier = written(classes.select("digest", F.explode(F.flatten(roots)).alias("node"), F.lit(None).cast("long").alias("above")), "frontier")
     clusters, dense = [], []
     for depth in range(1, MAX_DEPTH + 1):
         small, big = _small_or_big(frontier)
@@ -298,14 +349,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             break
         still = F.coalesce(F.col("size") * 2 >= F.col("above"), F.lit(False)) | F.lit(depth == MAX_DEPTH)
         dense.append(big.filter(still).select("node", "size", "digest"))
-        split = big.filter(~still).join(classes.select("digest", "sig"), "digest")
-        coord = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS - TREES)).cast("int") + TREES + 1
-        child = F.explode(F.array(*[F.xxhash64("node", coord(j), F.element_at("sig", coord(j))) for j in range(CHILDREN)]))
-        frontier = written(split.select("digest", child.alias("node"), F.col("size").alias("above")), "frontier")
+        split = _if_few(written(big.filter(~still), "split"))
+        split = classes.select("digest", "sig").join(split, "digest")
+        frontier = written(split.select("digest", F.explode(_children(F.col("node"), "sig")).alias("node"), F.col("size").alias("above")), "frontier")
     dense_rows = None
     for d in dense:
         dense_rows = d if dense_rows is None else dense_rows.unionByName(d)
     if dense_rows is not None:
+        dense_rows = _merged(dense_rows)
         clusters.append(_blocks(dense_rows))
     every = clusters[0]
     for c in clusters[1:]:
