@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
@@ -10,6 +11,7 @@ from gradeloom.operators import linkage as L
 from gradeloom.operators import similarity as S
 from gradeloom.plans import views as V
 from gradeloom.plans.views import table, with_sql
+from gradeloom.sources import readers, sinks
 
 # Signatures of three topics by words of the documents: (topic, strong, weak, file name hints).
 SIGNATURES = [("en", ["the", "and"], ["with", "that"], ["src1"]), ("de", ["der", "und"], ["die", "ein"], ["src2"]), ("fr", ["les", "est"], ["une", "dans"], ["src3"])]
@@ -108,6 +110,48 @@ def volume(s, d):
     return _docs(s, d).agg(F.count("*").alias("works"), F.sum(t).alias("input_tokens"), F.count_if(F.length("text") > 4000).alias("truncated"), (F.count("*") * 900).alias("output_tokens"), F.max(F.length("text")).alias("longest"))
 
 
+# The reference's cut of a work (40,000 tokens of three characters), output tokens of a review, prices of a million tokens.
+REVIEW_CHARS, REVIEW_OUTPUT, PRICE_IN, PRICE_OUT = 120_000, 900, 2.0, 10.0
+# Prompts of the two kinds of conversations.
+PROMPTS = [("guided", "Review the work under its instructions."), ("plain", "Review the work.")]
+
+
+def review_requests_whole(s, d):
+    """Requests through S17. A system turn is an output of the turn after it; methodology codes go to conversations that have one."""
+    w = Window.partitionBy("nb").orderBy("idx")
+    said = F.lag(F.when(F.col("kind") == "raw", F.col("source"))).over(w)
+    output = F.parse_json(F.to_json(F.struct(F.lit("stream").alias("output_type"), said.alias("text"))))
+    c = V.cells(s, d).withColumn("outputs", F.when(said.isNotNull(), F.array(output))).withColumnRenamed("nb", "path")
+    texts = readers.review_text(c, readers.render_outputs(c), REVIEW_CHARS)
+    works = c.groupBy("path").agg(F.max(F.col("kind") == "raw").alias("guided")).join(texts, "path", "left")
+    works = works.select(F.col("path").alias("key"), F.when(F.col("guided"), "guided").otherwise("plain").alias("hw"), X.text(F.col("text")).alias("text"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    hws = F.when(F.col("kind") == "hygiene", F.array(F.lit("guided"), F.lit("plain"))).otherwise(F.array(F.lit("guided")))
+    codes = V.catalog(s, d).select("code", F.explode(hws).alias("hw"))
+    return sinks.review_requests(works, s.createDataFrame(PROMPTS, "hw string, prompt string"), codes)
+
+
+def volume_whole(s, d):
+    """A17 over the clipped texts; the upper median of the whole lengths by counts of each length."""
+    n = F.length(X.text(F.col("text")))
+    lengths = _docs(s, d).groupBy(n.alias("n")).agg(F.count("*").alias("c"))
+    below = F.sum("c").over(Window.orderBy("n"))
+    ranked = lengths.withColumn("below", below).withColumn("all", F.sum("c").over(Window.partitionBy()))
+    clipped = F.least(F.col("n"), F.lit(REVIEW_CHARS))
+    total = ranked.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("works"), F.coalesce(F.sum(F.floor(clipped / 3) * F.col("c")), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(F.when(F.col("n") > REVIEW_CHARS, F.col("c"))), F.lit(0)).alias("truncated"),
+        F.min(F.when(F.col("below") > F.floor(F.col("all") / 2), F.col("n"))).alias("digest_median"), F.max("n").alias("digest_max"),
+    )
+    total = total.withColumn("output_tokens", F.col("works") * REVIEW_OUTPUT)
+    cost = F.col("input_tokens") / 1e6 * PRICE_IN + F.col("output_tokens") / 1e6 * PRICE_OUT
+    return total.withColumn("cost", cost).withColumn("batch_cost", cost / 2)
+
+
+def rule_counts_whole(s, d):
+    """``rule_counts`` with the slug of the whole text."""
+    t = F.col("text")
+    return _docs(s, d).select("doc_id", X.bullet_count(t).alias("bullets"), X.content_hash(t).alias("sha1"), X.estimate_tokens(t).alias("tokens"), F.length(X.strip_ws(t)).alias("solid"), X.slugify(t).alias("slug"))
+
+
 def queries() -> dict:
     return {
         "score_topics": _scores,
@@ -128,6 +172,9 @@ def queries() -> dict:
         "notebook_measures": notebook_rules,
         "review_requests": review_requests,
         "review_volume": volume,
+        "text_measures_whole": rule_counts_whole,
+        "review_requests_whole": review_requests_whole,
+        "review_volume_whole": volume_whole,
         "link_people": _links,
         "shared_usernames": lambda s, d: L.invalidate_shared_usernames(_links(s, d)),
         "link_quality": lambda s, d: L.link_quality_counts(_links(s, d)),
@@ -192,6 +239,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id AS q, coalesce((SELECT min(page_id) FROM k WHERE k.u = q.u), (SELECT min(page_id) FROM k WHERE k.s = q.s)) AS key FROM q""",
         "review_requests": with_sql("cells", "SELECT 'k|' || nb AS custom_id, substr(t, 1, 2000) AS text, length(t) > 2000 AS truncated, length(t) // 3 AS tokens FROM c", c="SELECT nb, string_agg(source, chr(10) ORDER BY idx) AS t FROM cells GROUP BY nb"),
         "review_volume": "SELECT count(*) AS works, sum(length(text) // 3)::BIGINT AS input_tokens, count(*) FILTER (length(text) > 4000) AS truncated, count(*) * 900 AS output_tokens, max(length(text)) AS longest FROM documents",
+        "review_requests_whole": with_sql("cells catalog", f"""SELECT custom_id, json_object('custom_id', custom_id, 'prompt', prompt, 'text', substr(t, 1, {REVIEW_CHARS}), 'truncated', length(t) > {REVIEW_CHARS}, 'codes', coalesce(codes, []))::VARCHAR AS json
+            FROM (SELECT nb || '|' || hw AS custom_id, * FROM w) JOIN (VALUES {", ".join(map(str, PROMPTS))}) AS p(hw, prompt) USING (hw) LEFT JOIN k USING (hw)""",
+            o="SELECT nb, idx, kind, source, rtrim(lag(CASE WHEN kind = 'raw' THEN source END) OVER (PARTITION BY nb ORDER BY idx), ' ') AS said FROM cells",
+            q="SELECT *, CASE WHEN length(said) <= 700 THEN said ELSE substr(said, 1, 700) || chr(10) || '… (clipped, ' || length(said) || ' characters)' END AS out FROM o",
+            w="""SELECT nb, CASE WHEN bool_or(kind = 'raw') THEN 'guided' ELSE 'plain' END AS hw, coalesce(string_agg(concat_ws(chr(10), '### [' || idx || '] ' || kind, rtrim(source, ' '),
+                CASE WHEN out <> '' THEN '--- output ---' || chr(10) || out END), chr(10) || chr(10) ORDER BY idx) FILTER (kind IN ('code', 'markdown')), '') AS t FROM q GROUP BY nb""",
+            k="SELECT hw, list_sort(list(code)) AS codes FROM (SELECT code, 'guided' AS hw FROM catalog UNION ALL SELECT code, 'plain' FROM catalog WHERE kind = 'hygiene') GROUP BY hw"),
+        "review_volume_whole": f"""SELECT *, input_tokens / 1e6 * {PRICE_IN} + output_tokens / 1e6 * {PRICE_OUT} AS cost, (input_tokens / 1e6 * {PRICE_IN} + output_tokens / 1e6 * {PRICE_OUT}) / 2 AS batch_cost
+            FROM (SELECT count(*) AS works, sum(least(n, {REVIEW_CHARS}) // 3)::BIGINT AS input_tokens, count(*) FILTER (n > {REVIEW_CHARS}) AS truncated, count(*) * {REVIEW_OUTPUT} AS output_tokens,
+              list_sort(list(n))[count(*) // 2 + 1] AS digest_median, max(n) AS digest_max FROM (SELECT length(coalesce(text, '')) AS n FROM documents))""",
+        "text_measures_whole": r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*(?:[-*+•]|\d+[.)])\s+\S'))::INT AS bullets, sha1(text) AS sha1, length(text) // 3 AS tokens, length(regexp_replace(text, '\s+', '', 'g')) AS solid,
+            trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_-]+', '_', 'g'), '_') AS slug FROM documents""",
         "notebook_measures": with_sql("cells", """SELECT nb, count(*) FILTER (kind = 'code') AS code_cells, count(*) FILTER (kind = 'code' AND trim(source) <> '') = 0 AS nothing_done,
             coalesce(sum(length(source)) FILTER (kind = 'markdown'), 0)::BIGINT < 200 AS no_conclusions, coalesce(count(*) FILTER (brk), 0) AS order_breaks FROM o GROUP BY nb""",
             o="SELECT *, kind = 'code' AND ec <= lag(ec, 1, 0) OVER (PARTITION BY nb, kind ORDER BY idx) AS brk FROM cells"),
