@@ -65,6 +65,20 @@ def near_classes(s, d):
     return pairs.join(one, ["hw", "a"]).join(two, ["hw", "b"]).select("hw", "a", "b", "similarity", "copies_a", "copies_b")
 
 
+def near_members(s, d):
+    """Every document with the first of its equal sets, their number and the near pairs of its class; pairs are in ``near_classes``.
+
+    A document without a shingle is alone.
+    """
+    sets = _sets(s, d)
+    pairs, members = S.near_pairs_of_classes(sets)
+    size = members.groupBy("hw", "first").agg(F.count("*").alias("copies"))
+    links = pairs.select("hw", F.explode(F.array("a", "b")).alias("first")).groupBy("hw", "first").agg(F.count("*").alias("links"))
+    classed = members.join(size.join(links, ["hw", "first"], "left"), ["hw", "first"]).withColumnRenamed("key", "doc_id")
+    alone = sets.filter(F.size("shingles") == 0).select("hw", F.col("key").alias("first"), F.col("key").alias("doc_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
+    return classed.withColumn("links", F.coalesce("links", F.lit(0))).unionByName(alone).select("hw", "doc_id", "first", "copies", "links")
+
+
 SECRETS = [
     # Kinds of keys and their patterns.
     ("aws_key", r"\bAKIA[0-9A-Z]{16}\b"), ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36}"), ("kaggle_api", r"\bKGAT_[A-Za-z0-9]{20,}"),
@@ -165,6 +179,7 @@ def queries() -> dict:
         "subtract_handout": lambda s, d: S.subtract_handout(_cells(s, d), S.stream_boilerplate(_cells(s, d), 3, 0.002)),
         "exact_members": lambda s, d: S.exact_members(_works(s, d)),
         "near_pairs": near_classes,
+        "near_members": near_members,
         "secret_in_text": secrets,
         "page_links": pages_links,
         "find_by_repo": find_by_repo,
@@ -233,6 +248,15 @@ def oracle_sql() -> dict[str, str]:
             i AS (SELECT a.hw, a.k AS a, b.k AS b, count(*) AS c FROM t a JOIN t b ON a.hw = b.hw AND a.g = b.g AND a.k < b.k GROUP BY 1, 2, 3)
             SELECT i.hw, a, b, round_even(c / (x.m + y.m - c), 3) AS similarity, x.n AS copies_a, y.n AS copies_b FROM i JOIN f x ON x.hw = i.hw AND x.k = a JOIN f y ON y.hw = i.hw AND y.k = b
             WHERE c / (x.m + y.m - c) >= 0.8""",
+        "near_members": f"""WITH w AS (SELECT doc_id, lang, {words} AS w FROM documents),
+            s AS (SELECT doc_id, lang AS hw, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM w WHERE len(w) >= 5),
+            f AS (SELECT hw, s, min(doc_id) AS k, count(*) AS n, len(s) AS m FROM s GROUP BY hw, s),
+            t AS (SELECT hw, k, unnest(s) AS g FROM f),
+            i AS (SELECT a.hw, a.k AS a, b.k AS b, count(*) AS c FROM t a JOIN t b ON a.hw = b.hw AND a.g = b.g AND a.k < b.k GROUP BY 1, 2, 3),
+            p AS (SELECT i.hw, a, b FROM i JOIN f x ON x.hw = i.hw AND x.k = a JOIN f y ON y.hw = i.hw AND y.k = b WHERE c / (x.m + y.m - c) >= 0.8),
+            l AS (SELECT hw, k, count(*) AS links FROM (SELECT hw, a AS k FROM p UNION ALL SELECT hw, b FROM p) GROUP BY hw, k)
+            SELECT hw, doc_id, f.k AS first, f.n AS copies, coalesce(links, 0) AS links FROM s JOIN f USING (hw, s) LEFT JOIN l USING (hw, k)
+            UNION ALL SELECT lang, doc_id, doc_id, 1, 0 FROM w WHERE len(w) < 5""",
         "secret_in_text": f"SELECT doc_id, {secret} AS kinds FROM documents WHERE {secret} <> ''",
         "page_links": rf"SELECT page_id, slug, CASE WHEN slug = '' THEN 'no_url' WHEN contains(slug, '/') THEN 'ok' ELSE 'profile' END AS status, contains(url, 'github.com') OR regexp_full_match(url, '[\w.-]+/[\w.-]+') AS repo_like FROM (SELECT page_id, coalesce(url, '') AS url, {url} AS slug FROM pages)",
         "find_by_repo": f"""WITH p AS (SELECT page_id, lower({url}) AS u FROM pages), q AS (SELECT *, array_to_string(string_split(u, '/')[1:2], '/') AS s FROM p), k AS (SELECT * FROM q WHERE page_id % 3 = 0 AND u <> '')

@@ -32,3 +32,11 @@ def test_review_volume_and_slug(spark, tmp_path):
     assert abs(v["cost"] - (41_696 * 2 + 3_600 * 10) / 1e6) < 1e-9 and abs(v["batch_cost"] - v["cost"] / 2) < 1e-9
     slugs = {r["doc_id"]: r["slug"] for r in registry.queries()["text_measures_whole"](spark, d).collect()}
     assert slugs[1] == "a" * 5_000 and slugs[2] == "_".join("b" * 100_000)
+
+
+def test_every_document_is_in_a_near_class(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(40))
+    texts = {1: words, 2: words + " x", 3: words, 4: "p q r s t u", 5: "p q r s t u", 6: "short", 7: "other words that stand here alone"}
+    d = landed(spark, tmp_path, documents=([(k, t, "en", "s") for k, t in texts.items()], DOCUMENTS))
+    got = {r["doc_id"]: (r["first"], r["copies"], r["links"]) for r in registry.queries()["near_members"](spark, d).collect()}
+    assert got == {1: (1, 2, 1), 2: (2, 1, 1), 3: (1, 2, 1), 4: (4, 2, 0), 5: (4, 2, 0), 6: (6, 1, 0), 7: (7, 1, 0)}
