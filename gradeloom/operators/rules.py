@@ -81,15 +81,33 @@ def notebook_measures(cells: DataFrame) -> DataFrame:
     return rows.join(breaks, "nb", "left").withColumn("order_breaks", F.coalesce("order_breaks", F.lit(0)))
 
 
+def template_prose(handouts: DataFrame) -> DataFrame:
+    """(hw, body): squashed prose of the handouts (hw, kind, source)."""
+    return handouts.filter("kind = 'markdown'").select("hw", X.squash_ws(F.col("source")).alias("body")).filter("body <> ''").distinct()
+
+
+def template_lines(handouts: DataFrame) -> DataFrame:
+    """(hw, norm_line): code lines of the handouts (hw, kind, source) without comments and white space."""
+    lines = handouts.filter("kind = 'code'").select("hw", F.explode(F.split("source", "\r?\n")).alias("line"))
+    return lines.select("hw", X.norm_code_line(F.col("line")).alias("norm_line")).filter("norm_line <> ''").distinct()
+
+
+def _by_topic(rows: DataFrame, template: DataFrame) -> list[str]:
+    """Columns that bind a template to rows: the topic where both have it."""
+    return ["hw"] if "hw" in rows.columns and "hw" in template.columns else []
+
+
 def notebook_facts(cells: DataFrame, template_md: DataFrame | None = None) -> DataFrame:
     """One row for each notebook: texts and counts that the rules read.
 
-    ``cells``: nb, idx, kind, source, ec, errors (array of strings). ``template_md``: squashed prose of the handout.
+    ``cells``: nb, idx, kind, source, ec, errors (array of strings). ``template_md``: squashed prose of the handout
+    (body), of each topic if it and the cells have ``hw``.
     """
     code = F.col("kind") == "code"
     c = cells.withColumn("empty", X.is_empty_cell(F.col("source"))).withColumn("mark", X.has_marker(F.col("source")))
     if template_md is not None:
-        c = c.withColumn("_md", X.squash_ws(F.col("source"))).join(F.broadcast(template_md.select(F.col("body").alias("_md"), F.lit(True).alias("_theirs")).distinct()), "_md", "left")
+        on = _by_topic(c, template_md)
+        c = c.withColumn("_md", X.squash_ws(F.col("source"))).join(F.broadcast(template_md.select(*on, F.col("body").alias("_md"), F.lit(True).alias("_theirs")).distinct()), [*on, "_md"], "left")
     else:
         c = c.withColumn("_theirs", F.lit(None).cast("boolean"))
     idx = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("idx").cast("int"))))
@@ -159,9 +177,10 @@ def run_rules(facts: DataFrame, broken: DataFrame | None = None, rules: list[Rul
 
 def code_lines(cells: DataFrame) -> DataFrame:
     """(nb, pos, idx, line): non-empty lines of code up to their comment, in cell order; pos orders them."""
-    lines = cells.filter(F.col("kind") == "code").select("nb", "idx", F.posexplode(F.split("source", "\r?\n")).alias("no", "raw"))
+    topic = [c for c in cells.columns if c == "hw"]
+    lines = cells.filter(F.col("kind") == "code").select("nb", *topic, "idx", F.posexplode(F.split("source", "\r?\n")).alias("no", "raw"))
     line = F.substring_index("raw", "#", 1)
-    return lines.select("nb", F.struct("idx", "no").alias("pos"), "idx", "raw", line.alias("line")).filter(F.trim("line") != "")
+    return lines.select("nb", *topic, F.struct("idx", "no").alias("pos"), "idx", "raw", line.alias("line")).filter(F.trim("line") != "")
 
 
 def is_statistical_fit(line: Column) -> Column:
@@ -169,21 +188,25 @@ def is_statistical_fit(line: Column) -> Column:
     return line.rlike(FILLNA_STAT) | fit
 
 
-def leakage(cells: DataFrame, template: DataFrame | None = None, exempt: tuple[str, ...] = ()) -> DataFrame:
+def leakage(cells: DataFrame, template: DataFrame | None = None, exempt: tuple[str, ...] = (), exempt_words: DataFrame | None = None) -> DataFrame:
     """Fits before the split (without a pipeline) and on the test part.
 
     Lines that fit on the training part, transductive methods, exempt words and handout lines (``template``:
-    norm_line) are skipped.
+    norm_line, of each topic if it and the cells have ``hw``) are skipped. ``exempt_words``: (hw, word) of each topic.
     """
     rows = code_lines(cells)
     if template is not None:
-        rows = rows.withColumn("_n", X.norm_code_line(F.col("line"))).join(F.broadcast(template.select(F.col("norm_line").alias("_n"), F.lit(True).alias("_t")).distinct()), "_n", "left")
+        on = _by_topic(rows, template)
+        rows = rows.withColumn("_n", X.norm_code_line(F.col("line"))).join(F.broadcast(template.select(*on, F.col("norm_line").alias("_n"), F.lit(True).alias("_t")).distinct()), [*on, "_n"], "left")
     else:
         rows = rows.withColumn("_t", F.lit(None).cast("boolean"))
     line, low = F.col("line"), F.lower("line")
     skip = line.rlike(ON_TRAIN) | line.rlike(TRANSDUCTIVE) | F.col("_t").isNotNull()
     for word in exempt:
         skip = skip | low.contains(word)
+    if exempt_words is not None:
+        rows = rows.join(F.broadcast(exempt_words.groupBy("hw").agg(F.collect_set("word").alias("_words"))), "hw", "left")
+        skip = skip | F.coalesce(F.exists("_words", lambda x: F.contains(low, x)), F.lit(False))
     w = Window.partitionBy("nb")
     rows = rows.withColumn("split_at", F.min(F.when(line.rlike(SPLIT), F.col("pos"))).over(w)).withColumn("piped", F.max(line.rlike(PIPELINE)).over(w))
     fits = rows.filter(is_statistical_fit(line) & ~skip)

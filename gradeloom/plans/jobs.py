@@ -43,18 +43,45 @@ def find_copies(cells: DataFrame, handouts: DataFrame, commits: DataFrame, min_s
     return {"exact": members.join(added, ["hw", "key"], "left"), "near": similarity.who_was_first(pairs, added), "groups": groups}
 
 
-def grade(cells: DataFrame, broken: DataFrame, checks: DataFrame, reviews: DataFrame, items: DataFrame, catalog: DataFrame, submissions: DataFrame) -> dict[str, DataFrame]:
-    """Cells of submissions (nb, …) with (nb, key, hw) to findings and verdicts."""
-    facts = rules.notebook_facts(cells)
-    found = rules.run_rules(facts, broken)
+def grade(cells: DataFrame, broken: DataFrame, checks: DataFrame, reviews: DataFrame, items: DataFrame, catalog: DataFrame, submissions: DataFrame, handouts: DataFrame | None = None, rubrics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Cells of submissions (nb, …) with (nb, key, hw) to findings and verdicts.
+
+    ``handouts``: cells (hw, kind, source) of each topic's template; ``rubrics``: (hw, scope) and, if there is one,
+    leakage_exempt, an array of words. Checks see only what the student added (F27), unless the scope is full or the
+    topic has no handout; a topic without a rubric has the scope delta.
+    """
+    # a notebook is judged once for each topic that it is submitted for
+    works = submissions.select("nb", "hw").distinct()
+    own = cells.drop("hw").join(works, "nb")
+    prose = lines = words = None
+    if handouts is not None:
+        prose, lines = rules.template_prose(handouts), rules.template_lines(handouts)
+    if rubrics is not None and "leakage_exempt" in rubrics.columns:
+        words = rubrics.select("hw", F.explode("leakage_exempt").alias("word"))
+    by_work = lambda df: df.withColumn("nb", F.struct("nb", "hw"))
+    of_work = lambda df: df.withColumn("hw", F.col("nb.hw")).withColumn("nb", F.col("nb.nb"))
+    keyed = by_work(own)
+    facts = rules.notebook_facts(keyed, prose)
+    found = rules.run_rules(facts, by_work(broken.select("nb", "error").join(works, "nb")))
     alive = facts.filter("n_full > 0").select("nb")
-    for more in (rules.leakage(cells), rules.no_effect_calls(cells), rules.undefined_names(cells)):
+    for more in (rules.leakage(keyed, lines, exempt_words=words), rules.no_effect_calls(keyed), rules.undefined_names(keyed)):
         found = found.unionByName(more.join(alive, "nb", "left_semi").select(found.columns))
+    found = of_work(found)
+    target = facts.select("nb", "src", "md")
+    if handouts is not None:
+        template = similarity.handout_union(handouts.select("hw", X.strip_ws(F.col("source")).alias("body")).filter("body <> ''"))
+        if rubrics is not None:
+            template = template.join(F.broadcast(rubrics.filter("scope = 'full'").select("hw")), "hw", "left_anti")
+        added = similarity.subtract_handout(keyed.withColumn("body", X.strip_ws(F.col("source"))), template).drop("body")
+        # a work without any cell of its own still has its checks, over empty texts
+        target = facts.select("nb").join(rules.notebook_facts(added).select("nb", "src", "md"), "nb", "left").na.fill("", ["src", "md"])
     rule_checks = checks.filter("kind = 'rule'")
-    passed = rules.rubric_checks(facts, rule_checks.select("check_id", "hw", "required", "any_regex", "all_regex", "none_regex", "bullets_min").drop("hw", "required"))
-    passed = passed.join(submissions, "nb").join(F.broadcast(rule_checks.select("hw", "check_id", "required", "title")), ["hw", "check_id"])
+    # topics may use the same names of checks
+    named = rule_checks.select(F.struct("hw", "check_id").alias("check_id"), "any_regex", "all_regex", "none_regex", "bullets_min")
+    passed = of_work(rules.rubric_checks(target, named).filter("nb.hw = check_id.hw").withColumn("check_id", F.col("check_id.check_id")))
+    passed = passed.join(submissions, ["nb", "hw"]).join(F.broadcast(rule_checks.select("hw", "check_id", "required", "title")), ["hw", "check_id"])
     missed = passed.filter(~F.col("passed")).select("key", "hw", F.concat_ws(".", "hw", "check_id").alias("code"), F.when(F.col("required"), "major").otherwise("minor").alias("severity"), F.col("title").alias("comment"))
-    rule_findings = found.join(submissions, "nb").select("key", "hw", "code", "severity", F.col("detail").alias("comment")).unionByName(missed)
+    rule_findings = found.join(submissions, ["nb", "hw"]).select("key", "hw", "code", "severity", F.col("detail").alias("comment")).unionByName(missed)
     judged = verdict.apply_review_checks(checks.filter("kind = 'llm'"), reviews, catalog)
     merged = verdict.merge_review_findings(rule_findings, items, catalog).unionByName(judged.select("key", "hw", "code", "severity", "comment", F.lit("review").alias("source")))
     required = checks.filter("required").groupBy("hw").agg(F.count("*").alias("required_total"))

@@ -131,9 +131,10 @@ def read_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_rubrics(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rubrics, checks, signatures) from rows (id, title, check_scope, graded, checks[], signature); defaults filled in."""
+    """(rubrics, checks, signatures) from rows (id, title, check_scope, graded, checks[], signature) and, if it is there, leakage_exempt[]; defaults filled in."""
     none = F.array().cast("array<string>")
-    rubrics = rows.select(F.col("id").alias("hw"), "title", F.coalesce("check_scope", F.lit("delta")).alias("scope"), F.coalesce("graded", F.lit(True)).alias("graded"))
+    exempt = [F.coalesce("leakage_exempt", none).alias("leakage_exempt")] if "leakage_exempt" in rows.columns else []
+    rubrics = rows.select(F.col("id").alias("hw"), "title", F.coalesce("check_scope", F.lit("delta")).alias("scope"), F.coalesce("graded", F.lit(True)).alias("graded"), *exempt)
     c = rows.select(F.col("id").alias("hw"), F.explode("checks").alias("c"))
     checks = c.select(
         "hw", F.col("c.id").alias("check_id"), F.col("c.title").alias("title"), F.coalesce("c.required", F.lit(True)).alias("required"), F.coalesce("c.kind", F.lit("rule")).alias("kind"),

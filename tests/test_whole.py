@@ -2,7 +2,7 @@
 
 import json
 
-from gradeloom.plans import registry
+from gradeloom.plans import jobs, registry
 
 
 def landed(spark, folder, **tables):
@@ -40,3 +40,27 @@ def test_every_document_is_in_a_near_class(spark, tmp_path):
     d = landed(spark, tmp_path, documents=([(k, t, "en", "s") for k, t in texts.items()], DOCUMENTS))
     got = {r["doc_id"]: (r["first"], r["copies"], r["links"]) for r in registry.queries()["near_members"](spark, d).collect()}
     assert got == {1: (1, 2, 1), 2: (2, 1, 1), 3: (1, 2, 1), 4: (4, 2, 0), 5: (4, 2, 0), 6: (6, 1, 0), 7: (7, 1, 0)}
+
+
+def test_grading_sees_only_additions(spark):
+    prose, given, split = "p" * 250, "knn = KNN()\nscaler.fit_transform(X)", "a, b = train_test_split(X, random_state=1)"
+    cells = [(nb, i, kind, source, 1 + i, []) for nb in ("n1", "n2", "n4") for i, (kind, source) in enumerate([("markdown", prose), ("code", given), ("code", split)])]
+    cells += [("n3", 0, "markdown", prose, None, []), ("n3", 1, "code", given, 1, [])] + [("n4", 3, "code", "imputer.fit_transform(X)", 9, []), ("n4", 4, "markdown", "o" * 250, None, []), ("n4", 5, "code", "mine = knn.predict(a)", 10, [])]
+    df = spark.createDataFrame(cells, "nb string, idx int, kind string, source string, ec int, errors array<string>")
+    subs = spark.createDataFrame([("k1", "hw1", "n1"), ("k2", "hw2", "n2"), ("k3", "hw1", "n3"), ("k4", "hw1", "n4"), ("k5", "hw3", "n1")], "key string, hw string, nb string")
+    handouts = spark.createDataFrame([(h, k, t) for h in ("hw1", "hw2") for k, t in (("markdown", prose + " "), ("code", given))], "hw string, kind string, source string")
+    rubrics = spark.createDataFrame([("hw1", "delta", []), ("hw2", "full", []), ("hw3", "delta", ["scaler"])], "hw string, scope string, leakage_exempt array<string>")
+    checks = spark.createDataFrame([(h, "knn", "uses KNN", True, "rule", ["knn"], [], [], None) for h in ("hw1", "hw2", "hw3")], "hw string, check_id string, title string, required boolean, kind string, any_regex array<string>, all_regex array<string>, none_regex array<string>, bullets_min int")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    catalog = spark.createDataFrame([("common.no_seed", "Seed", "minor", "rule", "common")], "code string, title string, severity string, detector string, hw string")
+    args = (df, none("nb string, error string"), checks, none("key string, hw string, check_id string, passed boolean, comment string"), none("key string, hw string, pos int, code string, comment string"), catalog, subs)
+    out = jobs.grade(*args, handouts=handouts, rubrics=rubrics)
+    passed = {r["key"]: r["required_passed"] for r in out["verdicts"].collect()}
+    # k2 has the full scope, k4 its own use, k5 the same notebook as k1 for a topic without a handout
+    assert passed == {"k1": 0, "k2": 1, "k3": 0, "k4": 1, "k5": 1}
+    found = {(r["key"], r["code"]) for r in out["findings"].collect()}
+    assert {k for k, c in found if c.endswith(".knn")} == {"k1", "k3"}
+    assert {k for k, c in found if c == "common.no_own_conclusions"} == {"k1", "k2", "k3"}
+    assert {k for k, c in found if c == "common.fit_before_split"} == set()
+    bare = jobs.grade(*args, rubrics=rubrics.drop("leakage_exempt"))
+    assert {r["key"] for r in bare["findings"].collect() if r["code"] == "common.fit_before_split"} == {"k1", "k2", "k4", "k5"}
