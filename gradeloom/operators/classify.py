@@ -52,18 +52,35 @@ def classification_counts(matches: DataFrame, notebooks: DataFrame) -> DataFrame
     return matches.groupBy("topic").agg(F.count("*").alias("n")).unionByName(none.agg(F.count("*").alias("n")).select(F.lit("unmatched").alias("topic"), "n"))
 
 
+def numbered_in_groups(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``rows`` with their place in the group (``_rn``, from 0) and the group's count (``_count``).
+
+    A large group is dealt over several ranges of its order, sorted apart and offset by the counts of the ranges before.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, group, order).withColumn("_part", F.spark_partition_id())
+    if set(rows.columns) != {group, order}:
+        ranged = ranged.persist()  # bounds are sampled: with other columns, both uses below would not share one exchange
+    counts = ranged.groupBy("_part", group).agg(F.count("*").alias("_n"))  # a row for each range and each group in it
+    w = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # null is a group too
+    offsets = counts.select("_part", F.col(group).alias("_group"), before.alias("_before"), F.sum("_n").over(w).alias("_count"))
+    own = F.row_number().over(Window.partitionBy("_part", group).orderBy(order)) - 1
+    return ranged.withColumn("_own", own).alias("r").join(offsets.alias("o"), F.expr(f"r._part = o._part AND r.`{group}` <=> o._group")).select("r.*", (F.col("_own") + F.col("_before")).alias("_rn"), "_count").drop("_part", "_own")
+
+
 def chunk_batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """Batches of ``size`` rows in order, named by group and number."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("batch", F.format_string("%s_%02d", F.col(group), (F.floor((rn - 1) / size) + 1).cast("int")))
+    named = F.format_string("%s_%02d", F.col(group), (F.floor(F.col("_rn") / size) + 1).cast("int"))
+    return numbered_in_groups(rows, group, order).withColumn("batch", named).drop("_rn", "_count")
 
 
 def systematic_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """Every step-th row of a group, step = max(1, count div k), the first ``k`` of them."""
-    w = Window.partitionBy(group)
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / k))
-    rn = F.row_number().over(w.orderBy(order)) - 1
-    return rows.withColumn("_rn", rn).withColumn("_step", step).filter((F.col("_rn") % F.col("_step") == 0) & (F.col("_rn") / F.col("_step") < k)).withColumn("place", (F.col("_rn") / F.col("_step") + 1).cast("int")).drop("_rn", "_step")
+    step = F.greatest(F.lit(1), F.floor(F.col("_count") / k))
+    found = numbered_in_groups(rows, group, order).withColumn("_step", step).filter((F.col("_rn") % F.col("_step") == 0) & (F.col("_rn") / F.col("_step") < k))
+    return found.withColumn("place", (F.col("_rn") / F.col("_step") + 1).cast("int")).drop("_rn", "_step", "_count")
 
 
 def dedup_by_content(rows: DataFrame, scope: str, digest: str, order: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +67,25 @@ def arrival_number(events: DataFrame) -> DataFrame:
 def greedy_spacing(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
     """(key, ts) of events that come at least ``gap_seconds`` after the last kept one.
 
-    A fold over the sorted times of a key; one key's times must fit in a task, streams use the keyed state instead.
+    Keys are dealt and sorted with their times; a task carries the last kept time, as the stream form does with state. A
+    frequent key is read in order by one task and never held as one row.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = int(gap_seconds * 1_000_000)
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= gap), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(micros)).alias("all"))
-    return rows.select(key, F.explode(F.aggregate("all", empty, step)["kept"]).alias("_k")).select(key, F.timestamp_micros("_k").alias(ts))
+    times = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_k")).filter("_k is not null")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, None
+        for b in batches:
+            kept = []
+            for n, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if last is None or k != of or t - last >= gap:
+                    kept.append(n)
+                    of, last = k, t
+            if kept:
+                yield b.take(pa.array(kept))
+
+    rows = times.repartition(key).sortWithinPartitions(key, "_k").mapInArrow(keep, times.schema)
+    return rows.select(key, F.timestamp_micros("_k").alias(ts))
 
 
 def view_intervals(views: DataFrame) -> DataFrame:

@@ -64,3 +64,31 @@ def test_grading_sees_only_additions(spark):
     assert {k for k, c in found if c == "common.fit_before_split"} == set()
     bare = jobs.grade(*args, rubrics=rubrics.drop("leakage_exempt"))
     assert {r["key"] for r in bare["findings"].collect() if r["code"] == "common.fit_before_split"} == {"k1", "k2", "k4", "k5"}
+
+
+def test_a_large_group_is_numbered_in_several_tasks(spark):
+    from gradeloom.operators import classify
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.lit(None).cast("string")).otherwise("en").alias("lang"))
+    got = classify.numbered_in_groups(rows, "lang", "doc_id").withColumn("task", F.spark_partition_id())
+    assert got.filter("lang = 'en'").select("task").distinct().count() > 1
+    places = {r["lang"]: (r["n"], r["lo"], r["hi"], r["c"]) for r in got.groupBy("lang").agg(F.count_distinct("_rn").alias("n"), F.min("_rn").alias("lo"), F.max("_rn").alias("hi"), F.max("_count").alias("c")).collect()}
+    assert places == {"en": (3_960, 0, 3_959, 3_960), None: (40, 0, 39, 40)}
+    assert classify.systematic_sample(rows, "lang", "doc_id", 20).count() == 40 and classify.chunk_batches(rows, "lang", "doc_id", 50).count() == 4_000
+
+
+def test_spacing_holds_no_key_in_one_row(spark):
+    from gradeloom.operators import events
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 100 > 0, 7).alias("k"), F.timestamp_seconds("id").alias("at"))
+    got = events.greedy_spacing(rows, "k", "at", 150.0)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    # key 7 lacks every hundredth second: a kept time is 150 s after the last, or 151; null is a key too
+    want, last = [], None
+    for t in range(60_000):
+        if t % 100 and (last is None or t - last >= 150):
+            want.append(t)
+            last = t
+    assert sorted(r["t"] for r in got.filter("k = 7").select(F.unix_seconds("at").alias("t")).collect()) == want and got.filter("k is null").count() == 300
