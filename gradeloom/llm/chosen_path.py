@@ -14,16 +14,19 @@ A node that hardly shrinks holds copies of one another, which no token separates
 pivots; blocks and pivots are compared like small nodes, which joins nearly all its members. Members that stay apart
 from the node's largest component are then compared with all blocks of the node, so that no link is lost there. This
 last step costs the number of such members times the node's size, in blocks of ``DENSE_ROWS``.
-Components come from repeated minima over the links, in tables; links inside a block are emitted as stars.
+Links are emitted as stars of the components of one task. Components of all links come from rounds that join the links
+of a task by union-find, give each class the least class it is linked with and keep only links between different ones.
 
 Null and empty texts have an empty set, which is linked with nothing. A text with fewer words than a shingle has one
-shingle: all its words. Repeated rows have equal sets, so they share a component. Extra columns are left alone; empty
-tables give an empty result. Sets hold 64-bit hashes of shingles.
+shingle: all its words. Repeated rows have equal sets, so they share a component. Extra columns are left alone, whatever
+their names; empty tables give an empty result. Sets hold 64-bit hashes of shingles, rows are found again by their place
+(a 64-bit hash of the file's path, and the row).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import chunks, read_table, with_locator, written
+from gradeloom.llm.common import Run, chunks, join_unique, read_table, with_locator
 
 COORDS = 64
 TREES = 9
@@ -40,7 +43,12 @@ NODE_ROWS = 128
 DENSE_ROWS = 512
 PIVOTS = 4
 MAX_DEPTH = 8
+# Rows of two or three numbers and a digest: about 60 bytes each, so a broadcast has at most 12 MB.
 BROADCAST_ROWS = 200_000
+# Sets of one candidate group that are in memory at once: 32 MB of hashes.
+GROUP_SHINGLES = 4_000_000
+# Classes whose links a task keeps before it emits them.
+FOREST_ROWS = 500_000
 # A pair at the threshold agrees in 0.8 * 64 = 51 of the coordinates, with a deviation of 3.2.
 DEVIATIONS = 4.75
 
@@ -100,12 +108,12 @@ def _coefficients_cached() -> tuple[np.ndarray, np.ndarray]:
     return _COEFFICIENTS[0]
 
 
-def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, place: str, width: int, id_col: str, text_col: str) -> DataFrame:
     """(id, loc, n, digest, sig, low): size, identity and signature of each document's set; empty sets have no digest.
 
     ``low`` holds the last byte of each minwise value: enough to compare two signatures, a quarter of the size.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("_locator").alias("loc"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(place).alias("loc"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -119,7 +127,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 names=["id", "loc", "n", "digest", "sig", "low"],
             )
 
-    return rows.mapInArrow(run, "id long, loc struct<file:string,row:long>, n long, digest binary, sig array<int>, low binary")
+    return rows.mapInArrow(run, "id long, loc struct<file:bigint,row:bigint>, n long, digest binary, sig array<int>, low binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, pa.Table]]:
@@ -162,7 +170,53 @@ class _Sets:
         return [g for g in out.values() if len(g) > 1]
 
 
-def _candidates(least: int):
+class _Forest:
+    """Union-find over keys; the smallest key of a component is its root. Only other keys have an entry."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def find(self, x):
+        root = x
+        while root in self.up:
+            root = self.up[root]
+        while x != root:
+            above = self.up[x]
+            self.up[x] = root
+            x = above
+        return root
+
+    def join(self, x, y) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def stars(self) -> pa.RecordBatch:
+        """(a, b): the root of each key that has one, and forget them."""
+        b = list(self.up)
+        a = [self.find(x) for x in b]
+        self.up.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _bounded(group: list[int], n: list[int], percent: int) -> list[list[int]]:
+    """The group, or if its sets are too large to be in memory at once, parts of it that hold every pair of like size."""
+    if sum(n[i] for i in group) <= GROUP_SHINGLES:
+        return [group]
+    parts: list[list[int]] = [[]]
+    have = 0
+    for i in sorted(group, key=lambda i: n[i]):
+        if parts[-1] and have + n[i] > GROUP_SHINGLES // 2:
+            parts.append([])
+            have = 0
+        parts[-1].append(i)
+        have += n[i]
+    near = lambda p, q: 100 * n[p[-1]] >= percent * n[q[0]]
+    pairs = [p + q for k, p in enumerate(parts) for q in parts[k + 1 :] if near(p, q)]
+    return pairs + [p for p in parts if len(p) > 1]
+
+
+def _candidates(least: int, percent: int):
     """Groups of classes in a cluster that agreeing signatures connect, keyed by their content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +234,12 @@ def _candidates(least: int):
             for i in range(len(digest) - 1):
                 for j in np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) >= least):
                     sets.join(i, i + 1 + int(j))
+            n = table.column("n").to_pylist()
             for group in sets.groups():
-                members = sorted(digest[i] for i in group)
-                out[0].extend([xxhash.xxh3_64_intdigest(b"".join(members)) - (1 << 63)] * len(members))
-                out[1].extend(members)
+                for part in _bounded(group, n, percent):
+                    members = sorted(digest[i] for i in part)
+                    out[0].extend([xxhash.xxh3_64_intdigest(b"".join(members)) - (1 << 63)] * len(members))
+                    out[1].extend(members)
             if len(out[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["cluster", "digest"])
                 out = ([], [])
@@ -223,27 +279,37 @@ def _similar(shingles: list[np.ndarray], percent: int) -> Iterator[tuple[int, in
 
 
 def _confirm(width: int, percent: int):
-    """Links inside candidate groups, checked on full sets until the group's components are known; as stars."""
+    """Links inside candidate groups, checked on full sets; as stars of the components that a task has found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, forest = _Words(), _Forest()
         for _, table in _runs(batches):
             digest = table.column("digest").to_pylist()
             shingles = [shingle_set(t or "", width, words) for t in table.column("text").to_pylist()]
-            sets = _Sets(len(digest))
             for i, j in _similar(shingles, percent):
-                sets.join(i, j)
-            pairs = [(digest[g[0]], digest[i]) for g in sets.groups() for i in g[1:]]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+                forest.join(digest[i], digest[j])
+            if len(forest.up) > FOREST_ROWS:
+                yield forest.stars()
+        yield forest.stars()
 
     return run
 
 
-def _small_or_big(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars of their components."""
+    forest = _Forest()
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            forest.join(a, b)
+        if len(forest.up) > FOREST_ROWS:
+            yield forest.stars()
+    yield forest.stars()
+
+
+def _small_or_big(run: Run, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of nodes to compare, once for each content, and rows of larger nodes with their size."""
-    sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    met = written(frontier.join(sizes, "node"), "met")  # classes alone in a node are done with it
+    sizes = run.written(frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    met = run.written(join_unique(run, frontier, sizes, "node", sizes=sizes), "met")  # classes alone in a node are done with it
     small = met.filter(F.col("size") <= NODE_ROWS)
     content = small.groupBy("node", "size").agg(F.bit_xor(F.xxhash64("digest")).alias("x1"), F.bit_xor(F.xxhash64("digest", F.lit(3))).alias("x2"))
     once = content.groupBy("size", "x1", "x2").agg(F.min("node").alias("node")).select("node")
@@ -268,64 +334,75 @@ def _blocks(dense: DataFrame) -> DataFrame:
 
 
 def _if_few(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows of a fixed size."""
+    """A written table of rows of a fixed size, marked for broadcast if it has at most BROADCAST_ROWS of them."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _merged(dense: DataFrame) -> DataFrame:
+def _merged(run: Run, dense: DataFrame) -> DataFrame:
     """Dense nodes that share their least member as one node: a group of copies is a node of most trees.
 
     A union of nodes holds every pair of each of them.
     """
-    key = dense.groupBy("node").agg(F.min(F.xxhash64("digest", F.lit(17))).alias("group"))
-    rows = written(dense.join(key, "node").select(F.col("group").alias("node"), "digest").distinct(), "dense")
-    size = rows.groupBy("node").agg(F.count("*").alias("size"))
-    return written(rows.join(size, "node").select("node", "size", "digest"), "dense")
+    dense = run.written(dense, "dense")
+    key = run.written(dense.groupBy("node").agg(F.min(F.xxhash64("digest", F.lit(17))).alias("group")), "dense-keys")
+    rows = join_unique(run, dense.select("node", "digest"), key, "node").select(F.col("group").alias("node"), "digest").distinct()
+    rows = run.written(rows, "dense-rows")
+    sizes = run.written(rows.groupBy("node").agg(F.count("*").alias("size")), "dense-sizes")
+    return run.written(join_unique(run, rows, sizes, "node", sizes=sizes).select("node", "size", "digest"), "dense-merged")
 
 
-def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) between classes that meet in a cluster."""
+def _links(run: Run, clusters: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes that meet in a cluster; ``texts`` has the columns loc and text."""
     least = int(percent / 100 * COORDS - DEVIATIONS * (percent / 100 * (1 - percent / 100) * COORDS) ** 0.5)
-    rows = clusters.join(classes.select("digest", "low"), "digest").select("cluster", "digest", "low")
-    found = rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_candidates(least), "cluster long, digest binary")
-    groups = found.dropDuplicates(["cluster", "digest"]).groupBy("digest").agg(F.collect_set("cluster").alias("clusters"))  # a few for each class
-    wanted = written(groups.join(classes.select("digest", "loc"), "digest"), "wanted")
-    # only the texts of candidates are moved: their places are broadcast if they are few, else both sides are shuffled
-    texts = docs.select(F.col("_locator").alias("loc"), F.col(text_col).alias("text")).join(_if_few(wanted), "loc")
-    pairs = texts.select(F.explode("clusters").alias("cluster"), "digest", "text")
-    return pairs.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirm(width, percent), "a binary, b binary")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(digest, root) for every class that has a link; the root is the smallest digest of its component."""
-    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("digest")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    rows = clusters.join(classes.select("digest", "n", "low"), "digest").select("cluster", "digest", "n", "low")
+    found = rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_candidates(least, percent), "cluster long, digest binary")
+    found = run.written(found.dropDuplicates(["cluster", "digest"]), "found")
+    # only the texts of candidates are moved; each table here is broadcast if it has few rows, else both sides are shuffled
+    wanted = run.written(found.select("digest").distinct().join(classes.select("digest", "loc"), "digest"), "wanted")
+    pairs = texts.join(_if_few(wanted), "loc").select("digest", "text").join(_if_few(found), "digest")
+    confirmed = pairs.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirm(width, percent), "a binary, b binary")
+    return run.written(confirmed, "links")
+
+
+def components(run: Run, links: DataFrame) -> DataFrame:
+    """(digest, root) for every class but the roots; the root is the smallest digest of its component.
+
+    In each round the links of a task become stars, dealt by their member, which few tasks share. Then each class stands
+    for the least class it is linked with, and links between classes that stand for the same one are settled and go. As
+    digests are random, at least about half of the classes go with them; few links are one task's, and done at once.
+    """
+    rounds = []
     while True:
-        near = edges.join(labels.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "digest").select("digest", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("digest").alias("root"), F.col("root").alias("next"))
-        step = written(step.join(jump, "root").select("digest", "old", F.least("root", "next").alias("root")), "labels")
-        labels = step.select("digest", "root")
-        if step.filter("old != root").isEmpty():
-            return labels
-
-
-def _rest_of_dense(dense: DataFrame, labels: DataFrame) -> DataFrame | None:
+        edges = run.written(links.repartition("b").mapInArrow(_joined, "a binary, b binary"), "edges")
+        if edges.isEmpty():
+            break
+        least = run.written(edges.groupBy("b").agg(F.min("a").alias("to")), "least")
+        rounds.append(least)
+        ends = run.written(edges.join(least, "b").select("a", F.col("to").alias("b")), "ends")
+        ends = join_unique(run, ends, least.select(F.col("b").alias("a"), "to"), "a", "left").select(F.coalesce("to", "a").alias("a"), "b")
+        links = ends.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = edges.select(F.col("b").alias("digest"), F.col("a").alias("root"))  # none
+    for least in reversed(rounds):
+        onward = join_unique(run, least, labels.withColumnRenamed("digest", "to"), "to", "left")
+        own = onward.select(F.col("b").alias("digest"), F.coalesce("root", "to").alias("root"))
+        labels = run.written(own.unionByName(labels.join(least, F.col("digest") == F.col("b"), "left_anti")), "labels")
+    return labels
+
+
+def _rest_of_dense(run: Run, dense: DataFrame, labels: DataFrame) -> DataFrame | None:
     """Clusters that bring the members outside a dense node's largest component together with all its members."""
-    member = dense.join(labels, "digest", "left").withColumn("label", F.coalesce("root", "digest"))
-    mixed = member.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("node")
-    member = written(member.join(mixed, "node", "left_semi").select("node", "size", "digest", "label"), "mixed")
+    member = run.written(dense.join(labels, "digest", "left").withColumn("label", F.coalesce("root", "digest")).drop("root"), "members")
+    count = member.groupBy("node", "label").agg(F.count("*").alias("count"))
+    per_node = count.groupBy("node").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("all"))
+    outside = F.col("all") - F.col("m.count")
+    half = DENSE_ROWS // 2
+    mixed = per_node.filter(outside > 0).select("node", F.col("m.label").alias("main"), F.ceil(outside / half).cast("int").alias("parts"))
+    member = run.written(join_unique(run, member, run.written(mixed, "mixed"), "node"), "mixed-members")
     if member.isEmpty():
         return None
-    main = member.groupBy("node", "label").count().groupBy("node").agg(F.max(F.struct("count", "label")).alias("m")).select("node", F.col("m.label").alias("main"))
-    member = member.join(main, "node")
-    half = DENSE_ROWS // 2
-    others = member.filter("label != main")
-    counts = others.groupBy("node").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
     n = F.ceil(F.col("size") / half).cast("int")
-    others = others.join(counts, "node")
-    left = others.select(F.col("node"), F.pmod(F.xxhash64("digest"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), "digest")
-    right = member.join(counts, "node").select(F.col("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("digest"), n).alias("block"), "digest")
+    left = member.filter("label != main").select(F.col("node"), F.pmod(F.xxhash64("digest"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), "digest")
+    right = member.select(F.col("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("digest"), n).alias("block"), "digest")
     return left.unionByName(right).select(F.xxhash64("node", F.col("part").cast("int"), F.col("block").cast("int")).alias("cluster"), "digest")
 
 
@@ -334,43 +411,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
     """
-    docs = docs if "_locator" in docs.columns else with_locator(docs, "near-landed")
-    rows = written(sketches(docs, width, id_col, text_col), "sketches")
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "loc")).alias("first"), F.first("sig").alias("sig"), F.first("low").alias("low"))
-    classes = written(classes.select("digest", "first", "sig", "low", F.col("first.loc").alias("loc")), "classes")
+    placed, place = with_locator(docs, "near-landed")
+    return _near(placed, place, width, percent, id_col, text_col)
+
+
+def _near(docs: DataFrame, place: str, width: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same for documents whose place is in the column ``place``."""
+    run = Run(docs.sparkSession, "near")
+    texts = docs.select(F.col(place).alias("loc"), F.col(text_col).alias("text"))
+    rows = run.written(sketches(docs, place, width, id_col, text_col), "sketches")
+    some = rows.filter("digest is not null")
+    classes = some.groupBy("digest").agg(F.min(F.struct("id", "loc")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    classes = run.written(classes.select("digest", "first", "n", "sig", "low", F.col("first.loc").alias("loc")), "classes")
     roots = F.transform(F.slice("sig", 1, TREES), lambda v, i: _children(F.xxhash64(i, v), "sig"))
-    frontier = written(classes.select("digest", F.explode(F.flatten(roots)).alias("node"), F.lit(None).cast("long").alias("above")), "frontier")
+    frontier = run.written(classes.select("digest", F.explode(F.flatten(roots)).alias("node"), F.lit(None).cast("long").alias("above")), "frontier")
     clusters, dense = [], []
     for depth in range(1, MAX_DEPTH + 1):
-        small, big = _small_or_big(frontier)
+        small, big = _small_or_big(run, frontier)
         clusters.append(small)
-        big = written(big, "big-nodes")
         if big.isEmpty():
             break
         still = F.coalesce(F.col("size") * 2 >= F.col("above"), F.lit(False)) | F.lit(depth == MAX_DEPTH)
         dense.append(big.filter(still).select("node", "size", "digest"))
-        split = _if_few(written(big.filter(~still), "split"))
+        split = _if_few(run.written(big.filter(~still), "split"))
         split = classes.select("digest", "sig").join(split, "digest")
-        frontier = written(split.select("digest", F.explode(_children(F.col("node"), "sig")).alias("node"), F.col("size").alias("above")), "frontier")
-    dense_rows = None
-    for d in dense:
-        dense_rows = d if dense_rows is None else dense_rows.unionByName(d)
+        frontier = run.written(split.select("digest", F.explode(_children(F.col("node"), "sig")).alias("node"), F.col("size").alias("above")), "frontier")
+    dense_rows = _merged(run, reduce(DataFrame.unionByName, dense)) if dense else None
     if dense_rows is not None:
-        dense_rows = _merged(dense_rows)
         clusters.append(_blocks(dense_rows))
-    every = clusters[0]
-    for c in clusters[1:]:
-        every = every.unionByName(c)
-    links = written(_links(every, classes, docs, width, percent, text_col), "links")
-    labels = components(links)
-    if dense_rows is not None and (rest := _rest_of_dense(dense_rows, labels)) is not None:
-        labels = components(links.unionByName(written(_links(rest, classes, docs, width, percent, text_col), "more-links")))
+    links = _links(run, reduce(DataFrame.unionByName, clusters), classes, texts, width, percent)
+    labels = components(run, links)
+    if dense_rows is not None and (rest := _rest_of_dense(run, dense_rows, labels)) is not None:
+        labels = components(run, links.unionByName(_links(run, rest, classes, texts, width, percent)))
     named = classes.join(labels, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "first")
-    named = written(named, "named")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    named = written(named.join(least, "root").select("digest", "least"), "named")
-    full = rows.filter("digest is not null").select("id", "loc", "n", "digest").join(named, "digest").select("id", "loc", "n", F.col("least").alias("first"))
-    return full.unionByName(rows.filter("digest is null").select("id", "loc", "n", F.struct("id", "loc").alias("first")))
+    named = run.written(named, "named")
+    least = run.written(named.groupBy("root").agg(F.min("first").alias("least")), "least-of-root")
+    named = join_unique(run, named.select("digest", "root"), least, "root").select("digest", "least")
+    found = join_unique(run, some.select("id", "loc", "n", "digest"), run.written(named, "least-of-class"), "digest")
+    found = found.select("id", "loc", "n", F.col("least").alias("first"))
+    return run.finish(found.unionByName(rows.filter("digest is null").select("id", "loc", "n", F.struct("id", "loc").alias("first"))))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,10 +460,9 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component by five-word shingles stays, the one with the smallest id."""
-    place = with_locator(docs, "near-landed")
-    found = near_duplicates(place, width=5)
-    kept = found.filter(F.struct("id", "loc") == F.col("first")).select("loc")
-    return place.join(kept, F.col("_locator") == F.col("loc"), "left_semi").select(*docs.columns)
+    placed, place = with_locator(docs, "near-landed")
+    kept = _near(placed, place, width=5).filter(F.struct("id", "loc") == F.col("first")).select(F.col("loc").alias(place))
+    return placed.join(kept, place, "left_semi").select(*[placed[c] for c in docs.columns])
 
 
 def brute_force(texts: list[tuple[int, str | None]], width: int = 2, percent: int = 80) -> dict[int, int]:

@@ -25,24 +25,78 @@ _OWN: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) one temporary folder is made for the process.
+    Where the setting is absent, a local session gets one temporary folder for the process; a cluster has no folder that
+    all its machines see by default, so there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _OWN[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared scratch folder and read it back.
 
     A lost executor then costs only its own tasks, as the table is in shared storage.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, scratch(df.sparkSession, name))
+
+
+class Run:
+    """Tables of one run of an operator, in one scratch folder that ``finish`` removes."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.path, self.tables = spark, name, scratch(spark, name), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return _write(df, f"{self.path}/{self.tables:03d}-{name}")
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        """The result as a table of its own; those that it was made from go."""
+        out = written(result, self.name + "-result")
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return out
+
+
+# A key with at least this part of a table's rows is a frequent one; there are no more than HOT_PART such keys.
+HOT_PART = 200
+
+
+def join_unique(run: Run, left: DataFrame, right: DataFrame, key: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """Join the written table ``left`` with ``right``, which holds each key once, when few keys may hold most of ``left``.
+
+    The rows of frequent keys stay where they are and meet a broadcast of at most HOT_PART rows; all others are shuffled.
+    ``sizes`` (key, size) are the rows of each key, if they are known. ``how`` is inner or left.
+    """
+    sizes = left.groupBy(key).agg(F.count("*").alias("size")) if sizes is None else sizes
+    least = max(2, left.count() / HOT_PART)
+    hot = run.written(sizes.filter(F.col("size") >= least).select(key), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    often = left.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    return often.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(c):
@@ -100,13 +154,19 @@ def held_out(modulus: int, held: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(True))
 
 
-def with_locator(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with ``_locator``: the row's file and place in it, the same in every read.
+def with_locator(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with one column more, and its name: the row's place (hash of the file's path, row in it).
 
-    Rows of a plain file scan have it already; anything else is written to the scratch folder first.
+    It is the same in every read. Rows of a plain file scan have it already; anything else is written to the scratch
+    folder first. A column of the user's with that name, or one called ``_metadata``, stays what it is.
     """
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    column = free_name(docs, "_locator")
+
+    def placed(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.withColumn(column, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")))
+
     try:
-        return docs.withColumn("_locator", place)
+        return placed(docs), column
     except AnalysisException:
-        return written(docs, name).withColumn("_locator", place)
+        return placed(written(docs, name)), column
