@@ -1,17 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
 The words of all documents are shared among the sources by weight; a target stops at ``cap`` times its source's size
-and the excess is shared again by weight. Every document of a source is taken a whole number of times for certain. For
-the rest of the target the documents are ranked by their random odds divided by their inclusion odds (Pareto order
-sampling) and taken in this order up to the words that are missing; one more document closes the gap best.
-
-The random number of a document is a hash of its id and a seed, so reruns agree. ``weight_col`` gives unequal
-inclusion probabilities within a source. Ranks are not computed in one window: documents are counted by bins of their
-rank value, and only those of the bin in which a source's target is reached are ordered.
+and the excess is shared again by weight. Every document of a source is taken a whole number of times for certain. What
+is missing of the target is a sample with unequal probabilities: the inclusion probability of a document is in proportion
+to its size (or to ``weight_col``), such that the expected words are those missing. Where it would reach 1, one more copy
+is certain and the others' probabilities are raised. The rest are ranked by their random odds divided by their inclusion
+odds (Pareto order sampling) and taken in this order up to the words that are missing; one more document closes the gap
+best.
+
+The random number of a document is a hash of its id and a seed, so reruns agree. Ranks are not computed in one window:
+documents are counted by bins of their rank value, those of the bin in which a source's target is reached by finer bins,
+and only those of one fine bin are ordered. The rows of large sources are not brought together: they meet one row for
+each source by broadcast (``join_unique``). Only the table of one row for each source is ordered as a whole.
 
 Null texts have no words, null sources are a source of their own (the last), null ids count as one id. Documents
-without words are never drawn, their certain copies stay. Repeated rows share their rank and are taken one by one. An
-empty table gives an empty result. Extra columns are left alone.
+without words (or weight) are never drawn, their certain copies stay. Weights count to four significant digits. Repeated
+rows share their rank and are taken one by one. An empty table gives an empty result. Extra columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import WORD, read_table, with_locator, written
+from gradeloom.llm.common import WORD, Run, free_name, join_unique, read_table, with_locator
 
-BINS = 4096
+BINS = 4096  # and as many fine bins in each
 SEED = "mix-1"
 
 
@@ -55,51 +60,82 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     return w.select("key", "source", "source_size", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.coalesce(share, F.lit(0.0))).alias("target"))
 
 
+def inclusion_odds(levels: DataFrame) -> DataFrame:
+    """(key, limit, slope) from (key, m, words, rest): documents with m above ``limit`` are certain, others have slope * m.
+
+    The probability is min(1, slope * m), with the slope for which the expected words are ``rest``. In descending order of
+    m a level is certain if it would be so with all above it; the first that is not decides.
+    """
+    down = Window.partitionBy("key").orderBy(F.desc("m"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    measure = F.sum(F.col("m") * F.col("words")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    first = levels.select("key", "m", "rest", above.alias("above"), measure.alias("measure")).filter(F.col("m") * (F.col("rest") - F.col("above")) < F.col("measure"))
+    first = first.groupBy("key").agg(F.max(F.struct("m", "rest", "above", "measure")).alias("f"))
+    return first.select("key", F.col("f.m").alias("limit"), ((F.col("f.rest") - F.col("f.above")) / F.col("f.measure")).alias("slope"))
+
+
+def _edge(bins: DataFrame, before) -> DataFrame:
+    """(key, bin, before) of the bin in which the words of a source reach ``rest``, with the words before it."""
+    cum = F.sum("words").over(Window.partitionBy("key").orderBy("bin")) + before
+    bins = bins.select("key", "bin", "rest", (cum - F.col("words")).alias("before"), cum.alias("cum"))
+    bins = bins.filter((F.col("before") <= F.col("rest")) & (F.col("cum") > F.col("rest")))
+    return bins.groupBy("key").agg(F.min(F.struct("bin", "before")).alias("e")).select("key", F.col("e.bin").alias("bin"), F.col("e.before").alias("before"))
+
+
 def mix(docs: DataFrame, *keep: str, cap: int = 3, seed: str = SEED, weight_col: str | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents (``keep`` columns) with size, source_size, target and copies: how often the mix takes each."""
-    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
+    run = Run(docs.sparkSession, "mix")
+    w = F.col(weight_col).cast("double") if weight_col else None
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(w)) - 3) if weight_col else None
     base = docs.select(
         F.struct(*(keep or (id_col,))).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), source_col)).alias("key"),
-        n_words(F.col(text_col)).alias("size"), weight.alias("weight"), random_number(F.col(id_col), seed).alias("u"),
+        n_words(F.col(text_col)).alias("size"), random_number(F.col(id_col), seed).alias("u"),
+        F.coalesce(F.when(w > 0, F.round(w / unit) * unit), F.lit(0.0)).alias("m") if weight_col else F.lit(None).cast("double").alias("m"),
     )
-    base = written(base, "mix-base")
-    sizes = base.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("weight") * F.col("size")).alias("measure"))
-    targets = source_targets(sizes.select("key", "source", "source_size"), cap).join(sizes.select("key", "measure"), "key")
+    base = run.written(base, "base").withColumn("m", F.coalesce("m", F.col("size").cast("double")))
+    sources = base.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = run.written(sources, "sources")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(ratio), F.lit(cap)).cast("int")
-    targets = written(targets.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-targets").drop("source")
-    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("rest") * F.col("weight") / F.when(F.col("measure") > 0, F.col("measure"))))
-    q = F.coalesce((F.col("u") / (1 - F.col("u"))) / (p / (1 - p)), F.lit(float("inf")))
-    ranked = base.join(targets, "key").withColumn("q", q)
-    ranked = ranked.withColumn("bin", F.coalesce(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS)).cast("int"))
-    ranked = written(ranked, "mix-ranked")
-    drawable = ranked.filter((F.col("rest") > 0) & (F.col("size") > 0))
-    bins = drawable.groupBy("key", "bin", "rest").agg(F.sum("size").alias("words"))  # BINS + 1 rows a source at most
-    cum = F.sum("words").over(Window.partitionBy("key").orderBy("bin"))
-    # the bin in which the words reach the target, with the words before it
-    edge = bins.select("key", "bin", "rest", (cum - F.col("words")).alias("before"), cum.alias("cum")).filter((F.col("before") <= F.col("rest")) & (F.col("cum") > F.col("rest")))
-    edge = edge.groupBy("key").agg(F.min(F.struct("bin", "before")).alias("e")).select("key", F.col("e.bin").alias("edge"), F.col("e.before").alias("before"))
-    marked = ranked.join(edge, "key", "left")
-    can = (F.col("rest") > 0) & (F.col("size") > 0)
-    below = marked.filter(~(can & F.coalesce(F.col("bin") == F.col("edge"), F.lit(False)))).withColumn("drawn", can & (F.col("edge").isNull() | (F.col("bin") < F.col("edge"))))
-    run = F.sum("size").over(Window.partitionBy("key").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    within = marked.filter(can & (F.col("bin") == F.col("edge"))).withColumn("drawn", F.col("before") + run <= F.col("rest"))
-    drawn = written(below.unionByName(within), "mix-drawn")
+    targets = source_targets(sources.select("key", "source", "source_size"), cap).drop("source").withColumn("whole", whole)
+    targets = run.written(targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "targets")
+    # one row for each source and size
+    levels = base.filter((F.col("size") > 0) & (F.col("m") > 0)).groupBy("key", "m").agg(F.sum("size").alias("words"))
+    odds = inclusion_odds(levels.join(targets.filter("rest > 0").select("key", "rest"), "key"))
+    terms = run.written(targets.join(odds, "key", "left"), "terms")
+    rows_of = sources.select("key", F.col("n").alias("size"))
+    ranked = join_unique(run, base, terms, "key", sizes=rows_of)
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("slope") * F.col("m")))
+    q = F.when(F.col("m") > F.coalesce("limit", F.lit(0.0)), 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
+    can = (F.col("rest") > 0) & (F.col("size") > 0) & (F.col("m") > 0)
+    fine = F.floor(F.col("q") / (1 + F.col("q")) * BINS * BINS)
+    ranked = ranked.withColumn("can", can).withColumn("q", q).withColumn("fine", fine)
+    ranked = run.written(ranked.drop("source", "m", "u", "limit", "slope"), "ranked")
+    drawable = ranked.filter("can")
+    bins = drawable.groupBy("key", F.floor(F.col("fine") / BINS).alias("bin"), "rest").agg(F.sum("size").alias("words"))  # BINS + 1 rows a source at most
+    coarse = run.written(_edge(bins, F.lit(0)).withColumnRenamed("bin", "coarse"), "edges")
+    inside = join_unique(run, drawable, coarse, "key", sizes=rows_of).filter(F.floor(F.col("fine") / BINS) == F.col("coarse"))
+    bins = inside.groupBy("key", F.col("fine").alias("bin"), "rest", "before").agg(F.sum("size").alias("words"))
+    edge = run.written(_edge(bins, F.col("before")).withColumnRenamed("bin", "edge"), "edges")
+    marked = run.written(join_unique(run, ranked, edge, "key", "left", sizes=rows_of), "marked")
+    at_edge = F.coalesce(F.col("can") & (F.col("fine") == F.col("edge")), F.lit(False))
+    outside = marked.filter(~at_edge).withColumn("drawn", F.col("can") & (F.col("edge").isNull() | (F.col("fine") < F.col("edge"))))
+    line = F.sum("size").over(Window.partitionBy("key").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    within = marked.filter(at_edge).withColumn("drawn", F.col("before") + line <= F.col("rest"))
+    drawn = run.written(outside.unionByName(within).drop("edge", "before", "fine"), "drawn")
     # the one document more that closes the gap best, if any does
-    have = drawn.groupBy("key").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("have"))
+    have = run.written(drawn.groupBy("key").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("have")), "have")
     gap = F.col("rest") - F.col("have")
-    closer = drawn.filter(can & ~F.col("drawn")).join(have, "key").filter(F.abs(gap - F.col("size")) < gap)
-    closer = closer.groupBy("key").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("miss"), "q", "id", "size", "row")).alias("c"))
-    closer = closer.select(F.col("key"), F.col("c.q").alias("cq"), F.col("c.id").alias("cid"), F.col("c.size").alias("csize"), F.col("c.row").alias("crow"))
-    final = drawn.join(closer, "key", "left")
-    is_closer = F.col("cq").isNotNull() & (F.col("q") == F.col("cq")) & F.col("id").eqNullSafe(F.col("cid")) & (F.col("size") == F.col("csize")) & F.col("row").eqNullSafe(F.col("crow")) & ~F.col("drawn")
+    closer = join_unique(run, drawn, have, "key", sizes=rows_of).filter(F.col("can") & ~F.col("drawn") & (F.abs(gap - F.col("size")) < gap))
+    closer = closer.groupBy("key").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("miss"), "q", "id", "size", "row")).alias("c")).select("key", "c")
+    closer = run.written(closer, "closer")
+    final = join_unique(run, drawn, closer, "key", "left", sizes=rows_of)
+    closes = F.coalesce(~F.col("drawn") & F.struct("q", "id", "size", "row").eqNullSafe(F.struct("c.q", "c.id", "c.size", "c.row")), F.lit(False))
     # of rows that repeat an id, a text and all else, only one closes the gap
-    once = F.row_number().over(Window.partitionBy("key", "cid").orderBy("u")) == 1
-    rest = final.filter(~F.coalesce(is_closer, F.lit(False)))
-    same = final.filter(F.coalesce(is_closer, F.lit(False))).withColumn("drawn", once)
-    out = rest.unionByName(same)
-    return out.select("row.*", "size", "source_size", "target", (F.col("whole") + F.col("drawn").cast("int")).alias("copies"))
+    same = final.filter(closes).withColumn("drawn", F.row_number().over(Window.partitionBy("key").orderBy("q")) == 1)
+    out = final.filter(~closes).unionByName(same)
+    return run.finish(out.select("row.*", "size", "source_size", "target", (F.col("whole") + F.col("drawn").cast("int")).alias("copies")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +146,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it; the columns stay, documents that it does not take go."""
-    placed = with_locator(docs, "mix-landed")
-    taken = mix(placed, "_locator").filter(F.col("copies") > 0).select("_locator", "copies")
-    out = placed.join(taken, "_locator")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*docs.columns)
+    placed, place = with_locator(docs, "mix-landed")
+    copies, copy = free_name(placed, "copies"), free_name(placed, "copy")
+    taken = mix(placed, place).filter(F.col("copies") > 0).select(place, F.col("copies").alias(copies))
+    out = placed.join(taken, place).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`"))))
+    return out.select(*[out[f"`{c}`"] for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -137,9 +174,18 @@ s4 AS (SELECT *, (every - (sum(CASE WHEN capped THEN most ELSE 0 END) OVER ())::
 s5 AS (SELECT source, source_size, CASE WHEN capped THEN most::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS target FROM s4),
 s6 AS (SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END), 3)::BIGINT AS whole FROM s5),
 s7 AS (SELECT *, greatest(0.0::DOUBLE, target - whole * source_size) AS rest FROM s6),
-r0 AS (SELECT b.doc_id, b.size, b.u, s.*, greatest(1e-12::DOUBLE, least(1::DOUBLE - 1e-12::DOUBLE, s.rest / nullif(s.source_size, 0))) AS p
-       FROM base b JOIN s7 s ON b.source IS NOT DISTINCT FROM s.source),
-r1 AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q, rest > 0 AND size > 0 AS can FROM r0),
+l0 AS (SELECT source, size, sum(size)::BIGINT AS words FROM base WHERE size > 0 GROUP BY source, size),
+l1 AS (SELECT l.source, l.size, s.rest,
+              coalesce(sum(l.words) OVER (PARTITION BY l.source ORDER BY l.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+              sum(l.size::DOUBLE * l.words) OVER (PARTITION BY l.source ORDER BY l.size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS measure
+       FROM l0 l JOIN s7 s ON l.source IS NOT DISTINCT FROM s.source WHERE s.rest > 0),
+l2 AS (SELECT source, max(size) AS size FROM l1 WHERE size * (rest - above) < measure GROUP BY source),
+l3 AS (SELECT l1.source, l1.size AS most_drawn, (l1.rest - l1.above) / l1.measure AS slope
+       FROM l1 JOIN l2 ON l1.source IS NOT DISTINCT FROM l2.source AND l1.size = l2.size),
+r0 AS (SELECT b.doc_id, b.size, b.u, s.*, b.size > coalesce(l3.most_drawn, 0) AS certain,
+              greatest(1e-12::DOUBLE, least(1::DOUBLE - 1e-12::DOUBLE, l3.slope * b.size)) AS p
+       FROM base b JOIN s7 s ON b.source IS NOT DISTINCT FROM s.source LEFT JOIN l3 ON b.source IS NOT DISTINCT FROM l3.source),
+r1 AS (SELECT *, CASE WHEN certain THEN 0.0::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS q, rest > 0 AND size > 0 AS can FROM r0),
 r2 AS (SELECT *, can AND sum(CASE WHEN can THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id, size
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS drawn FROM r1),
 r3 AS (SELECT *, rest - sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM r2),
