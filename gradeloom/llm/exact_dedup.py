@@ -2,27 +2,31 @@
 
 A stream reads the documents and keeps, for each digest of the normalised text, a state on disk (RocksDB, checkpointed
 to the shared folder, never expired): the stable identifier of the copy that stays (the largest), the locator of its
-content (file and row) and the number of copies. Each micro-batch appends the changed states to a table. The members
-of groups are then compared byte by byte with the text at the locator; a digest that holds different texts is grouped
-again by the texts themselves, so that a collision can't merge documents.
+content (file and row) and the number of copies. The files are dealt to a few micro-batches, so later ones hit the state
+that earlier ones left. Each micro-batch appends the changed states to a table. The texts of all hits are then fetched by
+their locators and compared byte by byte with the text of the copy that stays; a digest that holds different texts is
+grouped again by the texts themselves, so that a collision can't merge documents. (The comparison is one join after the
+stream, not a look-up on each hit: the copy that stays is known only then, and the join reads each text once.)
 
 Normalisation: A-Z to lower case, nothing else; a null text counts as empty, so null and empty texts are copies of
 each other. Null ids are smaller than any other. Of rows that repeat an id and a text, one stays. Empty tables give an
-empty result. Extra columns are left alone.
+empty result. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import ascii_lower, read_table, scratch, written
+from gradeloom.llm.common import Run, ascii_lower, join_unique, read_table, scratch, with_locator
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # At most so many rows of a group are compared with the kept text in one task.
 SALT_ROWS = 10_000
+BATCHES = 4
 
 
 def sha256(text: Column) -> Column:
@@ -31,17 +35,26 @@ def sha256(text: Column) -> Column:
 
 def _located(docs: DataFrame, digest: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """(id, text, digest, locator); the locator is the row's place in its file, the same in every read."""
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).alias("id"), text.alias("t"), digest(text).alias("digest"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
+    text, meta = ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), docs.metadataColumn("_metadata")
+    return docs.select(F.col(id_col).alias("id"), text.alias("t"), digest(text).alias("digest"), F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias("locator"))
 
 
-def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 100_000) -> DataFrame:
+def _pattern(path: str) -> str:
+    """A pattern for ``path`` alone: as a pattern it may name one file as well as a folder of files."""
+    plain = re.sub(r"([*?{}\[\]\\])", r"\\\1", path.rstrip("/"))
+    at = max(i for i, c in enumerate(plain) if c.isalnum())
+    return f"{plain[:at]}[{plain[at]}]{plain[at + 1 :]}"
+
+
+def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
     """Run the stream over the Parquet table at ``path``: (digest, keep, group_size), one row for each digest.
 
     ``keep`` is the largest (id, locator). Micro-batches are written under their number, so a batch that is run again
-    after a failure overwrites itself.
+    after a failure overwrites itself. ``files_per_batch`` is a quarter of the files (``BATCHES``) if it is not given.
     """
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
+    schema = table.schema
+    files_per_batch = files_per_batch or max(1, -(-len(table.inputFiles()) // BATCHES))
     out, checkpoint = scratch(spark, "dedup-states"), scratch(spark, "dedup-checkpoint")
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -50,8 +63,7 @@ def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "400")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    # as a pattern, the path may name one file as well as a folder of files
-    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_pattern(path))
     states = _located(stream, digest, id_col, text_col).groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count("*").alias("group_size"))
 
     def save(batch: DataFrame, number: int) -> None:
@@ -70,25 +82,27 @@ def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     return seen.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 
-def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 100_000) -> DataFrame:
-    """One row for each document of the table at ``path``: id, locator, keep (id, locator), group_size, kept."""
-    states = group_states(spark, path, digest, id_col, text_col, files_per_batch)
+def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
+    """One row for each document of the table at ``path``: id, digest, locator, keep (id, locator), group_size, kept."""
+    run = Run(spark, "dedup")
+    states = run.written(group_states(spark, path, digest, id_col, text_col, files_per_batch), "states")
     docs = _located(spark.read.parquet(path), digest, id_col, text_col)
-    rows = docs.drop("t").join(states, "digest")  # split by AQE where one digest is frequent
-    bad = written(_mismatched(docs, states), "dedup-collisions")
+    hashed = run.written(docs.select("id", "digest", "locator"), "hashed")
+    rows = run.written(join_unique(run, hashed, states, "digest", sizes=states.select("digest", F.col("group_size").alias("size"))), "rows")
     result = rows.select("id", "digest", "locator", "keep", "group_size")
+    bad = run.written(_mismatched(run, docs.select("t", "locator"), rows), "collisions")
     if not bad.isEmpty():
-        again = docs.join(bad, "digest", "left_semi")
+        again = run.written(docs.join(bad, "digest", "left_semi"), "again")
         by_text = again.groupBy("digest", "t").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count("*").alias("group_size"))
         result = result.join(bad, "digest", "left_anti").unionByName(again.join(by_text, ["digest", "t"]).select("id", "digest", "locator", "keep", "group_size"))
-    return result.withColumn("kept", F.col("locator") == F.col("keep.locator"))
+    return run.finish(result.withColumn("kept", F.col("locator") == F.col("keep.locator")))
 
 
-def _mismatched(docs: DataFrame, states: DataFrame) -> DataFrame:
+def _mismatched(run: Run, texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Digests of groups in which some text differs from the kept one, compared in full."""
-    groups = states.filter(F.col("group_size") > 1).select("digest", "keep", "group_size")
+    groups = rows.filter(F.col("group_size") > 1).select("locator", "digest", "keep", "group_size")
     # written once, as it is read from both sides; only members of groups are in it
-    members = written(docs.join(groups, "digest"), "dedup-members")
+    members = run.written(texts.join(groups, "locator"), "members")
     # a frequent digest is dealt to several tasks; its kept text is copied to each of them
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     hits = members.select("digest", "t", F.pmod(F.xxhash64("locator"), salts).cast("int").alias("salt"))
@@ -107,9 +121,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: one document of each group of equal texts stays. The documents are landed for the stream."""
     path = scratch(spark, "dedup-landed")
     docs.write.parquet(path)
-    kept = dedup(spark, path).filter("kept").select("locator")
-    landed = spark.read.parquet(path).withColumn("_locator", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    return landed.join(kept, F.col("_locator") == F.col("locator"), "left_semi").select(*docs.columns)
+    kept = dedup(spark, path).filter("kept")
+    landed, place = with_locator(spark.read.parquet(path), "dedup-landed")
+    kept = kept.select(F.struct(F.xxhash64("locator.file").alias("file"), F.col("locator.row").alias("row")).alias(place))
+    return landed.join(kept, place, "left_semi").select(*[landed[f"`{c}`"] for c in docs.columns])
 
 
 ORACLE_SQL = """

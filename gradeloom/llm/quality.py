@@ -19,13 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gradeloom.llm.common import chunks, class_counts, held_out, read_table, training_sample, written
+from gradeloom.llm.common import chunks, class_counts, free_name, held_out, read_table, training_sample, written
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 2, 2
 BLOCKS = 64
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-SPACE = 16  # tokens between two documents in a flat array belong to neither
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -212,21 +212,21 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, m
     return fit(x, y, (weight / weight.mean()).astype(np.float32), vectors)
 
 
-def score_documents(docs: DataFrame, model: QualityModel | None, *keep: str) -> DataFrame:
-    """The ``keep`` columns with ``quality_score`` (0 to 1); the score of every text when there is no model is 0.5."""
+def score_documents(docs: DataFrame, model: QualityModel | None, *keep: str, score: str = "quality_score") -> DataFrame:
+    """The ``keep`` columns with the column ``score`` (0 to 1); the score of every text when there is no model is 0.5."""
     if model is None:
-        return docs.select(*keep, F.lit(0.5).alias("quality_score"))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.5).alias(score))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: the vectors and a small network
-    text = "text" if "text" in keep else "_text"
-    out = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
-    kept = docs.select(*keep)
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in kept.dtypes)}, quality_score double"
+    text = free_name(docs, "_text")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text))
+    schema = StructType([*kept.schema.fields, StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, m = Buckets(), shared.value
         for batch, texts in chunks(batches, text):
             s = m.score(pooled(texts, m.vectors, buckets)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], names=[*keep, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], names=[*keep, score])
 
     return out.mapInArrow(run, schema)
 
@@ -242,5 +242,6 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored below 0.3 go; the columns stay."""
-    model = learn(docs, read_table(spark, sf_dir, "labels"))
-    return score_documents(docs, model, *docs.columns).filter(F.col("quality_score") >= 0.3).select(*docs.columns)
+    model, score = learn(docs, read_table(spark, sf_dir, "labels")), free_name(docs, "quality_score")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return score_documents(docs, model, *docs.columns, score=score).filter(F.col(score) >= 0.3).select(*columns)

@@ -222,7 +222,10 @@ def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, round_trip): each document encoded, its ids summed up, and decoded again."""
+    """(doc_id, n_tokens, ids_crc32, round_trip): each document encoded, its ids summed up, and decoded again.
+
+    The model writes spaces as its mark character, so a text that holds that character itself is not given back.
+    """
     rows = docs.select("doc_id", F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +236,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 ids = np.frombuffer(raw, m.dtype)
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                same.append(m.decode(ids.tolist()) == t.replace(MARK, " "))
+                same.append(m.decode(ids.tolist()) == t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_crc32 long, round_trip boolean")

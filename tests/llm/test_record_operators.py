@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import ann, chosen_path, exact_dedup, mixing, queries, sharding
+import corpus_pipeline
+from gradeloom.llm import ann, chosen_path, common, exact_dedup, mixing, queries, sharding
 
 SF = "/root/testdata/sf0.01"
 
@@ -251,11 +252,84 @@ def test_mixing_odd_rows(spark):
     assert out.columns == docs_of(spark, ODD).columns and out.count() > 0
 
 
+# -- odd columns and tables in every stage
+
+CLASHES = ["loc", "locator", "copies", "copy", "_copy", "_locator", "_locator_", "quality_score", "_text", "digest", "row", "first", "_metadata", "key.with.dot"]
+
+
+def test_stages_with_clashing_columns_odd_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame(
+        [(i, t, "en", s, 0, *[f"{c}-{n}" for c in CLASHES]) for n, (i, t, s) in enumerate(ODD)],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES),
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF).collect()
+        assert rows and rows[0].__fields__ == docs.columns, name
+        assert set(map(tuple, rows)) <= set(map(tuple, docs.collect())), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    encode = corpus_pipeline.STAGES[-1][1]
+    assert encode(spark, docs, SF).count() == len(ODD) and encode(spark, docs.limit(0), SF).count() == 0
+
+
+def test_very_long_texts_in_every_stage(spark):
+    """Several MB without any space, and several MB of words, twice each."""
+    rng = np.random.default_rng(8)
+    words = " ".join(f"w{k}" for k in rng.integers(0, 10**6, 400_000))
+    rows = [(1, "x" * 3_000_000, "a"), (2, "x" * 3_000_000, "a"), (3, words, "b"), (4, words + " end", "b"), (5, "short text of a few words", "b")]
+    docs = docs_of(spark, rows)
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup_stage(spark, docs, SF).collect()) == [2, 3, 4, 5]
+    assert sorted(r["doc_id"] for r in chosen_path.near_dedup_stage(spark, docs, SF).collect()) == [1, 3, 5]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() >= 0, name
+
+
+def test_large_sets_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "GROUP_SHINGLES", 2_000)
+    rows = [(i, t, "s") for i, t in enumerate(near_group(60))]
+    group = chosen_path._bounded(list(range(6)), [900, 10, 950, 1000, 20, 990], 80)
+    pairs = {frozenset((p[i], p[j])) for p in group for i in range(len(p)) for j in range(i)}
+    assert {frozenset(x) for x in [(0, 2), (0, 3), (0, 5), (2, 3), (2, 5), (3, 5)]} <= pairs and max(map(len, group)) < 6
+    got = {r["id"]: r["first"]["id"] for r in chosen_path.near_duplicates(docs_of(spark, rows), width=2).collect()}
+    assert got == chosen_path.brute_force([(i, t) for i, t, _ in rows])
+
+
+@pytest.mark.parametrize("most", [3, 500_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, most):
+    """Long paths and stars in random order, also when a task may keep hardly any links."""
+    monkeypatch.setattr(chosen_path, "FOREST_ROWS", most)
+    names = [np.random.default_rng(k).bytes(16) for k in range(160)]
+    edges = [(names[k], names[k + 1]) for k in range(59)] + [(names[60], names[k]) for k in range(61, 120)]
+    links = spark.createDataFrame([(bytearray(min(e)), bytearray(max(e))) for e in edges], "a binary, b binary").repartition(7)
+    got = {bytes(r["digest"]): bytes(r["root"]) for r in chosen_path.components(common.Run(spark, "t"), links).collect()}
+    want = {n: min(names[:60]) for n in names[:60]} | {n: min(names[60:120]) for n in names[60:120]}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_scratch_needs_a_shared_folder_on_clusters(monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.scratch(Cluster, "x")
+
+
+def test_odd_paths_of_the_stream():
+    assert exact_dedup._pattern("s3a://b/docs/") == "s3a://b/doc[s]" and exact_dedup._pattern("/a[1]/x*") == "/a\\[1\\]/[x]\\*"
+
+
 # -- pipeline
 
 
+def test_run_is_the_stages_in_turn(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens").collect()
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert rows and sorted(map(tuple, rows)) == sorted(map(tuple, docs.select("doc_id", "n_tokens").collect()))
+
+
 def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
     from gradeloom.llm import sentence_piece
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
