@@ -4,7 +4,8 @@ Texts are folded to plain letters (look-alike letters, accents, digits standing
 one space, and lexicon terms are anchored at word starts. The weights of the hits are divided by the length of the
 text, hits inside exception phrases are cancelled, and a one-variable logistic curve turns the density into a score.
 
-Lexicon, exceptions and curve are learned from labelled rows only; ids, language and source are never inputs.
+Lexicon, exceptions and curve are learned from labelled rows only; ids, language and source are never inputs. Exceptions
+are phrases of one to three words around a term that are found mostly in clean rows.
 Null or empty texts have density 0 and get the curve's value there. Repeated rows get equal scores. Without usable
 labels the fixed seed terms and a default curve are used.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import chunks, class_counts, held_out, read_table, training_sample
+from gradeloom.llm.common import chunks, class_counts, held_out, read_table, training_sample, written
 
 # Letters and digits that stand for another letter.
 LOOK_ALIKE = {
@@ -93,9 +95,13 @@ def hits(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int,
             barred.append((start, end))
         elif start not in best or best[start][0] < end:
             best[start] = (end, w)
-    if barred:
-        return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in barred)]
-    return [(s, e, w) for s, (e, w) in best.items()]
+    barred.sort()
+    starts, reach, most = [a for a, _ in barred], [], -1
+    for _, b in barred:
+        most = max(most, b)
+        reach.append(most)
+    # an exception covers a hit if the farthest end of those that start no later is no earlier than the hit's
+    return [(s, e, w) for s, (e, w) in best.items() if not (k := bisect_right(starts, s)) or reach[k - 1] < e]
 
 
 def density(folded: str, automaton: ahocorasick.Automaton, smooth: float) -> float:
@@ -128,13 +134,23 @@ def _count_rows(found: tuple[Counter, Counter]) -> pa.RecordBatch:
     )
 
 
+def phrases(folded: str, automaton: ahocorasick.Automaton) -> set[str]:
+    """The words with a hit, alone and with the word before, the word after and both."""
+    out = set()
+    for start in {s for s, *_ in hits(folded, automaton)}:
+        end = folded.find(" ", start + 1)
+        before, after = folded.rfind(" ", 0, start), folded.find(" ", end + 1)
+        out |= {folded[a : b + 1] for a in {start, before if 0 <= before < start - 1 else start} for b in {end, after if after > end + 1 else end}}
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, max_rows: int = 16_000, min_share: float = 0.015, min_precision: float = 0.75) -> ToxicityModel:
     """Learn terms, exceptions and curve from at most ``max_rows`` labelled rows (half of each class).
 
     A term needs ``min_share`` of the toxic rows (3 at least) and ``min_precision`` among the rows that hold it.
-    Words that start with a chosen term but are found mostly in clean rows become exceptions.
+    Phrases around a term that as many clean rows hold, and most of them clean, become exceptions.
     """
-    sample = training_sample(docs, labels, "toxic", modulus, held, max_rows)
+    sample = written(training_sample(docs, labels, "toxic", modulus, held, max_rows), "toxicity-sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     model = ToxicityModel({f" {fold(t).strip()}": 3.0 for t in SEED})
@@ -146,13 +162,17 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
     rate = (F.col("a") / toxic) / (F.col("a") / toxic + F.col("b") / clean)
     rows = counts.filter((F.col("a") >= need) & (rate >= min_precision)).orderBy(F.desc("a"), F.length("term").desc(), "term").limit(20_000).collect()
     model.terms |= choose_terms([(r["term"], r["a"], r["b"]) for r in rows], toxic, clean)
-    words = counts.filter(F.col("term").endswith(" ") & (F.col("b") >= need) & (rate < 0.5))
-    starts = [t for t in model.terms if not t.endswith(" ")]
-    if starts:
-        begins = F.lit(False)
-        for t in starts:
-            begins = begins | F.col("term").startswith(t)
-        model.exceptions = [r["term"] for r in words.filter(begins).orderBy(F.desc("b"), "term").limit(5_000).select("term").collect()]
+    terms = ToxicityModel(dict(model.terms))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, found = terms.automaton(), (Counter(), Counter())
+        for batch, texts in chunks(batches, "text"):
+            for text, label in zip(texts, batch.column("label").to_pylist()):
+                found[label].update(phrases(fold(text), automaton))
+        yield _count_rows(found)
+
+    counts = sample.mapInArrow(around, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    model.exceptions = [r["term"] for r in counts.filter((F.col("b") >= need) & (rate < 0.5)).orderBy(F.desc("b"), "term").limit(5_000).select("term").collect()]
     seen = densities(sample, model, "label").select("density", "label").collect()
     prior = class_counts(labels, "toxic", modulus, held)
     d, y = np.array([r[0] for r in seen]), np.array([r[1] for r in seen], float)

@@ -24,6 +24,19 @@ def accuracy(df, labels, name, held):
     return np.mean([r[0] == r[1] for r in rows])
 
 
+def ranking(df, labels, name, held):
+    """Precision and recall of label 1 among held-out rows, and the area under the curve of the score."""
+    rows = df.filter(held).join(labels.filter(F.col(name).isNotNull()), "doc_id").select("predicted", name, "score").collect()
+    hit = sum(r[0] == 1 == r[1] for r in rows)
+    ones, zeros = [r[2] for r in rows if r[1] == 1], [r[2] for r in rows if r[1] == 0]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
+    return hit / max(1, sum(r[0] for r in rows)), hit / len(ones), auc
+
+
+def id_text(spark, sf=SF):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
 # -- toxicity
 
 
@@ -47,6 +60,62 @@ def test_toxicity_on_held_out_rows(spark):
     assert accuracy(out, labels, "toxic", F.col("held_out")) > 0.93
 
 
+def plain_density(text, model):
+    """Every term and exception tried at every place, without the automaton."""
+    f, best, barred = toxicity.fold(text), {}, []
+    lengths = {len(t) for t in model.terms}
+    for s in [i for i, c in enumerate(f) if c == " "]:
+        ends = [s + n - 1 for n in lengths if f[s : s + n] in model.terms]
+        if ends:
+            best[s] = (max(ends), model.terms[f[s : max(ends) + 1]])
+    for e in model.exceptions:
+        at = f.find(e)
+        while at >= 0:
+            barred.append((at, at + len(e) - 1))
+            at = f.find(e, at + 1)
+    kept = [w for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in barred)]
+    return sum(kept) / (f.count(" ") + model.smooth), len(kept)
+
+
+def test_toxicity_equals_plain_search(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    model.exceptions += [" of the ", " the ", " a bad day "]
+    model.terms |= {" th": 0.5, " the ": 0.7}
+    got, texts = toxicity.densities(docs, model).collect(), id_text(spark)
+    for r in got:
+        d, n = plain_density(texts[r["doc_id"]], model)
+        assert r["density"] == pytest.approx(d) and r["n_hits"] == n
+    assert len(got) == len(texts) and sum(r["n_hits"] for r in got) > 100
+
+
+def test_exception_phrases_are_learned(spark):
+    assert toxicity.phrases(" the rotten appie feii ", toxicity.ToxicityModel({" rotten": 2.0}).automaton()) == {" rotten ", " the rotten ", " rotten appie ", " the rotten appie "}
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("bcdfgh"), 9))
+    rows = [(i, f"{word()} rotten {word()}" if i < 300 else f"{word()} rotten apple {word()}" if i < 400 else f"{word()} {word()}") for i in range(1_200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i < 300)) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.terms and " rotten appie " in model.exceptions and " rotten " not in model.exceptions
+    found = [len(toxicity.hits(toxicity.fold(t), model.automaton())) for t in ("a r0tten apple", "a rotten thing, a rotten apple", "rotten")]
+    assert found == [0, 1, 1]
+
+
+def test_covered_hits_of_many_exceptions():
+    rng = np.random.default_rng(0)
+    words = ["bad", "good", "badly", "ok", "so"]
+    model = toxicity.ToxicityModel({" bad": 1.0, " so ": 2.0}, [" ok bad ", " badly so ", " good "])
+    for _ in range(300):
+        t = " ".join(rng.choice(words, 12))
+        got = toxicity.hits(toxicity.fold(t), model.automaton())
+        assert (sum(w for *_, w in got) / (toxicity.fold(t).count(" ") + model.smooth), len(got)) == pytest.approx(plain_density(t, model))
+
+
+def test_toxicity_ranks_held_out_rows(spark):
+    precision, recall, auc = ranking(toxicity.op1_toxicity(spark, SF), spark.read.parquet(f"{SF}/labels.parquet"), "toxic", F.col("held_out"))
+    assert precision > 0.8 and recall > 0.6 and auc > 0.9
+
+
 def test_toxicity_odd_rows(spark):
     got = toxicity.densities(odd_docs(spark), toxicity.ToxicityModel({" word": 3.0})).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
@@ -68,6 +137,57 @@ def test_quality_on_held_out_rows(spark):
     assert accuracy(out, spark.read.parquet(f"{SF}/labels.parquet"), "quality", F.col("held_out")) > 0.9
 
 
+def plain_tokens(text):
+    """As the operator cuts texts; each token's row of the table."""
+    b = quality.Buckets()
+    return [b[t] for t in quality.TOKEN.findall(text.lower())] if quality_lowers() else [b[t] for t in quality.TOKEN.findall(text)]
+
+
+def quality_lowers():
+    ids, _ = quality.tokens(["ABC", "abc"], quality.Buckets())
+    return ids[0] == ids[1]
+
+
+def test_word_vectors_pooling_and_network_equal_plain_loops(spark):
+    texts = [t for t in id_text(spark, "/root/testdata/sf0.001").values()][:40] + ["", "one", "two words"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pos, sign = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        ids = plain_tokens(t)
+        for i in range(len(ids)):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                if i != j:
+                    for k in range(quality.NONZERO):
+                        want[ids[i], pos[ids[j], k]] += sign[ids[j], k]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    want = np.divide(want, norm, out=np.zeros_like(want), where=norm > 0)
+    vectors = quality.word_vectors(docs)
+    assert np.allclose(vectors, want, atol=1e-6)
+    pooled = quality.pooled(texts, vectors, quality.Buckets())
+    for t, got in zip(texts, pooled):
+        v = want[plain_tokens(t)]
+        if not len(v):
+            assert not got.any()
+            continue
+        near = (v[1:] * v[:-1]).sum(0) / len(v)
+        plain = np.concatenate([v.mean(0), v.std(0), near, [near.sum(), np.linalg.norm(v.mean(0))]])
+        assert np.allclose(got, plain, atol=2e-3)
+    rng = np.random.default_rng(1)
+    n = pooled.shape[1]
+    m = quality.QualityModel(vectors, rng.normal(size=n), rng.uniform(1, 2, n), rng.normal(size=(n, 4)), rng.normal(size=4), rng.normal(size=4), 0.3, 1.7)
+    for x, got in zip(pooled, m.score(pooled)):
+        hidden = [max(0.0, sum((x[i] - m.mean[i]) / m.scale[i] * m.w1[i, j] for i in range(n)) + m.b1[j]) for j in range(4)]
+        assert got == pytest.approx(1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, m.w2)) + m.b2) / m.temperature)), rel=1e-4)
+    rows = {r["doc_id"]: r["quality_score"] for r in quality.score_documents(docs, m, "doc_id").collect()}
+    assert np.allclose([rows[i] for i in range(len(texts))], m.score(pooled), atol=1e-6)
+
+
+def test_quality_ranks_held_out_rows(spark):
+    precision, recall, auc = ranking(quality.op2_quality(spark, SF), spark.read.parquet(f"{SF}/labels.parquet"), "quality", F.col("held_out"))
+    assert precision > 0.8 and recall > 0.8 and auc > 0.9
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0, 0), (3, 1, 0), (4, 1, 0), (6, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     model = quality.learn(odd_docs(spark), labels)
@@ -126,9 +246,38 @@ def test_round_trip_of_odd_rows(spark):
     assert sentence_piece.encode_documents(docs.limit(0), path).count() == 0
 
 
+def test_query_of_pieces_on_all_documents(spark):
+    import sentencepiece
+
+    ref, texts = sentencepiece.SentencePieceProcessor(model_file=sentence_piece.default_model()), id_text(spark)
+    rows = sentence_piece.op5_sentence_piece(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        ids = ref.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_crc32"], r["round_trip"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ref.decode(ids) == texts[r["doc_id"]])
+
+
+def test_a_text_with_the_mark_is_not_given_back(spark):
+    docs = spark.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["round_trip"] for r in sentence_piece.digests(docs, sentence_piece.default_model()).collect()} == {1: False, 2: True}
+
+
 # -- token files
 
 
+def test_query_of_token_files_on_all_documents(spark):
+    from tokenizers import Tokenizer
+
+    texts, start = id_text(spark), 0
+    ref = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = token_file.op7_token_file(spark, SF).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == sorted(texts)
+    for r in rows:
+        ids = [*ref.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_word_encoder_equals_whole_texts(texts):
     from tokenizers import Tokenizer
 
@@ -246,4 +395,18 @@ def test_field_adds_spans_and_leaves_plain_text_alone(texts):
 def test_pii_odd_rows(spark):
     got = pii.find(odd_docs(spark), pii.train(pii.labelled_rows())).collect()
     assert len(got) == len(ODD) and not any(r["base"] for r in got)
-    assert pii.op8_pii(spark, SF).count() == 1000
+
+
+def test_query_of_personal_data_on_all_documents(spark):
+    import hashlib
+
+    texts = id_text(spark)
+    rows = pii.op8_pii(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        base = sorted(plain_spans(texts[r["doc_id"]]), key=lambda x: (list(BASE).index(x[0]), x[1]))
+        line = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert hashlib.sha256(",".join(line).encode()).hexdigest() == r["base_sha256"]
+        assert [r[f"n_{k}"] for k in BASE] == [sum(x[0] == k for x in base) for k in BASE]
+        every = r["spans"].split(",") if r["spans"] else []
+        assert set(line) <= set(every) and len(every) == len(line) + r["n_added"]
