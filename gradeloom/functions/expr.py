@@ -180,6 +180,13 @@ def clean_username(c: Column) -> Column:
     return F.when(raw.rlike(ok), raw).when(latin.rlike(ok), latin).otherwise("")
 
 
+def given_name_keys(c: Column, both: bool) -> Column:
+    """Keys that two given names share if ``confirms_given_name`` holds; ``both`` adds the full forms of short names."""
+    table = F.create_map(*[F.lit(x) for kv in SHORT_NAMES.items() for x in kv])
+    keys = [F.concat(F.lit("="), c), F.when(F.length(c) >= 4, F.concat(F.lit("^"), F.substring(c, 1, 4)))]
+    return F.array_compact(F.array(*keys, F.concat(F.lit("="), F.element_at(table, c)))) if both else F.array_compact(F.array(*keys))
+
+
 def confirms_given_name(a: Column, b: Column) -> Column:
     """Exact, diminutive or ''."""
     table = F.create_map(*[F.lit(x) for kv in SHORT_NAMES.items() for x in kv])
@@ -206,8 +213,18 @@ def validate_free(c: Column, limit: int = 1000) -> Column:
 
 
 def path_key(c: Column) -> Column:
-    """A path in lower case, separators as underscores, without the notebook suffix."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text(c)), r"\.ipynb$", ""), r"[\s\-./\\]+", "_")
+    """A path in lower case without the notebook suffix, its words joined by underscores; folders stay apart."""
+    return name_hint(F.regexp_replace(F.lower(text(c)), r"\.ipynb$", ""))
+
+
+def squash_ends(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def name_hint(c: Column) -> Column:
+    """A name or hint to compare: lower case, spaces, hyphens and dots as underscores; slashes stay."""
+    return F.regexp_replace(F.lower(c), r"[\s\-.]+", "_")
 
 
 def folder_topic(c: Column) -> Column:
@@ -352,11 +369,15 @@ def external_links(links: Column) -> Column:
     return F.filter(links, lambda x: x["url"].startswith("http"))
 
 
-def why_paragraph(body: Column, mark: str = "**") -> Column:
-    """The paragraph that starts with the mark, else the second one."""
-    parts = F.filter(F.split(text(body), "\n\n"), lambda p: F.trim(p) != "")
-    marked = F.filter(parts, lambda p: F.trim(p).startswith(mark))
-    return F.when(F.size(marked) > 0, F.get(marked, F.lit(0))).otherwise(F.get(parts, F.lit(1)))
+# Fixed value: the heading of the paragraph that says why a finding matters.
+WHY = "**Почему это важно.**"
+
+
+def why_paragraph(body: Column, heading: str = WHY) -> Column:
+    """The paragraph under the heading, without it; else the second paragraph; else ''."""
+    parts = F.split(text(body), "\n\n")
+    found = F.get(F.filter(parts, lambda p: F.startswith(p, F.lit(heading))), F.lit(0))
+    return F.when(found.isNotNull(), squash_ends(F.substring(found, len(heading) + 1, 1 << 30))).otherwise(squash_ends(text(F.get(parts, F.lit(1)))))
 
 
 def earlier_of(a_name: Column, a: Column, b_name: Column, b: Column) -> Column:

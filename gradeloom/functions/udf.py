@@ -110,12 +110,16 @@ def indel(a: str, b: str) -> float:
     """100 * 2 * LCS / (len a + len b); 100 for two empty strings."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    # one bit for each place of a: zeros of ``rest`` mark the ends of a longest common subsequence
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rest = full
+    for y in b:
+        both = rest & at.get(y, 0)
+        rest = ((rest + both) | (rest - both)) & full
+    return 200.0 * (len(a) - rest.bit_count()) / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())

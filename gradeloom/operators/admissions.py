@@ -77,6 +77,11 @@ def articles_index(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("hw").agg(F.min(group).alias("ord"), F.transform(F.array_sort(F.collect_list(F.struct("title", "code"))), lambda s: s["title"]).alias("titles")).orderBy("ord").drop("ord")
 
 
+def allowed_urls(catalog: DataFrame) -> DataFrame:
+    """(url) that a portrait may point to: every external link of the catalog, once."""
+    return links_by_topic(catalog).select("url").distinct()
+
+
 def links_by_topic(catalog: DataFrame) -> DataFrame:
     """(hw, url, title): external links of a topic's articles once, with their first title."""
     links = catalog.select("hw", F.explode(X.external_links(X.extract_links(F.col("body")))).alias("x"))

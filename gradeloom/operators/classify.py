@@ -12,12 +12,15 @@ def score_topics(notebooks: DataFrame, signatures: DataFrame) -> DataFrame:
     """Notebooks (nb, name, text) by topics (topic, strong[], weak[], filename[]), a small dimension.
 
     2 * share of strong hits + 1 * share of weak hits + 0.6 if a file name hint is met, rounded half-even to 3 places.
+    Words are compared with the text as they are written; names and their hints without case and kinds of separators.
+    Topics are those of a course, a few rows by nature.
     """
-    low = F.lower(X.text(F.col("text")))
-    rows = notebooks.withColumn("_low", low).withColumn("_name", X.path_key(F.col("name"))).crossJoin(F.broadcast(signatures))
-    share = lambda c: F.when(F.size(c) > 0, F.size(F.filter(c, lambda w: F.contains(F.col("_low"), w))) / F.size(c)).otherwise(0.0)
-    strong = F.size(F.filter("strong", lambda w: F.contains(F.col("_low"), w)))
-    by_name = F.exists("filename", lambda w: F.contains(F.col("_name"), w))
+    rows = notebooks.withColumn("_text", X.text(F.col("text"))).withColumn("_name", X.path_key(F.col("name")))
+    rows = rows.crossJoin(F.broadcast(signatures.withColumn("_hints", F.transform("filename", X.name_hint))))
+    hits = lambda c: F.size(F.filter(c, lambda w: F.contains(F.col("_text"), w)))
+    share = lambda c: F.when(F.size(c) > 0, hits(c) / F.size(c)).otherwise(0.0)
+    strong = hits(F.col("strong"))
+    by_name = F.exists("_hints", lambda w: F.contains(F.col("_name"), w))
     score = F.bround(2 * share(F.col("strong")) + share(F.col("weak")) + F.when(by_name, 0.6).otherwise(0.0), 3)
     return rows.select("nb", "topic", score.alias("score"), strong.cast("int").alias("strong_hits"), by_name.alias("filename_hit"))
 
@@ -84,9 +87,10 @@ def systematic_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFr
 
 
 def dedup_by_content(rows: DataFrame, scope: str, digest: str, order: str) -> DataFrame:
-    """The first row of each (scope, digest) wins; the others point to it."""
-    w = Window.partitionBy(scope, digest).orderBy(order)
-    return rows.withColumn("winner", F.first_value(order).over(w)).withColumn("kept", F.row_number().over(w) == 1)
+    """The first row of each (scope, digest) wins; the others point to it. ``order`` tells rows of a group apart."""
+    winners = rows.groupBy(F.col(scope).alias("_scope"), F.col(digest).alias("_digest")).agg(F.min(order).alias("winner"))
+    both = rows.join(winners, F.col(scope).eqNullSafe(F.col("_scope")) & F.col(digest).eqNullSafe(F.col("_digest")))
+    return both.drop("_scope", "_digest").withColumn("kept", F.col(order) == F.col("winner"))
 
 
 def search_articles(catalog: DataFrame, query: str, n: int = 30) -> DataFrame:

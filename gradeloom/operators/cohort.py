@@ -166,8 +166,76 @@ def student_digest(hw: DataFrame, findings: DataFrame, catalog: DataFrame) -> Da
     return topic.groupBy("key").agg(X.ordered_join(F.col("hw"), F.col("t"), "\n\n").alias("digest"))
 
 
+def digest_whole(students: DataFrame, hw: DataFrame, findings: DataFrame, catalog: DataFrame, topics: DataFrame, ratio: float = X.PASS_RATIO) -> DataFrame:
+    """A24 with all its parts: (key, digest) for students (key, passed, total, certified) with some submission.
+
+    ``hw``: key, hw, status, required_passed, required_total, summary, strengths. ``findings``: key, hw, code, severity,
+    title, comment. ``topics``: hw, title, graded. Comments are cut at 200 characters and kept for methodology only.
+    Findings are those of one topic of one student, topics those of a course.
+    """
+    kind = F.coalesce("kind", F.lit("methodology"))
+    rows = findings.join(catalog.select("code", "kind"), "code", "left")
+    comment = F.when((kind == "methodology") & (X.text(F.col("comment")) != ""), F.concat(F.lit(": "), F.substring("comment", 1, 200))).otherwise("")
+    line = F.concat(F.lit("- "), "code", F.lit(" — "), "title", F.lit(" ["), "severity", F.lit(", "), kind, F.lit("]"), comment)
+    listed = F.array_sort(F.collect_list(F.struct(X.severity_rank(F.col("severity")).alias("r"), "code", line.alias("line"), F.concat("code", F.lit(" — "), "title").alias("why"))))
+    found = rows.groupBy("key", "hw").agg(listed.alias("f"))
+    need = X.points_needed(F.lit(ratio), F.col("required_total"))
+    some = F.col("required_total") > 0
+    why = F.concat(F.when(some & (F.col("required_passed") < need), F.array(F.lit("too few points"))).otherwise(F.array().cast("array<string>")), F.transform(F.filter(F.coalesce("f", F.array().cast(found.schema["f"].dataType)), lambda x: x["r"] == 0), lambda x: x["why"]))
+    head = F.concat(F.lit("## "), "hw", F.lit(" · "), F.coalesce("title", "hw"), F.when(F.coalesce("graded", F.lit(True)), "").otherwise(" (not graded)"))
+    text = lambda label, c: F.when(X.text(F.col(c)) != "", F.concat(F.lit(label), F.col(c)))
+    body = F.concat_ws(
+        "\n", F.concat(head, F.lit(" — "), "status"), F.when(some, F.concat(F.lit("Items: "), "required_passed", F.lit(" of "), "required_total", F.lit(" (needed "), need.cast("int"), F.lit(")"))),
+        F.when(F.col("status") == "failed", F.concat(F.lit("Why failed: "), F.array_join(why, "; "))), text("Summary: ", "summary"), text("Strengths: ", "strengths"),
+        F.when(F.size("f") > 0, F.concat(F.lit("Findings:\n"), F.array_join(F.transform("f", lambda x: x["line"]), "\n"))),
+    )
+    topic = hw.join(found, ["key", "hw"], "left").join(F.broadcast(topics), "hw", "left")
+    topic = topic.select("key", "hw", F.when(F.col("status") == "missing", F.concat(head, F.lit("\nnot submitted"))).otherwise(body).alias("t"), (F.col("status") != "missing").alias("there"))
+    per = topic.groupBy("key").agg(X.ordered_join(F.col("hw"), F.col("t"), "\n\n").alias("topics"), F.max("there").alias("there")).filter("there")
+    first = F.concat(F.lit("# Student "), F.col("key").cast("string"), F.lit("\nPassed: "), "passed", F.lit(" of "), "total", F.lit(". Certificate: "), F.when(F.col("certified"), "yes").otherwise("no"))
+    return per.join(students, "key").select("key", F.concat_ws("\n\n", first, "topics").alias("digest"))
+
+
+def chapters(hw: DataFrame, topics: DataFrame, topic_links: DataFrame, handbook: str = "handbook", n: int = 5) -> DataFrame:
+    """(key, place, hw, title, url): a chapter for each failed graded topic, the handbook's first, each once.
+
+    ``topic_links``: hw, title, url.
+    """
+    best = topic_links.groupBy("hw").agg(F.min(F.struct((~F.col("url").contains(handbook)).alias("o"), "title", "url")).alias("b"))
+    failed = hw.filter(F.col("status") == "failed").join(topics.filter("graded").select("hw"), "hw", "left_semi").select("key", "hw")
+    rows = failed.join(F.broadcast(best), "hw").select("key", "hw", F.col("b.title").alias("title"), F.col("b.url").alias("url"))
+    once = rows.groupBy("key", "title", "url").agg(F.min("hw").alias("hw"))
+    w = Window.partitionBy("key").orderBy("hw", "url")
+    return once.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("key", "place", "hw", "title", "url")
+
+
+def plan_lines(top: DataFrame, growth: DataFrame, n: int = 5) -> DataFrame:
+    """(key, place, title, source): a portrait's growth points (key, pos, title) where there are some, else the top codes (plan_top)."""
+    grown = growth.filter(F.col("pos") < n).select("key", (F.col("pos") + 1).alias("place"), "title", F.lit("portrait").alias("source"))
+    codes = top.filter("kind = 'methodology'").join(growth.select("key").distinct(), "key", "left_anti")
+    return grown.unionByName(codes.select("key", "place", F.col("code").alias("title"), F.lit("codes").alias("source")))
+
+
+def unbound_names(passed: DataFrame, bindings: DataFrame, n: int = 40) -> DataFrame:
+    """The first ``n`` active students without a binding, by name."""
+    return passed.join(bindings.select("key"), "key", "left_anti").select("key", "fio").orderBy("fio", "key").limit(n)
+
+
+def demo_audience(bindings: DataFrame) -> DataFrame:
+    """(tg_id, label) of accounts that are bound to demo students only (bindings: tg_id, tg_name, demo)."""
+    real = bindings.filter(~F.coalesce("demo", F.lit(False))).select("tg_id")
+    rows = bindings.filter(F.coalesce("demo", F.lit(False))).join(real, "tg_id", "left_anti")
+    return rows.groupBy("tg_id").agg(F.coalesce(F.nullif(F.min("tg_name"), F.lit("")), F.first(F.col("tg_id").cast("string"))).alias("label"))
+
+
+def own_audience(bindings: DataFrame, who: int | None) -> DataFrame:
+    """(tg_id, label) of the sender alone; nobody if there is none."""
+    me = bindings.sparkSession.createDataFrame([(who, "you")] if who else [], "tg_id long, label string")
+    return me
+
+
 def audience(passed: DataFrame, bindings: DataFrame, who: str) -> DataFrame:
-    """(key, tg_id or null) of an audience: all, cert or nocert; null is unreachable."""
+    """(key, tg_id or null) of an audience: all, cert or nocert; null is unreachable. See also demo_audience, own_audience."""
     pick = {"all": F.lit(True), "cert": F.col("certified"), "nocert": ~F.col("certified")}[who]
     return passed.filter(pick).join(bindings, "key", "left").select("key", "tg_id", F.col("tg_id").isNotNull().alias("reachable"))
 
@@ -196,6 +264,19 @@ def diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def topic_passes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(hw, passed_before, passed_after, gained, lost) of two builds (key, hw, status), for students in both."""
+    b = before.select("key", "hw", (F.col("status") == "passed").alias("p0"))
+    j = after.select("key", "hw", (F.col("status") == "passed").alias("p1")).join(b, ["key", "hw"])
+    return j.groupBy("hw").agg(F.count_if("p0").alias("passed_before"), F.count_if("p1").alias("passed_after"), F.count_if(F.col("p1") & ~F.col("p0")).alias("gained"), F.count_if(F.col("p0") & ~F.col("p1")).alias("lost"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, people) of two tables of passed_counts: how many students gained or lost how many topics."""
+    j = after.select("key", "passed").join(before.select("key", F.col("passed").alias("p0")), "key")
+    return j.groupBy((F.col("passed") - F.col("p0")).cast("int").alias("change")).agg(F.count("*").alias("people"))
+
+
 def strengths_list(hw: DataFrame) -> DataFrame:
     """Non-empty strengths (key, hw, strengths) of each student in topic order."""
     rows = hw.filter(F.trim(X.text(F.col("strengths"))) != "")

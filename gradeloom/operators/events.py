@@ -106,11 +106,39 @@ def flag_demo(events: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def swap_cohort(requests: DataFrame, intervals: DataFrame) -> DataFrame:
-    """The cohort each request reads: demo for accounts that view a demo key."""
-    views = intervals.withColumnRenamed("id", "id") if "id" in intervals.columns else intervals
+    """The cohort each request reads: demo for accounts that view a demo key.
+
+    ``intervals``: views (id, tg_id, student_key, at) or what ``view_intervals`` makes of them (since in place of at).
+    """
+    views = intervals if "at" in intervals.columns else intervals.withColumnRenamed("since", "at")
+    views = views if "id" in views.columns else views.withColumn("id", F.unix_micros(F.col("at").cast("timestamp")))
     return flag_demo(requests, views).select("id", "tg_id", F.when(F.col("demo"), "demo").otherwise("real").alias("cohort"))
 
 
+# Results after which nothing is sent again.
+TERMINAL = ("sent", "blocked", "failed")
+
+
+def freeze_targets(audience: DataFrame, broadcast_id: int) -> DataFrame:
+    """The recipients (tg_id, label) of a broadcast as they are now, each once; a later binding does not join it."""
+    return audience.groupBy("tg_id").agg(F.min("label").alias("label")).select(F.lit(broadcast_id).cast("long").alias("broadcast_id"), "tg_id", "label")
+
+
+def delivery_state(targets: DataFrame, results: DataFrame) -> DataFrame:
+    """Frozen targets with the first terminal result (broadcast_id, tg_id, at, id, status), else pending.
+
+    Someone who blocked the sender is done with; the pending ones are exactly the remainder to send.
+    """
+    done = results.filter(F.col("status").isin(*TERMINAL)).groupBy("broadcast_id", "tg_id").agg(F.min(F.struct("at", "id", "status")).alias("r"))
+    return targets.join(done, ["broadcast_id", "tg_id"], "left").select("broadcast_id", "tg_id", "label", F.coalesce("r.status", F.lit("pending")).alias("status"))
+
+
+def fresh_checks(checks: DataFrame, now, ttl_hours: float = 6) -> DataFrame:
+    """The latest check of each url (url, at, found) that is younger than the time to live at ``now``, a timestamp column."""
+    last = checks.groupBy("url").agg(F.max(F.struct("at", "found")).alias("c")).select("url", "c.*")
+    return last.filter(F.unix_micros("at") > F.unix_micros(now) - int(ttl_hours * 3_600_000_000))
+
+
 def pending_targets(targets: DataFrame, delivered: DataFrame, *keys: str) -> DataFrame:
     """Frozen targets that nothing was delivered to."""
     return targets.join(delivered.select(*keys).distinct(), list(keys), "left_anti")

@@ -9,6 +9,9 @@ from gradeloom.functions import expr as X
 from gradeloom.functions.udf import indel_ratio
 
 
+NAMED = 20
+
+
 def _tokens(df: DataFrame, alphabet: str) -> DataFrame:
     t = X.name_tokens(F.col("fio"), alphabet)
     return df.withColumn("t", t).withColumn("t1", F.get("t", F.lit(0))).withColumn("t2", F.get("t", F.lit(1)))
@@ -24,12 +27,16 @@ def link_people(roster: DataFrame, registrations: DataFrame, alphabet: str = "а
     r, g = _tokens(roster.select("key", "fio"), alphabet), _tokens(registrations.select("reg", "fio", "username"), alphabet)
     pair = lambda: F.array_sort(F.array_distinct(F.array("t1", "t2")))
     two = lambda df: df.filter(F.size("t") >= 2)
-    summary = [F.count("*").alias("n"), F.min_by("reg", "reg").alias("reg"), F.min_by("username", "reg").alias("username"), F.count_distinct("username").alias("handles")]
+    summary = [F.count("*").alias("n"), F.min_by("reg", "reg").alias("reg"), F.min_by("username", "reg").alias("username"), F.count_distinct(X.text(F.col("username"))).alias("handles")]
     t1 = two(g).withColumn("p", pair()).groupBy("p").agg(*summary)
     tier1 = two(r).withColumn("p", pair()).join(t1, "p").select("key", F.lit(1).alias("tier"), "n", "reg", "username", "handles", F.lit("exact").alias("kind"))
-    surnames = two(g).select(F.col("t1").alias("surname"), F.col("t2").alias("given"), "reg", "username")
-    asked = two(r).select("key", F.explode(F.array(F.struct(F.lit(2).alias("tier"), F.col("t1").alias("surname"), F.col("t2").alias("asked")), F.struct(F.lit(3).alias("tier"), F.col("t2").alias("surname"), F.col("t1").alias("asked")))).alias("o")).select("key", "o.*")
-    tier2 = asked.join(surnames, "surname").filter(X.confirms_given_name(F.col("given"), F.col("asked")) != "").groupBy("key", "tier").agg(*summary).filter("n = 1")
+    # only those without a pair are asked further; surnames meet with a key of the given name, never alone
+    surnames = two(g).select(F.col("t1").alias("surname"), F.col("t2").alias("given"), "reg", "username", F.explode(X.given_name_keys(F.col("t2"), True)).alias("k"))
+    rest = two(r).join(tier1.select("key"), "key", "left_anti")
+    asked = rest.select("key", F.explode(F.array(F.struct(F.lit(2).alias("tier"), F.col("t1").alias("surname"), F.col("t2").alias("asked")), F.struct(F.lit(3).alias("tier"), F.col("t2").alias("surname"), F.col("t1").alias("asked")))).alias("o")).select("key", "o.*")
+    asked = asked.withColumn("k", F.explode(X.given_name_keys(F.col("asked"), True)))
+    met = asked.join(surnames, ["surname", "k"]).drop("k").distinct()
+    tier2 = met.filter(X.confirms_given_name(F.col("given"), F.col("asked")) != "").groupBy("key", "tier").agg(*summary).filter("n = 1")
     tier2 = tier2.select("key", "tier", "n", "reg", "username", "handles", F.lit("diminutive").alias("kind"))
     alone = g.filter(F.size("t") >= 1).groupBy(F.col("t1").alias("surname")).agg(*summary).filter("n = 1")
     tier3 = r.filter(F.size("t") == 1).select("key", F.col("t1").alias("surname")).join(alone, "surname").select("key", F.lit(4).alias("tier"), "n", "reg", "username", "handles", F.lit("surname").alias("kind"))
@@ -44,11 +51,19 @@ def link_people(roster: DataFrame, registrations: DataFrame, alphabet: str = "а
 
 
 def invalidate_shared_usernames(links: DataFrame) -> DataFrame:
-    """A handle (by lower case) that several people gave is trusted for none of them."""
-    shared = links.filter(F.col("username") != "").groupBy(F.lower("username").alias("u")).agg(F.count("*").alias("c")).filter("c > 1")
+    """A handle (by lower case) that several people gave is trusted for none of them; the note names them.
+
+    Of many people the first ``NAMED`` by key are named and the others counted, so that a note has a bounded length.
+    """
+    given = links.filter(F.col("username") != "").select(F.lower("username").alias("u"), "key", "fio")
+    first = given.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy("key"))).filter(F.col("n") <= NAMED)
+    names = first.groupBy("u").agg(X.ordered_join(F.col("key"), F.col("fio"), ", ").alias("who"))
+    shared = given.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").join(names, "u")
     rows = links.join(shared, F.lower("username") == F.col("u"), "left")
     bad = F.col("c").isNotNull()
-    return rows.select("key", "fio", "reg", F.when(bad, "").otherwise(F.col("username")).alias("username"), F.when(bad, "none").otherwise(F.col("match")).alias("match"), F.when(bad, F.concat(F.lit("handle given by "), F.col("c").cast("string"), F.lit(" people"))).otherwise(F.col("note")).alias("note"))
+    more = F.when(F.col("c") > NAMED, F.concat(F.lit(" and "), F.col("c") - NAMED, F.lit(" more"))).otherwise("")
+    note = F.concat(F.lit("handle @"), F.col("u"), F.lit(" given by several people: "), F.col("who"), more)
+    return rows.select("key", "fio", "reg", F.when(bad, "").otherwise(F.col("username")).alias("username"), F.when(bad, "none").otherwise(F.col("match")).alias("match"), F.when(bad, note).otherwise(F.col("note")).alias("note"))
 
 
 def usable_contact(c: DataFrame) -> DataFrame:
@@ -62,12 +77,15 @@ def link_quality_counts(links: DataFrame) -> DataFrame:
 
 
 def assign_keys(rows: DataFrame, order: str = "ord") -> DataFrame:
-    """A key for each person (ord, owner, repo, fio): the login, else the name; collisions are told apart."""
+    """A key for each person (ord, owner, repo, fio): the login, else the name.
+
+    In a collision all members get the repository's name, or their place among them, at the end.
+    """
     base = F.lower(F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.nullif(F.regexp_replace(X.text(F.col("fio")), r"(?U)\W+", "_"), F.lit("")), F.lit("unknown")))
     w = Window.partitionBy("_base")
     rows = rows.withColumn("_base", base).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(order)) - 1)
-    tail = F.coalesce(F.nullif(F.lower("repo"), F.lit("")), F.col("_i").cast("string"))
-    return rows.withColumn("key", F.when((F.col("_n") > 1) & (F.col("_i") > 0), F.concat(F.col("_base"), F.lit("__"), tail)).otherwise(F.col("_base"))).drop("_base", "_n", "_i")
+    tail = F.regexp_replace(F.lower(F.coalesce(F.nullif(F.col("repo"), F.lit("")), F.col("_i").cast("string"))), r"(?U)\W+", "-")
+    return rows.withColumn("key", F.when(F.col("_n") > 1, F.concat(F.col("_base"), F.lit("__"), tail)).otherwise(F.col("_base"))).drop("_base", "_n", "_i")
 
 
 def find_by_repo(queries: DataFrame, students: DataFrame) -> DataFrame:
@@ -166,6 +184,12 @@ def match_awards(files: DataFrame, holders: DataFrame, cutoff: float = 88.0) ->
     return files.join(first.drop("ord"), "file", "left").select("file", F.when(F.col("n") == 1, F.col("key")).alias("key"), how.alias("how"))
 
 
+def expected_username(contacts: DataFrame, students: DataFrame) -> DataFrame:
+    """(key, username) by student: the handle a binding should come from; '' if none is usable."""
+    known = usable_contact(contacts).select("key", F.lower("username").alias("username"))
+    return students.select("key").join(known, "key", "left").select("key", X.text(F.col("username")).alias("username"))
+
+
 def username_index(contacts: DataFrame, students: DataFrame) -> DataFrame:
     """Handles of known students in lower case."""
     return usable_contact(contacts).join(students.select("key"), "key", "left_semi").select(F.lower("username").alias("username"), "key")

@@ -50,8 +50,6 @@ ON_TRAIN = r"(?i)\.\s*fit(?:_transform)?\s*\(\s*[^()]*train"
 TRANSDUCTIVE = r"(?i)\b(?:tsne|t_sne|umap|manifold)\w*\s*\."
 ON_TEST = r"(?i)\.\s*fit(?:_transform)?\s*\(\s*(?:X_?test|x_?test|test_X|df_test)\b"
 
-FINDING = "struct<code:string,severity:string,detail:string,cells:array<int>>"
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -120,6 +118,7 @@ def notebook_facts(cells: DataFrame, template_md: DataFrame | None = None) -> Da
         text_of(code).alias("src"), text_of(F.col("kind") == "markdown").alias("md"), text_of((F.col("kind") == "markdown") & F.col("_theirs").isNull()).alias("own_md"),
         F.count_if(code).alias("n_code"), F.count_if(code & ~F.col("empty")).alias("n_full"), F.count_if(ran & ~F.col("empty")).alias("n_run"),
         idx(code & F.col("empty") & F.col("mark")).alias("blank"), idx(code & ~F.col("empty") & F.col("ec").isNull()).alias("not_run"), idx(F.col("brk")).alias("breaks"),
+        idx(code & F.regexp_replace("source", "\r", "").rlike(SHOW_NO_CALL)).alias("shown"),
         idx(code & F.col("empty") & (F.regexp_count("source", F.lit("(?iU)[а-яё]")) >= 20)).alias("prose_cells"), F.array_distinct(F.flatten(F.collect_list("errors"))).alias("errors"),
         F.max(F.col("_theirs").isNotNull()).alias("has_template"),
     )
@@ -133,11 +132,21 @@ def _share(n: Column, of: Column) -> Column:
     return F.when(of > 0, n / of).otherwise(0.0)
 
 
+def _split_args(src: Column) -> Column:
+    """Arguments of the splits: by a pattern down to three levels of brackets; only other notebooks go to Python."""
+    inner = r"[^()]*+"
+    for _ in range(3):
+        inner = rf"[^()]*+(?:\({inner}\)[^()]*+)*+"
+    native = F.regexp_extract_all(src, F.lit(rf"train_test_split\s*\(({inner})\)"), F.lit(1))
+    whole = F.size(native) == F.regexp_count(src, F.lit(r"train_test_split\s*\("))
+    return F.when(whole, native).otherwise(call_args(F.when(~whole, src), "train_test_split"))
+
+
 def base_rules() -> list[Rule]:
     """F03 to F18 without those that need lines; the earlier ones short-circuit nothing, see ``run_rules``."""
     col = F.col
     text_both = F.concat_ws("\n", "src", "md")
-    secret = F.array_sort(F.array_compact(F.array(*[F.when(text_both.rlike(p), k) for k, p in SECRETS])))
+    secret = F.array_sort(F.array_compact(F.array(*[F.when(col("src").rlike(p), k) for k, p in SECRETS])))
     abs_, colab = col("src").rlike(ABS_PATH), col("src").rlike(COLAB_PATH)
     blank, lost = F.size("blank"), F.size("not_run")
     return [
@@ -150,12 +159,12 @@ def base_rules() -> list[Rule]:
         Rule("common.no_own_conclusions", _when((F.length("md") >= 200) & col("has_template") & (F.length("own_md") < 200), "major")),
         Rule("common.no_seed", _when(col("src").rlike(STOCHASTIC) & ~col("src").rlike(SEED), "minor")),
         Rule("common.conclusions_in_code_comments", _when(F.size("prose_cells") > 0, "major"), cells=lambda: col("prose_cells")),
-        Rule("common.absolute_path", lambda: F.when(abs_, "major").when(colab, "minor"), lambda: F.substring(F.when(abs_, F.regexp_extract("src", ABS_PATH, 1)).otherwise(F.regexp_extract("src", COLAB_PATH, 1)), 1, 90)),
+        Rule("common.absolute_path", lambda: F.when(abs_, "major").when(colab, "minor"), lambda: F.substring(F.when(abs_, F.regexp_extract("src", ABS_PATH, 0)).otherwise(F.regexp_extract("src", COLAB_PATH, 0)), 1, 90)),
         Rule("common.prompt_injection_attempt", _when(text_both.rlike(INJECTION), "critical")),
         Rule("common.secret_in_repo", _when(F.size(secret) > 0, "critical"), lambda: F.array_join(secret, ", ")),
-        Rule("common.show_without_call", _when(col("src").rlike(SHOW_NO_CALL), "major")),
+        Rule("common.show_without_call", _when(F.size("shown") > 0, "major"), cells=lambda: col("shown")),
         Rule("common.warnings_suppressed", _when(col("src").rlike(WARN_OFF), "minor")),
-        Rule("common.split_without_seed", _when(F.exists(call_args(col("src"), "train_test_split"), lambda a: ~F.contains(a, F.lit("random_state"))), "major")),
+        Rule("common.split_without_seed", _when(F.exists(_split_args(col("src")), lambda a: ~F.contains(a, F.lit("random_state"))), "major")),
     ]
 
 
@@ -220,8 +229,8 @@ def leakage(cells: DataFrame, template: DataFrame | None = None, exempt: tuple[s
 
 def no_effect_calls(cells: DataFrame) -> DataFrame:
     """calls whose result is dropped; the first three lines."""
-    rows = code_lines(cells).filter(F.col("line").rlike(NO_EFFECT) & ~F.col("line").contains("inplace"))
-    found = rows.groupBy("nb").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("line")))), 1, 3).alias("l"), F.array_sort(F.collect_set(F.col("idx").cast("int"))).alias("cells"))
+    rows = code_lines(cells).filter(F.col("line").rlike(NO_EFFECT) & ~F.col("raw").contains("inplace"))
+    found = rows.groupBy("nb").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", X.squash_ends(F.col("raw")).alias("line")))), 1, 3).alias("l"), F.array_sort(F.collect_set(F.col("idx").cast("int"))).alias("cells"))
     return found.select("nb", F.lit("common.no_effect_call").alias("code"), F.lit("major").alias("severity"), F.substring(F.array_join(F.transform("l", lambda x: x["line"]), "; "), 1, 200).alias("detail"), "cells")
 
 
@@ -240,10 +249,11 @@ def undefined_names(cells: DataFrame, builtins: tuple[str, ...] | None = None) -
 def rubric_checks(facts: DataFrame, checks: DataFrame) -> DataFrame:
     """(nb, check_id, passed) for checks (check_id, any_regex[], all_regex[], none_regex[], bullets_min), a dimension.
 
-    A minimum of bullets decides alone; otherwise any, all and none of the patterns over code and prose.
+    Where facts and checks have the topic ``hw``, a notebook meets its topic's checks only. A minimum of bullets decides
+    alone; otherwise any, all and none of the patterns over code and prose.
     """
-    both = F.concat_ws("\n", "src", "md")
-    rows = facts.withColumn("_t", both).crossJoin(F.broadcast(checks))
+    facts, on = facts.withColumn("_t", F.concat_ws("\n", "src", "md")), _by_topic(facts, checks)
+    rows = facts.join(F.broadcast(checks), on) if on else facts.crossJoin(F.broadcast(checks))
     hit = lambda p: F.regexp(F.col("_t"), F.concat(F.lit("(?iUm)"), p))
     patterns = ((F.size("any_regex") <= 0) | F.exists("any_regex", hit)) & F.forall("all_regex", hit) & ~F.exists("none_regex", hit)
-    return rows.select("nb", "check_id", F.when(F.col("bullets_min").isNotNull(), X.bullet_count(F.col("md")) >= F.col("bullets_min")).otherwise(patterns).alias("passed"))
+    return rows.select("nb", *on, "check_id", F.when(F.col("bullets_min").isNotNull(), X.bullet_count(F.col("md")) >= F.col("bullets_min")).otherwise(patterns).alias("passed"))

@@ -23,20 +23,24 @@ def apply_review_checks(checks: DataFrame, reviews: DataFrame, catalog: DataFram
 
 
 def normalize_codes(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Codes of review items (key, hw, pos, code, comment) as catalog codes: as written, with the topic, or common; null if unknown."""
+    """Codes of review items (key, hw, pos, code, comment) as catalog codes: as written, common, or the topic's; null if unknown.
+
+    Case counts. The catalog is a course's, a small dimension.
+    """
     known = lambda name: catalog.select(F.col("code").alias(name))
-    bare = F.trim(F.lower(X.text(F.col("code"))))
-    rows = items.withColumn("c1", bare).withColumn("c2", F.concat_ws(".", "hw", bare)).withColumn("c3", F.concat(F.lit("common."), bare))
+    bare = F.trim(X.text(F.col("code")))
+    rows = items.withColumn("c1", bare).withColumn("c2", F.concat(F.lit("common."), bare)).withColumn("c3", F.concat_ws(".", "hw", bare))
     for c in ("c1", "c2", "c3"):
         rows = rows.join(F.broadcast(known(c).withColumn(f"_{c}", F.col(c))), c, "left")
     return rows.select("key", "hw", "pos", "comment", F.coalesce("_c1", "_c2", "_c3").alias("code"))
 
 
-def merge_review_findings(rule_findings: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
+def merge_review_findings(rule_findings: DataFrame, items: DataFrame, catalog: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """Rule findings (key, hw, code, severity, comment) with those of a review (key, hw, pos, code, comment).
 
-    Unknown codes become one minor ``other`` for a topic, the first by position; a critical code that a rule checks and
-    did not find counts as major, with a note; codes that are there already are skipped.
+    ``judged``: findings of judged items (J07), which come before the review's own. Unknown codes become one minor
+    ``other`` for a topic, the first by position; a critical code that a rule checks and did not find counts as major,
+    with a note. A code is there once: a rule's finding before a judged one before the review's.
     """
     named = normalize_codes(items, catalog).withColumn("code", F.coalesce("code", F.concat(F.col("hw"), F.lit(".other"))))
     w = Window.partitionBy("key", "hw", "code").orderBy("pos")
@@ -46,7 +50,11 @@ def merge_review_findings(rule_findings: DataFrame, items: DataFrame, catalog: D
     rows = rows.select(
         "key", "hw", "code", F.when(capped, "major").otherwise(F.coalesce("_s", F.lit("minor"))).alias("severity"),
         F.when(capped, F.concat(F.lit(UNCONFIRMED), X.text(F.col("comment")))).otherwise(X.text(F.col("comment"))).alias("comment"), F.lit("review").alias("source"),
-    ).join(rule_findings.select("key", "hw", "code"), ["key", "hw", "code"], "left_anti")
+    )
+    if judged is not None:
+        rows = rows.join(judged.select("key", "hw", "code"), ["key", "hw", "code"], "left_anti")
+        rows = rows.unionByName(judged.select("key", "hw", "code", "severity", "comment", F.lit("review").alias("source")))
+    rows = rows.join(rule_findings.select("key", "hw", "code"), ["key", "hw", "code"], "left_anti")
     return rule_findings.withColumn("source", F.lit("rule")).unionByName(rows)
 
 
@@ -61,7 +69,7 @@ def verdicts(results: DataFrame, findings: DataFrame, minus: DataFrame | None =
 
 
 def review_progress(expected: DataFrame, results: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row of expected, done, broken and left works; broken are unparsable or name unknown codes."""
+    """One row of expected, done, broken and left works; broken are unparsable or name unknown codes (see ``foreign_codes``)."""
     known = F.broadcast(catalog.select("code", F.lit(True).alias("_k")))
     codes = results.select("key", "hw", F.explode("codes").alias("code")).join(known, "code", "left").filter("_k is null").select("key", "hw").distinct().withColumn("_bad", F.lit(True))
     rows = results.join(codes, ["key", "hw"], "left").withColumn("broken", F.col("parsed").isNull() | ~F.col("parsed") | F.col("_bad").isNotNull())
@@ -70,6 +78,13 @@ def review_progress(expected: DataFrame, results: DataFrame, catalog: DataFrame)
     return expected.agg(F.count("*").alias("expected")).crossJoin(rows.agg(F.count_if(~F.col("broken")).alias("done"), F.count_if("broken").alias("broken"))).crossJoin(left)  # one row each
 
 
+def foreign_codes(results: DataFrame, catalog: DataFrame, n: int = 3) -> DataFrame:
+    """(key, hw, codes): the first ``n`` codes of each review (codes, an array in its order) that the catalog lacks."""
+    known = catalog.select("code").distinct().withColumn("_k", F.lit(True))
+    rows = results.select("key", "hw", F.posexplode("codes").alias("pos", "code")).join(F.broadcast(known), "code", "left").filter("_k is null")
+    return rows.groupBy("key", "hw").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda s: s["code"]), 1, n).alias("codes"))
+
+
 def catalog_coverage(expected: DataFrame, catalog: DataFrame) -> DataFrame:
     """(code, side): expected codes without an article and articles nobody expects."""
     e, c = expected.select("code").distinct(), catalog.select("code").distinct()

@@ -29,7 +29,7 @@ def _tasks(s, d):
 
 
 def _synced(s, d):
-    return _tasks(s, d).filter("id % 3 = 0").groupBy("sink", "entity", "key").agg(F.max("rev").alias("synced_rev"))
+    return _tasks(s, d).filter("sink <> 'view'").groupBy("sink", "entity", "key").agg(F.max("rev").alias("synced_rev"))
 
 
 def _people(s, d):
@@ -71,7 +71,7 @@ def queries() -> dict:
             table(s, d, "nation").select(F.col("n_nationkey").alias("homework"), F.col("n_regionkey").alias("num"), F.when(F.col("n_nationkey") % 4 == 0, "draft").otherwise("published").alias("status"))),
         "applications_view": lambda s, d: A.applications_view(table(s, d, "orders").select(F.col("o_custkey").alias("tg_id"), F.col("o_orderkey").alias("app"), F.when(F.col("o_orderstatus") == "O", "submitted").otherwise("draft").alias("status")), _people(s, d).select("tg_id", "fio"), _enrollments(s, d)),
         "track_counts": lambda s, d: A.track_counts(_enrollments(s, d).select("track").distinct(), _enrollments(s, d)),
-        "reconcile": lambda s, d: A.reconcile(table(s, d, "orders"), table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).filter("o_orderkey % 3 > 0"), "o_orderkey"),
+        "reconcile": lambda s, d: A.reconcile(table(s, d, "orders"), table(s, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey"),
     }
 
 
@@ -105,8 +105,8 @@ def _oracle_sql() -> dict[str, str]:
         "pending_targets": "SELECT c_custkey AS tg_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
         "status_counts": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2",
         "recent_events": with_sql("ev", "SELECT id, tg_id FROM ev WHERE kind = 'error' ORDER BY id DESC LIMIT 50"),
-        "latest_revision": with_sql("ev", """SELECT sink, entity, key, max(rev) AS rev, arg_max(id, rev) AS id, count(*) AS n, max(rev) FILTER (id % 3 = 0) AS synced_rev,
-            CASE WHEN max(rev) <= coalesce(max(rev) FILTER (id % 3 = 0), -1) THEN 'stale' ELSE 'pending' END AS status FROM t GROUP BY sink, entity, key""", t=_TASKS),
+        "latest_revision": with_sql("ev", """SELECT sink, entity, key, max(rev) AS rev, arg_max(id, rev) AS id, count(*) AS n, max(rev) FILTER (sink <> 'view') AS synced_rev,
+            CASE WHEN max(rev) <= coalesce(max(rev) FILTER (sink <> 'view'), -1) THEN 'stale' ELSE 'pending' END AS status FROM t GROUP BY sink, entity, key""", t=_TASKS),
         "decide_binding": with_sql("ev", """SELECT att.id, att.tg_id, att.key, CASE WHEN b.tg_id IS NOT NULL AND b.tg_id <> att.tg_id THEN 'taken' WHEN b.key IS NULL OR 'user' || b.key <> att.username THEN 'claim' ELSE 'bind' END AS decision
             FROM att LEFT JOIN b ON b.key = att.key""", att=_ATT, b=_BOUND),
         "forget_user": with_sql("ev", "SELECT id, tg_id FROM ev WHERE tg_id <> 7 OR tg_id IS NULL"),
@@ -117,5 +117,5 @@ def _oracle_sql() -> dict[str, str]:
         "visible_homeworks": f"WITH e AS ({_ENR}) SELECT DISTINCT tg_id, n_nationkey AS homework, n_regionkey AS num FROM e JOIN nation ON n_nationkey % 5 = CAST(substr(track, 1, 1) AS INT) - 1 WHERE n_nationkey % 4 <> 0",
         "applications_view": f"WITH e AS ({_ENR}), t AS (SELECT tg_id, string_agg(DISTINCT track, '; ' ORDER BY track) AS tracks FROM e GROUP BY tg_id) SELECT o_custkey AS tg_id, o_orderkey AS app, 'submitted' AS status, c_name AS fio, coalesce(tracks, '') AS tracks FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN t ON t.tg_id = o_custkey WHERE o_orderstatus = 'O'",
         "track_counts": f"WITH e AS ({_ENR}) SELECT track, count(DISTINCT tg_id) AS n FROM e GROUP BY track",
-        "reconcile": "SELECT count(*) FILTER (b IS NULL) AS only_ours, count(*) FILTER (a IS NULL) AS only_theirs, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both FROM (SELECT DISTINCT o_orderkey AS a FROM orders) FULL JOIN (SELECT DISTINCT l_orderkey AS b FROM lineitem WHERE l_orderkey % 3 > 0) ON a = b",
+        "reconcile": "SELECT count(*) FILTER (b IS NULL) AS only_ours, count(*) FILTER (a IS NULL) AS only_theirs, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both FROM (SELECT DISTINCT o_orderkey AS a FROM orders) FULL JOIN (SELECT DISTINCT l_orderkey AS b FROM lineitem WHERE l_linestatus = 'F') ON a = b",
     }

@@ -76,18 +76,21 @@ def grade(cells: DataFrame, broken: DataFrame, checks: DataFrame, reviews: DataF
         # a work without any cell of its own still has its checks, over empty texts
         target = facts.select("nb").join(rules.notebook_facts(added).select("nb", "src", "md"), "nb", "left").na.fill("", ["src", "md"])
     rule_checks = checks.filter("kind = 'rule'")
-    # topics may use the same names of checks
-    named = rule_checks.select(F.struct("hw", "check_id").alias("check_id"), "any_regex", "all_regex", "none_regex", "bullets_min")
-    passed = of_work(rules.rubric_checks(target, named).filter("nb.hw = check_id.hw").withColumn("check_id", F.col("check_id.check_id")))
+    # empty and broken works have no items: neither findings nor credit
+    target = target.join(alive, "nb", "left_semi").withColumn("hw", F.col("nb.hw"))
+    named = rule_checks.select("hw", "check_id", "any_regex", "all_regex", "none_regex", "bullets_min")
+    passed = rules.rubric_checks(target, named).withColumn("nb", F.col("nb.nb"))
     passed = passed.join(submissions, ["nb", "hw"]).join(F.broadcast(rule_checks.select("hw", "check_id", "required", "title")), ["hw", "check_id"])
     missed = passed.filter(~F.col("passed")).select("key", "hw", F.concat_ws(".", "hw", "check_id").alias("code"), F.when(F.col("required"), "major").otherwise("minor").alias("severity"), F.col("title").alias("comment"))
     rule_findings = found.join(submissions, ["nb", "hw"]).select("key", "hw", "code", "severity", F.col("detail").alias("comment")).unionByName(missed)
     judged = verdict.apply_review_checks(checks.filter("kind = 'llm'"), reviews, catalog)
-    merged = verdict.merge_review_findings(rule_findings, items, catalog).unionByName(judged.select("key", "hw", "code", "severity", "comment", F.lit("review").alias("source")))
+    merged = verdict.merge_review_findings(rule_findings, items, catalog, judged)
     required = checks.filter("required").groupBy("hw").agg(F.count("*").alias("required_total"))
     llm_required = checks.filter("required and kind = 'llm'").groupBy("hw").agg(F.count("*").alias("_llm"))
     done = passed.filter("required and passed").groupBy("key", "hw").agg(F.count("*").alias("_done"))
-    results = submissions.select("key", "hw").join(F.broadcast(required), "hw", "left").join(F.broadcast(llm_required), "hw", "left").join(done, ["key", "hw"], "left")
+    credit = of_work(alive).withColumn("_alive", F.lit(1))
+    results = submissions.select("key", "hw", "nb").join(F.broadcast(required), "hw", "left").join(F.broadcast(llm_required), "hw", "left").join(done, ["key", "hw"], "left")
+    results = results.join(credit, ["nb", "hw"], "left").withColumn("_llm", F.col("_llm") * F.col("_alive"))
     results = results.select("key", "hw", (F.coalesce("_done", F.lit(0)) + F.coalesce("_llm", F.lit(0))).alias("required_passed"), F.coalesce("required_total", F.lit(0)).alias("required_total"))
     return {"findings": cohort.sort_findings(merged), "verdicts": verdict.verdicts(results, merged, judged)}
 
@@ -95,9 +98,9 @@ def grade(cells: DataFrame, broken: DataFrame, checks: DataFrame, reviews: DataF
 def publish(students: DataFrame, hw: DataFrame, findings: DataFrame, topics: DataFrame, catalog: DataFrame, path: str, ids: list[str]) -> None:
     """Matrix, certificates, typical errors and reports."""
     passed = cohort.passed_counts(hw, students, topics)
-    sinks.write_table(cohort.passed_matrix(hw, students, ids), f"{path}/summary")
-    sinks.write_table(cohort.number_certified(passed), f"{path}/certificates")
-    sinks.write_table(cohort.typical_errors(hw, students, findings, catalog), f"{path}/typical_errors")
+    sinks.write_table(cohort.passed_matrix(hw, students, ids).join(passed.select("key", "passed"), "key").withColumn("last", -F.col("passed")), f"{path}/summary", "last", "fio", "key")
+    sinks.write_table(cohort.number_certified(passed), f"{path}/certificates", "number")
+    sinks.write_table(cohort.typical_errors(hw, students, findings, catalog), f"{path}/typical_errors", "hw", "place")
     sinks.write_reports(sinks.report_documents(students, hw, findings), f"{path}/reports")
 
 

@@ -14,7 +14,8 @@ SKIP_DIRS = (".git", ".ipynb_checkpoints", ".venv", "venv", "env", "site-package
 FINDING = "struct<code:string,severity:string,title:string,detail:string,comment:string,source:string,cells:array<int>,links:array<array<string>>,article:string>"
 REPORT_SCHEMA = f"""key string, fio string, repo string, status string, reason string, certificate boolean, passed_hw int, total_hw int,
   homeworks map<string,struct<title:string,status:string,notebook:string,required_passed:int,required_total:int,reviewed_by_model:boolean,
-  strengths:string,summary:string,findings:array<{FINDING}>>>, similarity array<map<string,string>>"""
+  strengths:string,summary:string,findings:array<{FINDING}>>>, similarity array<map<string,string>>,
+  portrait struct<portrait:string,growth:array<struct<topic:string,title:string,why:string,codes:array<string>,links:array<struct<title:string,url:string>>>>,next_steps:string>"""
 REVIEW_SCHEMA = "checks array<struct<id:string,passed:boolean,comment:string>>, findings array<struct<code:string,comment:string>>, strengths string, summary string"
 
 
@@ -105,11 +106,17 @@ def review_text(cells: DataFrame, rendered: DataFrame, limit: int) -> DataFrame:
     return whole.select("path", F.substring("t", 1, limit).alias("text"), (F.length("t") > limit).alias("truncated"))
 
 
-def read_reports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(students, hw_results, findings) from one JSON document per student; the key is the file's name."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(folder).withColumn("key", stem)
-    students = raw.select("key", "fio", "repo", "status", "reason", "certificate", "passed_hw", "total_hw")
+def read_reports(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(students, hw_results, findings) from one JSON document per student; the key is the file's name.
+
+    ``lines``: the documents are lines, as ``sinks.write_reports`` leaves them, and hold their key.
+    """
+    if lines:
+        raw = spark.read.schema(REPORT_SCHEMA).json(folder)
+    else:
+        stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+        raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(folder).withColumn("key", stem)
+    students = raw.select("key", "fio", "repo", "status", "reason", "certificate", "passed_hw", "total_hw", "portrait")
     hw = raw.select("key", F.explode("homeworks").alias("hw", "h")).select("key", "hw", "h.*")
     findings = hw.select("key", "hw", F.explode("findings").alias("f")).select("key", "hw", "f.*")
     return students, hw.drop("findings"), findings
@@ -131,10 +138,14 @@ def read_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_rubrics(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rubrics, checks, signatures) from rows (id, title, check_scope, graded, checks[], signature) and, if it is there, leakage_exempt[]; defaults filled in."""
+    """(rubrics, checks, signatures) from rows (id, title, check_scope, graded, checks[], signature); defaults filled in.
+
+    kind, template, task, extra_templates[] and leakage_exempt[] are kept if they are there.
+    """
     none = F.array().cast("array<string>")
-    exempt = [F.coalesce("leakage_exempt", none).alias("leakage_exempt")] if "leakage_exempt" in rows.columns else []
-    rubrics = rows.select(F.col("id").alias("hw"), "title", F.coalesce("check_scope", F.lit("delta")).alias("scope"), F.coalesce("graded", F.lit(True)).alias("graded"), *exempt)
+    lists = [F.coalesce(c, none).alias(c) for c in ("leakage_exempt", "extra_templates") if c in rows.columns]
+    given = [F.col(c) for c in ("kind", "template", "task") if c in rows.columns]
+    rubrics = rows.select(F.col("id").alias("hw"), "title", F.coalesce("check_scope", F.lit("delta")).alias("scope"), F.coalesce("graded", F.lit(True)).alias("graded"), *given, *lists)
     c = rows.select(F.col("id").alias("hw"), F.explode("checks").alias("c"))
     checks = c.select(
         "hw", F.col("c.id").alias("check_id"), F.col("c.title").alias("title"), F.coalesce("c.required", F.lit(True)).alias("required"), F.coalesce("c.kind", F.lit("rule")).alias("kind"),

@@ -15,20 +15,29 @@ def report_documents(students: DataFrame, hw: DataFrame, findings: DataFrame) ->
     cols = [c for c in findings.columns if c not in ("key", "hw")]
     per = f.groupBy("key", "hw").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", *cols))), lambda s: F.struct(*[s[c].alias(c) for c in cols])).alias("findings"))
     rest = [c for c in hw.columns if c not in ("key", "hw")]
-    topics = hw.join(per, ["key", "hw"], "left").groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("hw"), F.to_json(F.struct(*rest, F.coalesce("findings", F.array().cast(per.schema["findings"].dataType)).alias("findings"))).alias("v"))))).alias("homeworks"))
+    topic = F.struct(*rest, F.coalesce("findings", F.array().cast(per.schema["findings"].dataType)).alias("findings"))
+    # topics are few for each student; a struct may hold what has no order, so entries are sorted by their name alone
+    entries = F.array_sort(F.collect_list(F.struct(F.col("hw"), topic.alias("v"))), lambda a, b: F.when(a["hw"] < b["hw"], -1).when(a["hw"] > b["hw"], 1).otherwise(0))
+    topics = hw.join(per, ["key", "hw"], "left").groupBy("key").agg(F.map_from_entries(entries).alias("homeworks"))
     parsed = students.join(topics, "key", "left")
     head = [F.col(c) for c in students.columns]
-    return parsed.select("key", F.to_json(F.struct(*head, "homeworks")).alias("json"))
+    return parsed.select("key", F.to_json(F.struct(*head, "homeworks"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_reports(documents: DataFrame, path: str, buckets: int = 64) -> None:
-    """Reports as text lines in ``buckets`` folders by the hash of the key: not one file for each key."""
+    """Reports as text lines in ``buckets`` folders by the hash of the key: not one file for each key.
+
+    ``readers.read_reports`` reads them back with ``lines``.
+    """
     rows = documents.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     rows.select(F.col("json").alias("value"), "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").text(path)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """A CSV table with a header; the order of the DataFrame is kept by range-sorted files."""
+def write_table(df: DataFrame, path: str, *order: str) -> None:
+    """A CSV table with a header; with ``order`` the files, by name, hold ascending ranges of these columns."""
+    if order:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -38,6 +47,18 @@ def render_student(students: DataFrame, digest: DataFrame) -> DataFrame:
     return students.join(digest, "key", "left").select(F.col("key").cast("string").alias("doc_id"), F.concat_ws("\n\n", head, "digest").alias("text"))
 
 
+def render_diff(flips: DataFrame) -> DataFrame:
+    """(doc_id, text): for each student whose topics changed (key, hw, was, now, why) the changes in topic order."""
+    line = F.concat(F.lit("- "), "hw", F.lit(": "), "was", F.lit(" → "), "now", F.when(X.text(F.col("why")) != "", F.concat(F.lit(" ("), "why", F.lit(")"))).otherwise(""))
+    return flips.groupBy("key").agg(X.ordered_join(F.col("hw"), line).alias("t")).select(F.col("key").cast("string").alias("doc_id"), F.concat(F.lit("# "), F.col("key").cast("string"), F.lit("\n\n"), F.col("t")).alias("text"))
+
+
+def render_errors(errors: DataFrame) -> DataFrame:
+    """(doc_id, text): one document for each topic of its typical errors (A03), which are a bounded list."""
+    line = F.concat("place", F.lit(". "), "title", F.lit(" — "), "n", F.lit(" of "), "submissions")
+    return errors.groupBy("hw").agg(X.ordered_join(F.col("place"), line).alias("t")).select(F.col("hw").alias("doc_id"), F.concat(F.lit("# "), "hw", F.lit("\n\n"), "t").alias("text"))
+
+
 def render_list(df: DataFrame, title: str, line, *order: str) -> DataFrame:
     """One document of a bounded list (a topic's errors, certificates): lines in order."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda s: s["_line"]), "\n")

@@ -1,8 +1,9 @@
 """Streaming forms of the state operators (survey T01 to T09).
 
 Each takes a streaming DataFrame and gives one. Keyed folds run as ``applyInPandasWithState`` over the rows of a key in
-time order; input must come in time order across micro-batches, as the batch forms assume. State has no expiry unless a
-gap is given. Results equal the batch operators on a replay.
+time order; input must come in time order across micro-batches, as the batch forms assume. The state of a key is a few
+values and has no expiry, as the reference's tables have none; ``deliver_once`` can forget old broadcasts. Results equal
+the batch operators on a replay.
 """
 
 from __future__ import annotations
@@ -14,12 +15,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gradeloom.operators.events import TERMINAL
+
 
 def append_events(stream: DataFrame, path: str, checkpoint: str):
-    """Append the log as Parquet."""
+    """Append the log as Parquet; see ``flag_stream`` for the demo mark."""
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
+def flag_stream(stream: DataFrame) -> DataFrame:
+    """(id, tg_id, at, kind, payload, demo): events marked as they come.
+
+    ``stream``: the log with the views of accounts in it, as rows of the kind ``view`` with the student's key as payload.
+    An event is demo if the account's last view was of a ``demo-`` key.
+    """
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        demo = state.get[0] if state.exists else False
+        out = []
+        for r in _rows(frames, "at", "first", "id").itertuples(index=False):
+            if r.kind == "view":
+                demo = (r.payload or "").startswith("demo-")
+            else:
+                out.append((r.id, k[0], r.at, r.kind, r.payload, demo))
+        state.update((demo,))
+        yield pd.DataFrame(out, columns=["id", "tg_id", "at", "kind", "payload", "demo"])
+
+    rows = stream.select("id", "tg_id", F.col("at").cast("timestamp_ntz").alias("at"), "kind", "payload", (F.col("kind") != "view").alias("first"))
+    return rows.groupBy("tg_id").applyInPandasWithState(fold, "id long, tg_id long, at timestamp_ntz, kind string, payload string, demo boolean", "demo boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def ttl_check_stream(requests: DataFrame, ttl_hours: float = 6) -> DataFrame:
+    """(url, at, cached): requests for a url; one that comes within the time to live of the last real check is cached."""
+    ttl = pd.Timedelta(hours=ttl_hours)
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        out = []
+        for t in _rows(frames, "at")["at"]:
+            cached = last is not None and t - last < ttl
+            last = last if cached else t
+            out.append((k[0], t, cached))
+        state.update((last.value // 1000,))
+        yield pd.DataFrame(out, columns=["url", "at", "cached"])
+
+    rows = requests.select("url", F.col("at").cast("timestamp_ntz").alias("at"))
+    return rows.groupBy("url").applyInPandasWithState(fold, "url string, at timestamp_ntz, cached boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def running_totals(stream: DataFrame, by: str = "kind") -> DataFrame:
     """Live counts; write in update or complete mode."""
     return stream.groupBy(by).agg(F.count("*").alias("n"))
@@ -102,9 +145,16 @@ def double_bound(decisions: DataFrame) -> DataFrame:
     return decisions.filter(F.col("decision") == "bound").groupBy("tg_id").agg(F.count_distinct("key").alias("n")).filter("n > 1")
 
 
-def deliver_once(results: DataFrame) -> DataFrame:
-    """The first result of each (broadcast, account); repeated ones are dropped. Results are terminal."""
-    return results.dropDuplicates(["broadcast_id", "tg_id"])
+def deliver_once(results: DataFrame, ts: str | None = None, keep: str = "30 days") -> DataFrame:
+    """The first terminal result of each (broadcast, account); repeated ones are dropped.
+
+    With ``ts``, a timestamp, state is kept for ``keep`` only; a broadcast is over by then. The frozen list and what is
+    left of it are in ``events.freeze_targets`` and ``events.delivery_state``.
+    """
+    rows = results.filter(F.col("status").isin(*TERMINAL)) if "status" in results.columns else results
+    if ts:
+        return rows.withWatermark(ts, keep).dropDuplicatesWithinWatermark(["broadcast_id", "tg_id"])
+    return rows.dropDuplicates(["broadcast_id", "tg_id"])
 
 
 def application_drafts(answers: DataFrame) -> DataFrame:

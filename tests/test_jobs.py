@@ -47,6 +47,9 @@ def test_grading(spark):
     status = {r["key"]: (r["status"], r["required_passed"], r["required_total"]) for r in out["verdicts"].collect()}
     assert status["k1"] == ("passed", 2, 2) and status["k2"][0] == status["k3"][0] == status["k4"][0] == "failed"
     found = {(r["key"], r["code"]) for r in out["findings"].collect()}
+    rows = [(r["key"], r["code"]) for r in out["findings"].collect()]
+    assert len(rows) == len(set(rows)) and not [c for k, c in rows if k in ("k2", "k4") and c.startswith("hw1.")]
+    assert status["k2"] == ("failed", 0, 2) and status["k4"] == ("failed", 0, 2)
     assert {("k1", "hw1.other"), ("k2", "common.nothing_done"), ("k3", "common.error_output"), ("k3", "hw1.knn"), ("k4", "common.notebook_unreadable")} <= found
 
 

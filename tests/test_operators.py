@@ -43,7 +43,9 @@ def test_linkage_refuses_when_unsure(spark):
 
 def test_keys_repos_and_fuzzy_names(spark):
     rows = spark.createDataFrame([(0, "Bob", "r1", "x"), (1, "bob", "r2", "y"), (2, "", None, "Имя Ф"), (3, None, None, None)], "ord int, owner string, repo string, fio string")
-    assert [r["key"] for r in L.assign_keys(rows).orderBy("ord").collect()] == ["bob", "bob__r2", "имя_ф", "unknown"]
+    assert [r["key"] for r in L.assign_keys(rows).orderBy("ord").collect()] == ["bob__r1", "bob__r2", "имя_ф", "unknown"]
+    three = spark.createDataFrame([(0, "Bob", "My.Repo", ""), (1, "bob", None, ""), (2, "BOB", "", "")], "ord int, owner string, repo string, fio string")
+    assert [r["key"] for r in L.assign_keys(three).orderBy("ord").collect()] == ["bob__my-repo", "bob__1", "bob__2"]
     owners = spark.createDataFrame([("a",), ("b",)], "owner string")
     repos = spark.createDataFrame([("a", "notes", 0), ("a", "ml-course", 1), ("b", "zzz", 0)], "owner string, repo string, ord int")
     assert {r["owner"]: r["repo"] for r in L.best_profile_repo(owners, repos).collect()} == {"a": "ml-course", "b": None}
@@ -112,9 +114,19 @@ def test_tables_round_trip(spark, tmp_path):
     hw = spark.createDataFrame([("k", "hw1", "passed", 1, 2)], "key string, hw string, status string, required_passed int, required_total int")
     f = spark.createDataFrame([("k", "hw1", "z", "minor"), ("k", "hw1", "a", "critical")], "key string, hw string, code string, severity string")
     doc = json.loads(sinks.report_documents(students, hw, f).first()["json"])
-    assert [x["code"] for x in json.loads(doc["homeworks"]["hw1"])["findings"]] == ["a", "z"]
+    assert [x["code"] for x in doc["homeworks"]["hw1"]["findings"]] == ["a", "z"]
     sinks.write_reports(sinks.report_documents(students, hw, f), str(tmp_path / "out"), 2)
-    assert spark.read.text(str(tmp_path / "out")).count() == 1
+    back = readers.read_reports(spark, str(tmp_path / "out"), lines=True)
+    assert [(r["key"], r["fio"]) for r in back[0].collect()] == [("k", "Ann")]
+    assert [(r["hw"], r["status"], r["required_passed"], r["required_total"]) for r in back[1].collect()] == [("hw1", "passed", 1, 2)]
+    assert [(r["key"], r["hw"], r["code"], r["severity"]) for r in back[2].collect()] == [("k", "hw1", "a", "critical"), ("k", "hw1", "z", "minor")]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/stem.json").write_text(json.dumps(doc | {"portrait": {"portrait": "p", "growth": [{"topic": "hw1", "title": "t", "why": "w", "codes": ["a"], "links": []}], "next_steps": "n"}}))
+    one = readers.read_reports(spark, str(tmp_path / "one"))
+    assert one[0].first()["key"] == "stem" and one[0].first()["portrait"]["growth"][0]["codes"] == ["a"] and one[2].count() == 2
+    sinks.write_table(spark.range(50).repartition(7).withColumn("last", -F.col("id")), str(tmp_path / "table"), "last")
+    files = sorted((tmp_path / "table").glob("part-*.csv"))
+    assert [int(line.split(",")[0]) for x in files for line in x.read_text().splitlines()[1:]] == list(range(49, -1, -1))
     old = spark.createDataFrame([(1, "k")], "tg_id bigint, student_key string")
     assert sinks.evolve_schema(old, "bindings", {"demo": False}).first()["demo"] is False
     (tmp_path / "r").mkdir()
@@ -140,6 +152,93 @@ def test_links_strengths_and_audiences(spark):
     assert C.targets("cert", passed, bind).count() == 1 and K.sample_article(f, 1).count() == 1
 
 
+def test_topic_scores_keep_case_and_fold_names(spark):
+    nb = spark.createDataFrame([(1, "hw/Log-Reg v1.ipynb", "m = KNeighborsClassifier()"), (2, "x.ipynb", "kneighborsclassifier"), (3, "svm/nb.ipynb", None)], "nb int, name string, text string")
+    sig = spark.createDataFrame([("t", ["KNeighborsClassifier"], [], ["LOG reg"]), ("u", [], ["m", "zz", "yy"], ["ipynb"]), ("v", [], [], ["svm/nb"])], "topic string, strong array<string>, weak array<string>, filename array<string>")
+    got = {(r["nb"], r["topic"]): (r["score"], r["strong_hits"], r["filename_hit"]) for r in K.score_topics(nb, sig).collect()}
+    assert got[1, "t"] == (2.6, 1, True) and got[2, "t"] == (0.0, 0, False) and got[1, "u"] == (0.333, 0, False) and got[3, "v"] == (0.6, 0, True)
+
+
+def test_review_codes_once_and_as_written(spark):
+    catalog = spark.createDataFrame([("common.x", "X", "minor", "llm"), ("hw1.x", "Y", "major", "llm"), ("hw1.Caps", "C", "major", "llm"), ("hw1.task", "T", "major", "llm"), ("hw1.r", "R", "major", "rule")], "code string, title string, severity string, detector string")
+    rules = spark.createDataFrame([("k", "hw1", "hw1.r", "major", "")], "key string, hw string, code string, severity string, comment string")
+    items = spark.createDataFrame([("k", "hw1", 0, " x ", "common first"), ("k", "hw1", 1, "caps", "no such"), ("k", "hw1", 2, "Caps", "as written"), ("k", "hw1", 3, "task", "again"), ("k", "hw1", 4, "r", "again")], "key string, hw string, pos int, code string, comment string")
+    judged = spark.createDataFrame([("k", "hw1", "hw1.task", "major", "T", "no", 1), ("k", "hw1", "hw1.r", "major", "R", "no", 1)], "key string, hw string, code string, severity string, title string, comment string, minus int")
+    got = sorted((r["code"], r["source"], r["comment"]) for r in V.merge_review_findings(rules, items, catalog, judged).collect())
+    assert got == [("common.x", "review", "common first"), ("hw1.Caps", "review", "as written"), ("hw1.other", "review", "no such"), ("hw1.r", "rule", ""), ("hw1.task", "review", "no")]
+    seen = spark.createDataFrame([("k", "hw1", ["a", "hw1.x", "b", "c", "d"])], "key string, hw string, codes array<string>")
+    assert V.foreign_codes(seen, catalog).first()["codes"] == ["a", "b", "c"]
+
+
+def test_shared_handles_name_the_people(spark):
+    links = spark.createDataFrame([(k, f"P{k}", k, "Same" if k < 25 else f"u{k}", "exact", "") for k in range(30)], "key int, fio string, reg int, username string, match string, note string")
+    got = {r["key"]: (r["username"], r["note"]) for r in L.invalidate_shared_usernames(links).collect()}
+    assert got[3] == ("", "handle @same given by several people: " + ", ".join(f"P{k}" for k in range(20)) + " and 5 more") and got[27] == ("u27", "")
+    regs = spark.createDataFrame([(1, "Иванов Пётр", None), (2, "Иванов Пётр", "u")], "reg int, fio string, username string")
+    roster = spark.createDataFrame([(1, "Иванов Пётр")], "key int, fio string")
+    assert L.link_people(roster, regs).first()["match"] == "none"
+
+
+def test_prefix_keys_find_what_confirms(spark):
+    from gradeloom.functions import expr as X
+
+    names = ["лиза", "елизавета", "саша", "александр", "алекс", "александра", "ян", "яна", "ива", "иван"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    bad = pairs.filter((X.confirms_given_name(F.col("a"), F.col("b")) != "") & ~F.arrays_overlap(X.given_name_keys(F.col("a"), True), X.given_name_keys(F.col("b"), True)))
+    assert bad.count() == 0
+
+
+def test_delivery_is_frozen_exact_and_terminal(spark):
+    from gradeloom.operators import events as E
+
+    then = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (4, "d")], "tg_id long, label string")
+    targets = E.freeze_targets(then, 9)
+    results = spark.createDataFrame([(9, 1, 1, 1, "sent"), (9, 2, 1, 2, "blocked"), (9, 2, 2, 3, "sent"), (9, 3, 1, 4, "retry"), (8, 4, 1, 5, "sent"), (9, 77, 1, 6, "sent")], "broadcast_id long, tg_id long, at int, id long, status string")
+    got = {r["tg_id"]: r["status"] for r in E.delivery_state(targets, results).collect()}
+    assert got == {1: "sent", 2: "blocked", 3: "pending", 4: "pending"}
+    views = spark.createDataFrame([(1, 5, "demo-x", 10), (2, 5, "real", 20)], "id long, tg_id long, student_key string, n int").withColumn("at", F.timestamp_seconds("n")).drop("n")
+    asked = spark.createDataFrame([(1, 5, 5), (2, 5, 15), (3, 5, 25)], "id long, tg_id long, n int").withColumn("at", F.timestamp_seconds("n")).drop("n")
+    for v in (views, E.view_intervals(views)):
+        assert [r["cohort"] for r in E.swap_cohort(asked, v).orderBy("id").collect()] == ["real", "demo", "real"]
+
+
+def test_audiences_plans_and_paragraphs(spark):
+    from gradeloom.functions import expr as X
+    from gradeloom.operators import cohort as C
+
+    bind = spark.createDataFrame([(1, "A", True), (2, "", True), (2, "B", False), (3, None, True)], "tg_id long, tg_name string, demo boolean")
+    assert sorted(map(tuple, C.demo_audience(bind).collect())) == [(1, "A"), (3, "3")]
+    assert [tuple(r) for r in C.own_audience(bind, 7).collect()] == [(7, "you")] and C.own_audience(bind, None).count() == 0
+    body = f"# T\n\nfirst\n\n**Note.** no\n\n{X.WHY} because \n\nlast"
+    rows = spark.createDataFrame([(body,), ("a\n\n b ",), ("alone",), (None,)], "body string")
+    assert [r[0] for r in rows.select(X.why_paragraph(F.col("body"))).collect()] == ["because", "b", "", ""]
+
+
+def test_rendered_documents(spark):
+    flips = spark.createDataFrame([("k", "2", "failed", "passed", ""), ("k", "1", "passed", "failed", "items 1/3")], "key string, hw string, was string, now string, why string")
+    assert sinks.render_diff(flips).first()["text"] == "# k\n\n- 1: passed → failed (items 1/3)\n- 2: failed → passed"
+    errors = spark.createDataFrame([("1", 2, "B", 1, 9), ("1", 1, "A", 4, 9)], "hw string, place int, title string, n int, submissions int")
+    assert sinks.render_errors(errors).first()["text"] == "# 1\n\n1. A — 4 of 9\n2. B — 1 of 9"
+
+
+def test_indel_equals_plain_recursion():
+    import random
+
+    from gradeloom.functions.udf import indel
+
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                t[i][j] = t[i - 1][j - 1] + 1 if x == y else max(t[i - 1][j], t[i][j - 1])
+        return 100.0 if not a and not b else 200.0 * t[-1][-1] / (len(a) + len(b))
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert indel(a, b) == plain(a, b)
+
+
 def test_fuzzy_join_loses_nothing(spark):
     import random
 

@@ -85,3 +85,28 @@ def test_udfs(spark):
     assert U.indel("abc", "abc") == 100 and U.indel("", "") == 100 and U.indel("ab", "cd") == 0
     e = spark.createDataFrame([("é",)], "c string")
     assert e.select(U.nfc("c")).first()[0] == "é"
+
+
+def test_details_cells_and_places(spark):
+    key = "AKIA" + "B" * 16
+    cells = [("n", 0, "markdown", "x" * 250 + " " + key, None, []), ("n", 1, "code", "pd.read_csv('/home/me/x.csv')", 1, []), ("n", 2, "code", "plt.show\r\nx = 1", 2, []), ("n", 3, "code", "df.dropna()  # not inplace", 3, []), ("n", 4, "code", "df.drop(1)  # gone", 4, [])]
+    df = spark.createDataFrame(cells, SCHEMA)
+    got = {r["code"]: (r["detail"], r["cells"]) for r in R.run_rules(R.notebook_facts(df)).collect()}
+    assert "common.secret_in_repo" not in got  # prose is not code
+    assert got["common.absolute_path"][0] == "read_csv('/home/me/x.csv'" and got["common.show_without_call"][1] == [2]
+    dead = R.no_effect_calls(df).first()
+    assert dead["cells"] == [4] and dead["detail"] == "df.drop(1)  # gone"
+
+
+def test_split_arguments_at_any_depth(spark):
+    rows = [(0, "train_test_split(a)"), (1, "train_test_split(f(g(h(1))), random_state=1)"), (2, "train_test_split(f(g(h(i(j(1))))), random_state=1)"), (3, "train_test_split(f(g(h(i(j(1))))))"), (4, "train_test_split(a, random_state=1); train_test_split (b"), (5, "x")]
+    df = spark.createDataFrame(rows, "nb int, src string").select("nb", R._split_args(F.col("src")).alias("a"))
+    bad = {r["nb"] for r in df.filter(F.exists("a", lambda a: ~F.contains(a, F.lit("random_state")))).collect()}
+    assert bad == {0, 3, 4}
+
+
+def test_checks_meet_their_topic_only(spark):
+    facts = spark.createDataFrame([(1, "h1", "knn", ""), (2, "h2", "knn", "")], "nb int, hw string, src string, md string")
+    checks = spark.createDataFrame([("h1", "a", ["KNN"], [], [], None), ("h2", "a", ["svm"], [], [], None), ("h2", "b", [], [], ["svm"], None)], "hw string, check_id string, any_regex array<string>, all_regex array<string>, none_regex array<string>, bullets_min int")
+    got = sorted((r["nb"], r["check_id"], r["passed"]) for r in R.rubric_checks(facts, checks).collect())
+    assert got == [(1, "a", True), (2, "a", False), (2, "b", True)]

@@ -63,6 +63,15 @@ def test_drafts_and_delivery(spark, tmp_path):
     assert collect(S.deliver_once(replay(spark, res, tmp_path, "g")), tmp_path, "once").count() == 2
 
 
+def test_marks_and_checks_as_they_come(spark, tmp_path):
+    log = spark.createDataFrame([(1, 5, 1, "click", "a"), (2, 5, 2, "view", "demo-x"), (3, 5, 2, "click", "b"), (4, 6, 3, "click", "c"), (5, 5, 4, "view", "real"), (6, 5, 5, "click", "d")], "id long, tg_id long, n int, kind string, payload string").withColumn("at", F.timestamp_seconds("n")).drop("n")
+    got = collect(S.flag_stream(replay(spark, log, tmp_path, "m")), tmp_path, "marks")
+    assert {r["id"]: r["demo"] for r in got.collect()} == {1: False, 3: True, 4: False, 6: False}
+    asked = spark.createDataFrame([("u", 0), ("u", 3600), ("u", 6 * 3600), ("u", 7 * 3600), ("v", 100)], "url string, n int").withColumn("at", F.timestamp_seconds("n")).drop("n")
+    got = collect(S.ttl_check_stream(replay(spark, asked, tmp_path, "t")), tmp_path, "ttl")
+    assert [(r["url"], r["cached"]) for r in got.orderBy("url", "at").collect()] == [("u", False), ("u", True), ("u", False), ("u", True), ("v", False)]
+
+
 def test_outbox(spark, tmp_path):
     rows = spark.createDataFrame([("n", "p", "1", 1, 1), ("n", "p", "1", 2, 2), ("n", "p", "2", 3, 3), ("n", "p", "1", 4, 4)], "sink string, entity string, key string, rev long, at int")
     stream = replay(spark, rows, tmp_path, "h")
