@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Run, chunks, join_unique, read_table, with_locator
+from gradeloom.llm.common import Run, chunks, join_unique, matching, read_table, with_locator
 
 COORDS = 64
 TREES = 9
@@ -462,7 +462,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: one document of each component by five-word shingles stays, the one with the smallest id."""
     placed, place = with_locator(docs, "near-landed")
     kept = _near(placed, place, width=5).filter(F.struct("id", "loc") == F.col("first")).select(F.col("loc").alias(place))
-    return placed.join(kept, place, "left_semi").select(*[placed[f"`{c}`"] for c in docs.columns])
+    return matching(placed, kept, place, "left_semi").select(*[placed[f"`{c}`"] for c in docs.columns])
 
 
 def brute_force(texts: list[tuple[int, str | None]], width: int = 2, percent: int = 80) -> dict[int, int]:

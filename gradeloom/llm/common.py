@@ -91,6 +91,11 @@ def join_unique(run: Run, left: DataFrame, right: DataFrame, key: str, how: str
     return often.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
 
 
+def matching(docs: DataFrame, rows: DataFrame, place: str, how: str) -> DataFrame:
+    """Join all documents with rows that name some of them by ``place``. Both grow alike, so both are shuffled at every size."""
+    return docs.join(rows.hint("merge"), place, how)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name already."""
     taken = {c.lower() for c in df.columns}

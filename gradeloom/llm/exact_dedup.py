@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Run, ascii_lower, join_unique, read_table, scratch, with_locator
+from gradeloom.llm.common import Run, ascii_lower, join_unique, matching, read_table, scratch, with_locator
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # At most so many rows of a group are compared with the kept text in one task.
@@ -124,7 +124,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = dedup(spark, path).filter("kept")
     landed, place = with_locator(spark.read.parquet(path), "dedup-landed")
     kept = kept.select(F.struct(F.xxhash64("locator.file").alias("file"), F.col("locator.row").alias("row")).alias(place))
-    return landed.join(kept, place, "left_semi").select(*[landed[f"`{c}`"] for c in docs.columns])
+    return matching(landed, kept, place, "left_semi").select(*[landed[f"`{c}`"] for c in docs.columns])
 
 
 ORACLE_SQL = """

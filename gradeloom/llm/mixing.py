@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import WORD, Run, free_name, join_unique, read_table, with_locator
+from gradeloom.llm.common import WORD, Run, free_name, join_unique, matching, read_table, with_locator
 
 BINS = 4096  # and as many fine bins in each
 SEED = "mix-1"
@@ -149,7 +149,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     placed, place = with_locator(docs, "mix-landed")
     copies, copy = free_name(placed, "copies"), free_name(placed, "copy")
     taken = mix(placed, place).filter(F.col("copies") > 0).select(place, F.col("copies").alias(copies))
-    out = placed.join(taken, place).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`"))))
+    out = matching(placed, taken, place, "inner").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`"))))
     return out.select(*[out[f"`{c}`"] for c in docs.columns])
 
 
