@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -62,12 +63,16 @@ class Run:
         self.tables += 1
         return _write(df, f"{self.path}/{self.tables:03d}-{name}")
 
-    def finish(self, result: DataFrame) -> DataFrame:
-        """The result as a table of its own; those that it was made from go."""
-        out = written(result, self.name + "-result")
+    def clear(self) -> None:
+        """Remove the tables of the run."""
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
         folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        """The result as a table of its own; those that it was made from go."""
+        out = written(result, self.name + "-result")
+        self.clear()
         return out
 
 
@@ -175,3 +180,14 @@ def with_locator(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
         return placed(docs), column
     except AnalysisException:
         return placed(written(docs, name)), column
+
+
+def folder_of(docs: DataFrame) -> str | None:
+    """The folder whose Parquet files ``docs`` reads whole, or None if it is anything but such a read."""
+    folders = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+    if len(folders) != 1 or "%" in (folder := folders.pop()):  # names are escaped in the list of files
+        return None
+    read = docs.sparkSession.read.schema(docs.schema)
+    # reads are the same only if their paths were spelt alike
+    spelt = (path + end for path in (folder, urlsplit(folder).path) for end in ("", "/"))
+    return folder if any(docs.sameSemantics(read.parquet(path)) for path in spelt) else None

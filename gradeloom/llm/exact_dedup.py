@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Run, ascii_lower, join_unique, matching, read_table, scratch, with_locator
+from gradeloom.llm.common import Run, ascii_lower, folder_of, free_name, join_unique, matching, read_table, scratch, with_locator, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # At most so many rows of a group are compared with the kept text in one task.
@@ -33,9 +33,13 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def normalised(text: Column) -> Column:
+    return ascii_lower(F.coalesce(text, F.lit("")))
+
+
 def _located(docs: DataFrame, digest: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """(id, text, digest, locator); the locator is the row's place in its file, the same in every read."""
-    text, meta = ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), docs.metadataColumn("_metadata")
+    text, meta = normalised(F.col(text_col)), docs.metadataColumn("_metadata")
     return docs.select(F.col(id_col).alias("id"), text.alias("t"), digest(text).alias("digest"), F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias("locator"))
 
 
@@ -82,27 +86,41 @@ def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     return seen.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 
+def _grouped(run: Run, path: str, digest: Callable[[Column], Column], id_col: str, text_col: str, files_per_batch: int | None) -> DataFrame:
+    """Each document with the state of its digest: id, digest, locator, keep, group_size."""
+    spark = run.spark
+    states = run.written(group_states(spark, path, digest, id_col, text_col, files_per_batch), "states")
+    hashed = run.written(_located(spark.read.parquet(path), digest, id_col, text_col).select("id", "digest", "locator"), "hashed")
+    rows = join_unique(run, hashed, states, "digest", sizes=states.select("digest", F.col("group_size").alias("size")))
+    return run.written(rows.select("id", "digest", "locator", "keep", "group_size"), "rows")
+
+
+def _settled(run: Run, docs: DataFrame, rows: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` with ``kept``, and whether a digest held different texts, so that its documents were grouped again.
+
+    ``members`` are the texts of all groups: t, locator, digest, keep, group_size.
+    """
+    bad = run.written(_mismatched(members), "collisions")
+    if collided := not bad.isEmpty():
+        again = run.written(docs.join(bad, "digest", "left_semi"), "again")
+        by_text = again.groupBy("digest", "t").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count("*").alias("group_size"))
+        rows = rows.join(bad, "digest", "left_anti").unionByName(again.join(by_text, ["digest", "t"]).select(*rows.columns))
+    return rows.withColumn("kept", F.col("locator") == F.col("keep.locator")), collided
+
+
 def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
     """One row for each document of the table at ``path``: id, digest, locator, keep (id, locator), group_size, kept."""
     run = Run(spark, "dedup")
-    states = run.written(group_states(spark, path, digest, id_col, text_col, files_per_batch), "states")
+    rows = _grouped(run, path, digest, id_col, text_col, files_per_batch)
     docs = _located(spark.read.parquet(path), digest, id_col, text_col)
-    hashed = run.written(docs.select("id", "digest", "locator"), "hashed")
-    rows = run.written(join_unique(run, hashed, states, "digest", sizes=states.select("digest", F.col("group_size").alias("size"))), "rows")
-    result = rows.select("id", "digest", "locator", "keep", "group_size")
-    bad = run.written(_mismatched(run, docs.select("t", "locator"), rows), "collisions")
-    if not bad.isEmpty():
-        again = run.written(docs.join(bad, "digest", "left_semi"), "again")
-        by_text = again.groupBy("digest", "t").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count("*").alias("group_size"))
-        result = result.join(bad, "digest", "left_anti").unionByName(again.join(by_text, ["digest", "t"]).select("id", "digest", "locator", "keep", "group_size"))
-    return run.finish(result.withColumn("kept", F.col("locator") == F.col("keep.locator")))
+    groups = rows.filter(F.col("group_size") > 1).drop("id")
+    # written once, as it is read from both sides; only members of groups are in it
+    members = run.written(docs.select("t", "locator").join(groups, "locator"), "members")
+    return run.finish(_settled(run, docs, rows, members)[0])
 
 
-def _mismatched(run: Run, texts: DataFrame, rows: DataFrame) -> DataFrame:
+def _mismatched(members: DataFrame) -> DataFrame:
     """Digests of groups in which some text differs from the kept one, compared in full."""
-    groups = rows.filter(F.col("group_size") > 1).select("locator", "digest", "keep", "group_size")
-    # written once, as it is read from both sides; only members of groups are in it
-    members = run.written(texts.join(groups, "locator"), "members")
     # a frequent digest is dealt to several tasks; its kept text is copied to each of them
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     hits = members.select("digest", "t", F.pmod(F.xxhash64("locator"), salts).cast("int").alias("salt"))
@@ -118,13 +136,31 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of equal texts stays. The documents are landed for the stream."""
-    path = scratch(spark, "dedup-landed")
-    docs.write.parquet(path)
-    kept = dedup(spark, path).filter("kept")
-    landed, place = with_locator(spark.read.parquet(path), "dedup-landed")
-    kept = kept.select(F.struct(F.xxhash64("locator.file").alias("file"), F.col("locator.row").alias("row")).alias(place))
-    return matching(landed, kept, place, "left_semi").select(*[landed[f"`{c}`"] for c in docs.columns])
+    """Pipeline stage: one document of each group of equal texts stays. Anything but a read of a table is landed for the stream."""
+    return deduplicated(spark, docs)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The documents that stay, with their columns. Whole documents are moved once, to meet the state of their digest."""
+    path = folder_of(docs)
+    if path is None:
+        path = scratch(spark, "dedup-landed")
+        docs.write.parquet(path)
+    run = Run(spark, "dedup")
+    rows = _grouped(run, path, digest, "doc_id", "text", None)
+    landed, place = with_locator(spark.read.schema(docs.schema).parquet(path), "dedup-landed")
+    state = free_name(landed, "_state")
+    by_place = lambda of: F.struct(F.xxhash64(F.col("locator.file")).alias("file"), F.col("locator.row").alias("row")).alias(of)
+    named = rows.select(by_place(place), F.struct("locator", "digest", "keep", "group_size").alias(state))
+    met = written(matching(landed, named, place, "inner"), "dedup-met")
+    members = met.filter(F.col(f"{state}.group_size") > 1).select(normalised(F.col("text")).alias("t"), f"{state}.*")
+    settled, collided = _settled(run, _located(spark.read.parquet(path), digest, "doc_id", "text"), rows, members)
+    if collided:  # which rows stay has changed
+        kept = matching(met, written(settled.filter("kept").select(by_place(place)), "dedup-kept"), place, "left_semi")
+    else:
+        kept = met.filter(F.col(f"{state}.locator") == F.col(f"{state}.keep.locator"))
+    run.clear()
+    return kept.select(*[met[f"`{c}`"] for c in docs.columns])
 
 
 ORACLE_SQL = """

@@ -113,6 +113,20 @@ def test_colliding_digests_do_not_merge_texts(spark, tmp_path):
     assert {r["id"] for r in got if r["kept"]} == {35, 36, 37, 38, 39} and all(r["group_size"] == 8 and r["keep"]["id"] % 5 == r["id"] % 5 for r in got)
 
 
+def test_stage_with_colliding_digests_reads_a_table_in_place(spark, tmp_path):
+    rows = [(i, f"text {i % 5}", "s") for i in range(40)]
+    path = landed(spark, rows, tmp_path)
+    table = spark.read.parquet(path)
+    for spelt in (path, path + "/", f"{tmp_path}/docs", f"{tmp_path}/docs/"):
+        assert common.folder_of(spark.read.parquet(spelt)).endswith(f"{tmp_path}/docs")
+    for docs in (table.filter("doc_id > 3"), table.limit(4), table.select("text"), docs_of(spark, rows), table.unionAll(table), spark.read.json(table.toJSON())):
+        assert common.folder_of(docs) is None
+    for docs in (table, docs_of(spark, rows)):
+        for digest in (exact_dedup.sha256, lambda t: F.lit("same")):
+            got = exact_dedup.deduplicated(spark, docs, digest)
+            assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [35, 36, 37, 38, 39]
+
+
 def test_empty_table(spark, tmp_path):
     assert exact_dedup.dedup(spark, landed(spark, ODD, tmp_path / "e", 1).replace("/e/", "/e/")).count() == len(ODD)
     docs_of(spark, ODD).limit(0).write.parquet(f"file://{tmp_path}/none")
