@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
+from gradeloom.functions.udf import nfc
 
 
 def track_recipients(tracks: DataFrame, enrollments: DataFrame, people: DataFrame) -> DataFrame:
@@ -45,15 +46,21 @@ def enroll_replace(enrollments: DataFrame, submitted: DataFrame) -> DataFrame:
     return kept.select("tg_id", "track").unionByName(submitted.select("tg_id", "track")).dropDuplicates()
 
 
-def missing_answers(answers: DataFrame, steps: DataFrame) -> DataFrame:
+def missing_answers(answers: DataFrame, steps: DataFrame, conditions: dict[str, Column] | None = None) -> DataFrame:
     """(tg_id, missing[]): required steps without an answer; multi-choice steps below their minimum.
 
+    ``conditions``: for some steps a condition on the answers without which they are not asked (a faculty, only where the
+    university has faculties); a null condition counts as false.
+
     ``answers``: tg_id, answers map<string,string> (several choices joined by ';'); ``steps``: step, ord, required, least.
     """
     rows = answers.crossJoin(F.broadcast(steps.filter("required")))  # steps are a form's few rows
     value = X.text(F.element_at("answers", F.col("step")))
     n = F.size(F.filter(F.split(value, ";"), lambda v: F.trim(v) != ""))
-    lack = F.when(n < F.greatest(F.col("least"), F.lit(1)), F.struct("ord", "step"))
+    asked = F.lit(True)
+    for step, cond in (conditions or {}).items():
+        asked = asked & ((F.col("step") != step) | F.coalesce(cond, F.lit(False)))
+    lack = F.when(asked & (n < F.greatest(F.col("least"), F.lit(1))), F.struct("ord", "step"))
     return rows.groupBy("tg_id").agg(F.transform(F.array_sort(F.collect_list(lack)), lambda s: s["step"]).alias("missing"))
 
 
@@ -71,6 +78,33 @@ def place_materials(files: DataFrame, rules: DataFrame) -> DataFrame:
     return out.unionByName(lost.select("name", F.lit(None).cast("string").alias("hash"), F.lit("not found").alias("destination")))
 
 
+def route_materials(files: DataFrame, routes: DataFrame, aliases: DataFrame | None = None, withheld: DataFrame | None = None, data_suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """(name, destination, kind) of files (name, hash): no file disappears.
+
+    ``routes`` (name, destination, wanted): a file goes to each of its destinations; of equal contents at one destination
+    the first name is ``placed``, the others are a ``copy``. Files without a route are an ``alias`` (name, of) of another
+    one, ``withheld`` (name), ``data`` by their suffix, else ``extra``, in that order. Routes without a file come back as
+    ``not found`` where they are wanted. Names are compared in Unicode NFC; repeated rows count once, null names are left out.
+    """
+    keyed = lambda df, *more: df.filter("name is not null").select(nfc(F.col("name")).alias("name"), *more).distinct()
+    f, r = keyed(files, "hash"), keyed(routes, "destination", "wanted")
+    met = f.join(r.select("name", "destination").distinct(), "name")
+    first = met.groupBy(F.col("destination").alias("_to"), F.col("hash").alias("_hash")).agg(F.min("name").alias("_first"))
+    same = met.join(first, F.col("destination").eqNullSafe(F.col("_to")) & F.col("hash").eqNullSafe(F.col("_hash")))
+    placed = same.select("name", "destination", F.when(F.col("name") == F.col("_first"), "placed").otherwise("copy").alias("kind"))
+    rest = f.select("name").distinct().join(r.select("name").distinct(), "name", "left_anti")
+    twin, held = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    if aliases is not None:
+        rest, twin = rest.join(keyed(aliases, F.col("of").alias("_of")).groupBy("name").agg(F.min("_of").alias("_of")), "name", "left"), F.col("_of")
+    if withheld is not None:
+        rest, held = rest.join(keyed(withheld, F.lit(True).alias("_held")), "name", "left"), F.col("_held")
+    suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
+    kind = F.when(twin.isNotNull(), "alias").when(held, "withheld").when(suffix.isin(*data_suffixes) if data_suffixes else F.lit(False), "data").otherwise("extra")
+    rest = rest.select("name", twin.alias("destination"), kind.alias("kind"))
+    lost = r.filter("wanted").join(f.select("name").distinct(), "name", "left_anti").select("name", "destination", F.lit("not found").alias("kind"))
+    return placed.unionByName(rest).unionByName(lost)
+
+
 def articles_index(catalog: DataFrame) -> DataFrame:
     """Articles by topic, common ones first, by title."""
     group = F.when(F.col("hw") == "common", F.lit("")).otherwise(F.col("hw"))

@@ -49,10 +49,24 @@ def folder_fallback(unmatched: DataFrame, chosen: DataFrame, topics: DataFrame)
     return free.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
-def classification_counts(matches: DataFrame, notebooks: DataFrame) -> DataFrame:
-    """Submissions by topic; notebooks without any topic as 'unmatched'."""
+def classification_counts(matches: DataFrame, notebooks: DataFrame, broken: DataFrame | None = None, students: DataFrame | None = None) -> DataFrame:
+    """Submissions by topic; notebooks without any topic as 'unmatched'.
+
+    With ``broken`` (nb of unreadable notebooks, which are not unmatched) and ``students`` (key; notebooks hold it then) also
+    'broken' and 'empty', the students without any notebook.
+    """
     none = notebooks.join(matches.select("nb").distinct(), "nb", "left_anti")
-    return matches.groupBy("topic").agg(F.count("*").alias("n")).unionByName(none.agg(F.count("*").alias("n")).select(F.lit("unmatched").alias("topic"), "n"))
+    row = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("topic"), "n")
+    more = []
+    if broken is not None:
+        none = none.join(broken.select("nb"), "nb", "left_anti")
+        more.append(row(broken, "broken"))
+    if students is not None:
+        more.append(row(students.select("key").distinct().join(notebooks.select("key").distinct(), "key", "left_anti"), "empty"))
+    out = matches.groupBy("topic").agg(F.count("*").alias("n")).unionByName(row(none, "unmatched"))
+    for m in more:
+        out = out.unionByName(m)
+    return out
 
 
 def numbered_in_groups(rows: DataFrame, group: str, order: str) -> DataFrame:

@@ -70,12 +70,15 @@ def median_passed(passed: DataFrame) -> DataFrame:
     return passed.agg(F.coalesce(F.median("passed"), F.lit(0.0)).alias("median_passed"))
 
 
-def cohort_summary(students: DataFrame, hw: DataFrame, passed: DataFrame) -> DataFrame:
-    """One row of totals."""
+def cohort_summary(students: DataFrame, hw: DataFrame, passed: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """One row of totals; with ``bindings`` also the active students that have an account bound."""
     a = students.agg(F.count("*").alias("in_form"), F.count_if(F.col("status") == "ok").alias("active"), F.count_if(F.col("status") != "ok").alias("excluded"))
     b = active_results(hw, students).agg(F.count_if(F.col("status") != "missing").alias("submissions"), F.count_if(F.col("status") == "passed").alias("passed"))
     c = passed.agg(F.count_if("certified").alias("certificates"), F.coalesce(F.median("passed"), F.lit(0.0)).alias("median_passed"))
-    return a.crossJoin(b).crossJoin(c)  # one row each
+    out = a.crossJoin(b).crossJoin(c)  # one row each
+    if bindings is None:
+        return out
+    return out.crossJoin(passed.join(bindings.select("key"), "key", "left_semi").agg(F.count("*").alias("bound")))
 
 
 def percentile(passed: DataFrame) -> DataFrame:
@@ -104,11 +107,15 @@ def number_certified(passed: DataFrame) -> DataFrame:
     return numbered(rows, "_name", "key").select("number", "key", "fio", "passed", "total")
 
 
-def passed_matrix(hw: DataFrame, students: DataFrame, ids: list[str]) -> DataFrame:
-    """A status column for each topic."""
+def passed_matrix(hw: DataFrame, students: DataFrame, ids: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """A status column for each topic; with ``pairs`` (me, hw, other), seen from both sides, also how many a student is in."""
     cells = [F.coalesce(F.max(F.when(F.col("hw") == i, F.col("status"))), F.lit("missing")).alias(f"t{i}") for i in ids]
     got = active(students).select("key", "fio").join(hw.select("key", "hw", "status"), "key", "left")
-    return got.groupBy("key", "fio").agg(*cells)
+    out = got.groupBy("key", "fio").agg(*cells)
+    if pairs is None:
+        return out
+    n = pairs.groupBy(F.col("me").alias("key")).agg(F.count("*").alias("similar"))
+    return out.join(n, "key", "left").withColumn("similar", F.coalesce("similar", F.lit(0)))
 
 
 def enrich_findings(findings: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -116,6 +123,17 @@ def enrich_findings(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     return findings.join(catalog, "code", "left").select("key", "hw", "code", "severity", F.coalesce("title", "code").alias("title"), "kind")
 
 
+def enrich_whole(findings: DataFrame, articles: DataFrame) -> DataFrame:
+    """Findings (key, hw, code, severity, title) with what their article (code, title, kind, links) says.
+
+    Without an article the finding keeps its own title, or its code; ``article`` is the code of the one there is.
+    """
+    a = articles.select("code", F.col("title").alias("_title"), "kind", "links", F.col("code").alias("article"))
+    title = F.coalesce("_title", F.nullif(F.col("title"), F.lit("")), F.col("code"))
+    links = F.coalesce("links", F.array().cast(articles.schema["links"].dataType))
+    return findings.join(a, "code", "left").select("key", "hw", "code", "severity", title.alias("title"), "kind", links.alias("links"), "article")
+
+
 def plan_weights(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Weight of each methodology code of a student, number of hygiene codes, first topic."""
     rows = findings.join(catalog.select("code", "kind"), "code")

@@ -31,6 +31,22 @@ def profile(events: DataFrame) -> DataFrame:
     return events.groupBy("tg_id", "kind").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
+def account_profile(events: DataFrame, bindings: DataFrame, tickets: DataFrame, claims: DataFrame) -> DataFrame:
+    """A10 with the rest of an account: bound student, events, tickets (answered) and claims (status), for all accounts.
+
+    The tables are merged and grouped once; an account that is only in one of them has zeros for the others.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    part = lambda df, what, key=None, at=None, is_open=None: df.select("tg_id", F.lit(what).alias("_what"), (none("string") if key is None else key.cast("string")).alias("_key"), (none("timestamp") if at is None else at).alias("_at"), (F.lit(False) if is_open is None else is_open).alias("_open"))
+    rows = part(events, "event", at=F.col("at")).unionByName(part(bindings, "binding", key=F.col("key")))
+    rows = rows.unionByName(part(tickets, "ticket", is_open=~F.col("answered"))).unionByName(part(claims, "claim", is_open=F.col("status") == "pending"))
+    count = lambda what, cond=F.lit(True): F.count_if((F.col("_what") == what) & cond)
+    return rows.groupBy("tg_id").agg(
+        F.min("_key").alias("student_key"), count("event").alias("events"), F.min("_at").alias("first_at"), F.max("_at").alias("last_at"),
+        count("ticket").alias("tickets"), count("ticket", F.col("_open")).alias("open_tickets"), count("claim").alias("claims"), count("claim", F.col("_open")).alias("pending_claims"),
+    )
+
+
 def latest_state(events: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key, with the times it was first and last seen."""
     rest = [c for c in events.columns if c != key]
@@ -161,6 +177,16 @@ def latest_revision(tasks: DataFrame, synced: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("rev") <= F.coalesce("synced_rev", F.lit(-1)), "stale").otherwise("pending"))
 
 
+def synced_state(state: DataFrame, done: DataFrame) -> DataFrame:
+    """Stored revisions (sink, entity, key, rev, remote_id) with finished tasks put in.
+
+    The last revision stays, and the remote identifier of the last revision that has one: a null never replaces it.
+    """
+    rows = state.unionByName(done.select(*state.columns))
+    known = F.max(F.when(F.col("remote_id").isNotNull(), F.struct("rev", "remote_id")))
+    return rows.groupBy("sink", "entity", "key").agg(F.max("rev").alias("rev"), known["remote_id"].alias("remote_id"))
+
+
 def decide_binding(attempts: DataFrame, bindings: DataFrame, contacts: DataFrame) -> DataFrame:
     """Bind, claim (no handle known, or another one) or taken (the student has another account)."""
     b, c = bindings.select("key", F.col("tg_id").alias("owner")), contacts.select("key", F.lower("username").alias("expected"))
@@ -184,6 +210,19 @@ def health_counts(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def service_health(students: DataFrame, passed: DataFrame, bindings: DataFrame, tickets: DataFrame, claims: DataFrame, broadcasts: DataFrame) -> DataFrame:
+    """One row of students, checked ones, certificates, bindings, open tickets, pending claims and stalled broadcasts."""
+    one = lambda df, c, name: df.agg(c.alias(name))
+    parts = [
+        one(students, F.count("*"), "students"), passed.agg(F.count("*").alias("active"), F.count_if("certified").alias("certified")), one(bindings, F.count("*"), "bindings"),
+        one(tickets, F.count_if(~F.col("answered")), "open_tickets"), one(claims, F.count_if(F.col("status") == "pending"), "pending_claims"), one(broadcasts, F.count_if(F.col("status") == "stalled"), "stalled"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
 def review_batch_stats(results: DataFrame) -> DataFrame:
     """Results (status, body, tokens) by outcome, with tokens and bodies that are no JSON."""
     bad = F.col("body").isNotNull() & F.try_parse_json("body").isNull()

@@ -76,6 +76,19 @@ def link_quality_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("match").agg(F.count("*").alias("n"), F.count_if(F.col("username") != "").alias("with_username"))
 
 
+def contact_counts(contacts: DataFrame) -> DataFrame:
+    """(part, value, n) of contacts (key, username, match, exists): by kind of match, by existence, with a handle, usable.
+
+    Nulls count as ''. All four come from one pass: counts by (match, exists, handle) first, then over those few rows.
+    """
+    rows = contacts.select(X.text(F.col("match")).alias("match"), X.text(F.col("exists")).alias("exists"), (X.text(F.col("username")) != "").alias("found"))
+    few = rows.groupBy("match", "exists", "found").agg(F.count("*").alias("n"))
+    usable = F.col("found") & (F.col("match") != "none") & (F.col("exists") != "no")
+    word = lambda c: F.when(c, "yes").otherwise("no")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), v.alias("value")) for p, v in (("match", F.col("match")), ("exists", F.col("exists")), ("username", word(F.col("found"))), ("usable", word(usable)))])
+    return few.select(F.explode(parts).alias("p"), "n").groupBy("p.part", "p.value").agg(F.sum("n").alias("n"))
+
+
 def assign_keys(rows: DataFrame, order: str = "ord") -> DataFrame:
     """A key for each person (ord, owner, repo, fio): the login, else the name.
 

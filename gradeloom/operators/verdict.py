@@ -91,6 +91,19 @@ def catalog_coverage(expected: DataFrame, catalog: DataFrame) -> DataFrame:
     return e.subtract(c).withColumn("side", F.lit("no_article")).unionByName(c.subtract(e).withColumn("side", F.lit("unexpected")))
 
 
+def portrait_prompt(links: DataFrame, titles: DataFrame, head: str, tail: str, common: str = "Common mistakes") -> DataFrame:
+    """P39 for portraits: one row (prompt): the allowed links (hw, url, title) by topic, between ``head`` and ``tail``.
+
+    Topics (hw, title) and links are those of a course's catalog, so one text holds them; the common ones have the title ``common``.
+    """
+    rows = links.join(F.broadcast(titles.select("hw", F.col("title").alias("_t"))), "hw", "left")
+    name = F.when(F.col("hw") == "common", common).otherwise(F.coalesce("_t", "hw"))
+    line = F.concat(F.lit("- "), "title", F.lit(" — "), "url")
+    block = rows.groupBy("hw", name.alias("_name")).agg(X.ordered_join(F.struct("title", "url"), line).alias("_lines"))
+    text = X.ordered_join(F.col("hw"), F.concat(F.lit("### "), "hw", F.lit(" · "), "_name", F.lit("\n"), "_lines"), "\n\n")
+    return block.agg(F.concat_ws("\n\n", F.lit(head), text, F.lit(tail)).alias("prompt"))
+
+
 def topic_prompts(checks: DataFrame, catalog: DataFrame, rubrics: DataFrame) -> DataFrame:
     """One prompt for each topic: task, judged items, allowed codes."""
     items = checks.filter(F.col("kind") == "llm").groupBy("hw").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "check_id", F.lit(": "), "title"))), "\n").alias("items"))

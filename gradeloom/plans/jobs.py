@@ -95,13 +95,15 @@ def grade(cells: DataFrame, broken: DataFrame, checks: DataFrame, reviews: DataF
     return {"findings": cohort.sort_findings(merged), "verdicts": verdict.verdicts(results, merged, judged)}
 
 
-def publish(students: DataFrame, hw: DataFrame, findings: DataFrame, topics: DataFrame, catalog: DataFrame, path: str, ids: list[str]) -> None:
-    """Matrix, certificates, typical errors and reports."""
+def publish(students: DataFrame, hw: DataFrame, findings: DataFrame, topics: DataFrame, catalog: DataFrame, path: str, ids: list[str], pairs: DataFrame | None = None) -> None:
+    """Matrix, certificates, typical errors and reports; with ``pairs`` (hw, a, b) also the similar works and their numbers."""
     passed = cohort.passed_counts(hw, students, topics)
-    sinks.write_table(cohort.passed_matrix(hw, students, ids).join(passed.select("key", "passed"), "key").withColumn("last", -F.col("passed")), f"{path}/summary", "last", "fio", "key")
+    sinks.write_table(cohort.passed_matrix(hw, students, ids, None if pairs is None else similarity.symmetrise(pairs)).join(passed.select("key", "passed"), "key").withColumn("last", -F.col("passed")), f"{path}/summary", "last", "fio", "key")
     sinks.write_table(cohort.number_certified(passed), f"{path}/certificates", "number")
     sinks.write_table(cohort.typical_errors(hw, students, findings, catalog), f"{path}/typical_errors", "hw", "place")
     sinks.write_reports(sinks.report_documents(students, hw, findings), f"{path}/reports")
+    if pairs is not None:
+        sinks.write_table(pairs, f"{path}/similarity", "hw", "a", "b")
 
 
 def compare(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], topics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,22 +131,45 @@ def review_io(texts: DataFrame, prompts: DataFrame, codes: DataFrame, size: int
     return sinks.review_requests(texts, prompts, codes).join(requests.withColumn("custom_id", F.concat_ws("|", "key", "hw")), "custom_id"), volume
 
 
+def review_cycle(texts: DataFrame, prompts: DataFrame, codes: DataFrame, results: DataFrame, answers: DataFrame, catalog: DataFrame, size: int = 25, calibration: int = 10) -> dict[str, DataFrame]:
+    """C09 as a whole: requests by batch, volume, a calibration sample of each topic, then what came back.
+
+    ``results``: (status, body, tokens) of the batches; ``answers``: (key, hw, parsed, codes) of the works that were read.
+    """
+    requests, volume = review_io(texts, prompts, codes, size)
+    sample = classify.systematic_sample(texts.select("key", "hw"), "hw", "key", calibration)
+    return {"requests": requests, "volume": volume, "sample": sample, "stats": events.review_batch_stats(results), "progress": verdict.review_progress(texts, answers, catalog), "foreign": verdict.foreign_codes(answers, catalog)}
+
+
 def portraits(hw: DataFrame, findings: DataFrame, catalog: DataFrame, answers: DataFrame, urls: list[str], topics: list[str], codes: list[str]) -> tuple[DataFrame, DataFrame]:
     """(digests to send, cleaned portraits with complaints) for answers (key, p)."""
     cleaned = answers.select("key", X.sanitize_portrait(F.col("p"), urls, topics, codes).alias("portrait"), X.validate_portrait(F.col("p"), urls, topics, codes).alias("complaints"))
     return cohort.student_digest(hw, findings, catalog), cleaned
 
 
+def portrait_cycle(students: DataFrame, hw: DataFrame, findings: DataFrame, articles: DataFrame, topics: DataFrame, answers: DataFrame, head: str, tail: str) -> dict[str, DataFrame]:
+    """C10 as a whole: the prompt with the allowed links, whole digests, and answers (key, p) cleaned and checked.
+
+    ``articles``: (code, hw, title, kind, body). Links, topics and codes that an answer may name come from the catalog; they
+    are a course's, so they are collected for the checks.
+    """
+    links = admissions.links_by_topic(articles)
+    allowed = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect() if r[0] is not None)
+    urls, ids, codes = allowed(links, "url"), allowed(topics, "hw"), allowed(articles, "code")
+    cleaned = answers.select("key", X.sanitize_portrait(F.col("p"), urls, ids, codes).alias("portrait"), X.validate_portrait(F.col("p"), urls, ids, codes).alias("complaints"))
+    return {"prompt": verdict.portrait_prompt(links, topics, head, tail), "digests": cohort.digest_whole(students, hw, findings, articles, topics), "portraits": cleaned}
+
+
 def cohort_dashboard(students: DataFrame, hw: DataFrame, topics: DataFrame) -> dict[str, DataFrame]:
     """C11."""
     passed = cohort.passed_counts(hw, students, topics)
     return {"topics": cohort.topic_stats(hw, students, topics), "passed": cohort.distribution(passed), "summary": cohort.cohort_summary(students, hw, passed), "places": cohort.percentile(passed)}
 
 
-def usage_dashboard(log: DataFrame, views: DataFrame, kind: str, n: int = 10) -> tuple[DataFrame, DataFrame]:
+def usage_dashboard(log: DataFrame, views: DataFrame, kind: str, n: int = 10, path: str = "$.code") -> tuple[DataFrame, DataFrame]:
     """Totals and top payloads of what was not demo."""
     real = log.join(events.flag_demo(log, views).filter("not demo").select("id"), "id", "left_semi")
-    return events.event_totals(real), events.top_payloads(real, kind, n)
+    return events.event_totals(real), events.top_payloads(real, kind, n, path)
 
 
 def study_plan(findings: DataFrame, catalog: DataFrame, hw: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,6 +177,17 @@ def study_plan(findings: DataFrame, catalog: DataFrame, hw: DataFrame, topics: D
     return cohort.plan_top(cohort.plan_weights(findings, catalog)), cohort.failed_topics(hw, topics, findings)
 
 
+def study_pages(findings: DataFrame, articles: DataFrame, hw: DataFrame, topics: DataFrame, growth: DataFrame) -> dict[str, DataFrame]:
+    """C13 as a whole: what to do first (a portrait's growth points, else the top codes), failed topics, chapters, best links.
+
+    ``articles``: (code, hw, title, kind, body); ``growth``: (key, pos, title).
+    """
+    top, failed = study_plan(findings, articles, hw, topics)
+    own = articles.select("code", F.explode(X.external_links(X.extract_links(F.col("body")))).alias("x")).select("code", F.col("x.title").alias("title"), F.col("x.url").alias("url"))
+    links = admissions.links_by_topic(articles)
+    return {"lines": cohort.plan_lines(top, growth), "failed": failed, "chapters": cohort.chapters(hw, topics, links), "links": cohort.best_links(findings, own, links)}
+
+
 def plan_broadcast(passed: DataFrame, bindings: DataFrame, delivered: DataFrame, who: str) -> DataFrame:
     """C14: reachable targets of an audience that nothing was delivered to."""
     targets = cohort.audience(passed, bindings, who).filter("reachable").select("tg_id")
@@ -164,8 +200,20 @@ def admissions_view(applications: DataFrame, people: DataFrame, enrollments: Dat
     return {"applications": view, "tracks": admissions.track_counts(tracks, enrollments), "reconciled": admissions.reconcile(view, remote, "tg_id")}
 
 
-def assemble_materials(files: DataFrame, placement: DataFrame) -> DataFrame:
-    """Files (name, content) with their destination; of equal contents at one destination the first name stays."""
+def admissions_cycle(drafts: DataFrame, people: DataFrame, enrollments: DataFrame, tracks: DataFrame, homeworks: DataFrame, homework_tracks: DataFrame, remote: DataFrame, labels: dict[str, dict[str, str]], order: list[str]) -> dict[str, DataFrame]:
+    """C15 as a whole: drafts (tg_id, answers, rev, submitted; T08's output, of which the last revision counts) to views.
+
+    Recipients are those of each track, homeworks those that a person may see, and the projection is written anew each time.
+    """
+    last = drafts.groupBy("tg_id").agg(F.max_by(F.struct("answers", "submitted"), "rev").alias("d"))
+    applications = last.select("tg_id", "d.answers", F.when(F.col("d.submitted"), "submitted").otherwise("draft").alias("status"))
+    out = admissions_view(applications, people, enrollments, tracks, remote)
+    sent = applications.filter("status = 'submitted'")
+    return out | {"recipients": admissions.track_recipients(tracks, enrollments, people), "homeworks": admissions.visible_homeworks(enrollments, homework_tracks, homeworks), "projection": sinks.project_applications(sent, labels, order)}
+
+
+def assemble_materials(files: DataFrame, routes: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None, withheld: DataFrame | None = None, data_suffixes: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Files (name, content) with their destinations (J24), how many of each kind, and the index of the catalog's articles."""
     hashed = files.select("name", X.content_hash(F.col("content")).alias("hash"))
-    placed = admissions.place_materials(hashed, placement)
-    return classify.dedup_by_content(placed, "destination", "hash", "name")
+    placed = admissions.route_materials(hashed, routes, aliases, withheld, data_suffixes)
+    return {"files": placed, "counts": placed.groupBy("kind").agg(F.count("*").alias("n")), "articles": admissions.articles_index(catalog)}

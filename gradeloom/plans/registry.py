@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gradeloom.plans import cohort_queries, event_queries, extra_queries, more_queries, text_queries
+from gradeloom.plans import cohort_queries, event_queries, extra_queries, more_queries, service_queries, text_queries
 
-_PARTS = (cohort_queries, text_queries, event_queries, more_queries, extra_queries)
+_PARTS = (cohort_queries, text_queries, event_queries, more_queries, extra_queries, service_queries)
 
 
 def queries() -> dict:

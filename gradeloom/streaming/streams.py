@@ -197,6 +197,12 @@ def broadcast_lifecycle(actions: DataFrame) -> DataFrame:
     return rows.groupBy("broadcast_id").applyInPandasWithState(fold, "id long, broadcast_id long, action string, status string, ok boolean", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
+def diverged_flags(state: DataFrame) -> DataFrame:
+    """A flag (kind, payload) for each record of the outbox's state that was given up."""
+    payload = F.to_json(F.struct("sink", "entity", F.col("key").cast("string").alias("key"), "rev", "tries"))
+    return state.filter("status = 'diverged'").select(F.lit("sync_diverged").alias("kind"), payload.alias("payload"))
+
+
 def sync_outbox(tasks: DataFrame, state_path: str, send, checkpoint: str, tries: int = 8):
     """Each micro-batch collapsed to the last revision of each (sink, entity, key), sent, and kept as state.
 
