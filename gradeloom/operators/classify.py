@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
+from gradeloom.operators.cohort import in_ranges
 
 
 def score_topics(notebooks: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -74,10 +75,7 @@ def numbered_in_groups(rows: DataFrame, group: str, order: str) -> DataFrame:
 
     A large group is dealt over several ranges of its order, sorted apart and offset by the counts of the ranges before.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, group, order).withColumn("_part", F.spark_partition_id())
-    if set(rows.columns) != {group, order}:
-        ranged = ranged.persist()  # bounds are sampled: with other columns, both uses below would not share one exchange
+    ranged = in_ranges(rows, group, order)
     counts = ranged.groupBy("_part", group).agg(F.count("*").alias("_n"))  # a row for each range and each group in it
     w = Window.partitionBy(group)
     before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -92,10 +92,19 @@ def percentile(passed: DataFrame) -> DataFrame:
     return passed.join(F.broadcast(cum), "passed").select("key", "passed", pct.alias("percentile"), X.place_bucket(pct).alias("place"))
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` dealt to ranges of ``order``, with the range's number (``_part``).
+
+    Bounds are sampled for each exchange anew, and a use that needs fewer columns has an exchange of its own; so the rows are
+    kept (on disk where memory is short), and all uses see the same ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+
+
 def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     """1..n in a global order without one task for all rows: ranges are sorted apart and offset by their counts."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = in_ranges(df, *order)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     w = Window.partitionBy("_part").orderBy(*order)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
+from gradeloom.operators.cohort import in_ranges
 
 
 def event_totals(events: DataFrame, by: str = "kind") -> DataFrame:
@@ -73,7 +74,7 @@ def arrival_number(events: DataFrame) -> DataFrame:
     """
     first = events.groupBy("tg_id").agg(F.min("at").alias("at"))
     by = first.groupBy("at").agg(F.count("*").alias("n"))
-    ranged = by.repartitionByRange(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at").withColumn("_p", F.spark_partition_id())
+    ranged = in_ranges(by, "at").withColumnRenamed("_part", "_p")
     sums = ranged.groupBy("_p").agg(F.sum("n").alias("s"))  # one row for each partition
     base = sums.select("_p", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     numbered = ranged.join(F.broadcast(base), "_p").select("at", (F.sum("n").over(Window.partitionBy("_p").orderBy("at")) + F.col("b")).alias("number"))

@@ -126,8 +126,8 @@ def test_admissions_cycle(spark):
 
 
 def test_materials(spark):
-    acute = "café.pdf"
-    files = [("café.pdf", "x"), ("b.pdf", "x"), ("same.pdf", "y"), ("secret.pdf", "z"), ("t.csv", "1"), ("left.txt", "2"), (None, "3")]
+    acute = "caf\u00e9.pdf"
+    files = [("cafe\u0301.pdf", "x"), ("b.pdf", "x"), ("same.pdf", "y"), ("secret.pdf", "z"), ("t.csv", "1"), ("left.txt", "2"), (None, "3")]
     routes = [(acute, "lesson", True), ("b.pdf", "lesson", True), ("b.pdf", "guests", False), ("gone.pdf", "lesson", True), ("maybe.pdf", "hw", False)]
     frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     out = jobs.assemble_materials(frame(files, "name string, content string"), frame(routes, "name string, destination string, wanted boolean"), _articles(spark), frame([("same.pdf", "b.pdf")], "name string, of string"), frame([("secret.pdf",)], "name string"), (".csv",))

@@ -92,3 +92,18 @@ def test_spacing_holds_no_key_in_one_row(spark):
             want.append(t)
             last = t
     assert sorted(r["t"] for r in got.filter("k = 7").select(F.unix_seconds("at").alias("t")).collect()) == want and got.filter("k is null").count() == 300
+
+
+def test_numbers_are_whole_where_bounds_are_sampled(spark):
+    from gradeloom.operators import cohort, events
+    from pyspark.sql import functions as F
+
+    # more rows than a sample of the bounds holds, after a shuffle and with a column that the order does not need
+    rows = spark.range(120_000).select(F.sha1(F.col("id").cast("string")).alias("name"), F.col("id").alias("key"), F.repeat(F.lit("x"), 20).alias("fio"))
+    rows = rows.groupBy("name", "key").agg(F.max("fio").alias("fio"))
+    got = sorted((r["number"], r["name"]) for r in cohort.numbered(rows, "name", "key").select("number", "name", "fio").collect())
+    assert [n for n, _ in got] == list(range(1, 120_001)) and [x for _, x in got] == sorted(x for _, x in got)
+    log = spark.range(60_000).select(F.col("id").alias("tg_id"), F.timestamp_seconds(F.xxhash64("id") % 1_000_000).alias("at"), "id")
+    by = sorted((r["at"], r["number"]) for r in events.arrival_number(log).collect())
+    last = {at: n for n, (at, _) in enumerate(by, 1)}
+    assert all(number == last[at] for at, number in by)
