@@ -16,20 +16,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import read_table, written
+from gradeloom.llm.common import free_name, matching, read_table, with_locator, written
 
 RANGES_PER_SHARD = 128
 SAMPLES_PER_RANGE = 16
 PREFIX_BITS = 12
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# The columns of a record that are carried along, without its text; _place only where a place is asked for.
+CARRIED = ("doc_id", "size", "text_crc32", "_place")
+
+
+def carried(rows: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in rows.columns]
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", place: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, k1, k2, p): the record without its text; p is the first bits of the key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     k1 = F.xxhash64(text)
     return docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
-        k1.alias("k1"), F.xxhash64(F.col(id_col), F.lit(1)).alias("k2"), F.shiftright(k1, 64 - PREFIX_BITS).cast("int").alias("p"),
+        *([F.col(place).alias("_place")] if place else []), k1.alias("k1"), F.xxhash64(F.col(id_col), F.lit(1)).alias("k2"), F.shiftright(k1, 64 - PREFIX_BITS).cast("int").alias("p"),
     )
 
 
@@ -62,15 +70,18 @@ def ranged(rows: DataFrame, total: int, ranges: int) -> DataFrame:
     key = F.struct("k1", "k2")
     # the table has one row for each range and prefix that meet: ranges + 2^PREFIX_BITS at most
     inside = (F.col("low").isNull() | (key > F.col("low"))) & (F.col("high").isNull() | (key <= F.col("high")))
-    out = written(rows.join(F.broadcast(table), "p").filter(inside).select("doc_id", "size", "text_crc32", "k1", "k2", "range"), "shard-ranges")
+    out = written(rows.join(F.broadcast(table), "p").filter(inside).select(*carried(rows), "k1", "k2", "range"), "shard-ranges")
     fair = max(1, total // ranges)
     parts = out.groupBy("range").agg(F.sum("size").alias("bytes")).select("range", F.when(F.col("bytes") > 2 * fair, F.ceil(F.col("bytes") / fair)).otherwise(1).cast("int").alias("parts"))
     return out.join(F.broadcast(parts), "range").withColumn("sub", F.pmod(F.xxhash64("k2", F.lit(5)), F.col("parts")).cast("int")).drop("parts")
 
 
-def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): slots are gapless from 0 within each shard."""
-    rows = written(keyed(docs, id_col, text_col), "shard-keys")
+def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", place: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot): slots are gapless from 0 within each shard.
+
+    ``place``: a column that tells all rows apart; it is carried along as ``_place``.
+    """
+    rows = written(keyed(docs, id_col, text_col, place), "shard-keys")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ranges = shards * RANGES_PER_SHARD
     cut = ranged(rows, total, ranges)
@@ -82,23 +93,27 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     sums = cut.select("*", (F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("byte"), (F.row_number().over(within) - 1).alias("row"))
     placed = written(
         sums.join(F.broadcast(offsets), ["range", "sub"]).select(
-            "doc_id", "size", "text_crc32", (F.col("row0") + F.col("row")).alias("at"),
+            *carried(rows), (F.col("row0") + F.col("row")).alias("at"),
             F.floor((F.col("byte0") + F.col("byte")) * shards / F.lit(max(1, total))).cast("int").alias("shard"),
         ), "shard-placed",
     )
     starts = placed.groupBy("shard").agg(F.min("at").alias("start"))  # one row for each shard
-    return placed.join(F.broadcast(starts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("start")).alias("slot"))
+    return placed.join(F.broadcast(starts), "shard").select(*carried(rows), "shard", (F.col("at") - F.col("start")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as Parquet, one folder for each shard, in slot order; ids must be unique and not null.
+    """Write the documents as Parquet, one folder for each shard, in slot order, with all their columns.
 
-    A shard is written by as many tasks as the session has shuffle partitions for it, so it never fills one task.
+    A shard is written by as many tasks as the session has shuffle partitions for it, so it never fills one task. Rows meet
+    their shard by their place, so null ids and repeated rows are written as they are. The columns ``shard`` and ``slot``
+    get longer names where the documents have such columns. An empty table gives an empty folder.
     """
     spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    placed = assign(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    out = docs.join(placed, id_col)
-    out.repartitionByRange(spread * shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    landed, place = with_locator(docs, "shard-landed")
+    shard, slot = free_name(landed, "shard"), free_name(landed, "slot")
+    placed = assign(landed, shards, id_col, text_col, place).select(F.col("_place").alias(place), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    out = matching(landed, placed, place, "inner").drop(place)
+    out.repartitionByRange(spread * shards, shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

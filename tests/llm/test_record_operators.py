@@ -217,6 +217,21 @@ def test_write_shards(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").select("shard").distinct().count() == 4
 
 
+def test_written_shards_hold_odd_rows_and_all_columns(spark, tmp_path):
+    rows = [*ODD, *[(None, "no id", None)] * 3, *[(4, "same text", "b")] * 5]
+    docs = docs_of(spark, rows).withColumns({"shard": F.lit("mine"), "slot": F.lit(7), "_place": F.lit(1), "_locator": F.lit("here")})
+    for n, given in enumerate((docs, docs.limit(0))):
+        path = f"file://{tmp_path}/{n}"
+        sharding.write_shards(given, path, 3)
+        got = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, slot_ int, shard_ int").parquet(path)
+        count = lambda df: Counter(map(tuple, df.select(*docs.columns).collect()))
+        assert count(got) == count(given)
+    slots = defaultdict(list)
+    for r in spark.read.parquet(f"file://{tmp_path}/0").select("shard_", "slot_").collect():
+        slots[r["shard_"]].append(r["slot_"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 # -- mixing
 
 
