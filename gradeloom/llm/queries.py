@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import ann, chosen_path, exact_dedup, hard_negatives, mixing, pii, quality, sentence_piece, sharding, token_file, toxicity
+from gradeloom.llm import ann, chosen_path, exact_dedup, hard_negatives, mixing, phrases, pii, quality, sentence_piece, sharding, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_sharding": sharding.op9_sharding,
         "op10_mixing": mixing.op10_mixing,
+        "op11_phrases": phrases.op11_phrases,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
@@ -29,5 +30,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": exact_dedup.ORACLE_SQL,
         "op10_mixing": mixing.ORACLE_SQL,
+        "op11_phrases": phrases.op11_phrases,
+        "op11_phrases": phrases.ORACLE_SQL,
         "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }
