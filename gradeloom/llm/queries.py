@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import ann, chosen_path, exact_dedup, hard_negatives, mixing, phrases, pii, quality, sentence_piece, sharding, token_file, toxicity
+from gradeloom.llm import ann, chosen_path, exact_dedup, hard_negatives, mixing, neural_lm, phrases, pii, quality, sentence_piece, sharding, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": sharding.op9_sharding,
         "op10_mixing": mixing.op10_mixing,
         "op11_phrases": phrases.op11_phrases,
+        "op12_lm_score": neural_lm.op12_lm_score,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
