@@ -89,7 +89,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """The first n powers of ``base``; kept by the worker and grown when more are asked for."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         table = np.full(max(n, 1 << 20), base, np.uint64)
         table[0] = 1
         _POWERS[base] = np.multiply.accumulate(table)
