@@ -2,8 +2,9 @@
 
 A stream reads the documents and keeps, for each digest of the normalised text, a state on disk (RocksDB, checkpointed
 to the shared folder, never expired): the stable identifier of the copy that stays (the largest), the locator of its
-content (file and row) and the number of copies. The files are dealt to a few micro-batches, so later ones hit the state
-that earlier ones left. Each micro-batch appends the changed states to a table. The texts of all hits are then fetched by
+content (file and row) and the number of copies. The files are dealt to micro-batches of ``BATCH_BYTES`` at most and a quarter of the
+table at most, so there are at least four and later ones hit the state that earlier ones left; a table of fewer files is landed in four
+first. Each micro-batch appends the changed states to a table. The texts of all hits are then fetched by
 their locators and compared byte by byte with the text of the copy that stays; a digest that holds different texts is
 grouped again by the texts themselves, so that a collision can't merge documents. (The comparison is one join after the
 stream, not a look-up on each hit: the copy that stays is known only then, and the join reads each text once.)
@@ -27,6 +28,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 # At most so many rows of a group are compared with the kept text in one task.
 SALT_ROWS = 10_000
 BATCHES = 4
+BATCH_BYTES = 64 << 30
 
 
 def sha256(text: Column) -> Column:
@@ -50,16 +52,31 @@ def _pattern(path: str) -> str:
     return f"{plain[:at]}[{plain[at]}]{plain[at + 1 :]}"
 
 
-def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
+def _bytes(spark: SparkSession, path: str) -> int:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def _in_files(spark: SparkSession, run: Run, path: str) -> str:
+    """``path``, or a copy of its table in BATCHES files if it has fewer, as a file is never split between micro-batches."""
+    table = spark.read.parquet(path)
+    if len(table.inputFiles()) >= BATCHES or table.isEmpty():
+        return path
+    landed = f"{run.path}/landed"
+    table.repartition(BATCHES).write.parquet(landed)
+    return landed
+
+
+def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None, folder: str | None = None) -> DataFrame:
     """Run the stream over the Parquet table at ``path``: (digest, keep, group_size), one row for each digest.
 
     ``keep`` is the largest (id, locator). Micro-batches are written under their number, so a batch that is run again
-    after a failure overwrites itself. ``files_per_batch`` is a quarter of the files (``BATCHES``) if it is not given.
+    after a failure overwrites itself; they and the checkpoint lie in ``folder``. Without ``files_per_batch`` they are bounded by bytes.
     """
-    table = spark.read.parquet(path)
-    schema = table.schema
-    files_per_batch = files_per_batch or max(1, -(-len(table.inputFiles()) // BATCHES))
-    out, checkpoint = scratch(spark, "dedup-states"), scratch(spark, "dedup-checkpoint")
+    schema = spark.read.parquet(path).schema
+    bound = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", max(1, min(BATCH_BYTES, _bytes(spark, path) // BATCHES)))
+    folder = folder or scratch(spark, "dedup-states")
+    out, checkpoint = f"{folder}/batches", f"{folder}/checkpoint"
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
@@ -67,7 +84,7 @@ def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "400")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_pattern(path))
+    stream = own.readStream.schema(schema).option(*bound).parquet(_pattern(path))
     states = _located(stream, digest, id_col, text_col).groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count("*").alias("group_size"))
 
     def save(batch: DataFrame, number: int) -> None:
@@ -89,7 +106,7 @@ def group_states(spark: SparkSession, path: str, digest: Callable[[Column], Colu
 def _grouped(run: Run, path: str, digest: Callable[[Column], Column], id_col: str, text_col: str, files_per_batch: int | None) -> DataFrame:
     """Each document with the state of its digest: id, digest, locator, keep, group_size."""
     spark = run.spark
-    states = run.written(group_states(spark, path, digest, id_col, text_col, files_per_batch), "states")
+    states = run.written(group_states(spark, path, digest, id_col, text_col, files_per_batch, f"{run.path}/stream"), "states")
     hashed = run.written(_located(spark.read.parquet(path), digest, id_col, text_col).select("id", "digest", "locator"), "hashed")
     rows = join_unique(run, hashed, states, "digest", sizes=states.select("digest", F.col("group_size").alias("size")))
     return run.written(rows.select("id", "digest", "locator", "keep", "group_size"), "rows")
@@ -111,6 +128,7 @@ def _settled(run: Run, docs: DataFrame, rows: DataFrame, members: DataFrame) ->
 def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
     """One row for each document of the table at ``path``: id, digest, locator, keep (id, locator), group_size, kept."""
     run = Run(spark, "dedup")
+    path = _in_files(spark, run, path)
     rows = _grouped(run, path, digest, id_col, text_col, files_per_batch)
     docs = _located(spark.read.parquet(path), digest, id_col, text_col)
     groups = rows.filter(F.col("group_size") > 1).drop("id")
@@ -147,6 +165,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, digest: Callable[[Column]
         path = scratch(spark, "dedup-landed")
         docs.write.parquet(path)
     run = Run(spark, "dedup")
+    path = _in_files(spark, run, path)
     rows = _grouped(run, path, digest, "doc_id", "text", None)
     landed, place = with_locator(spark.read.schema(docs.schema).parquet(path), "dedup-landed")
     state = free_name(landed, "_state")

@@ -12,8 +12,9 @@ Extra columns are left alone.
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,8 @@ from gradeloom.llm.common import chunks, read_table
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A match takes whole runs of digits, so one can only begin where no digit stands before; that keeps long runs linear.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -101,6 +103,7 @@ N_SHAPES = 8 + len(WORDS) + 7 + len(MARKS) + 2
 STATES = ("", *KINDS)
 K = len(STATES)
 SEPARATOR = "\n\x00\n"
+LONG = 4_096  # stretches of more tokens are decoded in blocks
 
 
 def _word_key(text: str) -> int:
@@ -276,6 +279,9 @@ def decode(t: Tokens, field: Field) -> np.ndarray:
     edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
     begin, end = edges[::2], edges[1::2]
     size = end - begin
+    for k in np.flatnonzero(size > LONG):
+        states[begin[k] : end[k]] = _long_viterbi(e[begin[k] : end[k]], field.transition)
+    begin, size = begin[size <= LONG], size[size <= LONG]
     for lo in np.unique(np.ceil(np.log2(np.maximum(size, 1)))):  # stretches of like lengths together
         group = np.flatnonzero(np.ceil(np.log2(np.maximum(size, 1))) == lo)
         width = int(size[group].max())
@@ -307,6 +313,44 @@ def _viterbi(e: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, tra
     return out
 
 
+def _long_viterbi(e: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Best states of one long stretch between outside tokens, all its blocks at once.
+
+    A block's best scores from each state to each state make a matrix; the matrices are gone through in order, which gives the
+    state at each border, and then all blocks are decoded between their borders.
+    """
+    steps = math.isqrt(len(e) - 1) + 1
+    blocks = -(-len(e) // steps)
+    part = np.zeros((blocks * steps, K))
+    part[: len(e)] = e
+    part = part.reshape(blocks, steps, K)
+    live = (np.arange(blocks * steps) < len(e)).reshape(blocks, steps)
+    still = np.where(np.eye(K, dtype=bool), 0.0, -np.inf)
+    best = np.tile(still, (blocks, 1, 1))
+    for j in range(steps):
+        step = (best[:, :, :, None] + transition).max(2) + part[:, j, None, :]
+        best = np.where(live[:, j, None, None], step, best)
+    score, entry = still[0], np.zeros((blocks, K))
+    for b in range(blocks):
+        entry[b] = score
+        score = (score[:, None] + best[b]).max(0)
+    leave = np.zeros(blocks, int)
+    leave[-1] = (score + transition[:, 0]).argmax()
+    for b in range(blocks - 1, 0, -1):
+        leave[b - 1] = (entry[b] + best[b][:, leave[b]]).argmax()
+    score = still[np.append(0, leave[:-1])]
+    back = np.zeros((steps, blocks, K), np.int8)
+    for j in range(steps):
+        step = score[:, :, None] + transition
+        back[j] = np.where(live[:, j, None], step.argmax(1), np.arange(K))
+        score = np.where(live[:, j, None], step.max(1) + part[:, j], score)
+    out, rows, now = np.zeros((blocks, steps), np.int8), np.arange(blocks), leave
+    for j in range(steps - 1, -1, -1):
+        out[:, j] = now
+        now = back[j][rows, now]
+    return out.ravel()[: len(e)]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -361,6 +405,15 @@ def fits(kind: str, text: str) -> bool:
     return re.search(r"(?i)[a-z0-9]\W+at\W+[a-z0-9-]+(\W+dot\W+|\.)[a-z]", text) is not None and len(text) <= 80
 
 
+def _free(spans: list[tuple[str, int, int]]):
+    """Whether a stretch overlaps none of the spans: the farthest end of those that begin before its end decides."""
+    order = sorted((a, b) for _, a, b in spans)
+    begins, reach = [a for a, _ in order], [0]
+    for _, b in order:
+        reach.append(max(reach[-1], b))
+    return lambda lo, hi: reach[bisect_left(begins, hi)] <= lo
+
+
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field: Field) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds beside the base ones, for each text."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -368,13 +421,14 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field:
     states = decode(t, field)
     change = np.flatnonzero(np.diff(np.concatenate([[0], states, [0]])))
     starts = np.cumsum([0] + [len(x) + len(SEPARATOR) for x in texts])
+    taken = [_free(spans) for spans in base]
     for a, b in zip(change[:-1], change[1:]):
         if not states[a]:
             continue
         n = int(np.searchsorted(starts, t.start[a], "right")) - 1
         lo, hi = int(t.start[a] - starts[n]), int(t.end[b - 1] - starts[n])
         kind = STATES[states[a]]
-        if hi <= len(texts[n]) and fits(kind, texts[n][lo:hi]) and all(hi <= x or y <= lo for _, x, y in base[n]):
+        if hi <= len(texts[n]) and fits(kind, texts[n][lo:hi]) and taken[n](lo, hi):
             out[n].append((kind, lo, hi))
     return out
 

@@ -107,6 +107,21 @@ def test_state_over_several_batches_and_odd_rows(spark, tmp_path):
     assert groups[None] == [(None, 1, True)] and groups[6] == [(6, 1, True)] and groups[7] == [(7, 1, True)]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_tables_come_in_four_batches_at_least(spark, tmp_path, sf):
+    run = common.Run(spark, "batches")
+    path = exact_dedup._in_files(spark, run, f"/root/testdata/{sf}/documents.parquet")
+    states = exact_dedup.group_states(spark, path, folder=f"file://{tmp_path}/stream")
+    batches = spark.read.parquet(f"file://{tmp_path}/stream/batches").groupBy("batch").count().collect()
+    assert len(batches) >= 4
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    assert states.agg(F.sum("group_size")).first()[0] == docs.count()
+    # states that an earlier batch left were hit: some digest is in several batches
+    again = spark.read.parquet(f"file://{tmp_path}/stream/batches").groupBy("digest").agg(F.countDistinct("batch").alias("n"))
+    assert again.filter("n > 1").count() > 0
+    run.clear()
+
+
 def test_colliding_digests_do_not_merge_texts(spark, tmp_path):
     rows = [(i, f"text {i % 5}", "s") for i in range(40)]
     got = exact_dedup.dedup(spark, landed(spark, rows, tmp_path), digest=lambda t: F.lit("same")).collect()

@@ -2,6 +2,7 @@
 
 import io
 import re
+import time
 import zlib
 
 import numpy as np
@@ -410,3 +411,39 @@ def test_query_of_personal_data_on_all_documents(spark):
         assert [r[f"n_{k}"] for k in BASE] == [sum(x[0] == k for x in base) for k in BASE]
         every = r["spans"].split(",") if r["spans"] else []
         assert set(line) <= set(every) and len(every) == len(line) + r["n_added"]
+
+
+# -- texts of megabytes
+
+LONG = {"digits": "7" * 1_000_000, "dots": "." * 1_000_000, "numbers": "1." * 500_000, "plus": "+" * 1_000_000, "word": "a" * 1_000_000, "ats": "a@b." * 250_000}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_take_seconds(name):
+    """Runs of one kind of character cost their length, not its square."""
+    field, text = pii.train(pii.labelled_rows(), epochs=20), LONG[name]
+    began = time.process_time()
+    base = pii.base_spans(text)
+    pii.added_spans([text], [base], field)
+    assert time.process_time() - began < 30
+    assert len(base) == {"numbers": 125_000, "ats": 250_000 - 1}.get(name, 0) or name == "ats"
+    began = time.process_time()
+    folded = toxicity.fold(text)
+    assert toxicity.hits(folded, toxicity.ToxicityModel({" 7": 1.0, " a": 2.0}, ["a b"]).automaton()) is not None
+    enc = token_file.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(enc.encode([text])[0]) > 0 and time.process_time() - began < 30
+
+
+def test_long_stretches_decode_like_short_ones():
+    field, rng = pii.train(pii.labelled_rows(), epochs=20), np.random.default_rng(6)
+    for n in (1, 2, 9, 500):
+        e = rng.normal(0, 2, (n, pii.K))
+        assert pii._long_viterbi(e, field.transition).tolist() == pii._viterbi(e, np.array([0]), np.array([n]), n, field.transition)[0].tolist()
+
+
+def test_ip_pattern_equals_the_plain_one():
+    plain = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+    rng = np.random.default_rng(7)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("19.. a"), rng.integers(1, 40)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
