@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 6_000_000
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)  # A-Z only
 # Two odd multipliers; their powers wrap modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -23,25 +24,30 @@ def kinds(spaces: bytes, breaks: bytes = b"") -> np.ndarray:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.Table, list[bytes]]]:
-    """Rows whose texts (binary, no nulls) hold about ``most`` bytes, over the borders of batches; a longer text is alone."""
+    """Rows whose texts (binary, no nulls) hold about ``most`` bytes, over the borders of batches; a longer text is alone.
+
+    Only the texts of one portion are copied out of the batches at a time.
+    """
     parts: list[pa.RecordBatch] = []
-    texts: list[bytes] = []
     size = 0
+
+    def portion() -> tuple[pa.Table, list[bytes]]:
+        rows = pa.Table.from_batches(parts)
+        return rows.drop_columns([text]), rows.column(text).to_pylist()
+
     for batch in batches:
-        found = batch.column(text).to_pylist()
-        rest, start = batch.drop_columns([text]), 0
-        for i, t in enumerate(found):
-            if size and size + len(t) > most:
+        start = 0
+        for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+            if size and size + n > most:
                 if i > start:
-                    parts.append(rest.slice(start, i - start))
-                yield pa.Table.from_batches(parts), texts
-                parts, texts, size, start = [], [], 0, i
-            texts.append(t)
-            size += len(t)
-        if len(found) > start:
-            parts.append(rest.slice(start))
-    if texts:
-        yield pa.Table.from_batches(parts), texts
+                    parts.append(batch.slice(start, i - start))
+                yield portion()
+                parts, size, start = [], 0, i
+            size += n
+        if batch.num_rows > start:
+            parts.append(batch.slice(start))
+    if parts:
+        yield portion()
 
 
 @dataclass
