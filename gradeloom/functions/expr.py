@@ -114,6 +114,12 @@ def has_marker(c: Column) -> Column:
     return out
 
 
+def has_image(outputs: Column) -> Column:
+    """Whether some output of a cell (an array of variants) is an image."""
+    keys = lambda o: F.map_keys(F.coalesce(F.try_variant_get(o, "$.data", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    return F.coalesce(F.exists(outputs, lambda o: F.exists(keys(o), lambda k: k.startswith("image/"))), F.lit(False))
+
+
 def ordered_join(index: Column, value: Column, sep: str = "\n") -> Column:
     """Values of a group in the order of an index. An aggregate; bounded by the size of one notebook."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(index.alias("i"), value.alias("v")))), lambda s: s["v"]), sep)
@@ -386,8 +392,10 @@ def earlier_of(a_name: Column, a: Column, b_name: Column, b: Column) -> Column:
 
 
 def why_failed(passed: Column, total: Column, criticals: Column) -> Column:
-    """Reasons of a failed topic; ``criticals`` is an array of titles."""
-    return F.concat_ws("; ", F.concat(F.lit("items "), passed.cast("string"), F.lit("/"), total.cast("string")), F.array_join(F.slice(criticals, 1, 2), "; "))
+    """Reasons of a verdict: points where some are required, the first two critical titles (an array), a dash without either."""
+    points = F.when(total > 0, F.concat(F.lit("items "), passed.cast("string"), F.lit("/"), total.cast("string")))
+    worst = F.when(F.size(criticals) > 0, F.concat(F.lit("critical: "), F.array_join(F.slice(criticals, 1, 2), "; ")))
+    return F.coalesce(F.nullif(F.concat_ws(", ", points, worst), F.lit("")), F.lit("—"))
 
 
 def blockers(passed: Column, total: Column, criticals: Column, ratio: float = PASS_RATIO) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
-from gradeloom.operators.cohort import in_ranges
+from gradeloom.operators.numbering import numbered_in_groups
 
 
 def score_topics(notebooks: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -50,13 +50,13 @@ def folder_fallback(unmatched: DataFrame, chosen: DataFrame, topics: DataFrame)
     return free.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
-def classification_counts(matches: DataFrame, notebooks: DataFrame, broken: DataFrame | None = None, students: DataFrame | None = None) -> DataFrame:
-    """Submissions by topic; notebooks without any topic as 'unmatched'.
+def classification_counts(matches: DataFrame, notebooks: DataFrame, broken: DataFrame | None = None, students: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
+    """Submissions by topic; notebooks without any topic (that is, not in ``met``) as 'unmatched'.
 
     With ``broken`` (nb of unreadable notebooks, which are not unmatched) and ``students`` (key; notebooks hold it then) also
     'broken' and 'empty', the students without any notebook.
     """
-    none = notebooks.join(matches.select("nb").distinct(), "nb", "left_anti")
+    none = notebooks.join((matches if met is None else met).select("nb").distinct(), "nb", "left_anti")
     row = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("topic"), "n")
     more = []
     if broken is not None:
@@ -70,21 +70,6 @@ def classification_counts(matches: DataFrame, notebooks: DataFrame, broken: Data
     return out
 
 
-def numbered_in_groups(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """``rows`` with their place in the group (``_rn``, from 0) and the group's count (``_count``).
-
-    A large group is dealt over several ranges of its order, sorted apart and offset by the counts of the ranges before.
-    """
-    ranged = in_ranges(rows, group, order)
-    counts = ranged.groupBy("_part", group).agg(F.count("*").alias("_n"))  # a row for each range and each group in it
-    w = Window.partitionBy(group)
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # null is a group too
-    offsets = counts.select("_part", F.col(group).alias("_group"), before.alias("_before"), F.sum("_n").over(w).alias("_count"))
-    own = F.row_number().over(Window.partitionBy("_part", group).orderBy(order)) - 1
-    return ranged.withColumn("_own", own).alias("r").join(offsets.alias("o"), F.expr(f"r._part = o._part AND r.`{group}` <=> o._group")).select("r.*", (F.col("_own") + F.col("_before")).alias("_rn"), "_count").drop("_part", "_own")
-
-
 def chunk_batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """Batches of ``size`` rows in order, named by group and number."""
     named = F.format_string("%s_%02d", F.col(group), (F.floor(F.col("_rn") / size) + 1).cast("int"))
@@ -98,6 +83,30 @@ def systematic_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFr
     return found.withColumn("place", (F.col("_rn") / F.col("_step") + 1).cast("int")).drop("_rn", "_step", "_count")
 
 
+# The cut of a work (40,000 tokens of three characters), output tokens of a review, prices of a million tokens.
+REVIEW_CHARS, REVIEW_OUTPUT, PRICE_IN, PRICE_OUT = 120_000, 900, 2.0, 10.0
+
+
+def estimate_volume(texts: DataFrame, limit: int = REVIEW_CHARS, output: int = REVIEW_OUTPUT, price_in: float = PRICE_IN, price_out: float = PRICE_OUT) -> DataFrame:
+    """One row: works, input_tokens, truncated, digest_median, digest_max, output_tokens, cost, batch_cost.
+
+    ``texts``: text and, if they are cut already, truncated. Tokens are counted on the clipped texts, the upper median on the lengths
+    as they come, by counts of each length, so only these are ordered. Null texts are empty.
+    """
+    n = F.length(X.text(F.col("text")))
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in texts.columns else F.lit(False)
+    lengths = texts.groupBy(n.alias("n"), (cut | (n > limit)).alias("cut")).agg(F.count("*").alias("c"))
+    by = lengths.groupBy("n").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("cut"), F.col("c")).otherwise(0)).alias("cut"))
+    ranked = by.withColumn("below", F.sum("c").over(Window.orderBy("n"))).withColumn("all", F.sum("c").over(Window.partitionBy()))
+    total = ranked.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("works"), F.coalesce(F.sum(F.floor(F.least(F.col("n"), F.lit(limit)) / 3) * F.col("c")), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("cut"), F.lit(0)).alias("truncated"),
+        F.min(F.when(F.col("below") > F.floor(F.col("all") / 2), F.col("n"))).alias("digest_median"), F.max("n").alias("digest_max"),
+    )
+    total = total.withColumn("output_tokens", F.col("works") * output)
+    cost = F.col("input_tokens") / 1e6 * price_in + F.col("output_tokens") / 1e6 * price_out
+    return total.withColumn("cost", cost).withColumn("batch_cost", cost / 2)
+
+
 def dedup_by_content(rows: DataFrame, scope: str, digest: str, order: str) -> DataFrame:
     """The first row of each (scope, digest) wins; the others point to it. ``order`` tells rows of a group apart."""
     winners = rows.groupBy(F.col(scope).alias("_scope"), F.col(digest).alias("_digest")).agg(F.min(order).alias("winner"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
+from gradeloom.operators.numbering import numbered
 
 
 def active(students: DataFrame) -> DataFrame:
@@ -92,25 +93,6 @@ def percentile(passed: DataFrame) -> DataFrame:
     return passed.join(F.broadcast(cum), "passed").select("key", "passed", pct.alias("percentile"), X.place_bucket(pct).alias("place"))
 
 
-def in_ranges(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` dealt to ranges of ``order``, with the range's number (``_part``).
-
-    Bounds are sampled for each exchange anew, and a use that needs fewer columns has an exchange of its own; so the rows are
-    kept (on disk where memory is short), and all uses see the same ranges.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
-
-
-def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
-    """1..n in a global order without one task for all rows: ranges are sorted apart and offset by their counts."""
-    ranged = in_ranges(df, *order)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = Window.partitionBy("_part").orderBy(*order)
-    return ranged.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, F.row_number().over(w) + F.col("_before")).drop("_part", "_before")
-
-
 def number_certified(passed: DataFrame) -> DataFrame:
     rows = passed.filter("certified").withColumn("_name", F.lower("fio"))
     return numbered(rows, "_name", "key").select("number", "key", "fio", "passed", "total")
@@ -156,12 +138,20 @@ def plan_top(weights: DataFrame, n: int = 3) -> DataFrame:
     return weights.withColumn("value", value).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("key", "kind", "place", "code", "value", "first_hw")
 
 
+def critical_titles(findings: DataFrame) -> DataFrame:
+    """(key, hw, criticals): titles of the critical findings of a student's topic, by code; the code where there is no title."""
+    one = F.struct("code", F.coalesce("title", "code").alias("t"))
+    return findings.filter(F.col("severity") == "critical").groupBy("key", "hw").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["t"]).alias("criticals"))
+
+
+def _titles() -> Column:
+    return F.coalesce("criticals", F.array().cast("array<string>"))
+
+
 def failed_topics(hw: DataFrame, topics: DataFrame, findings: DataFrame) -> DataFrame:
-    """Graded failed topics with their reasons, in topic order."""
-    crit = findings.filter(F.col("severity") == "critical").groupBy("key", "hw").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    rows = hw.filter(F.col("status") == "failed").join(topics.filter("graded").select("hw"), "hw", "left_semi").join(crit, ["key", "hw"], "left")
-    codes = F.coalesce("codes", F.array().cast("array<string>"))
-    line = F.concat(F.col("hw"), F.lit(": "), X.why_failed(F.col("required_passed"), F.col("required_total"), codes))
+    """Graded failed topics with their reasons, in topic order. ``findings``: key, hw, code, severity, title."""
+    rows = hw.filter(F.col("status") == "failed").join(topics.filter("graded").select("hw"), "hw", "left_semi").join(critical_titles(findings), ["key", "hw"], "left")
+    line = F.concat(F.col("hw"), F.lit(": "), X.why_failed(F.col("required_passed"), F.col("required_total"), _titles()))
     return rows.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list(line)), " | ").alias("topics"), F.count("*").alias("n"))
 
 
@@ -244,8 +234,8 @@ def plan_lines(top: DataFrame, growth: DataFrame, n: int = 5) -> DataFrame:
 
 
 def unbound_names(passed: DataFrame, bindings: DataFrame, n: int = 40) -> DataFrame:
-    """The first ``n`` active students without a binding, by name."""
-    return passed.join(bindings.select("key"), "key", "left_anti").select("key", "fio").orderBy("fio", "key").limit(n)
+    """The first ``n`` active students who have earned a certificate and have no binding, by name."""
+    return passed.filter("certified").join(bindings.select("key"), "key", "left_anti").select("key", "fio").orderBy("fio", "key").limit(n)
 
 
 def demo_audience(bindings: DataFrame) -> DataFrame:
@@ -273,11 +263,15 @@ def binding_coverage(passed: DataFrame, bindings: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("active"), F.count("tg_id").alias("bound"), F.count_if(F.col("tg_id").isNull()).alias("unbound"), F.count_if(F.col("tg_id").isNull() & F.col("certified")).alias("unbound_certified"))
 
 
-def compare_builds(before: DataFrame, after: DataFrame, students: DataFrame) -> DataFrame:
-    """Topics whose status differs between two builds, for active students with results in both."""
+def compare_builds(before: DataFrame, after: DataFrame, students: DataFrame, findings: DataFrame) -> DataFrame:
+    """Topics whose status differs between two builds, for active students with results in both, and why.
+
+    ``findings``: key, hw, code, severity, title of the later build; its critical ones are named in the reason.
+    """
     b = before.select("key", "hw", F.col("status").alias("was"))
-    both = after.join(b, ["key", "hw"]).filter(F.col("status") != F.col("was"))
-    return both.join(active(students).select("key"), "key", "left_semi").select("key", "hw", "was", F.col("status").alias("now"), X.why_failed(F.col("required_passed"), F.col("required_total"), F.array().cast("array<string>")).alias("why"))
+    both = after.join(b, ["key", "hw"]).filter(F.col("status") != F.col("was")).join(active(students).select("key"), "key", "left_semi")
+    both = both.join(critical_titles(findings), ["key", "hw"], "left")
+    return both.select("key", "hw", "was", F.col("status").alias("now"), X.why_failed(F.col("required_passed"), F.col("required_total"), _titles()).alias("why"))
 
 
 def diff_summary(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
-from gradeloom.operators.cohort import in_ranges
+from gradeloom.operators.numbering import in_ranges
+from gradeloom.operators.spacing import greedy_spacing  # noqa: F401  part of this module's interface
 
 
 def event_totals(events: DataFrame, by: str = "kind") -> DataFrame:
@@ -81,30 +79,6 @@ def arrival_number(events: DataFrame) -> DataFrame:
     return first.join(numbered, "at").select("tg_id", "at", "number")
 
 
-def greedy_spacing(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
-    """(key, ts) of events that come at least ``gap_seconds`` after the last kept one.
-
-    Keys are dealt and sorted with their times; a task carries the last kept time, as the stream form does with state. A
-    frequent key is read in order by one task and never held as one row.
-    """
-    gap = int(gap_seconds * 1_000_000)
-    times = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_k")).filter("_k is not null")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last = None, None
-        for b in batches:
-            kept = []
-            for n, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if last is None or k != of or t - last >= gap:
-                    kept.append(n)
-                    of, last = k, t
-            if kept:
-                yield b.take(pa.array(kept))
-
-    rows = times.repartition(key).sortWithinPartitions(key, "_k").mapInArrow(keep, times.schema)
-    return rows.select(key, F.timestamp_micros("_k").alias(ts))
-
-
 def view_intervals(views: DataFrame) -> DataFrame:
     """(tg_id, student_key, since, until) of each view, open at the end."""
     w = Window.partitionBy("tg_id").orderBy("at", "id")

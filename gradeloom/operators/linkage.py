@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
 from gradeloom.functions.udf import indel_ratio
+from gradeloom.operators.numbering import numbered_in_groups
 
 
 NAMED = 20
@@ -95,10 +96,10 @@ def assign_keys(rows: DataFrame, order: str = "ord") -> DataFrame:
     In a collision all members get the repository's name, or their place among them, at the end.
     """
     base = F.lower(F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.nullif(F.regexp_replace(X.text(F.col("fio")), r"(?U)\W+", "_"), F.lit("")), F.lit("unknown")))
-    w = Window.partitionBy("_base")
-    rows = rows.withColumn("_base", base).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(order)) - 1)
-    tail = F.regexp_replace(F.lower(F.coalesce(F.nullif(F.col("repo"), F.lit("")), F.col("_i").cast("string"))), r"(?U)\W+", "-")
-    return rows.withColumn("key", F.when(F.col("_n") > 1, F.concat(F.col("_base"), F.lit("__"), tail)).otherwise(F.col("_base"))).drop("_base", "_n", "_i")
+    # everyone without login and name has one base, so a base may be a large group
+    rows = numbered_in_groups(rows.withColumn("_base", base), "_base", order)
+    tail = F.regexp_replace(F.lower(F.coalesce(F.nullif(F.col("repo"), F.lit("")), F.col("_rn").cast("string"))), r"(?U)\W+", "-")
+    return rows.withColumn("key", F.when(F.col("_count") > 1, F.concat(F.col("_base"), F.lit("__"), tail)).otherwise(F.col("_base"))).drop("_base", "_count", "_rn")
 
 
 def find_by_repo(queries: DataFrame, students: DataFrame) -> DataFrame:
@@ -118,6 +119,15 @@ def best_profile_repo(owners: DataFrame, repos: DataFrame) -> DataFrame:
     return owners.join(best, "owner", "left").select(*owners.columns, F.when(F.col("b.score") > 0, F.col("b.repo")).alias("repo"), F.coalesce("b.score", F.lit(0)).alias("score"))
 
 
+CONFIDENT = 80  # fixed value: names that score less are no hint
+
+
+def rename_hints(excluded: DataFrame, repos: DataFrame) -> DataFrame:
+    """(fio, owner, repo): for people left out, the owner's best repository, where its name scores high enough for a renamed one."""
+    best = best_profile_repo(excluded.select("fio", "owner").filter("owner is not null"), repos)
+    return best.filter(F.col("score") >= CONFIDENT).select("fio", "owner", "repo")
+
+
 def resolve_roster(roster: DataFrame, repo_meta: DataFrame, owner_meta: DataFrame) -> DataFrame:
     """Status of each link from fetched metadata: ok with the canonical name, missing_repo, owner_missing, no_url."""
     meta = repo_meta.select(F.lower("full_name").alias("_slug"), F.col("full_name").alias("canonical"), "pushed_at")

@@ -104,9 +104,27 @@ def portrait_prompt(links: DataFrame, titles: DataFrame, head: str, tail: str, c
     return block.agg(F.concat_ws("\n\n", F.lit(head), text, F.lit(tail)).alias("prompt"))
 
 
-def topic_prompts(checks: DataFrame, catalog: DataFrame, rubrics: DataFrame) -> DataFrame:
-    """One prompt for each topic: task, judged items, allowed codes."""
-    items = checks.filter(F.col("kind") == "llm").groupBy("hw").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "check_id", F.lit(": "), "title"))), "\n").alias("items"))
-    codes = catalog.groupBy("hw").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "code", F.lit(": "), "title"))), "\n").alias("codes"))
-    rows = rubrics.join(items, "hw", "left").join(codes, "hw", "left")
-    return rows.select("hw", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.concat(F.lit("Items\n"), X.text(F.col("items"))), F.concat(F.lit("Codes\n"), X.text(F.col("codes")))).alias("prompt"))
+def topic_prompts(checks: DataFrame, catalog: DataFrame, rubrics: DataFrame, mode: str = "grading", head: str = "", tail: str = "") -> DataFrame:
+    """(hw, prompt): task, judged items with their mark, and all allowed codes: the common ones and the topic's own, by code.
+
+    ``checks``: hw, check_id, title, required, kind, in their order by ``ord`` if they have it. ``catalog``: code, title. ``rubrics``: hw,
+    title and, if there is one, task. Another mode than ``grading`` leaves items and codes out. ``head`` and ``tail`` stand around it.
+    All three are a course's, a few rows for each topic.
+    """
+    prefix = F.substring_index("code", ".", 1)
+    mark = F.when(F.coalesce("required", F.lit(True)), "required").otherwise("optional")
+    item = F.concat(F.lit("* `"), "check_id", F.lit("` — "), "title", F.lit(" ("), mark, F.lit(")"))
+    order = F.struct("ord", "check_id") if "ord" in checks.columns else F.col("check_id")
+    items = checks.filter(F.col("kind") == "llm").groupBy("hw").agg(X.ordered_join(order, item).alias("items"))
+    named = catalog.filter(F.col("code").contains(".")).withColumn("hw", prefix).withColumn("line", F.concat(F.lit("* `"), "code", F.lit("` — "), "title"))
+    listed = F.collect_list(F.struct("code", "line"))
+    own = named.filter("hw <> 'common'").groupBy("hw").agg(listed.alias("own"))
+    common = named.filter("hw = 'common'").agg(listed.alias("common"))  # one row
+    rows = rubrics.join(items, "hw", "left").join(own, "hw", "left").crossJoin(F.broadcast(common))
+    codes = F.array_sort(F.concat("common", F.coalesce("own", F.array().cast(common.schema["common"].dataType))))
+    codes = F.array_join(F.transform(codes, lambda c: c["line"]), "\n")
+    task = F.nullif(F.trim(X.text(F.col("task"))), F.lit("")) if "task" in rubrics.columns else F.lit(None).cast("string")
+    grading = F.lit(mode == "grading")
+    part = lambda title, c, when=F.lit(True): F.when(when & (X.text(c) != ""), F.concat(F.lit(f"## {title}\n\n"), c))
+    text = F.concat_ws("\n\n", F.nullif(F.lit(head), F.lit("")), F.concat(F.lit("# "), "hw", F.lit(": "), "title"), part("Task", task), part("Items to judge", F.col("items"), grading), part("Allowed codes", codes, grading), F.nullif(F.lit(tail), F.lit("")))
+    return rows.select("hw", text.alias("prompt"))

@@ -36,6 +36,15 @@ WEIGHTS = """SELECT key, kind, code, sum(CASE severity WHEN 'critical' THEN 3 WH
 BINDINGS = "SELECT DISTINCT user_id AS tg_id, user_id AS key FROM events"
 
 
+CRITICAL = "SELECT key, hw, list(coalesce(title, code) ORDER BY code)[1:2] AS titles FROM findings LEFT JOIN catalog USING (code) WHERE severity = 'critical' GROUP BY key, hw"
+WHY = "coalesce(nullif(concat_ws(', ', CASE WHEN h.required_total > 0 THEN 'items ' || h.required_passed || '/' || h.required_total END, CASE WHEN titles IS NOT NULL THEN 'critical: ' || array_to_string(titles, '; ') END), ''), '—')"
+
+
+def titled(s, d):
+    """Findings with their titles."""
+    return V.findings(s, d).join(V.catalog(s, d).select("code", "title"), "code", "left")
+
+
 def queries() -> dict:
     return {
         "topic_overview": lambda s, d: C.topic_overview(V.hw(s, d), _s(s, d), V.topics(s, d), V.findings(s, d)),
@@ -54,14 +63,14 @@ def queries() -> dict:
         "enrich_findings": lambda s, d: C.enrich_findings(V.findings(s, d), V.catalog(s, d)),
         "plan_weights": lambda s, d: C.plan_weights(V.findings(s, d), V.catalog(s, d)),
         "plan_top": lambda s, d: C.plan_top(C.plan_weights(V.findings(s, d), V.catalog(s, d))),
-        "failed_topics": lambda s, d: C.failed_topics(V.hw(s, d), V.topics(s, d), V.findings(s, d)),
+        "failed_topics": lambda s, d: C.failed_topics(V.hw(s, d), V.topics(s, d), titled(s, d)),
         "sort_findings": lambda s, d: C.sort_findings(V.findings(s, d)),
         "summary_top": lambda s, d: C.summary_top(_passed(s, d), 100),
         "example_students": lambda s, d: C.example_students(_passed(s, d)),
         "student_digest": lambda s, d: C.student_digest(V.hw(s, d), V.findings(s, d), V.catalog(s, d)),
         "audience_nocert": lambda s, d: C.audience(_passed(s, d), _bindings(s, d), "nocert"),
         "binding_coverage": lambda s, d: C.binding_coverage(_passed(s, d), _bindings(s, d)),
-        "compare_builds": lambda s, d: C.compare_builds(V.hw(s, d, V.BUILD_DATE), V.hw(s, d), _s(s, d)),
+        "compare_builds": lambda s, d: C.compare_builds(V.hw(s, d, V.BUILD_DATE), V.hw(s, d), _s(s, d), titled(s, d)),
         "diff_summary": lambda s, d: C.diff_summary(_passed(s, d, V.BUILD_DATE), _passed(s, d)),
     }
 
@@ -92,9 +101,8 @@ def oracle_sql() -> dict[str, str]:
         "plan_weights": with_sql("findings catalog", WEIGHTS),
         "plan_top": with_sql("findings catalog", "SELECT key, kind, place, code, value, first_hw FROM r WHERE place <= 3", w=WEIGHTS, v="SELECT *, CASE kind WHEN 'methodology' THEN weight ELSE n END AS value FROM w",
                              r="SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY value DESC, code) AS place FROM v"),
-        "failed_topics": with_sql("topics hw findings", "SELECT key, string_agg(line, ' | ' ORDER BY line) AS topics, count(*) AS n FROM l GROUP BY key",
-                                  crit="SELECT key, hw, list(code ORDER BY code)[1:2] AS codes FROM findings WHERE severity = 'critical' GROUP BY key, hw",
-                                  l="SELECT h.key, h.hw || ': ' || 'items ' || required_passed || '/' || required_total || '; ' || coalesce(array_to_string(codes, '; '), '') AS line FROM hw h JOIN topics t USING (hw) LEFT JOIN crit c ON c.key = h.key AND c.hw = h.hw WHERE status = 'failed' AND graded"),
+        "failed_topics": with_sql("topics hw findings catalog", "SELECT key, string_agg(line, ' | ' ORDER BY line) AS topics, count(*) AS n FROM l GROUP BY key",
+                                  crit=CRITICAL, l=f"SELECT h.key, h.hw || ': ' || {WHY} AS line FROM hw h JOIN topics t USING (hw) LEFT JOIN crit c ON c.key = h.key AND c.hw = h.hw WHERE status = 'failed' AND graded"),
         "sort_findings": with_sql("findings", "SELECT *, row_number() OVER (PARTITION BY key, hw ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, code) AS place FROM findings"),
         "summary_top": with_sql(base, "SELECT * FROM p ORDER BY passed DESC, fio, key LIMIT 100", p=PASSED),
         "example_students": with_sql(base, """SELECT coalesce((SELECT key FROM p WHERE certified ORDER BY passed DESC, fio, key LIMIT 1), (SELECT key FROM p ORDER BY passed DESC, fio, key LIMIT 1)) AS with_certificate,
@@ -105,7 +113,7 @@ def oracle_sql() -> dict[str, str]:
                                    d="SELECT h.key, h.hw, '## ' || h.hw || ' ' || status || ' ' || required_passed || '/' || required_total || coalesce(chr(10) || lines, '') AS t FROM hw h LEFT JOIN f ON f.key = h.key AND f.hw = h.hw"),
         "audience_nocert": with_sql(base, "SELECT p.key, b.tg_id, b.tg_id IS NOT NULL AS reachable FROM p LEFT JOIN b ON b.key = p.key WHERE NOT certified", p=PASSED, b=BINDINGS),
         "binding_coverage": with_sql(base, "SELECT count(*) AS active, count(tg_id) AS bound, count(*) FILTER (tg_id IS NULL) AS unbound, count(*) FILTER (tg_id IS NULL AND certified) AS unbound_certified FROM p LEFT JOIN b ON b.key = p.key", p=PASSED, b=BINDINGS),
-        "compare_builds": with_sql("students hw hw_before", f"SELECT a.key, a.hw, b.status AS was, a.status AS now, 'items ' || a.required_passed || '/' || a.required_total || '; ' AS why FROM hw a JOIN hw_before b ON a.key = b.key AND a.hw = b.hw WHERE a.status <> b.status AND a.key IN {ACTIVE}"),
+        "compare_builds": with_sql("students hw hw_before findings catalog", f"SELECT h.key, h.hw, b.status AS was, h.status AS now, {WHY} AS why FROM hw h JOIN hw_before b ON h.key = b.key AND h.hw = b.hw LEFT JOIN crit c ON c.key = h.key AND c.hw = h.hw WHERE h.status <> b.status AND h.key IN {ACTIVE}", crit=CRITICAL),
         "diff_summary": with_sql("students topics hw hw_before", """SELECT count(*) AS compared, count(*) FILTER (q.certified) AS certificates_before, count(*) FILTER (p.certified) AS certificates_after,
             count(*) FILTER (p.certified AND NOT q.certified) AS gained, count(*) FILTER (NOT p.certified AND q.certified) AS lost, count(*) FILTER (p.passed > q.passed) AS more, count(*) FILTER (p.passed < q.passed) AS fewer
             FROM p JOIN q USING (key)""", p=PASSED, q=PASSED.replace("JOIN hw h", "JOIN hw_before h")),

@@ -18,13 +18,22 @@ def build_roster(form: DataFrame, repos: DataFrame, repo_meta: DataFrame, owner_
     return keyed.filter("status = 'ok'"), keyed.filter("status <> 'ok'")
 
 
-def classify_stream(notebooks: DataFrame, measures: DataFrame, signatures: DataFrame) -> dict[str, DataFrame]:
-    """Notebooks (nb, key, rel, name, text) to submissions, alternatives and counts; ``measures`` by nb."""
+def classify_stream(notebooks: DataFrame, measures: DataFrame, signatures: DataFrame, broken: DataFrame | None = None, students: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Notebooks (nb, key, rel, name, text) to submissions, alternatives, folder picks, unmatched ones and counts; ``measures`` by nb.
+
+    ``broken`` (nb) are unreadable and neither matched nor unmatched; ``students`` (key) are everyone asked. A folder pick is a submission
+    of its topic and no longer unmatched. Counts: submissions by topic, 'unmatched' and, if they are given, 'broken' and 'empty'.
+    """
     matches = classify.accepted(classify.score_topics(notebooks, signatures)).join(notebooks.select("nb", "key", "rel"), "nb").join(measures, "nb")
     ranked = classify.pick_submissions(matches)
     chosen = ranked.filter("rank = 1")
-    unmatched = notebooks.join(matches.select("nb").distinct(), "nb", "left_anti").join(measures, "nb")
-    return {"chosen": chosen, "alternatives": ranked.filter("rank > 1"), "by_folder": classify.folder_fallback(unmatched, chosen, signatures.select("topic")), "counts": classify.classification_counts(matches, notebooks)}
+    whole = notebooks if broken is None else notebooks.join(broken.select("nb"), "nb", "left_anti")
+    left = whole.join(matches.select("nb").distinct(), "nb", "left_anti").join(measures, "nb")
+    by_folder = classify.folder_fallback(left, chosen, signatures.select("topic"))
+    picked = chosen.select("nb", "topic").unionByName(by_folder.select("nb", "topic"))
+    met = matches.select("nb").unionByName(by_folder.select("nb"))
+    counts = classify.classification_counts(picked, notebooks, broken, students, met)
+    return {"chosen": chosen, "alternatives": ranked.filter("rank > 1"), "by_folder": by_folder, "unmatched": whole.join(met.distinct(), "nb", "left_anti"), "counts": counts}
 
 
 def find_copies(cells: DataFrame, handouts: DataFrame, commits: DataFrame, min_students: int = 10, min_share: float = 0.3, t: float = 0.8, min_tokens: int = 300) -> dict[str, DataFrame]:
@@ -95,27 +104,45 @@ def grade(cells: DataFrame, broken: DataFrame, checks: DataFrame, reviews: DataF
     return {"findings": cohort.sort_findings(merged), "verdicts": verdict.verdicts(results, merged, judged)}
 
 
-def publish(students: DataFrame, hw: DataFrame, findings: DataFrame, topics: DataFrame, catalog: DataFrame, path: str, ids: list[str], pairs: DataFrame | None = None) -> None:
-    """Matrix, certificates, typical errors and reports; with ``pairs`` (hw, a, b) also the similar works and their numbers."""
+def publish(students: DataFrame, hw: DataFrame, findings: DataFrame, topics: DataFrame, catalog: DataFrame, path: str, ids: list[str], pairs: DataFrame | None = None, digest: DataFrame | None = None) -> None:
+    """Matrix, certificates, typical errors with their pages (S12) and reports.
+
+    With ``pairs`` (hw, a, b) also the similar works and their numbers, with ``digest`` (key, digest) a page for each student.
+    """
     passed = cohort.passed_counts(hw, students, topics)
     sinks.write_table(cohort.passed_matrix(hw, students, ids, None if pairs is None else similarity.symmetrise(pairs)).join(passed.select("key", "passed"), "key").withColumn("last", -F.col("passed")), f"{path}/summary", "last", "fio", "key")
     sinks.write_table(cohort.number_certified(passed), f"{path}/certificates", "number")
     sinks.write_table(cohort.typical_errors(hw, students, findings, catalog), f"{path}/typical_errors", "hw", "place")
     sinks.write_reports(sinks.report_documents(students, hw, findings), f"{path}/reports")
+    errors = sinks.render_errors(cohort.typical_errors(hw, students, findings, catalog))
+    sinks.write_table(errors, f"{path}/error_pages", "doc_id")
+    if digest is not None:
+        sinks.write_table(sinks.render_student(students, digest), f"{path}/student_pages", "doc_id")
     if pairs is not None:
         sinks.write_table(pairs, f"{path}/similarity", "hw", "a", "b")
 
 
-def compare(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], topics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(flips, summary) of two builds, each (students, hw)."""
-    flips = cohort.compare_builds(before[1], after[1], after[0].join(cohort.active(before[0]).select("key"), "key", "left_semi"))
-    return flips, cohort.diff_summary(cohort.passed_counts(before[1], before[0], topics), cohort.passed_counts(after[1], after[0], topics))
+def compare(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], topics: DataFrame, findings: DataFrame) -> dict[str, DataFrame]:
+    """Of two builds, each (students, hw): flips, summary, changes, topics, gained and lost certificates by name, and the pages.
+
+    ``findings``: key, hw, code, severity, title of the later build.
+    """
+    both = after[0].join(cohort.active(before[0]).select("key"), "key", "left_semi")
+    flips = cohort.compare_builds(before[1], after[1], both, findings)
+    p0, p1 = cohort.passed_counts(before[1], before[0], topics), cohort.passed_counts(after[1], after[0], topics)
+    there = cohort.active(both).select("key")
+    only = lambda hw: hw.join(there, "key", "left_semi")
+    summary, changes, passes = cohort.diff_summary(p0, p1), cohort.changes(p0, p1), cohort.topic_passes(only(before[1]), only(after[1]))
+    held = p1.select("key", "fio", "certified").join(p0.select("key", F.col("certified").alias("_was")), "key").filter(F.col("certified") != F.col("_was"))
+    certificates = held.select(F.when(F.col("certified"), "gained").otherwise("lost").alias("change"), "fio", "key")
+    lines = sinks.flip_lines(flips.join(after[0].select("key", "fio"), "key"))
+    return {"flips": flips, "summary": summary, "changes": changes, "topics": passes, "certificates": certificates, "head": sinks.render_comparison(summary, changes, passes), "lines": lines, "pages": sinks.render_diff(flips)}
 
 
 def link_contacts(roster: DataFrame, registrations: DataFrame, alphabet: str = "а-я") -> tuple[DataFrame, DataFrame]:
-    """(links, counts)."""
+    """(links, counts by kind of match, existence, handle and use). ``exists`` is '' until someone has asked."""
     links = linkage.invalidate_shared_usernames(linkage.link_people(roster, registrations, alphabet))
-    return links, linkage.link_quality_counts(links)
+    return links, linkage.contact_counts(links.withColumn("exists", F.lit("")))
 
 
 def match_certificates(files: DataFrame, holders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +154,7 @@ def match_certificates(files: DataFrame, holders: DataFrame) -> tuple[DataFrame,
 def review_io(texts: DataFrame, prompts: DataFrame, codes: DataFrame, size: int = 25) -> tuple[DataFrame, DataFrame]:
     """(requests with their batch, volume)."""
     requests = classify.chunk_batches(texts.select("key", "hw"), "hw", "key", size)
-    volume = texts.agg(F.count("*").alias("works"), F.sum(X.estimate_tokens(F.col("text"))).alias("input_tokens"), F.count_if("truncated").alias("truncated"))
+    volume = classify.estimate_volume(texts.select("text", "truncated"))
     return sinks.review_requests(texts, prompts, codes).join(requests.withColumn("custom_id", F.concat_ws("|", "key", "hw")), "custom_id"), volume
 
 
@@ -174,7 +201,8 @@ def usage_dashboard(log: DataFrame, views: DataFrame, kind: str, n: int = 10, pa
 
 def study_plan(findings: DataFrame, catalog: DataFrame, hw: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(top codes of each student, failed topics with reasons)."""
-    return cohort.plan_top(cohort.plan_weights(findings, catalog)), cohort.failed_topics(hw, topics, findings)
+    named = findings if "title" in findings.columns else findings.join(catalog.select("code", "title"), "code", "left")
+    return cohort.plan_top(cohort.plan_weights(findings, catalog)), cohort.failed_topics(hw, topics, named)
 
 
 def study_pages(findings: DataFrame, articles: DataFrame, hw: DataFrame, topics: DataFrame, growth: DataFrame) -> dict[str, DataFrame]:

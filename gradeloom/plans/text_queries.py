@@ -124,8 +124,7 @@ def volume(s, d):
     return _docs(s, d).agg(F.count("*").alias("works"), F.sum(t).alias("input_tokens"), F.count_if(F.length("text") > 4000).alias("truncated"), (F.count("*") * 900).alias("output_tokens"), F.max(F.length("text")).alias("longest"))
 
 
-# The reference's cut of a work (40,000 tokens of three characters), output tokens of a review, prices of a million tokens.
-REVIEW_CHARS, REVIEW_OUTPUT, PRICE_IN, PRICE_OUT = 120_000, 900, 2.0, 10.0
+REVIEW_CHARS, REVIEW_OUTPUT, PRICE_IN, PRICE_OUT = K.REVIEW_CHARS, K.REVIEW_OUTPUT, K.PRICE_IN, K.PRICE_OUT
 # Prompts of the two kinds of conversations.
 PROMPTS = [("guided", "Review the work under its instructions."), ("plain", "Review the work.")]
 
@@ -145,19 +144,7 @@ def review_requests_whole(s, d):
 
 
 def volume_whole(s, d):
-    """A17 over the clipped texts; the upper median of the whole lengths by counts of each length."""
-    n = F.length(X.text(F.col("text")))
-    lengths = _docs(s, d).groupBy(n.alias("n")).agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.orderBy("n"))
-    ranked = lengths.withColumn("below", below).withColumn("all", F.sum("c").over(Window.partitionBy()))
-    clipped = F.least(F.col("n"), F.lit(REVIEW_CHARS))
-    total = ranked.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("works"), F.coalesce(F.sum(F.floor(clipped / 3) * F.col("c")), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(F.when(F.col("n") > REVIEW_CHARS, F.col("c"))), F.lit(0)).alias("truncated"),
-        F.min(F.when(F.col("below") > F.floor(F.col("all") / 2), F.col("n"))).alias("digest_median"), F.max("n").alias("digest_max"),
-    )
-    total = total.withColumn("output_tokens", F.col("works") * REVIEW_OUTPUT)
-    cost = F.col("input_tokens") / 1e6 * PRICE_IN + F.col("output_tokens") / 1e6 * PRICE_OUT
-    return total.withColumn("cost", cost).withColumn("batch_cost", cost / 2)
+    return K.estimate_volume(_docs(s, d).select("text"))
 
 
 def rule_counts_whole(s, d):

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +62,39 @@ def notebook_manifest(spark: SparkSession, manifest: DataFrame, root: str = "")
     return _notebooks(manifest.select("path", "text"), root)
 
 
+def read_paths(paths: DataFrame, col: str = "path", tasks: int | None = None) -> DataFrame:
+    """(path, text, error) of the files named in ``paths``, read by the executors from the file system they share.
+
+    Names that begin with ``_`` or ``.`` and files without a byte are read like any other; a file that cannot be read has an error in
+    place of its text, a null path too. Paths may have any scheme that Arrow knows; without one they are local to the executors. A task
+    holds one file at a time.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                text = error = None
+                try:
+                    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+                    with fs.open_input_stream(at) as f:
+                        text = f.read().decode("utf-8", "replace")
+                except Exception as e:  # any file system's own errors; the row says so and the scan goes on
+                    error = type(e).__name__ if path is not None else "no path"
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([text], pa.string()), pa.array([error], pa.string())], names=["path", "text", "error"])
+
+    rows = paths.select(F.col(col).cast("string").alias("path"))
+    return (rows.repartition(tasks) if tasks else rows).mapInArrow(read, "path string, text string, error string")
+
+
+def notebooks_at(paths: DataFrame, root: str = "", col: str = "path") -> DataFrame:
+    """S03 from a table of paths: (path, rel, error, cells), hidden names and empty files included; unreadable files are error rows."""
+    found = read_paths(paths, col)
+    good = _notebooks(found.filter("error is null").select("path", "text"), root)
+    bad = _notebooks(found.filter("error is not null").select("path", F.lit(None).cast("string").alias("text")), root)
+    why = found.filter("error is not null").select("path", F.concat(F.lit("cannot be read: "), "error").alias("_why")).distinct()
+    return good.unionByName(bad.join(why, "path").withColumn("error", F.col("_why")).drop("_why"))
+
+
 def _notebooks(files: DataFrame, root: str) -> DataFrame:
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + root.replace("file://", "").rstrip("/") + "/", "")
     skip = F.lit(False)
@@ -122,19 +161,38 @@ def read_reports(spark: SparkSession, folder: str, lines: bool = False) -> tuple
     return students, hw.drop("findings"), findings
 
 
+CATALOG_FIELDS = ("code", "hw", "title", "severity", "detector")
+CATALOG_KINDS = ("methodology", "hygiene")
+
+
+def _refused(rows: DataFrame, problem) -> DataFrame:
+    """``rows``, with an error where ``problem`` (a text) is not null; a filter, so that no column pruning removes the check."""
+    return rows.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True))
+
+
 def read_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles with front matter; kind defaults to hygiene for common ones, else methodology. A bad kind or a code given twice is an error."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    """(code, hw, title, severity, detector, kind, body, links, path), one row for each file with front matter.
+
+    kind defaults to hygiene for common articles, else methodology. A file without front matter, without one of the fields, with an
+    unknown kind or with a code that another file has is an error that names the file. Of a field given twice the last counts.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    text = F.regexp_replace("value", "\r\n?", "\n")
     shape = r"(?s)^---\s*\n(.*?)\n---\s*\n?(.*)$"
-    pairs = F.filter(F.split(F.regexp_extract("value", shape, 1), "\n"), lambda l: l.contains(":"))
-    m = F.map_from_entries(F.transform(pairs, lambda l: F.struct(F.trim(F.substring_index(l, ":", 1)), F.trim(F.regexp_replace(l, "^[^:]*:", "")))))
-    df = raw.withColumn("m", m).withColumn("body", F.regexp_extract("value", shape, 2))
-    get = lambda k: F.element_at("m", F.lit(k))
-    kind = F.coalesce(get("kind"), F.when(get("hw") == "common", "hygiene").otherwise("methodology"))
-    kind = F.when(kind.isin("methodology", "hygiene"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown kind "), kind)).cast("string"))
-    df = df.select(get("code").alias("code"), get("hw").alias("hw"), get("title").alias("title"), get("severity").alias("severity"), get("detector").alias("detector"), kind.alias("kind"), "body", X.extract_links(F.col("body")).alias("links"))
-    n = F.count("*").over(Window.partitionBy("code"))
-    return df.withColumn("code", F.when(n > 1, F.raise_error(F.concat(F.lit("code given twice: "), "code")).cast("string")).otherwise(F.col("code")))
+    pairs = F.transform(
+        F.filter(F.split(F.regexp_extract(text, shape, 1), "\n"), lambda l: l.contains(":")),
+        lambda l: F.struct(F.trim(F.substring_index(l, ":", 1)).alias("k"), F.trim(F.regexp_replace(l, "^[^:]*:", "")).alias("v")),
+    )
+    df = raw.select(F.col("_metadata.file_path").alias("path"), text.rlike(shape).alias("front"), pairs.alias("m"), X.squash_ends(F.regexp_extract(text, shape, 2)).alias("body"))
+    get = lambda k: F.try_element_at(F.filter("m", lambda p: p["k"] == k), F.lit(-1))["v"]
+    df = df.select("path", "front", *[get(k).alias(k) for k in CATALOG_FIELDS], F.nullif(get("kind"), F.lit("")).alias("given"), "body")
+    kind = F.coalesce("given", F.when(F.col("hw") == "common", "hygiene").otherwise("methodology"))
+    lacks = F.array_join(F.array_compact(F.array(*[F.when(F.col(k).isNull(), k) for k in CATALOG_FIELDS])), ", ")
+    problem = F.when(~F.col("front"), F.concat("path", F.lit(": no front matter"))).when(lacks != "", F.concat("path", F.lit(": lacks "), lacks))
+    problem = problem.when(~kind.isin(*CATALOG_KINDS), F.concat("path", F.lit(": unknown kind "), kind))
+    df = _refused(df, problem).select(*CATALOG_FIELDS, kind.alias("kind"), "body", X.extract_links(F.col("body")).alias("links"), "path")
+    twice = df.groupBy("code").agg(F.min("path").alias("_a"), F.max("path").alias("_b"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    return _refused(df.join(twice, "code", "left"), F.when(F.col("_a").isNotNull(), F.concat(F.lit("code "), "code", F.lit(" is given twice: "), "_a", F.lit(" and "), "_b"))).drop("_a", "_b")
 
 
 def load_rubrics(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,14 +224,19 @@ def read_reviews(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def read_registry(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """A CSV registry; nulls become '', a missing file is an empty table."""
+    """A CSV registry with the columns named in ``columns``, found by the header wherever they stand.
+
+    Nulls and columns that the file lacks become '' (null where they are no text), a missing file is an empty table; others are left out.
+    """
     schema = T.StructType.fromDDL(columns)
     try:
-        return spark.read.option("header", True).schema(schema).csv(path).na.fill("")
-    except Exception as e:
+        df = spark.read.option("header", True).option("multiLine", True).csv(path)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    have = {c.strip().lstrip("\ufeff"): c for c in df.columns}
+    return df.select(*[(df[f"`{have[f.name]}`"] if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]).na.fill("")
 
 
 def read_pairs(spark: SparkSession, path: str, kind: str, hw: str, a: str, b: str, first: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,18 +53,34 @@ def render_diff(flips: DataFrame) -> DataFrame:
     return flips.groupBy("key").agg(X.ordered_join(F.col("hw"), line).alias("t")).select(F.col("key").cast("string").alias("doc_id"), F.concat(F.lit("# "), F.col("key").cast("string"), F.lit("\n\n"), F.col("t")).alias("text"))
 
 
+def render_comparison(summary: DataFrame, changes: DataFrame, passes: DataFrame) -> DataFrame:
+    """(part, text): the head of a comparison of two builds, from A14's bounded tables: totals, changes, topics."""
+    one = lambda name, df: df.select(F.lit(name).alias("part"), F.col("t").alias("text"))
+    total = F.concat(F.lit("Students compared: "), "compared", F.lit("\nCertificates: "), "certificates_before", F.lit(" → "), "certificates_after", F.lit(" (gained "), "gained", F.lit(", lost "), "lost", F.lit(")"))
+    change = F.concat(F.lit("| "), F.when(F.col("change") >= 0, "+").otherwise(""), "change", F.lit(" | "), "people", F.lit(" |"))
+    topic = F.concat(F.lit("| "), "hw", F.lit(" | "), "passed_before", F.lit(" | "), "passed_after", F.lit(" |"))
+    listed = lambda df, head, key, line: df.agg(F.concat(F.lit(head), X.ordered_join(F.col(key), line)).alias("t"))
+    out = one("1 totals", summary.select(total.alias("t")))
+    out = out.unionByName(one("2 changes", listed(changes, "| change | people |\n|---|---|\n", "change", change)))
+    return out.unionByName(one("3 topics", listed(passes, "| topic | before | after |\n|---|---|---|\n", "hw", topic)))
+
+
+def flip_lines(flips: DataFrame) -> DataFrame:
+    """(section, hw, fio, key, line): the rows of the verdicts that changed; lost passes first, then gained ones, then the rest.
+
+    As many rows as changes, so they stay rows; ``write_table(…, "section", "hw", "fio", "key")`` puts them in order.
+    """
+    section = F.when(F.col("was") == "passed", "1 lost").when(F.col("now") == "passed", "2 gained").otherwise("3 other")
+    line = F.concat(F.lit("| "), "fio", F.lit(" | "), "hw", F.lit(" | "), "was", F.lit(" | "), "now", F.lit(" | "), "why", F.lit(" |"))
+    return flips.select(section.alias("section"), "hw", "fio", "key", line.alias("line"))
+
+
 def render_errors(errors: DataFrame) -> DataFrame:
     """(doc_id, text): one document for each topic of its typical errors (A03), which are a bounded list."""
     line = F.concat("place", F.lit(". "), "title", F.lit(" — "), "n", F.lit(" of "), "submissions")
     return errors.groupBy("hw").agg(X.ordered_join(F.col("place"), line).alias("t")).select(F.col("hw").alias("doc_id"), F.concat(F.lit("# "), "hw", F.lit("\n\n"), "t").alias("text"))
 
 
-def render_list(df: DataFrame, title: str, line, *order: str) -> DataFrame:
-    """One document of a bounded list (a topic's errors, certificates): lines in order."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda s: s["_line"]), "\n")
-    return df.agg(F.concat(F.lit(f"# {title}\n\n"), body).alias("text")).select(F.lit(title).alias("doc_id"), "text")
-
-
 def manifest(chosen: DataFrame, unmatched: DataFrame, broken: DataFrame) -> DataFrame:
     """(key, submissions map, alternatives, unmatched, broken) of each student."""
     sub = chosen.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("rank") == 1, F.struct("topic", "rel"))))).alias("submissions"), F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.col("rel")))).alias("alternatives"))
@@ -112,10 +128,39 @@ def state_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(STATE_SCHEMAS[name])
 
 
-def evolve_schema(df: DataFrame, name: str, defaults: dict[str, object] | None = None) -> DataFrame:
-    """Additive evolution: columns that a stored table lacks are added, with a default or null; the order is the schema's."""
+# Additive steps, in order: version, table, column, default for rows that were stored before. Version 1 has every other column.
+STEPS: list[tuple[int, str, str, object]] = [(2, "bindings", "demo", False), (2, "events", "demo", False)]
+
+
+def latest_version(steps: list[tuple[int, str, str, object]] = STEPS) -> int:
+    return max((v for v, *_ in steps), default=1)
+
+
+def evolve_schema(df: DataFrame, name: str, version: int | None = None, steps: list[tuple[int, str, str, object]] = STEPS, schema: T.StructType | None = None) -> DataFrame:
+    """A stored table in the shape of ``version`` (the latest, if not given), in the schema's order.
+
+    The steps up to the version are taken one after the other: each adds its column with its default where a row has none. Columns of
+    later steps are not there; what the schema has without a step and the table lacks is null. Nothing is ever lost from a row.
+    """
+    version = latest_version(steps) if version is None else version
+    mine = {column: (v, default) for v, table, column, default in steps if table == name}
+    fields = [f for f in (schema or state_schema(name)).fields if mine.get(f.name, (1, None))[0] <= version]
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit((defaults or {}).get(f.name))).cast(f.dataType).alias(f.name) for f in state_schema(name).fields])
+
+    def column(f: T.StructField):
+        stored = F.col(f.name) if f.name in have else F.lit(None)
+        default = mine.get(f.name, (1, None))[1]
+        return (stored if default is None else F.coalesce(stored, F.lit(default))).cast(f.dataType).alias(f.name)
+
+    return df.select(*[column(f) for f in fields])
+
+
+def read_state(spark: SparkSession, path: str, name: str, version: int | None = None, steps: list[tuple[int, str, str, object]] = STEPS, schema: T.StructType | None = None) -> DataFrame:
+    """A state table whose files were written under several versions, read at once and brought to one version.
+
+    The newest schema is given to the scan, so a file that lacks a column yields nulls there and no file's schema has to be merged.
+    """
+    return evolve_schema(spark.read.schema(schema or state_schema(name)).parquet(path), name, version, steps, schema)
 
 
 def review_requests(texts: DataFrame, prompts: DataFrame, codes: DataFrame) -> DataFrame:

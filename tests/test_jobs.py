@@ -57,9 +57,11 @@ def test_views_through_jobs(spark, tmp_path):
     students, hw, topics, findings, catalog = (f(spark, SF) for f in (V.students, V.hw, V.topics, V.findings, V.catalog))
     dash = jobs.cohort_dashboard(students, hw, topics)
     assert dash["topics"].count() == 5 and dash["summary"].count() == 1
-    flips, summary = jobs.compare((students, V.hw(spark, SF, V.BUILD_DATE)), (students, hw), topics)
-    assert flips.count() > 0 and summary.first()["compared"] > 0
-    jobs.publish(students, hw, findings, topics, catalog, str(tmp_path), ["1", "2", "3", "4", "5"])
+    out = jobs.compare((students, V.hw(spark, SF, V.BUILD_DATE)), (students, hw), topics, findings.join(catalog.select("code", "title"), "code"))
+    assert out["flips"].count() == out["lines"].count() > 0 and out["summary"].first()["compared"] > 0 and out["head"].count() == 3
+    assert out["flips"].filter("why LIKE '%critical: %'").count() > 0
+    jobs.publish(students, hw, findings, topics, catalog, str(tmp_path), ["1", "2", "3", "4", "5"], digest=hw.select("key", F.lit("d").alias("digest")).distinct())
+    assert spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/student_pages").count() == students.count() and spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/error_pages").count() == 5
     assert spark.read.text(f"{tmp_path}/reports").count() == students.count()
     top, failed = jobs.study_plan(findings, catalog, hw, topics)
     assert top.count() > 0 and failed.count() > 0

@@ -128,7 +128,7 @@ def test_tables_round_trip(spark, tmp_path):
     files = sorted((tmp_path / "table").glob("part-*.csv"))
     assert [int(line.split(",")[0]) for x in files for line in x.read_text().splitlines()[1:]] == list(range(49, -1, -1))
     old = spark.createDataFrame([(1, "k")], "tg_id bigint, student_key string")
-    assert sinks.evolve_schema(old, "bindings", {"demo": False}).first()["demo"] is False
+    assert sinks.evolve_schema(old, "bindings").first()["demo"] is False
     (tmp_path / "r").mkdir()
     (tmp_path / "r/k__hw1.json").write_text('{"checks": [], "findings": [], "strengths": "", "summary": "s"}')
     (tmp_path / "r/k__hw2.json").write_text("{oops")
