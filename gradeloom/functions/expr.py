@@ -281,6 +281,16 @@ def shingles(tokens: Column, n: int) -> Column:
     return let(tokens, windows)
 
 
+def shingle_hashes(tokens: Column, n: int) -> Column:
+    """P15 as 64-bit hashes of the windows, made without their texts."""
+
+    def windows(t: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, F.lit(n))))
+        return F.when(F.size(t) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens, windows)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """0 if either is empty."""
     both = F.size(F.array_intersect(a, b))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import expr as X
+from gradeloom.operators.tables import landed
 
 
 def stream_boilerplate(cells: DataFrame, min_students: int = 10, min_share: float = 0.3) -> DataFrame:
@@ -53,40 +56,65 @@ def exact_members(works: DataFrame) -> DataFrame:
     return works.join(exact_clusters(works), ["hw", "fp"]).select("hw", "key", "first", "n")
 
 
+def hashed_sets(works: DataFrame) -> DataFrame:
+    """(hw, key, s): the distinct shingles of each work as sorted 64-bit hashes; shingles that are numbers are hashes already."""
+    numbers = works.schema["shingles"].dataType.elementType.typeName() == "long"
+    of = F.col("shingles") if numbers else F.transform("shingles", lambda s: F.xxhash64(s))
+    return works.select("hw", "key", F.array_sort(F.array_distinct(of)).alias("s"))
+
+
 def near_pairs(works: DataFrame, t: float = 0.8, min_size: int = 1) -> DataFrame:
     """Pairs (hw, a, b, similarity) of works (hw, key, shingles) with a Jaccard similarity of at least ``t``.
 
-    Exact: shingles are hashed and ordered by their frequency in the topic, rare first; two sets as similar as ``t``
-    share one of the first ``n - ceil(t * n) + 1``, so only these are joined, with a filter on the sizes; candidates
-    are verified on whole sets. Frequent shingles stand last and seldom enter a prefix. Equal sets are compared once:
-    one work of each set is joined, and its copies inherit the links through their group.
+    Exact on 64-bit hashes: shingles are ordered by their frequency in the topic, rare first; two sets as similar as ``t`` share one of
+    the first ``n - ceil(t * n) + 1``, so only these meet, and only in blocks of like lengths, which also cuts a frequent shingle's works
+    apart. A pair's shared prefix and what is left behind it bound the whole overlap; pairs that cannot reach it go before any set is
+    read. Candidates are verified on whole sets.
     """
-    sets = works.select("hw", "key", F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s))).alias("s")).withColumn("n", F.size("s")).filter(F.col("n") >= min_size)
-    tokens = sets.select("hw", "key", "n", F.explode("s").alias("h"))
-    freq = tokens.groupBy("hw", "h").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("hw", "key").orderBy("f", "h")
+    return _near(landed(hashed_sets(works), "near-sets").filter(F.size("s") >= min_size), t)
+
+
+def _near(sets: DataFrame, t: float) -> DataFrame:
+    """``near_pairs`` of (hw, key, s), a table, as it is read several times. Works and shingles travel as numbers."""
+    named = sets.withColumn("id", F.xxhash64("hw", "key")).withColumn("n", F.size("s"))
+    # a shingle counts in its topic only
+    tokens = named.select("id", "n", "hw", F.explode("s").alias("h")).select("id", "n", F.xxhash64("hw", "h").alias("h"))
+    often = tokens.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1")
+    w = Window.partitionBy("id")
+    # shingles that no other work has stand before all others and match nothing: they only shorten the prefix
+    shared = tokens.join(often, "h").withColumn("_rest", F.count("*").over(w))
+    rank = F.row_number().over(w.orderBy("f", "h")) + F.col("n") - F.col("_rest")
     keep = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
-    prefix = tokens.join(freq, ["hw", "h"]).filter("f > 1").withColumn("_rest", F.count("*").over(Window.partitionBy("hw", "key")))
-    # tokens of frequency 1 stand before all others and match nothing: they only shorten the prefix
-    prefix = prefix.withColumn("rank", F.row_number().over(w) + F.col("n") - F.col("_rest")).filter(F.col("rank") <= keep).select("hw", "h", "key", "n")
-    a = prefix.select("hw", "h", F.col("key").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("hw", "h", F.col("key").alias("b"), F.col("n").alias("nb"))
-    close = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9)
-    cand = a.join(b, ["hw", "h"]).filter(close).select("hw", "a", "b").distinct()
-    full = lambda side: sets.select("hw", F.col("key").alias(side), F.col("s").alias(f"s_{side}"))
-    checked = cand.join(full("a"), ["hw", "a"]).join(full("b"), ["hw", "b"]).withColumn("sim", X.jaccard(F.col("s_a"), F.col("s_b")))
-    return checked.filter(F.col("sim") >= t).select("hw", "a", "b", F.lit("near").alias("kind"), F.bround("sim", 3).alias("similarity"))
+    # sets within the ratio t are in one block of lengths or in neighbouring ones
+    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(t)) + 1e-9).cast("int") if t < 1 else F.col("n")
+    prefix = shared.withColumn("rank", rank).filter(F.col("rank") <= keep).select("h", "id", "n", "rank", block.alias("block"))
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)) if t < 1 else F.col("block")
+    a = prefix.select("h", F.col("id").alias("ia"), F.col("n").alias("na"), F.col("rank").alias("ra"), "block")
+    b = prefix.select("h", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("rank").alias("rb"), near.alias("block"))
+    close = (F.col("ia") < F.col("ib")) & (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9)
+    need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
+    met = a.join(b, ["h", "block"]).filter(close)
+    seen = met.groupBy("ia", "ib", "na", "nb").agg(F.count("*").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+    # beyond the last shared shingle of the prefix no more can be shared than stands behind it on either side
+    cand = seen.filter(F.col("c") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= need).select("ia", "ib")
+    full = lambda side: named.select(F.col("id").alias(f"i{side}"), F.col("hw").alias(f"hw_{side}"), F.col("key").alias(f"k_{side}"), F.col("s").alias(f"s_{side}"))
+    checked = cand.join(full("a"), "ia").join(full("b"), "ib").filter(F.col("hw_a").eqNullSafe(F.col("hw_b")) & (F.col("k_a") != F.col("k_b"))).withColumn("sim", X.jaccard(F.col("s_a"), F.col("s_b")))
+    return checked.filter(F.col("sim") >= t).select(F.col("hw_a").alias("hw"), F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), F.lit("near").alias("kind"), F.bround("sim", 3).alias("similarity"))
 
 
 def near_pairs_of_classes(works: DataFrame, t: float = 0.8, min_size: int = 1) -> tuple[DataFrame, DataFrame]:
     """Near pairs between the first works of equal sets, and the membership (hw, key, first).
 
-    Large groups of copies cost one row for each copy; no link between different sets is lost.
+    Large groups of copies cost one row for each copy; no link between different sets is lost. Sets are equal if their sizes and two
+    64-bit hashes of their sorted members are. Shingles are made once: the sets are landed.
     """
-    sets = works.withColumn("_set", F.sha2(F.array_join(F.array_sort(F.array_distinct("shingles")), "\n"), 256)).filter(F.size(F.array_distinct("shingles")) >= min_size)
-    first = sets.groupBy("hw", "_set").agg(F.min("key").alias("first"), F.min_by("shingles", "key").alias("shingles"))
-    members = sets.select("hw", "key", "_set").join(first.select("hw", "_set", "first"), ["hw", "_set"]).select("hw", "key", "first")
-    return near_pairs(first.select("hw", F.col("first").alias("key"), "shingles"), t, min_size), members
+    sets = landed(hashed_sets(works), "near-sets").filter(F.size("s") >= min_size)
+    same = ["hw", "n", "_x", "_y"]
+    keyed = landed(sets.select("hw", "key", F.size("s").alias("n"), F.xxhash64("s").alias("_x"), F.xxhash64(F.lit(1), "s").alias("_y")), "near-keys")
+    first = keyed.groupBy(*same).agg(F.min("key").alias("first"))
+    members = landed(keyed.select("key", *same).join(first, same).select("hw", "key", "first"), "near-members")
+    classes = landed(sets.join(members.filter("key = first").select("hw", "key"), ["hw", "key"], "left_semi"), "near-classes")
+    return _near(classes, t), members
 
 
 def symmetrise(pairs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def find_copies(cells: DataFrame, handouts: DataFrame, commits: DataFrame, min_s
     members = similarity.exact_members(similarity.fingerprints(own))
     code = own.groupBy("hw", "key").agg(X.ordered_join(F.struct("path", "idx"), F.col("source")).alias("code"))
     tokens = code.select("hw", "key", X.regex_tokens(F.col("code")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
-    pairs, groups = similarity.near_pairs_of_classes(tokens.select("hw", "key", X.shingles(F.col("tokens"), 5).alias("shingles")), t)
+    pairs, groups = similarity.near_pairs_of_classes(tokens.select("hw", "key", X.shingle_hashes(F.col("tokens"), 5).alias("shingles")), t)
     added = similarity.first_added(commits).join(body.select("hw", "key", "path").distinct(), ["key", "path"]).groupBy("hw", "key").agg(F.min("added_at").alias("added_at"))
     return {"exact": members.join(added, ["hw", "key"], "left"), "near": similarity.who_was_first(pairs, added), "groups": groups}
 

@@ -45,7 +45,7 @@ def _works(s, d):
 
 
 def _sets(s, d):
-    return _docs(s, d).select(F.col("lang").alias("hw"), F.col("doc_id").alias("key"), X.shingles(X.plain_words(F.col("text")), 5).alias("shingles"))
+    return _docs(s, d).select(F.col("lang").alias("hw"), F.col("doc_id").alias("key"), X.shingle_hashes(X.plain_words(F.col("text")), 5).alias("shingles"))
 
 
 def _roster(s, d, side):
