@@ -2,8 +2,8 @@
 
 Each takes a streaming DataFrame and gives one. Keyed folds run as ``applyInPandasWithState`` over the rows of a key in
 time order; input must come in time order across micro-batches, as the batch forms assume. The state of a key is a few
-values and has no expiry, as the reference's tables have none; ``deliver_once`` can forget old broadcasts. Results equal
-the batch operators on a replay.
+values and, where only a gap or the watermark gives it a use, goes by an event-time timer (``ingest_events``, ``throttle_stream``,
+``ttl_check_stream``); ``deliver_once`` can forget old broadcasts. Results equal the batch operators on a replay.
 """
 
 from __future__ import annotations
@@ -45,22 +45,91 @@ def flag_stream(stream: DataFrame) -> DataFrame:
     return rows.groupBy("tg_id").applyInPandasWithState(fold, "id long, tg_id long, at timestamp_ntz, kind string, payload string, demo boolean", "demo boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def ttl_check_stream(requests: DataFrame, ttl_hours: float = 6) -> DataFrame:
-    """(url, at, cached): requests for a url; one that comes within the time to live of the last real check is cached."""
-    ttl = pd.Timedelta(hours=ttl_hours)
+# The watermark runs this far ahead of the log's own times: it begins at 1970, and rows of that time or before would be late at once.
+SHIFT = 4_000_000_000_000_000
+
+
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    """``rows`` with the watermark of their time ``us`` (microseconds), shifted. Rows that it has passed are left out by Spark and counted in
+    the query's progress (numRowsDroppedByWatermark); so are rows without a time."""
+    return rows.filter("us is not null").withColumn("_wm", F.timestamp_micros(F.col("us") + SHIFT)).withWatermark("_wm", delay)
+
+
+def _spaced(stream: DataFrame, key: str, ts: str, gap_us: int, delay: str) -> DataFrame:
+    """(key, us, kept) of each event; the last kept time of a key is its state, which goes when the watermark is a gap past it."""
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        out = []
+        for us in sorted(int(x) for f in frames for x in f["us"].dropna()):
+            kept = last is None or us - last >= gap_us
+            last = us if kept else last
+            out.append((k[0], us, kept))
+        if last is not None:
+            until = (last + gap_us + SHIFT) // 1000 + 1
+            if until > state.getCurrentWatermarkMs():
+                state.update((last,))
+                state.setTimeoutTimestamp(until)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=[key, "us", "kept"])
+
+    kind = stream.schema[key].dataType.simpleString()
+    rows = _timed(stream.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")), delay)
+    return rows.groupBy(key).applyInPandasWithState(fold, f"`{key}` {kind}, us long, kept boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ttl_check_stream(requests: DataFrame, ttl_hours: float = 6, delay: str = "10 minutes") -> DataFrame:
+    """(url, at, cached): requests for a url; one that comes within the time to live of the last real check is cached.
+
+    Times may be out of order within a micro-batch, and by ``delay`` across them as far as the state goes; a url that nobody asks for is
+    forgotten once its check is too old to be used.
+    """
+    return _spaced(requests, "url", "at", int(ttl_hours * 3_600_000_000), delay).select("url", F.timestamp_micros("us").cast("timestamp_ntz").alias("at"), (~F.col("kept")).alias("cached"))
+
+
+def ingest_events(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(id, tg_id, at, kind, payload, demo): the log marked in the order of its times, whatever order it arrives in.
+
+    ``stream`` as in ``flag_stream``. The rows of an account wait in its state until the watermark, ``delay`` behind the newest time seen,
+    has passed them; an event-time timer wakes the account then, so nothing waits for its next row. They are folded in time order, views
+    before events of the same time. A row later than ``delay`` is left out and counted. Of an account that waits for nothing and views
+    no demo student, no state is kept.
+    """
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        demo, kept = (state.get[0], list(zip(*state.get[1:]))) if state.exists else (False, [])
+        mark = state.getCurrentWatermarkMs() * 1000 - SHIFT
+        rows = kept if state.hasTimedOut else [*kept, *(r for f in frames for r in zip(f["us"].tolist(), f["id"].tolist(), f["kind"].tolist(), f["payload"].tolist()))]
+        ripe = sorted((r for r in rows if r[0] <= mark), key=lambda r: (r[0], r[2] != "view", r[1]))
+        wait = [r for r in rows if r[0] > mark]
         out = []
-        for t in _rows(frames, "at")["at"]:
-            cached = last is not None and t - last < ttl
-            last = last if cached else t
-            out.append((k[0], t, cached))
-        state.update((last.value // 1000,))
-        yield pd.DataFrame(out, columns=["url", "at", "cached"])
+        for us, i, kind, payload in ripe:
+            if kind == "view":
+                demo = (payload or "").startswith("demo-")
+            else:
+                out.append((i, k[0], us, kind, payload, demo))
+        if wait or demo:
+            state.update((demo, *([r[c] for r in wait] for c in range(4))))
+            if wait:
+                state.setTimeoutTimestamp((min(r[0] for r in wait) + SHIFT) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["id", "tg_id", "us", "kind", "payload", "demo"])
+
+    rows = _timed(stream.select("id", "tg_id", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "kind", "payload"), delay)
+    marked = rows.groupBy("tg_id").applyInPandasWithState(
+        fold, "id long, tg_id long, us long, kind string, payload string, demo boolean", "demo boolean, us array<long>, ids array<long>, kinds array<string>, payloads array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return marked.withColumn("at", F.timestamp_micros("us")).drop("us")
 
-    rows = requests.select("url", F.col("at").cast("timestamp_ntz").alias("at"))
-    return rows.groupBy("url").applyInPandasWithState(fold, "url string, at timestamp_ntz, cached boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+
+def append_marked(stream: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes"):
+    """S15 and T01 in one query: the log is marked in the order of its times and appended as Parquet."""
+    return append_events(ingest_events(stream, delay), path, checkpoint)
 
 
 def running_totals(stream: DataFrame, by: str = "kind") -> DataFrame:
@@ -72,24 +141,9 @@ def _rows(frames: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(list(order))
 
 
-def throttle_stream(stream: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
-    """(key, ts) of kept events: at least ``gap_seconds`` after the last kept one of the key."""
-    gap = pd.Timedelta(seconds=gap_seconds)
-
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        kept = []
-        for t in _rows(frames, ts)[ts]:
-            if last is None or t - last >= gap:
-                kept.append(t)
-                last = t
-        if last is not None:
-            state.update((last.value // 1000,))
-        yield pd.DataFrame({key: [k[0]] * len(kept), ts: pd.Series(kept, dtype="datetime64[ns]")})
-
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(key, F.col(ts).cast("timestamp_ntz").alias(ts))
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {ts} timestamp_ntz", "last long", "append", GroupStateTimeout.NoTimeout)
+def throttle_stream(stream: DataFrame, key: str, ts: str, gap_seconds: float, delay: str = "10 minutes") -> DataFrame:
+    """(key, ts) of kept events: at least ``gap_seconds`` after the last kept one of the key. A quiet key's state goes after the gap."""
+    return _spaced(stream, key, ts, int(gap_seconds * 1_000_000), delay).filter("kept").select(key, F.timestamp_micros("us").cast("timestamp_ntz").alias(ts))
 
 
 def identity_stream(stream: DataFrame, value: str) -> DataFrame:

@@ -80,3 +80,43 @@ def test_outbox(spark, tmp_path):
     S.sync_outbox(stream, state, send, f"{tmp_path}/ck", tries=2).awaitTermination()
     last = {r["key"]: (r["rev"], r["status"]) for r in spark.read.parquet(f"{state}/batch=2").collect()}
     assert last["1"] == (4, "done") and last["2"][1] in ("retry", "diverged")
+
+
+def test_shuffled_log_is_marked_in_time_order(spark, tmp_path):
+    """Rows arrive in any order within an hour and over three micro-batches; the marks equal the batch form."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        view = rng.random() < 0.2
+        rows.append((i, rng.randrange(12), 40 * i, "view" if view else "click", rng.choice(["demo-a", "real", None]) if view else "x"))
+    end = [(10_000 + k, 99, 40 * 900 + 90_000 * k, "click", "end") for k in (1, 2)]  # moves the watermark past all others
+    shuffled = sorted(rows, key=lambda r: r[2] + rng.randrange(3_000)) + end
+    schema = "id long, tg_id long, n long, kind string, payload string, ord int"
+    log = spark.createDataFrame([(*r, k) for k, r in enumerate(shuffled)], schema).withColumn("at", F.timestamp_seconds("n")).drop("n")
+    path = f"{tmp_path}/marked"
+    S.append_marked(replay(spark, log, tmp_path, "shuffled", "ord"), path, f"{tmp_path}/ck_marked", "2 hours").awaitTermination()
+    got = {r["id"]: r["demo"] for r in spark.read.parquet(path).collect()}
+    plain = log.filter("kind <> 'view'").select("id", "tg_id", "at")
+    views = log.filter("kind = 'view'").select("id", "tg_id", "at", F.col("payload").alias("student_key"))
+    want = {r["id"]: r["demo"] for r in E.flag_demo(plain, views).collect()}
+    assert {i for i in want if i < 10_000} <= set(got) and all(want[i] == d for i, d in got.items())
+
+
+def test_state_of_quiet_keys_goes_after_the_gap(spark, tmp_path):
+    rows = [(k, 10 * k) for k in range(50)] + [(7, 400), (7, 520)] + [(99, 50_000 + 10_000 * k) for k in range(3)]
+    df = spark.createDataFrame(rows, "k int, n int").withColumn("at", F.timestamp_seconds("n")).drop("n")
+    kept = S.throttle_stream(replay(spark, df, tmp_path, "quiet"), "k", "at", 100.0, "1 second")
+    q = kept.writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck_quiet").trigger(availableNow=True).start()
+    q.awaitTermination()
+    left = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert max(left) >= 15 and left[-1] <= 1  # only the last key may still matter
+    want = E.greedy_spacing(df, "k", "at", 100.0).select("k", F.col("at").cast("timestamp_ntz"))
+    assert {tuple(r) for r in spark.table("quiet").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_accounts_bound_twice_are_found(spark):
+    rows = [(1, 10, "s", "bound"), (2, 10, "t", "bound"), (3, 11, "s", "taken"), (4, 11, "u", "bound"), (5, 11, "u", "bound")]
+    got = S.double_bound(spark.createDataFrame(rows, "id long, tg_id long, key string, decision string")).collect()
+    assert [tuple(r) for r in got] == [(10, 2)]
