@@ -60,6 +60,13 @@ def reviewed_verdicts(s, d):
     return V_.verdicts(results, _merged(s, d), _judged(s, d)).select("key", "hw", "required_passed", "required_total", "status")
 
 
+def grading_prompts(s, d):
+    """A prompt for each topic, with a judged item, the task and all allowed codes: common types and the topic's own."""
+    checks = s.createDataFrame([(str(k), f"item{n}", f"Item {n}", n == 1, "llm" if k != 3 else "rule") for k in range(1, 6) for n in (2, 1)], "hw string, check_id string, title string, required boolean, kind string")
+    rubrics = V.topics(s, d).select("hw", F.concat(F.lit("Topic "), "hw").alias("title"), F.when(F.col("graded"), F.concat(F.lit("Solve "), "hw")).alias("task"))
+    return V_.topic_prompts(checks, _review_catalog(s, d), rubrics, head="Review the work.", tail="Answer in JSON.")
+
+
 def foreign(s, d):
     rows = _items(s, d).groupBy("key", "hw").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("code").alias("code")))), lambda x: x["code"]).alias("codes"))
     return V_.foreign_codes(rows, _review_catalog(s, d)).select("key", "hw", F.array_join("codes", ",").alias("codes"))
@@ -180,6 +187,7 @@ def queries() -> dict:
         "merged_findings": lambda s, d: _merged(s, d).select("key", "hw", "code", "severity", "source", "comment"),
         "reviewed_verdicts": reviewed_verdicts,
         "foreign_codes": foreign,
+        "grading_prompts": grading_prompts,
         "report_round_trip": report_round_trip,
         "student_digest_whole": digest_whole,
         "notebook_manifest": manifest,
@@ -234,6 +242,10 @@ def oracle_sql() -> dict[str, str]:
             FROM hw h LEFT JOIN (SELECT key, hw, sum(minus)::BIGINT AS m FROM judged GROUP BY key, hw) USING (key, hw)
             LEFT JOIN (SELECT DISTINCT key, hw, true AS c FROM merged WHERE severity = 'critical') USING (key, hw)""", **_REVIEW),
         "foreign_codes": with_sql("hw", """SELECT key, hw, array_to_string(list(code ORDER BY pos, code)[1:3], ',') AS codes FROM items WHERE code NOT IN (SELECT code FROM cat) GROUP BY key, hw""", cat=_REVIEW["cat"], items=_ROWS),
+        "grading_prompts": with_sql("topics", """SELECT hw, 'Review the work.' || n || '# ' || hw || ': Topic ' || hw || CASE WHEN graded THEN n || '## Task' || n || 'Solve ' || hw ELSE '' END
+            || CASE WHEN hw <> '3' THEN n || '## Items to judge' || n || '* `item1` — Item 1 (required)' || chr(10) || '* `item2` — Item 2 (optional)' ELSE '' END
+            || coalesce(n || '## Allowed codes' || n || (SELECT string_agg('* `' || code || '` — ' || code, chr(10) ORDER BY code) FROM cat WHERE starts_with(code, 'common.') OR starts_with(code, hw || '.')), '')
+            || n || 'Answer in JSON.' AS prompt FROM (SELECT *, chr(10) || chr(10) AS n FROM topics)""", cat=_REVIEW["cat"]),
         "report_round_trip": with_sql("findings hw students", """SELECT h.key, h.hw, h.status, required_passed::INT AS required_passed, coalesce(codes, '') AS codes FROM hw h JOIN students s USING (key)
             LEFT JOIN (SELECT key, hw, string_agg(code || ':' || severity, ',' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, code) AS codes FROM findings GROUP BY key, hw) USING (key, hw)"""),
         "student_digest_whole": with_sql("students topics hw findings catalog", f"""SELECT key, '# Student ' || key || chr(10) || 'Passed: ' || passed || ' of ' || total || '. Certificate: ' || CASE WHEN certified THEN 'yes' ELSE 'no' END || chr(10) || chr(10) || t AS digest

@@ -103,33 +103,17 @@ def find_by_repo(s, d):
     return L.find_by_repo(p.select(F.col("page_id").alias("q"), "url"), known)
 
 
-def rule_counts(s, d):
-    """Text measures of every document in one scan."""
-    t = F.col("text")
-    return _docs(s, d).select("doc_id", X.bullet_count(t).alias("bullets"), X.content_hash(t).alias("sha1"), X.estimate_tokens(t).alias("tokens"), F.length(X.strip_ws(t)).alias("solid"), X.slugify(F.substring(t, 1, 40)).alias("slug"))
-
-
 def notebook_rules(s, d):
     """Whole-notebook measures over cells: no code, little prose, cells run out of order."""
     return R.notebook_measures(V.cells(s, d))
 
 
-def review_requests(s, d):
-    c = V.cells(s, d).groupBy("nb").agg(X.ordered_join(F.col("idx"), F.col("source")).alias("t"))
-    return c.select(F.concat(F.lit("k|"), F.col("nb")).alias("custom_id"), F.substring("t", 1, 2000).alias("text"), (F.length("t") > 2000).alias("truncated"), X.estimate_tokens(F.col("t")).alias("tokens"))
-
-
-def volume(s, d):
-    t = X.estimate_tokens(F.col("text"))
-    return _docs(s, d).agg(F.count("*").alias("works"), F.sum(t).alias("input_tokens"), F.count_if(F.length("text") > 4000).alias("truncated"), (F.count("*") * 900).alias("output_tokens"), F.max(F.length("text")).alias("longest"))
-
-
 REVIEW_CHARS, REVIEW_OUTPUT, PRICE_IN, PRICE_OUT = K.REVIEW_CHARS, K.REVIEW_OUTPUT, K.PRICE_IN, K.PRICE_OUT
 # Prompts of the two kinds of conversations.
 PROMPTS = [("guided", "Review the work under its instructions."), ("plain", "Review the work.")]
 
 
-def review_requests_whole(s, d):
+def review_requests(s, d):
     """Requests through S17. A system turn is an output of the turn after it; methodology codes go to conversations that have one."""
     w = Window.partitionBy("nb").orderBy("idx")
     said = F.lag(F.when(F.col("kind") == "raw", F.col("source"))).over(w)
@@ -143,12 +127,12 @@ def review_requests_whole(s, d):
     return sinks.review_requests(works, s.createDataFrame(PROMPTS, "hw string, prompt string"), codes)
 
 
-def volume_whole(s, d):
+def volume(s, d):
     return K.estimate_volume(_docs(s, d).select("text"))
 
 
-def rule_counts_whole(s, d):
-    """``rule_counts`` with the slug of the whole text."""
+def rule_counts(s, d):
+    """Text measures of every whole document in one scan."""
     t = F.col("text")
     return _docs(s, d).select("doc_id", X.bullet_count(t).alias("bullets"), X.content_hash(t).alias("sha1"), X.estimate_tokens(t).alias("tokens"), F.length(X.strip_ws(t)).alias("solid"), X.slugify(t).alias("slug"))
 
@@ -174,9 +158,6 @@ def queries() -> dict:
         "notebook_measures": notebook_rules,
         "review_requests": review_requests,
         "review_volume": volume,
-        "text_measures_whole": rule_counts_whole,
-        "review_requests_whole": review_requests_whole,
-        "review_volume_whole": volume_whole,
         "link_people": _links,
         "shared_usernames": lambda s, d: L.invalidate_shared_usernames(_links(s, d)),
         "link_quality": lambda s, d: L.link_quality_counts(_links(s, d)),
@@ -249,25 +230,21 @@ def oracle_sql() -> dict[str, str]:
         "page_links": rf"SELECT page_id, slug, CASE WHEN slug = '' THEN 'no_url' WHEN contains(slug, '/') THEN 'ok' ELSE 'profile' END AS status, contains(url, 'github.com') OR regexp_full_match(url, '[\w.-]+/[\w.-]+') AS repo_like FROM (SELECT page_id, coalesce(url, '') AS url, {url} AS slug FROM pages)",
         "find_by_repo": f"""WITH p AS (SELECT page_id, starts_with(url, 'https:') AS known, lower({url}) AS u FROM pages), q AS (SELECT *, array_to_string(string_split(u, '/')[1:2], '/') AS s FROM p), k AS (SELECT * FROM q WHERE known AND u <> '')
             SELECT page_id AS q, coalesce((SELECT min(page_id) FROM k WHERE k.u = q.u), (SELECT min(page_id) FROM k WHERE k.s = q.s)) AS key FROM q""",
-        "review_requests": with_sql("cells", "SELECT 'k|' || nb AS custom_id, substr(t, 1, 2000) AS text, length(t) > 2000 AS truncated, length(t) // 3 AS tokens FROM c", c="SELECT nb, string_agg(source, chr(10) ORDER BY idx) AS t FROM cells GROUP BY nb"),
-        "review_volume": "SELECT count(*) AS works, sum(length(text) // 3)::BIGINT AS input_tokens, count(*) FILTER (length(text) > 4000) AS truncated, count(*) * 900 AS output_tokens, max(length(text)) AS longest FROM documents",
-        "review_requests_whole": with_sql("cells catalog", f"""SELECT custom_id, json_object('custom_id', custom_id, 'prompt', prompt, 'text', substr(t, 1, {REVIEW_CHARS}), 'truncated', length(t) > {REVIEW_CHARS}, 'codes', coalesce(codes, []))::VARCHAR AS json
+        "review_requests": with_sql("cells catalog", f"""SELECT custom_id, json_object('custom_id', custom_id, 'prompt', prompt, 'text', substr(t, 1, {REVIEW_CHARS}), 'truncated', length(t) > {REVIEW_CHARS}, 'codes', coalesce(codes, []))::VARCHAR AS json
             FROM (SELECT nb || '|' || hw AS custom_id, * FROM w) JOIN (VALUES {", ".join(map(str, PROMPTS))}) AS p(hw, prompt) USING (hw) LEFT JOIN k USING (hw)""",
             o="SELECT nb, idx, kind, source, rtrim(lag(CASE WHEN kind = 'raw' THEN source END) OVER (PARTITION BY nb ORDER BY idx), ' ') AS said FROM cells",
             q="SELECT *, CASE WHEN length(said) <= 700 THEN said ELSE substr(said, 1, 700) || chr(10) || '… (clipped, ' || length(said) || ' characters)' END AS out FROM o",
             w="""SELECT nb, CASE WHEN bool_or(kind = 'raw') THEN 'guided' ELSE 'plain' END AS hw, coalesce(string_agg(concat_ws(chr(10), '### [' || idx || '] ' || kind, rtrim(source, ' '),
                 CASE WHEN out <> '' THEN '--- output ---' || chr(10) || out END), chr(10) || chr(10) ORDER BY idx) FILTER (kind IN ('code', 'markdown')), '') AS t FROM q GROUP BY nb""",
             k="SELECT hw, list_sort(list(code)) AS codes FROM (SELECT code, 'guided' AS hw FROM catalog UNION ALL SELECT code, 'plain' FROM catalog WHERE kind = 'hygiene') GROUP BY hw"),
-        "review_volume_whole": f"""SELECT *, input_tokens / 1e6 * {PRICE_IN} + output_tokens / 1e6 * {PRICE_OUT} AS cost, (input_tokens / 1e6 * {PRICE_IN} + output_tokens / 1e6 * {PRICE_OUT}) / 2 AS batch_cost
+        "review_volume": f"""SELECT *, input_tokens / 1e6 * {PRICE_IN} + output_tokens / 1e6 * {PRICE_OUT} AS cost, (input_tokens / 1e6 * {PRICE_IN} + output_tokens / 1e6 * {PRICE_OUT}) / 2 AS batch_cost
             FROM (SELECT count(*) AS works, sum(least(n, {REVIEW_CHARS}) // 3)::BIGINT AS input_tokens, count(*) FILTER (n > {REVIEW_CHARS}) AS truncated, count(*) * {REVIEW_OUTPUT} AS output_tokens,
               list_sort(list(n))[count(*) // 2 + 1] AS digest_median, max(n) AS digest_max FROM (SELECT length(coalesce(text, '')) AS n FROM documents))""",
-        "text_measures_whole": r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*(?:[-*+•]|\d+[.)])\s+\S'))::INT AS bullets, sha1(text) AS sha1, length(text) // 3 AS tokens, length(regexp_replace(text, '\s+', '', 'g')) AS solid,
+        "text_measures": r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*(?:[-*+•]|\d+[.)])\s+\S'))::INT AS bullets, sha1(text) AS sha1, length(text) // 3 AS tokens, length(regexp_replace(text, '\s+', '', 'g')) AS solid,
             trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_-]+', '_', 'g'), '_') AS slug FROM documents""",
         "notebook_measures": with_sql("cells", """SELECT nb, count(*) FILTER (kind = 'code') AS code_cells, count(*) FILTER (kind = 'code' AND trim(source) <> '') = 0 AS nothing_done,
             coalesce(sum(length(source)) FILTER (kind = 'markdown'), 0)::BIGINT < 200 AS no_conclusions, coalesce(count(*) FILTER (brk), 0) AS order_breaks FROM o GROUP BY nb""",
             o="SELECT *, kind = 'code' AND ec <= lag(ec, 1, 0) OVER (PARTITION BY nb, kind ORDER BY idx) AS brk FROM cells"),
-        "text_measures": r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*(?:[-*+•]|\d+[.)])\s+\S'))::INT AS bullets, sha1(text) AS sha1, length(text) // 3 AS tokens, length(regexp_replace(text, '\s+', '', 'g')) AS solid,
-            trim(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_-]+', '_', 'g'), '_') AS slug FROM documents""",
         "link_people": with_sql("people", "SELECT * FROM links", **_LINKS),
         "shared_usernames": with_sql("people", """SELECT key, fio, reg, CASE WHEN c > 1 THEN '' ELSE username END AS username, CASE WHEN c > 1 THEN 'none' ELSE match END AS match, CASE WHEN c > 1 THEN 'handle @' || u || ' given by several people: ' || who || CASE WHEN c > 20 THEN ' and ' || c - 20 || ' more' ELSE '' END ELSE note END AS note
             FROM links LEFT JOIN (SELECT lower(username) AS u, count(*) AS c, array_to_string(list(fio ORDER BY key)[1:20], ', ') AS who FROM links WHERE username <> '' GROUP BY 1) ON u = lower(username)""", **_LINKS),

@@ -18,7 +18,7 @@ def test_review_requests_hold_whole_conversations(spark, tmp_path):
     turns = [(1, 0, "system", "rules"), (1, 1, "user", "a" * 3_000), (1, 2, "assistant", "b" * 5_000 + "END"), (2, 0, "user", "c" * 130_000)]
     part = [("Brand#11", "x"), ("Brand#12", "y")]
     d = landed(spark, tmp_path, conversations=(turns, "conv_id long, turn long, role string, text string"), part=(part, "p_brand string, p_name string"))
-    got = {r["custom_id"]: json.loads(r["json"]) for r in registry.queries()["review_requests_whole"](spark, d).collect()}
+    got = {r["custom_id"]: json.loads(r["json"]) for r in registry.queries()["review_requests"](spark, d).collect()}
     one, two = got["1|guided"], got["2|plain"]
     assert one["text"].endswith("END") and "--- output ---\nrules" in one["text"] and not one["truncated"] and one["codes"] == ["Brand#11", "Brand#12"]
     assert len(two["text"]) == 120_000 and two["truncated"] and two["codes"] == ["Brand#12"] and one["prompt"] != two["prompt"]
@@ -27,10 +27,10 @@ def test_review_requests_hold_whole_conversations(spark, tmp_path):
 def test_review_volume_and_slug(spark, tmp_path):
     docs = [(1, "a" * 5_000, "en", "s"), (2, "b " * 100_000, "en", "s"), (3, "c" * 30, "en", "s"), (4, "d" * 60, "de", "s")]
     d = landed(spark, tmp_path, documents=(docs, DOCUMENTS))
-    v = registry.queries()["review_volume_whole"](spark, d).first()
+    v = registry.queries()["review_volume"](spark, d).first()
     assert (v["works"], v["truncated"], v["input_tokens"], v["output_tokens"], v["digest_median"], v["digest_max"]) == (4, 1, 1_666 + 40_000 + 10 + 20, 3_600, 5_000, 200_000)
     assert abs(v["cost"] - (41_696 * 2 + 3_600 * 10) / 1e6) < 1e-9 and abs(v["batch_cost"] - v["cost"] / 2) < 1e-9
-    slugs = {r["doc_id"]: r["slug"] for r in registry.queries()["text_measures_whole"](spark, d).collect()}
+    slugs = {r["doc_id"]: r["slug"] for r in registry.queries()["text_measures"](spark, d).collect()}
     assert slugs[1] == "a" * 5_000 and slugs[2] == "_".join("b" * 100_000)
 
 
