@@ -35,11 +35,11 @@ from gradeloom.llm.words import gathered, kinds, tokens
 
 KINDS = kinds(b" \t\n\x0b\x0c\r")
 END = b" "  # no word can be a space
-OUT_WORDS, CLASSES, DIM = 1_535, 512, 32
+OUT_WORDS, CLASSES, DIM = 1_023, 512, 32
 OUTCOMES = 1 + OUT_WORDS + CLASSES
 HEAD, HEAD_BYTES = 200_000, 256  # so many words of so many bytes at most are broadcast
-ROUNDS, BATCH, NOISE, RATE = 2, 2_048, 64, 0.08
-LEAST_STEPS, MOST_EPOCHS = 300, 6  # a small portion is gone over several times
+ROUNDS, BATCH, NOISE, RATE = 2, 2_048, 32, 0.08
+LEAST_TOKENS, MOST_EPOCHS = 400_000, 6  # a smaller portion is gone over several times
 BLOCKS, FIXED = 16, float(1 << 20)
 
 
@@ -105,6 +105,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, head.column("f").to_numpy(), ends, tokens_, words_, n, v)
 
 
+def log_sums(s: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials of each row; the rows are used up."""
+    top = s.max(1)
+    if top.size and (top.max() > 60 or top.min() < -60):
+        s -= top[:, None]
+    else:
+        top = np.zeros_like(top)
+    np.exp(s, out=s)
+    return np.log(s.sum(1)) + top
+
+
 class Model:
     """Parameters: vectors of outcomes as contexts and as targets, one matrix for each of the two places, and biases."""
 
@@ -129,20 +140,23 @@ class Model:
     def predicted(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         return self.p[0][last] @ self.p[2] + self.p[0][before] @ self.p[3]
 
+    def scores(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Scores of all outcomes for each context, biases included."""
+        s = self.predicted(before, last) @ self.p[1].T
+        s += self.p[4]
+        return s
+
     def log_probabilities(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Natural logarithms for each context and each outcome; the rows' probabilities add up to 1."""
-        s = self.predicted(before, last) @ self.p[1].T + self.p[4]
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, dtype=np.float64, keepdims=True)).astype(np.float32)
+        s = self.scores(before, last)
+        return s - log_sums(s.copy())[:, None]
 
     def train(self, before: np.ndarray, last: np.ndarray, word: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
         """Noise-contrastive estimation: tell each word from NOISE draws of the outcomes' shares, which a batch has in common."""
         squares = [np.full(s, 1e-4, np.float32) for s in self.SHAPES]
         shift = np.log(NOISE * self.noise).astype(np.float32)
         cdf = np.cumsum(self.noise)
-        steps = -(-len(word) // BATCH)
-        columns = np.arange(DIM)
-        for _ in range(max(1, min(MOST_EPOCHS, -(-LEAST_STEPS // max(1, steps))))):
+        for _ in range(max(1, min(MOST_EPOCHS, -(-LEAST_TOKENS // max(1, int(weight.sum())))))):
             order = rng.permutation(len(word))
             for k in range(0, len(order), BATCH):
                 i = order[k : k + BATCH]
@@ -159,11 +173,20 @@ class Model:
                 rows = np.concatenate([up[:, None] * q, down.T @ q])
                 from_ = np.concatenate([b, a])
                 back = np.concatenate([dq @ self.p[2].T, dq @ self.p[3].T])
-                add = lambda at, g: np.bincount((at[:, None] * DIM + columns).ravel(), g.ravel(), OUTCOMES * DIM).reshape(OUTCOMES, DIM).astype(np.float32)
-                grads = [add(from_, back), add(to, rows), vb.T @ dq, va.T @ dq, np.bincount(to, np.concatenate([up, down.sum(0)]), OUTCOMES).astype(np.float32)]
-                for n, g in enumerate(grads):
-                    squares[n] += g * g
-                    self.p[n] += RATE * g / np.sqrt(squares[n])
+                step = [added(from_, back), added(to, rows), (slice(None), vb.T @ dq), (slice(None), va.T @ dq), (slice(None), np.bincount(to, np.concatenate([up, down.sum(0)]), OUTCOMES).astype(np.float32))]
+                for n, (at, g) in enumerate(step):
+                    squares[n][at] += g * g
+                    self.p[n][at] += RATE * g / np.sqrt(squares[n][at])
+
+
+def added(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    sorted_ = at[order]
+    last = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True))
+    sums = np.cumsum(rows[order], axis=0, dtype=np.float64)[last]
+    sums[1:] -= sums[:-1].copy()
+    return sorted_[last], sums.astype(np.float32)
 
 
 def contexts(outcome: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -239,12 +262,15 @@ def text_sums(model: Model, outcome: np.ndarray, doc: np.ndarray, texts: int) ->
     distinct, first = np.unique(key[order], return_index=True)
     stop = np.append(first[1:], len(key))
     out = np.zeros(len(key))
-    for k in range(0, len(distinct), 1024):
-        some = distinct[k : k + 1024]
-        logp = model.log_probabilities(some // OUTCOMES, some % OUTCOMES)
-        lo, hi = first[k], stop[min(k + 1024, len(distinct)) - 1]
+    # contexts that occur once for each block: their scores are picked before all of them become a sum
+    for k in range(0, len(distinct), 512):
+        some = distinct[k : k + 512]
+        s = model.scores(some // OUTCOMES, some % OUTCOMES)
+        lo, hi = first[k], stop[min(k + 512, len(distinct)) - 1]
         at = order[lo:hi]
-        out[at] = logp[np.searchsorted(some, key[at]), word[at]]
+        row = np.repeat(np.arange(len(some)), stop[k : k + 512] - first[k : k + 512])
+        out[at] = s[row, word[at]]
+        out[at] -= log_sums(s)[row]
     return np.bincount(of, out, texts) / math.log(10)
 
 
