@@ -257,30 +257,59 @@ def diverged_flags(state: DataFrame) -> DataFrame:
     return state.filter("status = 'diverged'").select(F.lit("sync_diverged").alias("kind"), payload.alias("payload"))
 
 
-def sync_outbox(tasks: DataFrame, state_path: str, send, checkpoint: str, tries: int = 8):
+def _versions(spark, state_path: str, number: int) -> dict[int, tuple[int, int]]:
+    """For each bucket the micro-batch that wrote it last, up to ``number``, and its records that wait for a retry: as many rows as buckets."""
+    if number < 0:
+        return {}
+    return {r["bucket"]: (r["batch"], r["retries"]) for r in spark.read.parquet(f"{state_path}/_buckets/upto={number}").collect()}
+
+
+def _state_of(spark, state_path: str, versions: dict[int, tuple[int, int]]) -> DataFrame:
+    paths = [f"{state_path}/batch={n}/bucket={b}" for b, (n, _) in sorted(versions.items())]
+    return spark.read.schema(OUTBOX).parquet(*paths) if paths else spark.createDataFrame([], OUTBOX)
+
+
+OUTBOX = "sink string, entity string, key string, rev long, tries int, status string, synced_rev long, remote_id string"
+
+
+def outbox_state(spark, state_path: str, number: int) -> DataFrame:
+    """The outbox's records after micro-batch ``number``: the last version of each bucket."""
+    return _state_of(spark, state_path, _versions(spark, state_path, number))
+
+
+def sync_outbox(tasks: DataFrame, state_path: str, send, checkpoint: str, tries: int = 8, buckets: int = 64):
     """Each micro-batch collapsed to the last revision of each (sink, entity, key), sent, and kept as state.
 
-    ``send``: DataFrame of pending tasks to DataFrame with ``ok``. Failures come again with the next batch, up to
-    ``tries`` times, then they are marked diverged. State is written under the batch's number, so a repeat overwrites it.
+    ``send``: DataFrame of pending tasks to DataFrame with ``ok`` and, if it likes, ``remote_id``; a record keeps the last one it was given.
+    Failures come again with the next micro-batch, up to ``tries`` times, then they are marked diverged. State lies in hash buckets: a
+    micro-batch reads and writes those of its tasks and of waiting retries only, under its number, so a repeat overwrites itself and
+    what is written follows the batch. A small table names the version of each bucket (``outbox_state`` reads them all).
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        if number:
-            old = spark.read.parquet(f"{state_path}/batch={number - 1}")
-            retry = old.filter("status = 'retry'").select("sink", "entity", "key", "rev", "tries")
-            todo = df.select("sink", "entity", "key", "rev", F.lit(0).alias("tries")).unionByName(retry)
-        else:
-            old, todo = None, df.select("sink", "entity", "key", "rev", F.lit(0).alias("tries"))
+        bucket = F.pmod(F.xxhash64("sink", "entity", "key"), F.lit(buckets)).cast("int").alias("bucket")
+        before = _versions(spark, state_path, number - 1)
+        new = df.select("sink", "entity", "key", "rev", F.lit(0).alias("tries"), bucket)
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()} | {b for b, (_, waiting) in before.items() if waiting}
+        old = _state_of(spark, state_path, {b: v for b, v in before.items() if b in touched})
+        todo = new.drop("bucket").unionByName(old.filter("status = 'retry'").select("sink", "entity", "key", "rev", "tries"))
         last = todo.groupBy("sink", "entity", "key").agg(F.max(F.struct("rev", "tries")).alias("m")).select("sink", "entity", "key", "m.*")
-        if old is not None:
-            last = last.join(old.select("sink", "entity", "key", "synced_rev"), ["sink", "entity", "key"], "left").filter(F.col("rev") > F.coalesce("synced_rev", F.lit(-1))).drop("synced_rev")
+        last = last.join(old.select("sink", "entity", "key", "synced_rev"), ["sink", "entity", "key"], "left").filter(F.col("rev") > F.coalesce("synced_rev", F.lit(-1))).drop("synced_rev")
         done = send(last).withColumn("tries", F.col("tries") + 1)
+        remote = F.col("remote_id").cast("string") if "remote_id" in done.columns else F.lit(None).cast("string")
         status = F.when(F.col("ok"), "done").when(F.col("tries") >= tries, "diverged").otherwise("retry")
-        new = done.select("sink", "entity", "key", "rev", "tries", status.alias("status"), F.when(F.col("ok"), F.col("rev")).alias("synced_rev"))
-        if old is not None:
-            both = new.select("*", F.lit(1).alias("o")).unionByName(old.select("*", F.lit(0).alias("o")))
-            new = both.groupBy("sink", "entity", "key").agg(F.max_by(F.struct("rev", "tries", "status"), "o").alias("s"), F.max("synced_rev").alias("synced_rev")).select("sink", "entity", "key", "s.*", "synced_rev")
-        new.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        now = done.select("sink", "entity", "key", "rev", "tries", status.alias("status"), F.when(F.col("ok"), F.col("rev")).alias("synced_rev"), remote.alias("remote_id"), F.lit(1).alias("o"))
+        both = now.unionByName(old.withColumn("o", F.lit(0)))
+        rows = both.groupBy("sink", "entity", "key").agg(
+            F.max_by(F.struct("rev", "tries", "status"), "o").alias("s"), F.max("synced_rev").alias("synced_rev"), F.max_by("remote_id", F.when(F.col("remote_id").isNotNull(), F.col("o"))).alias("remote_id")
+        )
+        rows = rows.select("sink", "entity", "key", "s.*", "synced_rev", "remote_id", bucket)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/batch={number}")
+        if touched:
+            wrote = spark.read.parquet(f"{state_path}/batch={number}").groupBy("bucket").agg(F.count_if(F.col("status") == "retry").alias("n")).collect()
+            before |= {r["bucket"]: (number, r["n"]) for r in wrote}
+        table = [(b, n, waiting) for b, (n, waiting) in sorted(before.items())]
+        spark.createDataFrame(table, "bucket int, batch long, retries long").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/_buckets/upto={number}")
 
     return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,3 +120,22 @@ def test_accounts_bound_twice_are_found(spark):
     rows = [(1, 10, "s", "bound"), (2, 10, "t", "bound"), (3, 11, "s", "taken"), (4, 11, "u", "bound"), (5, 11, "u", "bound")]
     got = S.double_bound(spark.createDataFrame(rows, "id long, tg_id long, key string, decision string")).collect()
     assert [tuple(r) for r in got] == [(10, 2)]
+
+
+def test_outbox_writes_the_buckets_it_touches(spark, tmp_path):
+    """Three micro-batches: many records, then one, then none that is new; revisions, remote ids and retries of all are right."""
+    rows = [("n", "p", str(k), 1, 1) for k in range(300)] + [("n", "p", "7", 2, 1_000)] + [("n", "p", "7", 1, 2_000), ("n", "p", "8", 5, 2_000)]
+    df = spark.createDataFrame(rows, "sink string, entity string, key string, rev long, at int")
+    path = f"{tmp_path}/log"
+    for k, (lo, hi) in enumerate(((0, 10), (10, 1_500), (1_500, 9_999))):
+        df.filter((F.col("at") > lo) & (F.col("at") <= hi)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    state = f"file://{tmp_path}/state"
+    send = lambda d: d.withColumn("ok", F.col("key") != "9").withColumn("remote_id", F.when(F.col("rev") == 1, F.concat(F.lit("r"), "key")))
+    S.sync_outbox(stream, state, send, f"{tmp_path}/ck_buckets", tries=2, buckets=16).awaitTermination()
+    wrote = [spark.read.parquet(f"{state}/batch={n}").select("bucket").distinct().count() for n in range(3)]
+    assert wrote[0] == 16 and wrote[1] <= 2 and wrote[2] <= 2
+    last = {r["key"]: (r["rev"], r["status"], r["synced_rev"], r["remote_id"]) for r in S.outbox_state(spark, state, 2).collect()}
+    assert len(last) == 300 and last["7"] == (2, "done", 2, "r7") and last["8"] == (5, "done", 5, "r8") and last["50"] == (1, "done", 1, "r50")
+    assert last["9"][1] == "diverged" and last["9"][2] is None
+    assert S.diverged_flags(S.outbox_state(spark, state, 2)).count() == 1
