@@ -1,11 +1,12 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Texts are split into pieces and words; the fingerprint of every n-gram comes from prefix polynomials over its words' hashes,
-mixed with its language and its number of words. A task counts the n-grams of about 24 MB of text at a time: equal
-fingerprints are told apart by their words, so one counted row stands for one text only, and it points to the document
-of the first occurrence. The shuffle brings the rows of a fingerprint together; those of rare fingerprints go. Only then
-are phrases made: each row that is left is looked up in the document it points to and counted by its text. So two
-phrases that share a fingerprint are counted apart, and no rare phrase is ever written out.
+mixed with its language and its number of words. A task counts the n-grams of about 2 MB of text at a time: occurrences with one
+fingerprint are compared by their words, so one counted row stands for one text only. It has a second, independent
+fingerprint (other word hashes, another multiplier) and a pointer to a document with an occurrence. The shuffle adds up the rows of
+both fingerprints, so phrases that collide in the first are counted apart, and drops rare ones. Only then are phrases made:
+each fingerprint that is left is looked up in the text of the document its pointer names. No rare phrase is ever written out.
+(Rows of different tasks are not compared by text: that took 40 million look-ups on 0.5 GB. They agree in 93 bits.)
 
 An n-gram is no more frequent than its parts: bigrams are counted only where both words are frequent, longer ones only
 where all their bigrams are. The frequent fingerprints are handed to the tasks as a bitmap of a fixed size at most
@@ -32,7 +33,10 @@ from gradeloom.llm.words import WORD_BASE, Polynomial, Tokens, gathered, kinds,
 KINDS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 FILTER_BITS = 1 << 26  # 8 MB
 SALTS = 16
-_ROWS = "fp long, f long, file long, row long"
+PORTION = 2_000_000  # bytes of text counted at a time; the rows of a task's portions are added up before they are shuffled
+_ROWS = "fp long, check int, f long, place long"
+CHECK_BASE = 0xA0761D6478BD642F  # odd
+FEW_PLACES = 1_000_000  # so many pointed documents may be broadcast as numbers
 
 
 class Grams:
@@ -44,7 +48,9 @@ class Grams:
         at = {name: n for n, name in enumerate(names)}
         self.langs, self.lang = names, np.array([at[x] for x in langs], np.int64)
         self.seed = mix(np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64))
-        self.sums = Polynomial(word_hashes(self.t.dictionary)[self.t.word] if len(self.t.word) else np.zeros(0, np.uint64), WORD_BASE)
+        own = np.array([xxhash.xxh64_intdigest(w) for w in self.t.dictionary.to_pylist()], np.uint64)
+        values = [h[self.t.word] if len(self.t.word) else np.zeros(0, np.uint64) for h in (word_hashes(self.t.dictionary), own)]
+        self.sums, self.checks = Polynomial(values[0], WORD_BASE), Polynomial(values[1], CHECK_BASE)
 
     def starts(self, n: int) -> np.ndarray:
         """Where n-grams begin: n words within one piece."""
@@ -55,16 +61,20 @@ class Grams:
         raw = mix(self.sums.of(at, at + n) ^ self.seed[self.lang[self.t.doc[at]]] ^ np.uint64(n))
         return (raw & ~np.uint64(7)) | np.uint64(n)
 
+    def second(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (mix(self.checks.of(at, at + n)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def empty_print(self, lang: int) -> int:
         """Stands for all words of a language."""
         return int(mix(self.seed[lang : lang + 1])[0] & ~np.uint64(7))
 
-    def counted(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, number and first place of the distinct n-grams that begin at ``at``."""
+    def counted(self, at: np.ndarray, n: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both fingerprints, number and least place of the documents of the distinct n-grams that begin at ``at``."""
         fp = self.prints(at, n)
         order = np.argsort(fp)
         at, fp = at[order], fp[order]
-        lang, new = self.lang[self.t.doc[at]], np.ones(len(at), bool)
+        doc = self.t.doc[at]
+        lang, new = self.lang[doc], np.ones(len(at), bool)
         if len(at):
             same = (fp[1:] == fp[:-1]) & (lang[1:] == lang[:-1])
             for k in range(n):  # the words themselves, so that a row stands for one text
@@ -73,8 +83,9 @@ class Grams:
             new[1:] = ~same
         first = np.flatnonzero(new)
         if not len(first):
-            return fp, np.zeros(0, np.int64), at
-        return fp[first], np.diff(np.append(first, len(at))), np.minimum.reduceat(at, first)
+            return fp, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # the least place of all, so that many phrases point to few documents
+        return fp[first], self.second(at[first], n), np.diff(np.append(first, len(at))), np.minimum.reduceat(place[doc], first)
 
     def text(self, at: int, n: int) -> bytes:
         return b" ".join(self.t.joined[s:e].tobytes() for s, e in zip(self.t.start[at : at + n], self.t.end[at : at + n]))
@@ -107,9 +118,9 @@ def bitmap(table: DataFrame, most: int = FILTER_BITS) -> Bits:
 
 def count_rows(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...], part: int, frequent: Bits | None) -> Iterator[pa.RecordBatch]:
     """Counted n-grams of the given orders whose parts of ``part`` words are all in ``frequent``."""
-    for table, texts in gathered(batches, "body"):
+    for table, texts in gathered(batches, "body", PORTION):
         grams = Grams(texts, table.column("lang").to_pylist())
-        file, row = (table.column(c).to_numpy() for c in ("file", "row"))
+        place = table.column("place").to_numpy()
         known = None
         if frequent:
             known = np.zeros(len(grams.t.word), bool)
@@ -122,29 +133,26 @@ def count_rows(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...], part:
                 for k in range(n - part + 1):
                     ok &= known[at + k]
                 at = at[ok]
-            fp, f, first = grams.counted(at, n)
-            doc = grams.t.doc[first]
-            yield _batch(fp, f, file[doc], row[doc])
+            yield _batch(*grams.counted(at, n, place))
         if orders == (1,):
             words = np.bincount(grams.lang[grams.t.doc], minlength=len(grams.langs))
             found, first = np.unique(grams.lang, return_index=True)
-            yield _batch(np.array([grams.empty_print(k) for k in found], np.uint64), words[found], file[first], row[first])
+            yield _batch(np.array([grams.empty_print(k) for k in found], np.uint64), np.zeros(len(found), np.int32), words[found], place[first])
 
 
-def _batch(fp: np.ndarray, f: np.ndarray, file: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(f.astype(np.int64)), pa.array(file), pa.array(row)], names=["fp", "f", "file", "row"])
+def _batch(fp: np.ndarray, check: np.ndarray, f: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(check), pa.array(f.astype(np.int64)), pa.array(place)], names=["fp", "check", "f", "place"])
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Look up the counted rows in the documents they point to: (lang, n, phrase, f)."""
-    for table, texts in gathered(batches, "body", 8_000_000):
+    """Look up fingerprints in the documents they point to: (fp, check, lang, n, phrase, f)."""
+    for table, texts in gathered(batches, "body", PORTION):
         grams = Grams(texts, table.column("lang").to_pylist())
         lists = table.column("rows").combine_chunks()
         doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
         flat = lists.flatten()
-        fp, f = flat.field("fp").to_numpy().view(np.uint64), flat.field("f").to_numpy()
-        words = np.flatnonzero((fp & np.uint64(7)) == 0)
-        out = [(grams.langs[grams.lang[doc[k]]], 0, "", int(f[k])) for k in words]
+        fp, check, f = flat.field("fp").to_numpy().view(np.uint64), flat.field("check").to_numpy(), flat.field("f").to_numpy()
+        out = [(int(fp[k].view(np.int64)), 0, grams.langs[grams.lang[doc[k]]], 0, "", int(f[k])) for k in np.flatnonzero((fp & np.uint64(7)) == 0)]
         for n in range(1, 8):
             want = np.flatnonzero((fp & np.uint64(7)) == n)
             if not len(want):
@@ -153,22 +161,19 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have = grams.prints(at, n)
             ok = np.isin(have, fp[want])
             at, have = at[ok], have[ok]
-            # by document, fingerprint and place; the first occurrence in the document is the one pointed to
-            order = np.lexsort((at, have, grams.t.doc[at]))
-            key = np.stack([grams.t.doc[at][order].astype(np.uint64), have[order]])
-            new = np.ones(len(order), bool)
-            new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-            firsts = {(int(d), int(p)): int(a) for d, p, a in zip(*key[:, new], at[order][new])}
-            for k in want:
-                a = firsts[int(doc[k]), int(fp[k])]
-                out.append((grams.langs[grams.lang[doc[k]]], n, grams.text(a, n).decode("utf-8", "surrogateescape"), int(f[k])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "n", "phrase", "f"])
+            where = dict(zip(zip(grams.t.doc[at].tolist(), have.tolist(), grams.second(at, n).tolist()), at.tolist()))
+            for k in want.tolist():
+                # absent only in another document that has the same place number
+                if (a := where.get((int(doc[k]), int(fp[k]), int(check[k])))) is not None:
+                    out.append((int(fp[k].view(np.int64)), int(check[k]), grams.langs[grams.lang[doc[k]]], n, grams.text(a, n).decode("utf-8", "surrogateescape"), int(f[k])))
+        kinds_ = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds_)], names=["fp", "check", "lang", "n", "phrase", "f"])
 
 
 def frequent_counts(run: Run, docs: DataFrame, least: int, longest: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, n, phrase, f): all phrases of 1 to ``longest`` words with f >= ``least``, and with n = 0 the words of each language."""
     landed, place = with_locator(docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).cast("binary").alias("body")), "phrase-docs")
-    rows = landed.select("lang", "body", F.col(f"{place}.file").alias("file"), F.col(f"{place}.row").alias("row"))
+    rows = landed.select("lang", "body", F.xxhash64(F.col(place)).alias("place"))
     context, kept, bits = run.spark.sparkContext, [], None
     for orders, part in (((1,), 0), ((2,), 1), (tuple(range(3, longest + 1)), 2)):
         if not orders or max(orders) > longest:
@@ -178,18 +183,19 @@ def frequent_counts(run: Run, docs: DataFrame, least: int, longest: int, lang_co
         def count(batches: Iterator[pa.RecordBatch], orders=orders, part=part, shared=shared) -> Iterator[pa.RecordBatch]:
             return count_rows(batches, orders, part, shared.value if shared else None)
 
-        # a fingerprint has a row for each task's portion, so even the most frequent one is a short list
-        all_ = F.sum("f").over(Window.partitionBy("fp"))
-        often = rows.mapInArrow(count, _ROWS).withColumn("all", all_).filter((F.col("all") >= least) | (F.col("fp").bitwiseAND(F.lit(7)) == 0)).drop("all")
-        kept.append(run.written(often, f"prints-{orders[0]}"))
+        sums = rows.mapInArrow(count, _ROWS).groupBy("fp", "check").agg(F.sum("f").alias("f"), F.min("place").alias("place"))
+        kept.append(run.written(sums.filter((F.col("f") >= least) | (F.col("fp").bitwiseAND(F.lit(7)) == 0)), f"prints-{orders[0]}"))
         if max(orders) < longest:
             bits = bitmap(kept[-1].select("fp").distinct())
     wanted = kept[0]
     for more in kept[1:]:
         wanted = wanted.unionByName(more)
-    wanted = wanted.groupBy(F.struct("file", "row").alias(place)).agg(F.collect_list(F.struct("fp", "f")).alias("rows"))
-    found = matching(landed, wanted, place, "inner").select("lang", "body", "rows").mapInArrow(resolve, "lang string, n int, phrase string, f long")
-    return run.written(found.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("n") == 0)), "counts")
+    wanted = run.written(wanted.groupBy("place").agg(F.collect_list(F.struct("fp", "check", "f")).alias("rows")), "pointers")
+    if wanted.count() <= FEW_PLACES:
+        # documents that nothing points to need not move
+        rows = rows.join(F.broadcast(wanted.select("place")), "place", "left_semi")
+    found = matching(rows, wanted, "place", "inner").select("lang", "body", "rows").mapInArrow(resolve, "fp long, check int, lang string, n int, phrase string, f long")
+    return run.written(found.dropDuplicates(["fp", "check"]).select("lang", "n", "phrase", "f"), "counts")
 
 
 def mine(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2_000, nested: int = 80, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

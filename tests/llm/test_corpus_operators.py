@@ -67,17 +67,18 @@ def test_phrases_of_no_rows(spark):
 
 def test_phrases_with_colliding_fingerprints(spark, monkeypatch):
     """With fingerprints of a few bits most n-grams collide; the counts stay exact."""
-    few = lambda x: x & np.uint64(0x3F)
-
+    few, whole = (lambda x: x & np.uint64(0xF0)), phrases.mix
     at = [t for _, t, _ in ODD if t and len(t) < 1000]
+    monkeypatch.setattr(phrases.Grams, "second", lambda g, a, n: (whole(g.checks.of(a, a + n)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
     monkeypatch.setattr(phrases, "mix", few)
     grams = phrases.Grams([t.encode() for t in at], ["en"] * len(at))
     starts = grams.starts(2)
-    fp, f, first = grams.counted(starts, 2)
-    assert len(set(fp.tolist())) < len({grams.text(a, 2) for a in starts.tolist()})  # they do collide
-    want, got = Counter(grams.text(a, 2) for a in starts.tolist()), Counter()
-    for n, a in zip(f.tolist(), first.tolist()):
-        got[grams.text(a, 2)] += n
+    fp, check, f, place = grams.counted(starts, 2, np.arange(len(at), dtype=np.int64))
+    texts = {grams.text(a, 2): int(grams.second(np.array([a]), 2)[0]) for a in starts.tolist()}
+    assert len(set(fp.tolist())) < len(texts) == len(set(texts.values()))  # the first fingerprint collides, the second does not
+    want, got = Counter(texts[grams.text(a, 2)] for a in starts.tolist()), Counter()
+    for n, c in zip(f.tolist(), check.tolist()):
+        got[c] += n
     assert got == want
 
 
