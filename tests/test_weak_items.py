@@ -255,3 +255,38 @@ def test_volume_of_texts(spark):
     assert (r["works"], r["input_tokens"], r["truncated"], r["digest_median"], r["digest_max"], r["output_tokens"]) == (4, 3 + 10 + 0 + 2, 2, 10, 40, 3_600)
     empty = classify.estimate_volume(df.limit(0)).first()
     assert (empty["works"], empty["cost"], empty["digest_median"]) == (0, 0.0, None)
+
+
+# -- S06, S13, F03, F11
+
+
+def test_rubrics_get_their_defaults(spark):
+    check = "struct<id:string,title:string,required:boolean,kind:string,any_regex:array<string>,all_regex:array<string>,none_regex:array<string>,bullets_min:int>"
+    rows = spark.createDataFrame(
+        [("h1", "One", None, None, [("a", "A", None, None, ["x"], None, None, None), ("b", "B", False, "llm", None, None, None, 3)], (["s"], None, ["f"])), ("h2", "Two", "full", False, [], None)],
+        f"id string, title string, check_scope string, graded boolean, checks array<{check}>, signature struct<strong:array<string>,weak:array<string>,filename:array<string>>",
+    )
+    rubrics, checks, signatures = readers.load_rubrics(rows)
+    assert sorted(map(tuple, rubrics.collect())) == [("h1", "One", "delta", True), ("h2", "Two", "full", False)]
+    got = {r["check_id"]: (r["required"], r["kind"], r["any_regex"], r["none_regex"], r["bullets_min"]) for r in checks.collect()}
+    assert got == {"a": (True, "rule", ["x"], [], None), "b": (False, "llm", [], [], 3)}
+    assert {r["topic"]: (r["strong"], r["weak"], r["filename"]) for r in signatures.collect()} == {"h1": (["s"], [], ["f"]), "h2": ([], [], [])}
+
+
+def test_manifest_of_students(spark):
+    chosen = spark.createDataFrame([("k1", "t1", "a.ipynb", 1), ("k1", "t1", "b.ipynb", 2), ("k1", "t2", "c.ipynb", 1)], "key string, topic string, rel string, rank int")
+    out = {r["key"]: r for r in sinks.manifest(chosen, spark.createDataFrame([("k2", "z"), ("k2", "y")], "key string, rel string"), spark.createDataFrame([("k1", "bad")], "key string, rel string")).collect()}
+    assert out["k1"]["submissions"] == {"t1": "a.ipynb", "t2": "c.ipynb"} and out["k1"]["alternatives"] == ["b.ipynb"] and out["k1"]["broken"] == ["bad"]
+    assert out["k2"]["submissions"] is None and out["k2"]["unmatched"] == ["y", "z"]
+
+
+def test_blank_cells_and_conclusions_in_comments(spark):
+    from gradeloom.operators import rules
+
+    marker = X.CELL_MARKERS[0]
+    prose = "# " + "вывод о качестве модели " * 2
+    cells = [("n1", 0, "code", f"# {marker}", None, []), ("n1", 1, "code", "x = 1", 1, []), ("n2", 0, "code", prose, None, []), ("n2", 1, "code", "y = 2", 1, []), ("n3", 0, "code", "z = 3", 1, [])]
+    facts = rules.notebook_facts(spark.createDataFrame(cells, "nb string, idx int, kind string, source string, ec int, errors array<string>"))
+    found = {(r["nb"], r["code"]): (r["severity"], r["cells"]) for r in rules.run_rules(facts).collect()}
+    assert found["n1", "common.blank_template_cells"] == ("critical", [0]) and found["n2", "common.conclusions_in_code_comments"] == ("major", [0])
+    assert ("n3", "common.blank_template_cells") not in found and ("n1", "common.conclusions_in_code_comments") not in found
