@@ -35,7 +35,7 @@ from gradeloom.llm.words import gathered, kinds, tokens
 
 KINDS = kinds(b" \t\n\x0b\x0c\r")
 END = b" "  # no word can be a space
-OUT_WORDS, CLASSES, DIM = 1_023, 512, 32
+OUT_WORDS, CLASSES, DIM = 1_023, 512, 24
 OUTCOMES = 1 + OUT_WORDS + CLASSES
 HEAD, HEAD_BYTES = 200_000, 256  # so many words of so many bytes at most are broadcast
 ROUNDS, BATCH, NOISE, RATE = 2, 2_048, 32, 0.08
@@ -163,10 +163,10 @@ class Model:
                 a, b, w = before[i], last[i], word[i]
                 share = (weight[i] / weight[i].sum()).astype(np.float32)
                 x = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), OUTCOMES - 1)
-                va, vb = self.p[0][a], self.p[0][b]
+                va, vb = self.p[0].take(a, 0), self.p[0].take(b, 0)
                 q = vb @ self.p[2] + va @ self.p[3]
-                target, drawn = self.p[1][w], self.p[1][x]
-                up = share / (1 + np.exp(np.clip((q * target).sum(1) + self.p[4][w] - shift[w], -30, 30)))
+                target, drawn = self.p[1].take(w, 0), self.p[1].take(x, 0)
+                up = share / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, target) + self.p[4][w] - shift[w], -30, 30)))
                 down = -share[:, None] / (1 + np.exp(-np.clip(q @ drawn.T + self.p[4][x] - shift[x], -30, 30)))
                 dq = up[:, None] * target + down @ drawn
                 to = np.concatenate([w, x])
@@ -181,12 +181,10 @@ class Model:
 
 def added(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    sorted_ = at[order]
-    last = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True))
-    sums = np.cumsum(rows[order], axis=0, dtype=np.float64)[last]
-    sums[1:] -= sums[:-1].copy()
-    return sorted_[last], sums.astype(np.float32)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # numbers of outcomes; short ones are sorted by digits
+    sorted_ = at.take(order)
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return sorted_.take(first), np.add.reduceat(rows.take(order, 0), first, axis=0)
 
 
 def contexts(outcome: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
