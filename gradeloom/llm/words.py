@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)  # A-Z only
 # Two odd multipliers; their powers wrap modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
