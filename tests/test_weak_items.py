@@ -290,3 +290,14 @@ def test_blank_cells_and_conclusions_in_comments(spark):
     found = {(r["nb"], r["code"]): (r["severity"], r["cells"]) for r in rules.run_rules(facts).collect()}
     assert found["n1", "common.blank_template_cells"] == ("critical", [0]) and found["n2", "common.conclusions_in_code_comments"] == ("major", [0])
     assert ("n3", "common.blank_template_cells") not in found and ("n1", "common.conclusions_in_code_comments") not in found
+
+
+def test_all_unbound_people_are_named_by_the_query(spark):
+    from gradeloom.plans import registry
+
+    passed = spark.createDataFrame([("k1", "Bob", True), ("k2", "Ann", True), ("k3", "Cid", False), ("k4", "Dan", True)], "key string, fio string, certified boolean")
+    bound = spark.createDataFrame([("k4", 1)], "key string, tg_id long")
+    assert [r["fio"] for r in cohort.unbound_names(passed, bound, certified=False).collect()] == ["Ann", "Bob", "Cid"]
+    run = lambda name: {r["key"] for r in registry.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+    sure = {r["key"] for r in registry.queries()["passed_counts"](spark, "/root/testdata/sf0.001").filter("certified").collect()}
+    assert run("unbound_names") - sure and run("unbound_certified") <= sure
