@@ -250,3 +250,42 @@ def test_fuzzy_join_loses_nothing(spark):
     for cutoff in (60.0, 88.0):
         want = {(i, j) for i, a in enumerate(words[::2]) for j, b in enumerate(words[1::2]) if indel(a, b) >= cutoff}
         assert {(r["l"], r["r"]) for r in L.fuzzy_join(left, right, cutoff).collect()} == want
+
+
+def test_near_join_moves_prefixes_and_loses_no_pair(spark, monkeypatch):
+    import os
+    import random
+
+    rng = random.Random(3)
+    base = [[rng.getrandbits(62) for _ in range(400)] for _ in range(60)]
+    common = [rng.getrandbits(62) for _ in range(30)]
+    sets = []
+    for b in base:  # each with a near copy, an exact copy and one of another length; all hold the common shingles
+        sets += [b + common, b[:-20] + [rng.getrandbits(62) for _ in range(20)] + common, b + common, b[:345] + common]
+    sets += [common, common[:25], common[:24] + [7], [5], []]
+    works = spark.createDataFrame([("t", k, s) for k, s in enumerate(sets)], "hw string, key int, shingles array<long>")
+    rows = [set(s) for s in sets]
+    near = {(a, b) for a in range(len(rows)) for b in range(a) if rows[a] and len(rows[a] & rows[b]) / len(rows[a] | rows[b]) >= 0.8}
+    first = {k: rows.index(s) for k, s in enumerate(rows)}
+    want = {(b, a) for a, b in near if first[a] == a and first[b] == b and rows[a] != rows[b]}
+    tables, put = [], S.landed
+
+    def landed(df, name):
+        out = put(df, name)
+        tables.append((name, out.columns, sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(S, "landed", landed)
+    pairs, members = S.near_pairs_of_classes(works)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and members.count() == len(sets) - 1
+    # whole sets are written once
+    assert [name for name, columns, _ in tables if "s" in columns] == ["near-sets"]
+    size = {name: n for name, _, n in tables}
+    assert size["near-keys"] < 0.4 * size["near-sets"]
+    # any order of shingles and both ways to look candidates up give the same
+    of = S.frequent
+    monkeypatch.setattr(S, "FEW", 0)
+    monkeypatch.setattr(S, "PARTNERS", 1)
+    for most in (0, 3, 1_000):
+        monkeypatch.setattr(S, "frequent", lambda s, most=most: of(s, 1, most))
+        assert {(r["a"], r["b"]) for r in S.near_pairs_of_classes(works)[0].collect()} == want
