@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,7 @@ HEAD, HEAD_BYTES = 200_000, 256  # so many words of so many bytes at most are br
 ROUNDS, BATCH, NOISE, RATE = 2, 2_048, 32, 0.08
 LEAST_TOKENS, MOST_EPOCHS = 400_000, 6  # a smaller portion is gone over several times
 BLOCKS, FIXED = 16, float(1 << 20)
+ROWS = 1_000  # rows of an Arrow batch
 
 
 def ending(dictionary: pa.Array) -> np.ndarray:
@@ -97,7 +99,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     short = counts.filter((F.col("word") != END) & (F.octet_length("word") <= HEAD_BYTES))
     head = short.orderBy(F.desc("f"), "word").limit(HEAD).select("word", "f").toArrow()
     words = [w for w in head.column("word").to_pylist()]
-    own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in [END, *words[:OUT_WORDS]]], "word binary")  # OUT_WORDS rows
+    # OUT_WORDS rows, as an Arrow table: rows of Python objects would start further workers in the executors
+    own = counts.sparkSession.createDataFrame(pa.table({"word": pa.array([END, *words[:OUT_WORDS]], pa.binary())}))
     rest = counts.join(F.broadcast(own), "word", "left_anti").groupBy("cls").agg(F.sum("f").alias("n"), F.count("*").alias("v")).collect()
     tokens_, words_ = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in rest:
@@ -309,8 +312,26 @@ def _scored(kind: int, file: np.ndarray, row: np.ndarray, word: pa.Array, n: np.
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(file), kind, np.int32)), pa.array(file), pa.array(row), word, pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(model)], names=["kind", "file", "row", "word", "n", "known", "base", "model"])
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ROWS rows at most while plans run, as a batch holds its rows' whole texts on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if not 0 < int(was) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for all texts, learned from those not held out."""
+    with short_batches(docs.sparkSession):
+        return _lm_scores(docs, modulus, held, id_col, text_col)
+
+
+def _lm_scores(docs: DataFrame, modulus: int, held: int, id_col: str, text_col: str) -> DataFrame:
     run = Run(docs.sparkSession, "neural-lm")
     landed, place = with_locator(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("body")), "lm-docs")
     rows = landed.select("doc_id", "body", F.col(f"{place}.file").alias("file"), F.col(f"{place}.row").alias("row"), held_out(modulus, held).alias("held_out"))

@@ -273,3 +273,11 @@ def test_query_equals_sql_on_small_tables(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SMALL}/embeddings.parquet')")
     got = hard_negatives.op13_hard_negatives(spark, SMALL).select(*COLUMNS).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({hard_negatives.ORACLE_SQL})").fetchall())
+
+
+def test_texts_reach_the_language_model_in_short_batches(spark, monkeypatch):
+    name, seen, of = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neural_lm.fit
+    was = spark.conf.get(name)
+    monkeypatch.setattr(neural_lm, "fit", lambda *a: seen.append(int(spark.conf.get(name))) or of(*a))
+    assert neural_lm.op12_lm_score(spark, SF).count() > 0
+    assert seen == [neural_lm.ROWS] and spark.conf.get(name) == was
