@@ -47,6 +47,8 @@ MAX_DEPTH = 8
 BROADCAST_ROWS = 200_000
 # Sets of one candidate group that are in memory at once: 32 MB of hashes.
 GROUP_SHINGLES = 4_000_000
+# Words whose hashes a task keeps: about 20 MB.
+KEPT_WORDS = 150_000
 # Classes whose links a task keeps before it emits them.
 FOREST_ROWS = 500_000
 # A pair at the threshold agrees in 0.8 * 64 = 51 of the coordinates, with a deviation of 3.2.
@@ -56,12 +58,12 @@ _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 
 class _Words(dict):
-    """64-bit hashes of words; forgets all when it has grown too large."""
+    """64-bit hashes of words; keeps those of the first KEPT_WORDS words, as frequent ones come early."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < KEPT_WORDS:
+            self[word] = h
         return h
 
 
@@ -117,7 +119,7 @@ def sketches(docs: DataFrame, place: str, width: int, id_col: str, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch, texts in chunks(batches, "_text"):
+        for batch, texts in chunks(batches, "_text", 1_000_000):
             sets = [shingle_set(t, width, words) for t in texts]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [signature(s) if len(s) else None for s in sets]

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,18 +118,22 @@ def ascii_lower(c):
 def chunks(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches whose texts hold about ``max_chars`` characters (a longer text is alone).
 
-    Null texts count as empty. Keeps the working memory of numpy code bounded whatever the batch size is.
+    Null texts count as empty. Keeps the working memory of numpy code bounded whatever the batch size is: only the texts
+    of one slice are Python strings at a time.
     """
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
         start, size = 0, 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > max_chars:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(pc.utf8_length(batch.column(text)).fill_null(0).to_pylist()):
+            if i > start and size + n > max_chars:
+                yield _portion(batch.slice(start, i - start), text)
                 start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n
+        if start < batch.num_rows:
+            yield _portion(batch.slice(start), text)
+
+
+def _portion(rows: pa.RecordBatch, text: str) -> tuple[pa.RecordBatch, list[str]]:
+    return rows, [t or "" for t in rows.column(text).to_pylist()]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> DataFrame:

@@ -25,6 +25,8 @@ from gradeloom.llm.common import chunks, class_counts, free_name, held_out, read
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 2, 2
 BLOCKS = 64
+# Bounds on the memory of a Python worker: characters of a slice, tokens whose vectors are in memory at once, kept tokens.
+SLICE_CHARS, GROUP_TOKENS, KEPT_TOKENS = 1_000_000, 50_000, 150_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -35,12 +37,12 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Buckets(dict):
-    """Token to bucket; forgets all when it has grown too large."""
+    """Token to bucket; keeps the first KEPT_TOKENS tokens, as frequent ones come early, and hashes others each time."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        b = self[token] = xxhash.xxh32_intdigest(token) % BUCKETS
+        b = xxhash.xxh32_intdigest(token) % BUCKETS
+        if len(self) < KEPT_TOKENS:
+            self[token] = b
         return b
 
 
@@ -63,7 +65,7 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's sums of neighbours' index vectors, as BLOCKS rows of bytes."""
     pos, sign = index_vectors()
     total, buckets = np.zeros(BUCKETS * DIM), Buckets()
-    for _, texts in chunks(batches, "text"):
+    for _, texts in chunks(batches, "text", SLICE_CHARS):
         ids, starts = tokens(texts, buckets)
         for distance in range(1, WINDOW + 1):
             left = _neighbours(ids, starts, distance)
@@ -104,7 +106,7 @@ def pooled(texts: list[str], vectors: np.ndarray, buckets: Buckets) -> np.ndarra
     ids, starts = tokens(texts, buckets)
     n = np.diff(starts)
     out = np.zeros((len(texts), 3 * DIM + 2), np.float32)
-    for lo, hi in _groups(starts, 400_000):
+    for lo, hi in _groups(starts, GROUP_TOKENS):
         full = np.flatnonzero(n[lo:hi]) + lo
         if not len(full):
             continue
@@ -190,7 +192,7 @@ def pool_documents(docs: DataFrame, vectors: np.ndarray, *keep: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
-        for batch, texts in chunks(batches, "_text"):
+        for batch, texts in chunks(batches, "_text", SLICE_CHARS):
             x = pooled(texts, shared.value, buckets)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r.tobytes() for r in x], pa.binary())], names=[*keep, "pooled"])
 
@@ -224,7 +226,7 @@ def score_documents(docs: DataFrame, model: QualityModel | None, *keep: str, sco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, m = Buckets(), shared.value
-        for batch, texts in chunks(batches, text):
+        for batch, texts in chunks(batches, text, SLICE_CHARS):
             s = m.score(pooled(texts, m.vectors, buckets)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], names=[*keep, score])
 

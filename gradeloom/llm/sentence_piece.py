@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -105,7 +106,7 @@ class PieceModel:
         """Whether the model leaves the two pieces apart (``last`` empty: whether it makes the piece at all)."""
         if len(self.apart) > 1_000_000:
             self.apart.clear()
-        ok = self.apart[last, piece] = self.merge(last + piece) == ([last, piece] if last else [piece])
+        ok = self.apart[sys.intern(last), sys.intern(piece)] = self.merge(last + piece) == ([last, piece] if last else [piece])
         return ok
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
@@ -197,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch, texts in chunks(batches, "_text", 2_000_000):
+        for batch, texts in chunks(batches, "_text", 1_000_000):
             ids = [np.frombuffer(b, m.dtype) for b in m.encode(texts)]
             sizes = np.array([len(i) for i in ids], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
@@ -230,7 +231,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch, texts in chunks(batches, "_text", 2_000_000):
+        for batch, texts in chunks(batches, "_text", 1_000_000):
             n, crc, same = [], [], []
             for t, raw in zip(texts, m.encode(texts)):
                 ids = np.frombuffer(raw, m.dtype)

@@ -3,14 +3,17 @@
 import io
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from gradeloom.llm import pii, quality, sentence_piece, token_file, toxicity
+from gradeloom.llm.common import chunks
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "word " * 30_000), (4, "a"), (4, "a"), (None, "no id"), (5, "\x00 ퟿ 😀 é"), (6, "   ")]
@@ -132,6 +135,24 @@ def test_word_vectors_do_not_depend_on_partitions(spark):
     assert np.array_equal(quality.word_vectors(docs.repartition(1)), quality.word_vectors(docs.repartition(5)))
 
 
+def test_memory_of_quality_workers_is_bounded():
+    """One batch of 600,000 tokens, most of them different."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 2_000)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    buckets, rows = quality.Buckets(), []
+    tracemalloc.start()
+    try:
+        for _, part in chunks(iter([batch]), "text", quality.SLICE_CHARS):
+            rows.append(quality.pooled(part, vectors, buckets))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    assert len(buckets) == quality.KEPT_TOKENS
+    assert np.array_equal(np.concatenate(rows), quality.pooled(texts, vectors, quality.Buckets()))
+
+
 def test_quality_on_held_out_rows(spark):
     out = quality.op2_quality(spark, SF)
     assert out.count() == 1000 and out.filter("score is null or score < 0 or score > 1").count() == 0
