@@ -10,7 +10,7 @@ Counts cover all training texts. Training does too: in each of ``ROUNDS`` rounds
 its own part of the training texts with AdaGrad on the distinct triples of outcomes weighted by their counts, and gives its
 parameters back; they are averaged by tokens, as integers, so the order of tasks does not matter. Parameters have a fixed size.
 
-Scoring takes the portion's distinct contexts, multiplies them with all outcomes in blocks, and adds up per text. The
+Scoring multiplies each context with all outcomes once for each worker, in blocks, keeps the logarithm of the sum, and adds up per text. The
 ``HEAD`` most frequent words travel to the tasks with their counts; rarer ones meet their counts in a shuffle.
 
 Null texts are empty: only the end token. Null ids are held out, as nothing tells their remainder. Repeated rows are scored each (and
@@ -129,12 +129,13 @@ class Model:
         self.noise = prior
         self.p = [rng.normal(0, 0.1, s).astype(np.float32) for s in self.SHAPES[:2]] + [np.eye(DIM, dtype=np.float32), 0.5 * np.eye(DIM, dtype=np.float32), np.log(prior).astype(np.float32)]
         self.p[1] *= 0.1
+        self.sums: np.ndarray | None = None
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.p]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> None:
-        at = 0
+        at, self.sums = 0, None
         for k, s in enumerate(self.SHAPES):
             n = math.prod(s)
             self.p[k] = flat[at : at + n].reshape(s).astype(np.float32)
@@ -154,8 +155,22 @@ class Model:
         s = self.scores(before, last)
         return s - log_sums(s.copy())[:, None]
 
+    def log_sums_of(self, key: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all outcomes, for contexts given as before * OUTCOMES + last.
+
+        A worker works out each context once, in a table with a place for each of them (9 MB), which training leaves behind.
+        """
+        if self.sums is None:
+            self.sums = np.full(OUTCOMES**2, np.nan, np.float32)
+        new = np.unique(key[np.isnan(self.sums[key])])
+        for k in range(0, len(new), 128):
+            some = new[k : k + 128]
+            self.sums[some] = log_sums(self.scores(some // OUTCOMES, some % OUTCOMES))
+        return self.sums[key]
+
     def train(self, before: np.ndarray, last: np.ndarray, word: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
         """Noise-contrastive estimation: tell each word from NOISE draws of the outcomes' shares, which a batch has in common."""
+        self.sums = None
         squares = [np.full(s, 1e-4, np.float32) for s in self.SHAPES]
         shift = np.log(NOISE * self.noise).astype(np.float32)
         cdf = np.cumsum(self.noise)
@@ -170,7 +185,11 @@ class Model:
                 q = vb @ self.p[2] + va @ self.p[3]
                 target, drawn = self.p[1].take(w, 0), self.p[1].take(x, 0)
                 up = share / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, target) + self.p[4][w] - shift[w], -30, 30)))
-                down = -share[:, None] / (1 + np.exp(-np.clip(q @ drawn.T + self.p[4][x] - shift[x], -30, 30)))
+                down = q @ -drawn.T
+                down -= self.p[4][x] - shift[x]
+                np.exp(np.clip(down, -30, 30, out=down), out=down)
+                down += 1
+                np.divide(-share[:, None], down, out=down)
                 dq = up[:, None] * target + down @ drawn
                 to = np.concatenate([w, x])
                 rows = np.concatenate([up[:, None] * q, down.T @ q])
@@ -178,8 +197,8 @@ class Model:
                 back = np.concatenate([dq @ self.p[2].T, dq @ self.p[3].T])
                 step = [added(from_, back), added(to, rows), (slice(None), vb.T @ dq), (slice(None), va.T @ dq), (slice(None), np.bincount(to, np.concatenate([up, down.sum(0)]), OUTCOMES).astype(np.float32))]
                 for n, (at, g) in enumerate(step):
-                    squares[n][at] += g * g
-                    self.p[n][at] += RATE * g / np.sqrt(squares[n][at])
+                    squares[n][at] = total = squares[n][at] + g * g
+                    self.p[n][at] += RATE * g / np.sqrt(total)
 
 
 def added(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,20 +277,11 @@ def fit(run: Run, train: DataFrame, vocab: Vocabulary) -> Model:
 def text_sums(model: Model, outcome: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     """Log10 probability of the outcomes of each text, its end included."""
     word, of, last, before = contexts(outcome, doc, texts)
-    key = before * OUTCOMES + last
-    order = np.argsort(key, kind="stable")
-    distinct, first = np.unique(key[order], return_index=True)
-    stop = np.append(first[1:], len(key))
-    out = np.zeros(len(key))
-    # contexts that occur once for each block: their scores are picked before all of them become a sum
-    for k in range(0, len(distinct), 512):
-        some = distinct[k : k + 512]
-        s = model.scores(some // OUTCOMES, some % OUTCOMES)
-        lo, hi = first[k], stop[min(k + 512, len(distinct)) - 1]
-        at = order[lo:hi]
-        row = np.repeat(np.arange(len(some)), stop[k : k + 512] - first[k : k + 512])
-        out[at] = s[row, word[at]]
-        out[at] -= log_sums(s)[row]
+    out = -model.log_sums_of(before * OUTCOMES + last).astype(np.float64)
+    one, two = model.p[0] @ model.p[2], model.p[0] @ model.p[3]
+    for k in range(0, len(word), 8_192):
+        at = slice(k, k + 8_192)
+        out[at] += np.einsum("ij,ij->i", one.take(last[at], 0) + two.take(before[at], 0), model.p[1].take(word[at], 0)) + model.p[4][word[at]]
     return np.bincount(of, out, texts) / math.log(10)
 
 

@@ -174,6 +174,18 @@ def test_text_sums_by_hand():
     assert got == pytest.approx(want, abs=1e-4)
 
 
+def test_a_worker_sums_each_context_once(monkeypatch):
+    model, seen = neural_lm.Model(np.full(neural_lm.OUTCOMES, 1 / neural_lm.OUTCOMES)), []
+    of = neural_lm.Model.scores
+    monkeypatch.setattr(neural_lm.Model, "scores", lambda self, a, b: seen.extend(zip(a.tolist(), b.tolist())) or of(self, a, b))
+    first = neural_lm.text_sums(model, np.array([3, 4, 3, 4]), np.array([0, 0, 1, 1]), 2)
+    again = neural_lm.text_sums(model, np.array([3, 4, 3]), np.array([0, 0, 1]), 2)
+    assert sorted(seen) == [(0, 0), (0, 3), (3, 4)] and first[0] == first[1] == again[0]
+    one = np.array([3])
+    model.train(one, one, one, np.ones(1), np.random.default_rng(1))
+    assert model.sums is None  # other parameters have other sums
+
+
 # -- hard negatives
 
 
