@@ -5,8 +5,8 @@ and a skippable frame with the seek table: compressed size, plain size and check
 bytes) of every frame, as in the public seekable layout of zstandard. A reader fetches the table and the index from
 the end of the file and then decompresses only the frames of the documents asked for, checking each frame.
 
-Encoding: the words between spaces and newlines are looked up in a bounded table; unknown ones are encoded by the
-tokenizers library. The pre-tokeniser drops white space and never joins across it, so the ids are those of the whole
+Encoding: the words between spaces and newlines are looked up in a bounded table; the unknown ones of a block of texts
+are normalised and cut up together, and each new part is encoded by the tokenizers library. The pre-tokeniser drops white space and never joins across it, so the ids are those of the whole
 text (tests compare them). The end id follows each document.
 
 Null texts count as empty: only the end id. Null ids come first, in the order of their texts' hashes; repeated rows
@@ -40,6 +40,7 @@ from gradeloom.llm.common import chunks, read_table, scratch, written
 FRAME_BYTES = 1 << 18
 END_ID = 2
 CACHE_WORDS = 800_000
+BLOCK_WORDS = 200_000
 # Fixed values of the seekable layout.
 SKIPPABLE_MAGIC, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -151,7 +152,8 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Ids of texts from a tokenizers file whose pre-tokeniser drops white space.
 
-    A bounded table from words to their ids, as little-endian integers of ``width`` bytes, filled as words occur.
+    A bounded table from words to their places in ``codes``, which holds their ids as little-endian integers of ``width``
+    bytes. New words of a block of texts are normalised and cut up together, by one call each.
     """
 
     def __init__(self, path: str) -> None:
@@ -165,53 +167,91 @@ class WordEncoder(dict):
         special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = os.path.commonprefix(special) if special else "\n"  # words hold no newline
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.codes: list[bytes] = []
+        self.new: list[str] = []
         self.pieces: dict[str, bytes] = {}
         self.find, self.letters = self._pattern(path)
 
     def _pattern(self, path: str):
-        """The pattern of pre-tokens, if the file has the usual pair of a pattern and byte letters; the regex module
-        is several times faster on single words than the library. None leaves it to the library."""
+        """The pattern of pre-tokens and of the spaces between words, if the file has the usual pair of a pattern and
+        byte letters; the regex module is several times faster than the library. None leaves it to the library."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)["pre_tokenizer"]
         steps = spec.get("pretokenizers", [spec])
         if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
             return None, {}
-        return regex.compile(steps[0]["pattern"]["Regex"]).findall, byte_letters()
-
-    def _split(self, word: str) -> list[str]:
-        plain = word.isascii() and word.isprintable() and self.lowers
-        text = word.lower() if plain else self.normalize(word)
-        if self.find is None:
-            return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        found = self.find(text)
-        return found if plain else [p.encode().decode("latin-1").translate(self.letters) for p in found]
+        return regex.compile(f"{steps[0]['pattern']['Regex']}| ").findall, byte_letters()
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, f"<u{self.width}").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > CACHE_WORDS:
-                self.pieces.clear()
-            got = self.pieces[piece] = self._bytes([t.id for t in self.tokenize(piece)])
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        got = self.pieces[piece] = self._bytes([t.id for t in self.tokenize(letters)])
         return got
 
-    def __missing__(self, word: str) -> bytes:
-        """One word by the library's own steps; a word that may hold a special token goes through all of it."""
-        if len(self) > CACHE_WORDS:
+    def _words(self, text: str) -> list[bytes]:
+        """Codes of the words of a normalised text, one space between two."""
+        known, out, parts = self.pieces.get, [], []
+        for piece in self.find(text):
+            if piece == " ":
+                out.append(b"".join(parts))
+                parts = []
+            else:
+                parts.append(known(piece) or self._piece(piece))
+        out.append(b"".join(parts))
+        return out
+
+    def _codes(self, words: list[str]) -> list[bytes]:
+        """Codes of distinct words. One that may hold a special token or white space goes through all of the library."""
+        got: dict[str, bytes] = {}
+        if self.find is not None:
+            plain, other = [], []
+            for w in words:
+                if self.special not in w and w:
+                    if self.lowers and w.isascii() and w.isprintable():
+                        plain.append(w)
+                    elif w.split() == [w]:
+                        other.append(w)
+            for some, text in ((plain, " ".join(plain).lower()), (other, self.normalize(" ".join(other)))):
+                if some and text.count(" ") == len(some) - 1:
+                    got.update(zip(some, self._words(text)))
+        return [got[w] if w in got else self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+    def _block(self, rows: list[list[str]]) -> list[bytes]:
+        if len(self) > CACHE_WORDS or self.new:  # new words are left where a block broke off
             self.clear()
-        if self.special in word:
-            got = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        else:
-            got = b"".join(map(self._piece, self._split(word)))
-        self[word] = got
-        return got
+            self.codes, self.new = [], []
+        place = self.__getitem__
+        places = [list(map(place, r)) for r in rows]
+        self.codes += self._codes(self.new)
+        self.new = []
+        code = self.codes.__getitem__
+        return [b"".join(map(code, p)) for p in places]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, without an end id."""
-        get = self.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        out: list[bytes] = []
+        rows: list[list[str]] = []
+        held = 0
+        for t in texts:
+            words = t.replace("\n", " ").split(" ")
+            if held + len(words) > BLOCK_WORDS:
+                out += self._block(rows)
+                rows, held = [], 0
+            if len(words) > BLOCK_WORDS:  # a long text by itself, block by block
+                out.append(b"".join(self._block([words[k : k + BLOCK_WORDS]])[0] for k in range(0, len(words), BLOCK_WORDS)))
+            else:
+                rows.append(words)
+                held += len(words)
+        return out + self._block(rows)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

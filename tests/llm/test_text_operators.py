@@ -309,6 +309,34 @@ def test_word_encoder_equals_whole_texts(texts):
     assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(every, add_special_tokens=False)]
 
 
+def test_new_words_are_normalised_together():
+    """One call for the new words of a block, not one for each word, which took most of op7's time."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, calls = token_file.WordEncoder(path), []
+    normalize = enc.normalize
+    enc.normalize = lambda t: calls.append(t) or normalize(t)
+    text = " ".join(f"É{k}ß" for k in range(1_000))
+    assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 2
+
+
+def test_word_encoder_on_odd_words_and_small_blocks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng, signs = np.random.default_rng(8), [*"aBcΣσİßée\u0301\u00a0\u3000\x1c\t\r\x0b '<|0½Ⅷ한가🙂\u200d\n\x00", "'ll", "<|endoftext|>", "  "]
+    odd = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(2_000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(odd, add_special_tokens=False)]
+    for block, cache in ((200_000, 800_000), (3, 5)):
+        monkeypatch.setattr(token_file, "BLOCK_WORDS", block)
+        monkeypatch.setattr(token_file, "CACHE_WORDS", cache)
+        enc = token_file.WordEncoder(path)
+        assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode(odd)] == want
+        assert len(enc) == len(enc.codes) <= cache + block + 1
+
+
 class Counting(io.BytesIO):
     read_bytes = 0
 
