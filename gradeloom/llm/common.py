@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -136,6 +136,35 @@ def _portion(rows: pa.RecordBatch, text: str) -> tuple[pa.RecordBatch, list[str]
     return rows, [t or "" for t in rows.column(text).to_pylist()]
 
 
+class WordTable(dict):
+    """A bounded table from words to their places in ``codes``.
+
+    The new words of a block of texts get their codes from ``encode`` together, so one look-up a word is enough.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int) -> None:
+        self.encode_words, self.bound = encode, bound
+        self.codes: list[bytes] = []
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+    def joined(self, rows: list[list[str]]) -> list[bytes]:
+        """For each text, given as its words, their codes in one."""
+        if len(self) > self.bound or self.new:  # new words are left where a block broke off
+            self.clear()
+            self.codes, self.new = [], []
+        place = self.__getitem__
+        places = [list(map(place, r)) for r in rows]
+        self.codes += self.encode_words(self.new)
+        self.new = []
+        code = self.codes.__getitem__
+        return [b"".join(map(code, p)) for p in places]
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled rows for fitting: columns doc_id, text, label.
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import chunks, read_table, scratch, written
+from gradeloom.llm.common import WordTable, chunks, read_table, scratch, written
 
 FRAME_BYTES = 1 << 18
 END_ID = 2
@@ -149,14 +149,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class WordEncoder(dict):
+class WordEncoder(WordTable):
     """Ids of texts from a tokenizers file whose pre-tokeniser drops white space.
 
-    A bounded table from words to their places in ``codes``, which holds their ids as little-endian integers of ``width``
-    bytes. New words of a block of texts are normalised and cut up together, by one call each.
+    ``codes`` holds the ids of words as little-endian integers of ``width`` bytes. New words of a block of texts are
+    normalised and cut up together, by one call each.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__(self._codes, CACHE_WORDS)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -167,8 +168,6 @@ class WordEncoder(dict):
         special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = os.path.commonprefix(special) if special else "\n"  # words hold no newline
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.codes: list[bytes] = []
-        self.new: list[str] = []
         self.pieces: dict[str, bytes] = {}
         self.find, self.letters = self._pattern(path)
 
@@ -220,22 +219,6 @@ class WordEncoder(dict):
                     got.update(zip(some, self._words(text)))
         return [got[w] if w in got else self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
 
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
-        self.new.append(word)
-        return place
-
-    def _block(self, rows: list[list[str]]) -> list[bytes]:
-        if len(self) > CACHE_WORDS or self.new:  # new words are left where a block broke off
-            self.clear()
-            self.codes, self.new = [], []
-        place = self.__getitem__
-        places = [list(map(place, r)) for r in rows]
-        self.codes += self._codes(self.new)
-        self.new = []
-        code = self.codes.__getitem__
-        return [b"".join(map(code, p)) for p in places]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, without an end id."""
         out: list[bytes] = []
@@ -244,14 +227,14 @@ class WordEncoder(dict):
         for t in texts:
             words = t.replace("\n", " ").split(" ")
             if held + len(words) > BLOCK_WORDS:
-                out += self._block(rows)
+                out += self.joined(rows)
                 rows, held = [], 0
             if len(words) > BLOCK_WORDS:  # a long text by itself, block by block
-                out.append(b"".join(self._block([words[k : k + BLOCK_WORDS]])[0] for k in range(0, len(words), BLOCK_WORDS)))
+                out.append(b"".join(self.joined([words[k : k + BLOCK_WORDS]])[0] for k in range(0, len(words), BLOCK_WORDS)))
             else:
                 rows.append(words)
                 held += len(words)
-        return out + self._block(rows)
+        return out + self.joined(rows)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

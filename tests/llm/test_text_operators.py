@@ -243,6 +243,48 @@ def test_ids_are_those_of_the_library(texts):
     assert m.steps < 0.5 * sum(map(len, m.words))  # common prefixes are walked once
 
 
+def test_pairs_of_pieces_are_judged_without_merging_both(texts):
+    """Each piece is merged once by itself; merging every new pair took a third of op5's search."""
+    m, calls = sentence_piece.PieceModel(sentence_piece.default_model()), []
+    merge = m.merge
+    m.merge = lambda *a: calls.append(a[0]) or merge(*a)
+    m.encode(texts)
+    assert len(calls) <= len(set(calls)) + sum(w.startswith("▁▁") for w in m.words)
+    assert all(w in m.vocab or len(w) == 1 or w.startswith("▁▁") for w in calls)
+
+
+def test_pieces_apart_equal_merging_both(texts):
+    m = sentence_piece.PieceModel(sentence_piece.default_model())
+    words = sorted(set(" ".join(texts[:60]).split()))
+    pieces = sorted({p for _, ps in m.segment(words) for p in ps})
+    rng = np.random.default_rng(9)
+    for a, b in rng.choice(pieces, (20_000, 2)).tolist():
+        assert m._apart(a, b) == (m.merge(a + b) == [a, b])
+    every = sorted(m.vocab)[::11]
+    assert [m._apart("", p) for p in every] == [m.merge(p) == [p] for p in every]
+
+
+def test_odd_texts_and_small_caches_give_the_ids_of_the_library(monkeypatch):
+    import sentencepiece
+
+    path = sentence_piece.default_model()
+    rng, signs = np.random.default_rng(10), [*"aBcthenrsßé\u0301\u00a0\u3000 \t\r'0½한가🙂\n\x00▁的了", "  ", "    ", "the", "ation", "▁▁", "..."]
+    odd = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(2_000)]
+    want = sentencepiece.SentencePieceProcessor(model_file=path).encode(odd)
+    for name in ("CACHE_WORDS", "CACHE_PAIRS", "CACHE_STEPS", None):
+        m = sentence_piece.PieceModel(path)
+        assert [np.frombuffer(b, m.dtype).tolist() for k in range(0, 2_000, 500) for b in m.encode(odd[k : k + 500])] == want
+        if name:
+            monkeypatch.setattr(sentence_piece, name, 50)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "." * 1_000_000, " " * 200_000, "한" * 300_000, "é1" * 300_000])
+def test_long_words_take_memory_by_their_length(text):
+    m = sentence_piece.PieceModel(sentence_piece.default_model())
+    began = time.process_time()
+    assert m.decode(np.frombuffer(m.encode([text])[0], m.dtype).tolist()) == text and time.process_time() - began < 30
+
+
 def test_unigram_viterbi_equals_plain_search():
     m = sentence_piece.PieceModel(sentence_piece.default_model())
     m.bpe, m.vocab, m.scores = False, {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, [-3.0, -3.0, -4.0, -2.5, -5.9]
